@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from . import lexicon as L
 
 WS_RUN = f"[{L.WS}]+"
+# Python's Unicode \w: letters, numbers, underscore.
+WORD_CHARS = r"\p{L}\p{N}_"
 _EDGE_WS = f"^[{L.WS}]+|[{L.WS}]+$"
 
 
@@ -169,28 +171,43 @@ def arabic_ratio_alpha(c) -> Column:
 
 
 def arabic_ratio_nonspace(c) -> Column:
-    """AR1 characters / non-whitespace characters."""
-    return F.coalesce(F.try_divide(char_count(c, L.AR1), F.length(F.regexp_replace(col(c), WS_RUN, ""))),
-                      F.lit(0.0))
+    """AR1 characters / max(non-whitespace characters, 1); empty -> 0."""
+    nonspace = F.length(F.regexp_replace(col(c), WS_RUN, ""))
+    return F.when(F.coalesce(F.length(col(c)), F.lit(0)) == 0, F.lit(0.0)) \
+        .otherwise(char_count(c, L.AR1) / F.greatest(nonspace, F.lit(1)))
+
+
+def arabic_ratio_block_alpha(c) -> Column:
+    """AR1 characters (any category) / alphabetic characters; 0 if none."""
+    return F.coalesce(F.try_divide(char_count(c, L.AR1), letter_count(c)), F.lit(0.0))
 
 
 def special_char_ratio(c) -> Column:
-    """C11: characters that are not word, whitespace or AR1, over length."""
-    specials = F.length(F.regexp_replace(col(c), r"(?U)[\w\s" + L.AR1 + "]", ""))
-    return F.coalesce(F.try_divide(specials, F.length(col(c))), F.lit(0.0))
+    """C11: characters outside word chars, whitespace and AR1, over max(len, 1)."""
+    specials = F.length(F.regexp_replace(col(c), f"[{WORD_CHARS}{L.WS}{L.AR1}]", ""))
+    return F.when(F.coalesce(F.length(col(c)), F.lit(0)) == 0, F.lit(0.0)) \
+        .otherwise(specials / F.greatest(F.length(col(c)), F.lit(1)))
 
 
 def word_repetition_ratio(c) -> Column:
-    """sum(count-1) over words / word count."""
-    w = py_words(c)
-    return F.coalesce(F.try_divide(F.size(w) - F.size(F.array_distinct(w)), F.size(w)), F.lit(0.0))
+    """sum(count-1) over lower-cased words / word count; <= 1 word -> 0."""
+    w = py_words(F.lower(col(c)))
+    return F.when(F.size(w) <= 1, F.lit(0.0)).otherwise((F.size(w) - F.size(F.array_distinct(w))) / F.size(w))
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """Word n-grams joined with a space; empty when fewer than n words."""
-    return F.when(F.size(words) >= n, F.transform(
-        F.sequence(F.lit(1), F.size(words) - n + 1),
-        lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Word n-grams joined with a space; empty when fewer than n words.
+
+    Built with ``zip_with`` over shifted slices, so the words array is read
+    a fixed number of times per row (a lambda that indexed into it would
+    re-evaluate the split once per position).
+    """
+    acc = words
+    for k in range(1, n):
+        acc = F.zip_with(acc, F.slice(words, k + 1, F.greatest(F.size(words) - k, F.lit(0))),
+                         lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(words) >= n, F.slice(acc, 1, F.size(words) - n + 1)) \
+        .otherwise(F.array().cast("array<string>"))
 
 
 def trigram_repetition(c) -> Column:
@@ -317,20 +334,89 @@ def combined_similarity(a: Column, b: Column, temperature: float = 1.0) -> Colum
     return (cosine(a, b) - euclidean(a, b) / 10.0 + manhattan(a, b) / 100.0) / temperature
 
 
-def length_normalization(length: Column, method: str = "sqrt") -> Column:
-    """None, sqrt, log, linear."""
-    length = col(length).cast("double")
+def length_normalized_quality(q: Column, length: Column, method: str = "sqrt",
+                              mean: Column | None = None, std: Column | None = None) -> Column:
+    """Quality divided by a length factor.
+
+    none: q; sqrt: q / sqrt(len); log: q / max(1, ln(len+1)); linear:
+    q / max(1, len/100); adaptive: q / max(1 + 0.1 z, 0.1) with
+    z = (len - mean) / max(std, 1) over the dataset. A zero length under
+    ``sqrt`` gives null rather than an error.
+    """
+    q = col(q)
+    n = col(length).cast("double")
     if method == "none":
-        return F.lit(1.0)
+        return q
     if method == "sqrt":
-        return F.sqrt(F.greatest(length, F.lit(1.0)))
+        return F.try_divide(q, F.sqrt(n))
     if method == "log":
-        return F.log(F.greatest(length, F.lit(1.0)) + 1.0)
+        return q / F.greatest(F.lit(1.0), F.log(n + 1.0))
     if method == "linear":
-        return F.greatest(length, F.lit(1.0))
+        return q / F.greatest(F.lit(1.0), n / 100.0)
+    if method == "adaptive":
+        z = (n - mean) / F.greatest(std, F.lit(1.0))
+        return q / F.greatest(1.0 + z * 0.1, F.lit(0.1))
     raise ValueError(f"unknown length normalisation {method!r}")
 
 
+def percentile_factor(length: Column, p25: Column, p50: Column, p75: Column) -> Column:
+    """Piecewise factor from the dataset's length quartiles."""
+    n = col(length).cast("double")
+    return (F.when(n <= p25, F.lit(1.0))
+            .when(n <= p50, 1.0 + (n - p25) / (p50 - p25) * 0.1)
+            .when(n <= p75, 1.1 + (n - p50) / (p75 - p50) * 0.2)
+            .otherwise(1.3 + (n - p75) / F.greatest(p75, F.lit(1.0)) * 0.3))
+
+
+def rank_factor(pct_rank: Column) -> Column:
+    """Factor from a percentile rank in [0, 100]."""
+    r = col(pct_rank)
+    return (F.when(r > 80, 1.0 + (r - 80) / 20.0 * 0.5)
+            .when(r < 20, 1.0 - (20 - r) / 20.0 * 0.2).otherwise(F.lit(1.0)))
+
+
+def length_bias(chosen, rejected) -> Column:
+    """Bias when the longer answer wins without a quality edge; cap 1."""
+    ratio = F.length(col(chosen)) / F.greatest(F.length(col(rejected)), F.lit(1))
+    diff = quality(chosen) - quality(rejected)
+    return F.least(F.when((ratio > 1.5) & (diff < 0.1), (ratio - 1.0) * (0.1 - diff))
+                   .when((ratio < 0.67) & (diff > -0.1), (1.0 - ratio) * (diff + 0.1))
+                   .otherwise(F.lit(0.0)), F.lit(1.0))
+
+
+def coherence_simple(c) -> Column:
+    """Shared ``coh``: min(|split('.')| / max(words, 1), 1)."""
+    return F.least(F.size(F.split(col(c), r"\.", -1)) / F.greatest(word_count(c), F.lit(1)), F.lit(1.0))
+
+
+def dpo_strength(chosen, rejected) -> Column:
+    """C28 DPO: clamp((0.4 dq + 0.3 dinfo + 0.3 dcoh + 1) / 2, 0, 1)."""
+    s = (0.4 * (quality(chosen) - quality(rejected)) + 0.3 * (distinct_ratio(chosen) - distinct_ratio(rejected))
+         + 0.3 * (coherence_simple(chosen) - coherence_simple(rejected)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (s + 1.0) / 2.0))
+
+
+def ipo_strength(chosen, rejected, method: str = "sqrt") -> Column:
+    """C28 IPO: difference of length-normalised qualities (identity map)."""
+    return length_normalized_quality(quality(chosen), F.length(col(chosen)), method) - \
+        length_normalized_quality(quality(rejected), F.length(col(rejected)), method)
+
+
+def feature_vector(c, size: int = 128) -> Column:
+    """8 counts / their max, zero-padded to ``size``."""
+    t = col(c)
+    w = py_words(t)
+    feats = [F.length(t), F.size(w), F.size(F.array_distinct(w)),
+             F.length(t) - F.length(F.replace(t, F.lit("؟"), F.lit(""))),
+             F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))),
+             F.length(t) - F.length(F.replace(t, F.lit("."), F.lit(""))),
+             char_count(t, r"\p{Nd}"), char_count(t, r"\p{Lu}")]
+    arr = F.array(*[f.cast("double") for f in feats])
+    mx = F.array_max(arr)
+    norm = F.transform(arr, lambda x: F.when(mx == 0, F.lit(0.0)).otherwise(x / mx))
+    return F.concat(norm, F.array_repeat(F.lit(0.0), size - len(feats)))
+
+
 def kto_utility(q: Column, desirable: Column, alpha: float = 0.88, lam: float = 2.25) -> Column:
     """q^alpha for desirable, -lambda (1-q)^alpha otherwise."""
     return F.when(desirable, F.pow(q, alpha)).otherwise(-lam * F.pow(1.0 - q, alpha))
@@ -341,23 +427,30 @@ def safe_divide(num: Column, den: Column, default: float = 0.0) -> Column:
     return F.when(den == 0, F.lit(default)).otherwise(num / den)
 
 
+def _fixed(x: Column, digits: int) -> Column:
+    """Python-style fixed-point text (correctly rounded on the binary value)."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits if digits else "0"))
+
+
 def format_duration(seconds: Column) -> Column:
     """Seconds -> '12.34s', '2m 3.0s' or '1h 2m 3.0s'."""
     s = col(seconds).cast("double")
-    return (F.when(s < 60, F.format_string("%.2fs", s))
-            .when(s < 3600, F.format_string("%dm %.1fs", F.floor(s / 60).cast("long"), s % 60))
-            .otherwise(F.format_string("%dh %dm %.1fs", F.floor(s / 3600).cast("long"),
-                                       F.floor((s % 3600) / 60).cast("long"), s % 60)))
+    minutes = F.floor(s / 60).cast("long").cast("string")
+    hours = F.floor(s / 3600).cast("long").cast("string")
+    rem_min = F.floor((s % 3600) / 60).cast("long").cast("string")
+    return (F.when(s < 60, F.concat(_fixed(s, 2), F.lit("s")))
+            .when(s < 3600, F.concat(minutes, F.lit("m "), _fixed(s % 60, 1), F.lit("s")))
+            .otherwise(F.concat(hours, F.lit("h "), rem_min, F.lit("m "), _fixed(s % 60, 1), F.lit("s"))))
 
 
 def format_bytes(n: Column) -> Column:
     """Bytes -> '1.50 KB' etc."""
     b = col(n).cast("double")
     units = ["B", "KB", "MB", "GB", "TB"]
-    expr = F.format_string("%.2f PB", b / (1024.0 ** 5))
+    expr = F.concat(_fixed(b / (1024.0 ** 5), 2), F.lit(" PB"))
     for i in reversed(range(len(units))):
-        expr = F.when(b / (1024.0 ** i) < 1024.0, F.format_string(f"%.2f {units[i]}", b / (1024.0 ** i))) \
-            .otherwise(expr)
+        v = b / (1024.0 ** i)
+        expr = F.when(v < 1024.0, F.concat(_fixed(v, 2), F.lit(f" {units[i]}"))).otherwise(expr)
     return expr
 
 
@@ -378,3 +471,34 @@ def u(seed, key) -> Column:
     """
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), col(key).cast("string"))), 1, 8), 16, 10) \
         .cast("bigint") / 4294967296.0
+
+
+# ----------------------------------------------------------------- C6, C10, C30
+
+def encoding_issues(c) -> Column:
+    """List of issue codes (question marks next to Arabic, bidi overrides)."""
+    t = col(c)
+    return F.array_compact(F.array(
+        F.when(F.contains(t, F.lit("?")) & t.rlike(f"[{L.AR5}]"), F.lit("question_marks_with_arabic")),
+        F.when(t.rlike(r"[\x{202D}\x{202E}]"), F.lit("rtl_ltr_override"))))
+
+
+def content_validity(c) -> Column:
+    """(valid, reason, ratio): empty / no letters / ratio < 0.5."""
+    t = col(c)
+    letters = letter_count(t)
+    ratio = F.length(F.regexp_replace(F.regexp_replace(t, f"[^{L.AR1}]", ""), r"\P{L}", "")) / letters
+    reason = (F.when(F.coalesce(F.length(t), F.lit(0)) == 0, F.lit("empty"))
+              .when(letters == 0, F.lit("no_letters"))
+              .when(ratio < 0.5, F.lit("low_arabic")).otherwise(F.lit("valid")))
+    return F.struct((reason == "valid").alias("valid"), reason.alias("reason"),
+                    F.when(letters > 0, ratio).otherwise(F.lit(0.0)).alias("ratio"))
+
+
+def diacritized_word_flags(c) -> Column:
+    """Per word, whether it carries a diacritic (U+064B-065F)."""
+    return F.transform(py_words(c), lambda w: w.rlike(f"[{L.HARAKAT}]"))
+
+
+def diacritic_count(c) -> Column:
+    return char_count(c, L.HARAKAT)

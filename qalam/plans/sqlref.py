@@ -237,3 +237,177 @@ def augment_text(t: str, dialect: str, key: str, seed: int = 42, ratio: float =
 def augment_for(t: str, dialect_sql: str, key: str, seed: int = 42, ratio: float = L.AUGMENT_RATIO) -> str:
     return ("CASE " + " ".join(f"WHEN {dialect_sql} = {q(d)} THEN {augment_text(t, d, key, seed, ratio)}"
                                for d in L.AUGMENT_DIALECTS) + f" ELSE {t} END")
+
+
+# ----------------------------------------------------------------- text function twins
+
+WORD_CHARS = r"\p{L}\p{N}_"
+
+
+def letter_count(x: str) -> str:
+    return char_count(x, r"\p{L}")
+
+
+def arabic_letter_count(x: str, cls: str = L.AR2) -> str:
+    return f"length({rr(rr(x, '[^' + cls + ']'), chr(92) + 'P{L}')})"
+
+
+def div0(num: str, den: str) -> str:
+    """num / den, 0.0 when den = 0 (or null)."""
+    return f"coalesce(CASE WHEN ({den}) = 0 THEN NULL ELSE CAST({num} AS DOUBLE) / ({den}) END, 0.0)"
+
+
+def lenx(x: str) -> str:
+    return f"coalesce(length({x}), 0)"
+
+
+def arabic_ratio_alpha(x):
+    return div0(arabic_letter_count(x), letter_count(x))
+
+
+def arabic_ratio_nonspace(x):
+    return (f"CASE WHEN {lenx(x)} = 0 THEN 0.0 ELSE CAST({char_count(x, L.AR1)} AS DOUBLE) / "
+            f"greatest(length({rr(x, WS_RUN)}), 1) END")
+
+
+def arabic_ratio_block_alpha(x):
+    return div0(char_count(x, L.AR1), letter_count(x))
+
+
+def special_char_ratio(x):
+    sp = f"length({rr(x, '[' + WORD_CHARS + L.WS + L.AR1 + ']')})"
+    return f"CASE WHEN {lenx(x)} = 0 THEN 0.0 ELSE CAST({sp} AS DOUBLE) / greatest(length({x}), 1) END"
+
+
+def word_repetition_ratio(x):
+    w = words(f"lower({x})")
+    return f"CASE WHEN len({w}) <= 1 THEN 0.0 ELSE CAST(len({w}) - len(list_distinct({w})) AS DOUBLE) / len({w}) END"
+
+
+def ngrams(w: str, n: int) -> str:
+    shifted = ", ".join([w] + [f"{w}[{k + 1}:]" for k in range(1, n)])
+    joined = "concat_ws(' ', " + ", ".join(f"p[{k + 1}]" for k in range(n)) + ")"
+    return (f"CASE WHEN len({w}) >= {n} THEN list_transform(list_zip({shifted}), lambda p: {joined})"
+            f"[1:len({w}) - {n - 1}] ELSE [] END")
+
+
+def trigram_repetition(x):
+    w = words(x)
+    tri = ngrams(w, 3)
+    return f"CASE WHEN len({w}) < 10 THEN 0.0 ELSE 1.0 - CAST(len(list_distinct({tri})) AS DOUBLE) / len({tri}) END"
+
+
+def normalized_hash(x):
+    return f"md5({rr(strip(f'lower({x})'), WS_RUN, ' ')})"
+
+
+def shingles(x, n=3):
+    w = words(f"lower({x})")
+    return f"CASE WHEN len({w}) < {n} THEN [array_to_string({w}, ' ')] ELSE list_distinct({ngrams(w, n)}) END"
+
+
+def jaccard(a, b, empty_both=1.0):
+    return (f"CASE WHEN len(list_distinct(list_concat({a}, {b}))) = 0 THEN {empty_both} ELSE "
+            f"CAST(len(list_intersect(list_distinct({a}), list_distinct({b}))) AS DOUBLE) / "
+            f"len(list_distinct(list_concat({a}, {b}))) END")
+
+
+def word_set(x):
+    return f"list_distinct({words(f'lower({x})')})"
+
+
+def sim(a, b):
+    return jaccard(word_set(a), word_set(b))
+
+
+def distinct_ratio(x):
+    w = words(x)
+    return f"coalesce(CASE WHEN len({w}) = 0 THEN NULL ELSE CAST(len(list_distinct({w})) AS DOUBLE) / len({w}) END, 0.0)"
+
+
+def quality(x):
+    w = words(x)
+    return (f"(0.3 * least(length({x}) / 100.0, 1.0) + 0.7 * len(list_distinct({w})) / "
+            f"CAST(greatest(len({w}), 1) AS DOUBLE))")
+
+
+def classify_instruction(x):
+    low = f"lower({x})"
+    return ("CASE " + " ".join(f"WHEN regexp_matches({low}, {q('|'.join(p))}) THEN {q(n)}"
+                               for n, p in L.INSTRUCTION_TYPES) + " ELSE 'other' END")
+
+
+def format_compliance(ins, resp):
+    low = f"lower({resp})"
+    n = nwords(resp)
+    art = " OR ".join(f"contains({low}, {q(a)})" for a in L.TEMPLATE_ARTIFACTS)
+    checks = [f"{strip(resp)} <> ''", f"{n} BETWEEN 5 AND 500", f"NOT contains({low}, lower({ins}))", f"NOT ({art})"]
+    return "((" + " + ".join(f"CASE WHEN {c} THEN 1.0 ELSE 0.0 END" for c in checks) + ") / 4.0)"
+
+
+def response_quality(x):
+    w = words(x)
+    n = f"len({w})"
+    ls = f"CASE WHEN {n} BETWEEN 10 AND 100 THEN 1.0 WHEN {n} BETWEEN 5 AND 200 THEN 0.5 ELSE 0.0 END"
+    dv = f"CASE WHEN {n} > 0 THEN CAST(len(list_distinct({w})) AS DOUBLE) / {n} ELSE 0.0 END"
+    co = f"CASE WHEN len(string_split({x}, '.')) > 1 THEN 0.5 ELSE 0.0 END"
+    return f"CASE WHEN {strip(x)} = '' THEN 0.0 ELSE {ls} + {dv} + {co} END"
+
+
+def arabic_quality(x):
+    qs = " OR ".join(f"contains({x}, {q(t)})" for t in L.EVAL_QUESTION_WORDS)
+    return (f"least((CASE WHEN regexp_matches({x}, {q('[' + L.AR1 + ']')}) THEN 0.3 ELSE 0.0 END) + "
+            f"(CASE WHEN regexp_matches({x}, {q('[' + L.HARAKAT + ']')}) THEN 0.2 ELSE 0.0 END) + "
+            f"(CASE WHEN regexp_matches({x}, '[.!?؟]') THEN 0.3 ELSE 0.0 END) + "
+            f"(CASE WHEN {qs} THEN 0.2 ELSE 0.0 END), 1.0)")
+
+
+def coherence_simple(x):
+    return f"least(len(string_split({x}, '.')) / CAST(greatest({nwords(x)}, 1) AS DOUBLE), 1.0)"
+
+
+def dpo_strength(c, r):
+    s = (f"(0.4 * ({quality(c)} - {quality(r)}) + 0.3 * ({distinct_ratio(c)} - {distinct_ratio(r)}) + "
+         f"0.3 * ({coherence_simple(c)} - {coherence_simple(r)}))")
+    return f"greatest(0.0, least(1.0, ({s} + 1.0) / 2.0))"
+
+
+def length_normalized_quality(qx, n, method="sqrt", mean=None, std=None):
+    n = f"CAST({n} AS DOUBLE)"
+    if method == "none":
+        return qx
+    if method == "sqrt":
+        return f"CASE WHEN {n} = 0 THEN NULL ELSE {qx} / sqrt({n}) END"
+    if method == "log":
+        return f"{qx} / greatest(1.0, ln({n} + 1.0))"
+    if method == "linear":
+        return f"{qx} / greatest(1.0, {n} / 100.0)"
+    if method == "adaptive":
+        return f"{qx} / greatest(1.0 + (({n} - {mean}) / greatest({std}, 1.0)) * 0.1, 0.1)"
+    raise ValueError(method)
+
+
+def ipo_strength(c, r, method="sqrt"):
+    return (f"({length_normalized_quality(quality(c), f'length({c})', method)} - "
+            f"{length_normalized_quality(quality(r), f'length({r})', method)})")
+
+
+def length_bias(c, r):
+    ratio = f"(length({c}) / CAST(greatest(length({r}), 1) AS DOUBLE))"
+    diff = f"({quality(c)} - {quality(r)})"
+    return (f"least(CASE WHEN {ratio} > 1.5 AND {diff} < 0.1 THEN ({ratio} - 1.0) * (0.1 - {diff}) "
+            f"WHEN {ratio} < 0.67 AND {diff} > -0.1 THEN (1.0 - {ratio}) * ({diff} + 0.1) ELSE 0.0 END, 1.0)")
+
+
+def count_sub(x, s):
+    return f"(length({x}) - length(replace({x}, {q(s)}, '')))"
+
+
+def feature_list(x):
+    w = words(x)
+    return [f"length({x})", f"len({w})", f"len(list_distinct({w}))", count_sub(x, "؟"), count_sub(x, "!"),
+            count_sub(x, "."), char_count(x, r"\p{Nd}"), char_count(x, r"\p{Lu}")]
+
+
+def clean_text_all(x):
+    return clean_text(x, True, True, True, True)
