@@ -238,3 +238,26 @@ PARAPHRASE_TEMPLATES = [
 SYNONYM_PROB = 0.1
 PARAPHRASE_PROB = 0.05
 NOISE_PROB = 0.02
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: instruction templates by language (B24): (without input, with input).
+# ---------------------------------------------------------------------------
+INSTRUCTION_TEMPLATES = {
+    "arabic": ("### التعليمات:\n{instruction}\n\n### الاستجابة:\n{output}",
+               "### التعليمات:\n{instruction}\n\n### المدخلات:\n{input}\n\n### الاستجابة:\n{output}"),
+    "english": ("### Instruction:\n{instruction}\n\n### Response:\n{output}",
+                "### Instruction:\n{instruction}\n\n### Input:\n{input}\n\n### Response:\n{output}"),
+    "mixed": ("### Instruction | التعليمات:\n{instruction}\n\n### Response | الاستجابة:\n{output}",
+              "### Instruction | التعليمات:\n{instruction}\n\n### Input | المدخلات:\n{input}\n\n### Response | الاستجابة:\n{output}"),
+}
+
+# FIXED VALUES: QA templates.
+QA_TEMPLATES = {
+    "simple": "السؤال: {question}\nالإجابة: {answer}",
+    "context": "السياق: {context}\n\nالسؤال: {question}\nالإجابة: {answer}",
+    "structured": "### السؤال\n{question}\n\n### الإجابة\n{answer}",
+    "conversation": "المستخدم: {question}\nالمساعد: {answer}",
+}
+
+# FIXED VALUES: Arabic grade words (B10); anything else is bad.
+GRADE_MAP = {"ممتاز": "good", "جيد جداً": "good", "جيد": "good", "مقبول": "bad", "ضعيف": "bad", "سيء": "bad"}
