@@ -239,15 +239,22 @@ def dpo_source_map(df: DataFrame) -> DataFrame:
                      first_present(df, "rejected", "dispreferred").alias("rejected"))
 
 
-def kto_source_map(df: DataFrame, sentiment: bool = False) -> DataFrame:
-    """Sentiment sets: label = sentiment > 0 (or 'positive'); otherwise
-    label = score > 0.5."""
+def kto_source_map(df: DataFrame, sentiment: bool = False, keep: tuple = ()) -> DataFrame:
+    """Sentiment sets: label = sentiment > 0 for numbers, == 'positive'
+    for strings; otherwise label = score > 0.5 (missing score -> 0)."""
+    keep_cols = [F.col(k) for k in keep]
     if sentiment:
-        s = first_present(df, "label", "sentiment")
-        lab = (s > 0) if _numeric(df, s._jc.toString()) else (s == "positive")
+        name = next((c for c in ("label", "sentiment") if c in df.columns), None)
+        if name is None:
+            lab = F.lit(False)
+        elif _numeric(df, name):
+            lab = F.col(name) > 0
+        else:
+            lab = F.col(name) == "positive"
         txt = first_present(df, "text", "input")
-        return df.select(txt.alias("prompt"), txt.alias("completion"), lab.alias("label"))
-    return df.select(first_present(df, "prompt").alias("prompt"), first_present(df, "response").alias("completion"),
+        return df.select(*keep_cols, txt.alias("prompt"), txt.alias("completion"), lab.alias("label"))
+    return df.select(*keep_cols, first_present(df, "prompt").alias("prompt"),
+                     first_present(df, "response").alias("completion"),
                      (F.coalesce(first_present(df, "score").cast("double"), F.lit(0.0)) > 0.5).alias("label"))
 
 

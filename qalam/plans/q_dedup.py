@@ -1,3 +1,63 @@
-"""Registered queries."""
+"""Dedup queries (F1-F3) over the driver's ``documents`` (exact and near copies)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import dedup as DD
+from ..sources import tables as TB
+from . import sqlref as S
+from .catalog import register
+
+
+def _docs(spark, sf):
+    return TB.table(spark, sf, "documents").select("doc_id", "text")
+
+
+# F1 ------------------------------------------------------------------------
+@register("f1_exact_dedup",
+          lambda: f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY {S.normalized_hash('text')} "
+                  "ORDER BY doc_id) AS rn FROM documents) x WHERE rn = 1")
+def f1_exact_dedup(spark, sf):
+    return DD.exact_dedup(_docs(spark, sf), "text", "doc_id").select("doc_id")
+
+
+# F2 ------------------------------------------------------------------------
+def _triples_sql():
+    return ("SELECT id, prompt, chosen, rejected FROM pairs UNION ALL "
+            "SELECT id + 1000000000, prompt, chosen, rejected FROM pairs WHERE id % 3 = 0")
+
+
+@register("f2_triple_dedup",
+          lambda: S.with_views("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY prompt, chosen, rejected "
+                               "ORDER BY id) AS rn FROM t) x WHERE rn = 1", "pairs", extra=[("t", _triples_sql())]))
+def f2_triple_dedup(spark, sf):
+    """Pairs plus a re-listed copy of every third pair: copies must go."""
+    p = TB.pairs(spark, sf).select("id", "prompt", "chosen", "rejected")
+    t = p.unionByName(p.filter(F.col("id") % 3 == 0).withColumn("id", F.col("id") + 1000000000))
+    return DD.triple_dedup(t, "id").select("id")
+
+
+# F3 ------------------------------------------------------------------------
+F3_THRESHOLD = 0.8
+
+
+def _f3_pairs_sql():
+    sig = S.shingles("text")
+    return (f"WITH s AS (SELECT doc_id, {sig} AS sig FROM documents), "
+            "s2 AS (SELECT doc_id, sig, len(sig) AS sz FROM s) "
+            f"SELECT a.doc_id AS i, b.doc_id AS j, {S.rnd(S.jaccard('a.sig', 'b.sig', 0.0))} AS jaccard FROM s2 a JOIN s2 b "
+            f"ON a.doc_id < b.doc_id AND least(a.sz, b.sz) >= greatest(a.sz, b.sz) * {F3_THRESHOLD} "
+            f"WHERE {S.jaccard('a.sig', 'b.sig', 0.0)} >= {F3_THRESHOLD}")
+
+
+@register("f3_similar_pairs", _f3_pairs_sql)
+def f3_similar_pairs(spark, sf):
+    e = DD.near_dup_edges(_docs(spark, sf), "text", "doc_id", F3_THRESHOLD)
+    return e.select("i", "j", F.round("jaccard", 6).alias("jaccard"))
+
+
+@register("f3_near_dedup")
+def f3_near_dedup(spark, sf):
+    """Greedy keep-first result; checked against a brute-force scan in tests."""
+    return DD.near_dedup(_docs(spark, sf), "text", "doc_id", F3_THRESHOLD).select("doc_id")

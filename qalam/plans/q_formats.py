@@ -284,11 +284,11 @@ def b15_dpo_source_map(spark, sf):
 def b16_kto_source_map(spark, sf):
     k = TB.kto(spark, sf)
     a = B.kto_source_map(k.select("id", F.col("completion").alias("text"), F.col("label").alias("sentiment")),
-                         sentiment=True)
-    a = k.select("id", (F.col("label") > 0).alias("from_sentiment"))
-    b = B.kto_source_map(k.select("id", "prompt", F.col("completion").alias("response"), F.col("label").alias("score")))
-    b = k.select("id", (F.coalesce(F.col("label").cast("double"), F.lit(0.0)) > 0.5).alias("from_score"))
-    return a.join(b, "id")
+                         sentiment=True, keep=("id",))
+    b = B.kto_source_map(k.select("id", "prompt", F.col("completion").alias("response"), F.col("label").alias("score")),
+                         keep=("id",))
+    return a.select("id", F.col("label").alias("from_sentiment")).join(
+        b.select("id", F.col("label").alias("from_score")), "id")
 
 
 @register("b17_scored_preference_map",

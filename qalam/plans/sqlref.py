@@ -200,6 +200,9 @@ def with_views(body: str, *views: str, extra: list[tuple[str, str]] | None = Non
     if not items:
         return body
     ctes = ",\n".join(f"{name} AS ({sql})" for name, sql in items)
+    stripped = body.lstrip()
+    if stripped[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{stripped[5:]}"
     return f"WITH {ctes}\n{body}"
 
 
@@ -411,3 +414,82 @@ def feature_list(x):
 
 def clean_text_all(x):
     return clean_text(x, True, True, True, True)
+
+
+# ----------------------------------------------------------------- Arabic metric twins
+
+def _contains_count(x, terms):
+    return "(" + " + ".join(f"CAST(contains({x}, {q(t)}) AS INTEGER)" for t in terms) + ")"
+
+
+def sentences(x, drop_blank=False):
+    s = f"string_split_regex({x}, '[.!?]')"
+    if drop_blank:
+        s = f"list_filter(list_transform({s}, lambda z: {strip('z')}), lambda z: z <> '')"
+    return s
+
+
+def sum_words_per_sentence(sents):
+    return f"list_sum(list_transform({sents}, lambda z: len({words('z')})))"
+
+
+def evaluator_dialect(x):
+    low = f"lower({x})"
+    sc = {"msa": _contains_count(low, L.EVAL_FORMAL_INDICATORS) + " * 2"}
+    for d in L.EVAL_DIALECT_ORDER:
+        sc[d] = _contains_count(low, L.EVAL_DIALECT_MARKERS[d])
+    order = ["msa"] + L.EVAL_DIALECT_ORDER
+    best = "greatest(" + ", ".join(sc[d] for d in order) + ")"
+    return "CASE " + " ".join(f"WHEN {sc[d]} = {best} THEN '{d}'" for d in order) + " ELSE 'msa' END"
+
+
+def repeated_distinct(arr):
+    srt = f"list_sort({arr})"
+    eq = f"list_transform(list_zip({srt}, {srt}[2:]), lambda p: p[1] = p[2])"
+    eqf = f"list_filter({eq}, lambda z: z IS NOT NULL)"
+    starts = f"list_transform(list_zip({eqf}, list_concat([false], {eqf})), lambda p: p[1] AND NOT p[2])"
+    return f"len(list_filter({starts}, lambda z: z IS NOT NULL AND z))"
+
+
+def arabic_row_scores(x, target="msa", diacritics=True):
+    w = words(x)
+    nw = f"len({w})"
+    sents = sentences(x)
+    clean = sentences(x, True)
+    letters = letter_count(x)
+    ar_letters = arabic_letter_count(x)
+    ar_any = f"regexp_matches({x}, {q('[' + L.AR2 + ']')})"
+    latin = f"({letters} - {ar_letters})"
+    latin_ratio = f"(CAST({latin} AS DOUBLE) / greatest({letters}, 1))"
+    avg_sent = f"(CAST({sum_words_per_sentence(sents)} AS DOUBLE) / greatest(len({sents}), 1))"
+    dial = "(" + " + ".join(_contains_count(f"lower({x})", L.EVAL_DIALECT_MARKERS[d]) for d in L.EVAL_DIALECT_ORDER) + ")"
+    form = f"CAST({_contains_count(x, L.EVAL_FORMAL_INDICATORS)} AS DOUBLE) / greatest({nw}, 1) * 0.4"
+    if diacritics:
+        form += f" + least(CAST({char_count(x, L.HARAKAT)} AS DOUBLE) / greatest(length({x}), 1), 0.1) * 0.3"
+    form += f" - CAST({dial} AS DOUBLE) / greatest({nw}, 1) * 0.3 + CASE WHEN {avg_sent} > 10 THEN 0.2 ELSE 0.0 END"
+    form = f"greatest(0.0, least(1.0, {form}))"
+    grammar = (f"greatest(0.0, 1.0 - len(list_filter({w}, lambda z: starts_with(z, {q(L.DOUBLE_ARTICLE)}))) * 0.1 "
+               f"- len(list_filter({clean}, lambda z: len({words('z')}) < 3)) * 0.05)")
+    avg_wlen = f"(CAST(list_sum(list_transform({w}, lambda z: length(z))) AS DOUBLE) / {nw})"
+    punct = f"regexp_matches({x}, '[.!?]')"
+    fluency = (f"(CASE WHEN {nw} > 0 AND {avg_wlen} >= 3 AND {avg_wlen} <= 8 THEN 0.3 ELSE 0.0 END + "
+               f"CASE WHEN {avg_sent} >= 5 AND {avg_sent} <= 20 THEN 0.3 ELSE 0.0 END + "
+               f"CASE WHEN {nw} > 0 AND CAST(len(list_distinct({w})) AS DOUBLE) / {nw} > 0.7 THEN 0.2 ELSE 0.0 END + "
+               f"CASE WHEN {punct} THEN 0.2 ELSE 0.0 END)")
+    nclean = f"len({clean})"
+    keys = f"list_filter({w}, lambda z: length(z) > 4 AND regexp_matches(substr(z, 1, 1), {q('^[' + L.AR2 + ']')}))"
+    coherence = (f"CASE WHEN {nclean} > 1 THEN least(CAST({_contains_count(x, L.COHERENCE_CONNECTORS)} AS DOUBLE) / {nclean}, 0.5) "
+                 f"+ least(CAST({repeated_distinct(keys)} AS DOUBLE) / {nclean}, 0.5) ELSE 0.8 END")
+    readability = (f"greatest(0.0, CASE WHEN {nw} > 0 AND {nclean} > 0 THEN 1.0 - CASE WHEN {avg_wlen} > 8 THEN 0.2 ELSE 0.0 END "
+                   f"- CASE WHEN CAST({nw} AS DOUBLE) / {nclean} > 15 THEN 0.2 ELSE 0.0 END "
+                   f"- CAST(len(list_filter({w}, lambda z: length(z) > 10)) AS DOUBLE) / {nw} * 0.3 "
+                   f"- CASE WHEN NOT {punct} THEN 0.2 ELSE 0.0 END ELSE 1.0 END)")
+    arw = f"list_filter({w}, lambda z: regexp_matches(z, {q('[' + L.AR2 + ']')}))"
+    return {
+        "ar_letters": ar_letters, "letters": letters, "ar_words": f"len({arw})",
+        "diac_words": f"len(list_filter({arw}, lambda z: regexp_matches(z, {q('[' + L.HARAKAT + ']')})))",
+        "script_ok": f"CAST((({ar_any}) AND ({latin} = 0 OR {latin_ratio} < 0.1)) OR (NOT ({ar_any}) AND {latin} > 0) AS DOUBLE)",
+        "dialect_hit": f"CAST(({evaluator_dialect(x)}) = {q(target)} AS DOUBLE)",
+        "formality": form, "grammar": grammar, "fluency": fluency, "coherence": coherence, "readability": readability,
+        "religious": "CAST((" + " OR ".join(f"contains({x}, {q(t)})" for t in L.RELIGIOUS_TERMS) + ") AS DOUBLE)",
+    }
