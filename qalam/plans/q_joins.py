@@ -1,3 +1,221 @@
-"""Registered queries."""
+"""Negative mining and join queries."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import negatives as N
+from ..operators import joins as J
+from ..sources import tables as TB
+from . import sqlref as S
+from .catalog import register
+
+
+def _f4_sql():
+    s = (f"SELECT id, prompt, {S.quality('chosen')} AS q, chosen, rejected, {S.quality('rejected')} AS qr FROM pairs")
+    c = ("SELECT a.id, b.id * 2 AS ord, b.id AS other_id, 'chosen' AS kind, b.chosen AS negative FROM s a JOIN s b "
+         "ON b.prompt <> a.prompt AND abs(a.q - b.q) < 0.2 AND b.q < a.q UNION ALL "
+         "SELECT a.id, b.id * 2 + 1, b.id, 'negative', b.rejected FROM s a JOIN s b ON b.prompt <> a.prompt AND b.qr > a.q * 0.8")
+    body = ("SELECT id, rank, other_id, kind, md5(negative) AS negative_md5 FROM (SELECT *, row_number() OVER "
+            "(PARTITION BY id ORDER BY ord) AS rank FROM c) x WHERE rank <= 3")
+    return S.with_views(body, "pairs", extra=[("s", s), ("c", c)])
+
+
+@register("f4_hard_negatives", _f4_sql)
+def f4_hard_negatives(spark, sf):
+    h = N.hard_negatives(TB.pairs(spark, sf))
+    return h.select("id", F.col("rank").cast("long").alias("rank"), "other_id", "kind", F.md5("negative").alias("negative_md5"))
+
+
+@register("f5_group_negatives",
+          lambda: S.with_views("SELECT a.g, a.id, b.id AS oid, md5(b.chosen) AS negative_md5 FROM "
+                               "(SELECT id, (id - 1) // 8 AS g FROM pairs) a JOIN (SELECT id, chosen, (id - 1) // 8 AS g FROM pairs) b "
+                               "ON a.g = b.g AND a.id <> b.id", "pairs"))
+def f5_group_negatives(spark, sf):
+    """Contrastive groups of 8 consecutive samples (G8), others' chosen as negatives."""
+    p = TB.pairs(spark, sf).withColumn("g", F.floor((F.col("id") - 1) / 8).cast("long"))
+    g = N.group_negatives(p, "g", "id", "chosen")
+    return g.select("g", "id", "oid", F.md5("negative").alias("negative_md5"))
+
+
+@register("f6_synthetic_negatives")
+def f6_synthetic_negatives(spark, sf):
+    p = TB.pairs(spark, sf)
+    return p.select("id", F.transform(N.synthetic_negatives("chosen", "id"), lambda x: F.md5(x)).alias("negatives_md5"))
+
+
+def _f7_sql():
+    cand = ("SELECT id, k, neg, q, qn FROM (SELECT id, " + S.quality("chosen") + " AS q, unnest([rejected, prompt, "
+            "split_part(chosen, '.', 1)]) AS neg, unnest([1, 2, 3]) AS k, chosen FROM pairs) z, LATERAL (SELECT " +
+            S.quality("neg") + " AS qn) y")
+    score = ("0.4 * (1.0 - abs(q - qn)) + 0.3 * (1.0 - " + S.sim("neg", "chosen_") + ") + 0.3 * least(1.0 / (abs(q - qn) + 0.1) / 10.0, 1.0)")
+    body = (f"SELECT id, k, rank FROM (SELECT id, k, row_number() OVER (PARTITION BY id ORDER BY {score} DESC, k) AS rank "
+            "FROM (SELECT c.*, p.chosen AS chosen_ FROM cand c JOIN pairs p USING (id)) w) x WHERE rank <= 2")
+    return S.with_views(body, "pairs", extra=[("cand", cand)])
+
+
+@register("f7_best_negatives", _f7_sql)
+def f7_best_negatives(spark, sf):
+    p = TB.pairs(spark, sf)
+    cands = p.select("id", "chosen", F.posexplode(F.array("rejected", "prompt", F.split_part("chosen", F.lit("."), F.lit(1))))
+                     .alias("pos", "neg")).withColumn("k", F.col("pos") + 1)
+    b = J.best_negatives(cands, "id", "chosen", "neg", "k", 2)
+    return b.select("id", F.col("k").cast("int").alias("k"), F.col("rank").cast("long").alias("rank"))
+
+
+@register("f8_adaptive_negatives",
+          lambda: S.with_views(
+              "SELECT id, len(list_filter(list_transform([rejected, prompt], lambda z: " + S.quality("z") +
+              "), lambda qn: abs(q - qn) >= 0.05 + 0.3 * (1 - 0.5) AND abs(q - qn) <= 0.5 + 0.3 * (1 - 0.5))) AS n_selected "
+              "FROM (SELECT *, " + S.quality("chosen") + " AS q FROM pairs) x", "pairs"))
+def f8_adaptive_negatives(spark, sf):
+    """Progress 0.5: keep negatives whose quality gap lies in the band
+    [0.05 + 0.3 (1 - p), 0.5 + 0.3 (1 - p)]."""
+    p = TB.pairs(spark, sf)
+    return p.select("id", F.size(J.adaptive_negatives(T.quality("chosen"), F.array("rejected", "prompt"), 0.5)).alias("n_selected"))
+
+
+@register("f9_negative_diversity",
+          lambda: S.with_views(
+              "SELECT a.rid AS id, round(avg(" + S.sim("a.ni", "b.nj") + "), 6) AS mean_similarity, round(1 - avg(" +
+              S.sim("a.ni", "b.nj") + "), 6) AS diversity FROM (SELECT id AS rid, unnest([rejected, prompt, chosen]) AS ni, "
+              "unnest([0, 1, 2]) AS i FROM pairs) a JOIN (SELECT id AS rid, unnest([rejected, prompt, chosen]) AS nj, "
+              "unnest([0, 1, 2]) AS j FROM pairs) b ON a.rid = b.rid AND a.i < b.j GROUP BY a.rid", "pairs"))
+def f9_negative_diversity(spark, sf):
+    p = TB.pairs(spark, sf).select("id", F.array("rejected", "prompt", "chosen").alias("negs"))
+    d = N.negative_diversity(p, "id", "negs")
+    return d.select("id", F.round("mean_similarity", 6).alias("mean_similarity"), F.round("diversity", 6).alias("diversity"))
+
+
+# F10-F18 -------------------------------------------------------------------
+def _models_spark(spark, sf):
+    r = TB.runs(spark, sf)
+    return r.select("method", "dataset", F.col("checkpoint_path").alias("path"),
+                    F.concat(F.lit("qwen-"), F.col("method")).alias("model_name"), "samples_trained")
+
+
+@register("f10_results_models_join",
+          lambda: S.with_views("SELECT r.method, r.dataset, r.final_loss, m.path FROM runs r LEFT JOIN "
+                               "(SELECT method, dataset, arg_max(checkpoint_path, samples_trained) AS path FROM runs "
+                               "WHERE status = 'completed' GROUP BY 1, 2) m USING (method, dataset)", "runs"))
+def f10_results_models_join(spark, sf):
+    r = TB.runs(spark, sf)
+    models = _models_spark(spark, sf).join(r.filter(F.col("status") == "completed").select("method", "dataset"),
+                                           ["method", "dataset"], "left_semi")
+    return J.results_with_models(r.select("method", "dataset", "final_loss"), models, "samples_trained") \
+        .select("method", "dataset", "final_loss", "path")
+
+
+REQUIRED = ["config.json", "model.safetensors", "tokenizer.json"]
+
+
+@register("f11_missing_artefacts",
+          lambda: S.with_views("SELECT r.method, r.dataset, f.file FROM runs r CROSS JOIN (SELECT unnest(" + S.lst(REQUIRED) +
+                               ") AS file) f WHERE NOT (r.status = 'completed' AND f.file <> 'model.safetensors') "
+                               "AND NOT (r.status = 'completed' AND r.samples_trained % 2 = 0)", "runs"))
+def f11_missing_artefacts(spark, sf):
+    """Expected = runs x required files; present = config and tokenizer for
+    completed runs, weights for completed runs with an even sample count."""
+    r = TB.runs(spark, sf)
+    done = F.col("status") == "completed"
+    present = r.select("method", "dataset", F.explode(F.when(done & (F.col("samples_trained") % 2 == 0),
+                                                              F.array(*[F.lit(x) for x in REQUIRED]))
+                                                       .when(done, F.array(F.lit("config.json"), F.lit("tokenizer.json")))
+                                                       .otherwise(F.array().cast("array<string>"))).alias("file"))
+    return J.missing_artefacts(r.select("method", "dataset"), REQUIRED, present)
+
+
+@register("f12_missing_rows",
+          lambda: "SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels")
+def f12_missing_rows(spark, sf):
+    """Documents without a label row: ``exceptAll`` on the key (the schema
+    variant, ``joins.column_diff``, compares column sets)."""
+    d = TB.table(spark, sf, "documents").select("doc_id")
+    return d.exceptAll(TB.table(spark, sf, "labels").select("doc_id"))
+
+
+@register("f13_metric_comparison",
+          lambda: S.with_views(
+              "SELECT a.metric, round(a.v, 6) AS model_1, round(b.v, 6) AS model_2, round(a.v - b.v, 6) AS difference, "
+              "round((a.v - b.v) / greatest(abs(b.v), 1e-8) * 100, 6) AS relative_improvement, "
+              "CASE WHEN a.v > b.v THEN 'model_1' ELSE 'model_2' END AS better_model FROM "
+              "(SELECT unnest(['avg_loss', 'avg_samples', 'n_runs']) AS metric, unnest([avg(final_loss), avg(samples_trained), count(*)]) AS v "
+              "FROM runs WHERE dataset = 'arabic_sft') a JOIN "
+              "(SELECT unnest(['avg_loss', 'avg_samples', 'n_runs']) AS metric, unnest([avg(final_loss), avg(samples_trained), count(*)]) AS v "
+              "FROM runs WHERE dataset = 'arabic_eval') b USING (metric)", "runs"))
+def f13_metric_comparison(spark, sf):
+    r = TB.runs(spark, sf)
+
+    def long_metrics(ds):
+        a = r.filter(F.col("dataset") == ds).agg(F.avg("final_loss").alias("avg_loss"),
+                                                 F.avg("samples_trained").alias("avg_samples"),
+                                                 F.count(F.lit(1)).cast("double").alias("n_runs"))
+        return a.unpivot([], ["avg_loss", "avg_samples", "n_runs"], "metric", "value")
+    c = J.compare_metrics(long_metrics("arabic_sft"), long_metrics("arabic_eval"))
+    return c.select("metric", *[F.round(x, 6).alias(x) for x in ("model_1", "model_2", "difference", "relative_improvement")],
+                    "better_model")
+
+
+@register("f14_keyed_diff",
+          lambda: S.with_views(
+              "SELECT coalesce(a.method, b.method) AS method, CASE WHEN a.method IS NULL THEN 'only_right' WHEN b.method IS NULL "
+              "THEN 'only_left' ELSE 'common' END AS side, round(abs(a.final_loss - b.final_loss), 6) AS abs_diff, "
+              "coalesce(abs(a.final_loss - b.final_loss) <= 0.5, false) AS within_tolerance FROM "
+              "(SELECT method, final_loss FROM runs WHERE dataset = 'arabic_sft' AND status = 'completed') a FULL OUTER JOIN "
+              "(SELECT method, final_loss FROM runs WHERE dataset = 'arabic_eval') b USING (method)", "runs"))
+def f14_keyed_diff(spark, sf):
+    r = TB.runs(spark, sf)
+    left = r.filter((F.col("dataset") == "arabic_sft") & (F.col("status") == "completed")).select("method", "final_loss")
+    right = r.filter(F.col("dataset") == "arabic_eval").select("method", "final_loss")
+    d = J.keyed_diff(left, right, "method", "final_loss", 0.5)
+    return d.select("method", "side", F.round("abs_diff", 6).alias("abs_diff"), "within_tolerance")
+
+
+@register("f15_lexicon_match",
+          lambda: S.with_views("SELECT a.doc_id, l.dialect, count(*) AS hits FROM (SELECT doc_id, " + S.normalize_dialect("lower(text)") +
+                               " AS n FROM ar_docs) a JOIN lex l ON contains(a.n, l.term) GROUP BY 1, 2", "ar_docs",
+                               extra=[("lex", J.lexicon_values_sql())]))
+def f15_lexicon_match(spark, sf):
+    from ..operators.dialect import T as _T  # noqa: F401
+    a = TB.ar_docs(spark, sf).select("doc_id", T.normalize_dialect(F.lower(F.col("text"))).alias("n"))
+    return J.lexicon_match(a, "n").groupBy("doc_id", "dialect").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@register("f16_prediction_pairing",
+          lambda: S.with_views("SELECT s.conv_id, s.turn, CAST(" + S.nwords("s.response") + " AS BIGINT) AS pred_words, CAST(" +
+                               S.nwords("c.text") + " AS BIGINT) AS ref_words FROM sft s JOIN conversations c ON c.conv_id = s.conv_id "
+                               "AND c.turn = s.turn + 1", "sft"))
+def f16_prediction_pairing(spark, sf):
+    s = TB.sft(spark, sf)
+    c = TB.table(spark, sf, "conversations").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("ref"))
+    j = J.pair_predictions(s, c, ["conv_id", "turn"])
+    return j.select("conv_id", "turn", T.word_count("response").cast("long").alias("pred_words"),
+                    T.word_count("ref").cast("long").alias("ref_words"))
+
+
+@register("f17_concatenate",
+          lambda: S.with_views("SELECT 'sft' AS source_dataset, md5(instruction) AS text_md5 FROM sft UNION ALL "
+                               "SELECT 'pairs', md5(prompt) FROM pairs", "sft", "pairs"))
+def f17_concatenate(spark, sf):
+    a = TB.sft(spark, sf).select(F.lit("sft").alias("source_dataset"), F.col("instruction").alias("text"))
+    b = TB.pairs(spark, sf).select(F.lit("pairs").alias("source_dataset"), F.col("prompt").alias("text"))
+    return J.concatenate([a, b]).select("source_dataset", F.md5("text").alias("text_md5"))
+
+
+@register("f18_common_metrics",
+          lambda: "SELECT event_type FROM events WHERE user_id % 2 = 0 INTERSECT SELECT event_type FROM events WHERE value > 10")
+def f18_common_metrics(spark, sf):
+    e = TB.table(spark, sf, "events")
+    return e.filter(F.col("user_id") % 2 == 0).select("event_type").intersect(e.filter(F.col("value") > 10).select("event_type"))
+
+
+@register("a7_combine_sources",
+          lambda: S.with_views("SELECT 'conversations' AS source_dataset, conv_id AS id, md5(instruction) AS prompt_md5 FROM sft "
+                               "UNION ALL SELECT 'labels', id, md5(prompt) FROM kto", "sft", "kto"))
+def a7_combine_sources(spark, sf):
+    from ..sources import io as IO
+    a = TB.sft(spark, sf).select(F.col("conv_id").alias("id"), F.col("instruction").alias("prompt"))
+    b = TB.kto(spark, sf).select("id", "prompt", "label")
+    c = IO.combine({"conversations": a, "labels": b})
+    return c.select("source_dataset", "id", F.md5("prompt").alias("prompt_md5"))

@@ -39,7 +39,7 @@ def proj(name: str, view: str, spark_cols: dict, sql_cols: dict, where_spark=Non
     register(name, sql_fn)(spark_fn)
 
 
-t = F.col("text")
+
 
 # C1 --------------------------------------------------------------------------
 proj("c1_has_arabic", "ar_docs", {"has_arabic": lambda: T.has_arabic("text")},
@@ -55,8 +55,8 @@ proj("c2_clean_text", "ar_docs",
       "no_ws_md5": f"md5({S.clean_text('text', False, False, True, False)})"})
 
 # C3 --------------------------------------------------------------------------
-proj("c3_normalize_dialect", "ar_docs", {"normalized_md5": lambda: F.md5(T.normalize_dialect(F.lower(t))),
-                                         "normalized_len": lambda: F.length(T.normalize_dialect(F.lower(t))).cast("long")},
+proj("c3_normalize_dialect", "ar_docs", {"normalized_md5": lambda: F.md5(T.normalize_dialect(F.lower(F.col("text")))),
+                                         "normalized_len": lambda: F.length(T.normalize_dialect(F.lower(F.col("text")))).cast("long")},
      {"normalized_md5": f"md5({S.normalize_dialect('lower(text)')})",
       "normalized_len": f"CAST(length({S.normalize_dialect('lower(text)')}) AS BIGINT)"})
 
