@@ -493,3 +493,16 @@ def arabic_row_scores(x, target="msa", diacritics=True):
         "formality": form, "grammar": grammar, "fluency": fluency, "coherence": coherence, "readability": readability,
         "religious": "CAST((" + " OR ".join(f"contains({x}, {q(t)})" for t in L.RELIGIOUS_TERMS) + ") AS DOUBLE)",
     }
+
+
+def is_quality_text(c, min_length=10, max_length=2000, min_words=3, max_repetition=0.5, min_arabic=0.7, max_special=0.2):
+    t = strip(c)
+    return (f"coalesce(coalesce(length({t}), 0) > 0 AND length({t}) >= {min_length} AND length({t}) <= {max_length} AND "
+            f"{nwords(t)} >= {min_words} AND {word_repetition_ratio(t)} <= {max_repetition} AND "
+            f"{arabic_ratio_nonspace(t)} >= {min_arabic} AND {special_char_ratio(t)} <= {max_special}, false)")
+
+
+def quality_score(c, min_arabic=0.7, max_repetition=0.3):
+    ar, rep, n = arabic_ratio_block_alpha(c), trigram_repetition(c), nwords(c)
+    return (f"greatest(1.0 - CASE WHEN {ar} < {min_arabic} THEN 0.3 ELSE 0.0 END - CASE WHEN {rep} > {max_repetition} "
+            f"THEN 0.4 ELSE 0.0 END - CASE WHEN {n} < 5 THEN 0.2 WHEN {n} > 1000 THEN 0.1 ELSE 0.0 END, 0.0)")
