@@ -82,7 +82,9 @@ def greedy_keep_first(nodes: DataFrame, edges: DataFrame, id_col: str = "id", ma
     spark = nodes.sparkSession
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
-    e = edges.select("i", "j")
+    # the similarity graph is reused every round: materialise it once in the
+    # cluster checkpoint folder (reliable, survives executor loss)
+    e = edges.select("i", "j").checkpoint()
     status = nodes.select(F.col(id_col).alias("id")).withColumn("state", F.lit(None).cast("string"))
     # nodes with no smaller neighbour are kept outright
     has_smaller = e.select(F.col("j").alias("id")).distinct().withColumn("hs", F.lit(True))

@@ -224,7 +224,7 @@ def dialect_variants(df: DataFrame, text_col: str, key_col: str, dialects=None,
 
 def balance_by_dialect(tagged: DataFrame, key_col: str, text_col: str = "text", target: int = 1000,
                        augment_minority: bool = True, seed: int = 42, min_confidence: float = 0.3,
-                       quotas: DataFrame | None = None) -> DataFrame:
+                       quotas: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """Per-dialect quota with exact counts, skew-proof.
 
     Rows with confidence > ``min_confidence`` are grouped by dialect. A group
@@ -233,10 +233,19 @@ def balance_by_dialect(tagged: DataFrame, key_col: str, text_col: str = "text",
     augmented copies, copy j drawing row ``1 + floor(u(seed, dialect|j) * n)``
     of that group (sampling with replacement) and rewriting it into the
     dialect. ``quotas(dialect, target)`` overrides the single target (D18).
+
+    Only the narrow (key, dialect) table of eligible rows is ranked; it is
+    checkpointed once to the cluster checkpoint folder, so detection runs a
+    single time however many branches read it. Texts are joined back by the
+    unique key for the selected rows only (from ``texts`` when given, which
+    avoids re-running detection; else from ``tagged``).
     """
     from .ranking import grouped_row_number
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(tagged.sparkSession)
     nonblank = F.col(text_col).isNotNull() & (F.col(text_col) != "")
-    keep = tagged.filter(nonblank & (F.col("confidence") > min_confidence))
+    keep = tagged.filter(nonblank & (F.col("confidence") > min_confidence)) \
+        .select(key_col, "dialect", "confidence").checkpoint()
     counts = keep.groupBy("dialect").agg(F.count(F.lit(1)).alias("n"))
     if quotas is None:
         counts = counts.withColumn("target", F.lit(target).cast("long"))
@@ -247,7 +256,10 @@ def balance_by_dialect(tagged: DataFrame, key_col: str, text_col: str = "text",
     ranked = grouped_row_number(keep.withColumn("__u", T.u(seed, F.col(key_col))), ["dialect"],
                                 ["__u", key_col], "__rn", max_groups=len(L.DIALECT_ORDER) + 1)
     ranked = ranked.join(counts, "dialect")
+    src = (texts if texts is not None else tagged).select(key_col, *[c for c in tagged.columns
+                                                                    if c not in (key_col, "dialect", "confidence")])
     originals = ranked.filter((F.col("__rn") <= F.col("target")) | (F.col("n") < F.col("target"))) \
+        .select(key_col, "dialect", "confidence").join(src, key_col) \
         .select(*tagged.columns, F.lit(False).alias("augmented"), F.lit(0).cast("long").alias("copy_id"))
     if not augment_minority:
         return originals
@@ -257,7 +269,7 @@ def balance_by_dialect(tagged: DataFrame, key_col: str, text_col: str = "text",
     pick = (F.floor(T.u(seed, F.concat(F.col("dialect"), F.lit("|"), F.col("copy_id").cast("string")))
                     * F.col("n")) + 1).cast("long")
     need = need.select("dialect", "copy_id", pick.alias("__rn"))
-    copies = ranked.drop("n", "target").join(need, ["dialect", "__rn"])
+    copies = ranked.select(key_col, "dialect", "confidence", "__rn").join(need, ["dialect", "__rn"]).join(src, key_col)
     ckey = F.concat(F.col(key_col).cast("string"), F.lit("|c"), F.col("copy_id").cast("string"))
     copies = copies.withColumn(text_col, augment_for(F.col(text_col), F.col("dialect"), ckey, seed)) \
         .select(*tagged.columns, F.lit(True).alias("augmented"), "copy_id")

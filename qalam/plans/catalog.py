@@ -37,5 +37,5 @@ def register(name: str, sql: Callable[[], str] | None = None, tags: tuple = ()):
 def load_all() -> dict[str, Query]:
     # Importing the modules registers their queries.
     from . import (q_dialect, q_text, q_formats, q_quality, q_dedup, q_sampling,  # noqa: F401
-                   q_metrics, q_encode, q_joins)
+                   q_metrics, q_encode, q_joins, q_stream, q_extra)
     return REGISTRY

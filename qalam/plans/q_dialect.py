@@ -181,7 +181,7 @@ def _balance_body():
 
 @register("d7_balance_by_dialect", lambda: _views(_balance_body(), *_balance_sql(str(BAL_TARGET))))
 def d7_balance_by_dialect(spark, sf):
-    b = D.balance_by_dialect(tagged_docs(spark, sf), "doc_id", target=BAL_TARGET)
+    b = D.balance_by_dialect(tagged_docs(spark, sf), "doc_id", target=BAL_TARGET, texts=TB.ar_docs(spark, sf))
     return b.select("doc_id", "dialect", "augmented", "copy_id", F.md5("text").alias("text_md5"))
 
 
@@ -325,7 +325,7 @@ def d18_balance_to_distribution(spark, sf):
     quotas = per.select("dialect", F.floor(F.sum("n").over(__import__("pyspark.sql").sql.Window.partitionBy())
                                            / F.count(F.lit(1)).over(__import__("pyspark.sql").sql.Window.partitionBy()))
                         .cast("long").alias("target"))
-    b = D.balance_by_dialect(t, "doc_id", quotas=quotas)
+    b = D.balance_by_dialect(t, "doc_id", quotas=quotas, texts=TB.ar_docs(spark, sf))
     return b.select("doc_id", "dialect", "augmented", "copy_id", F.md5("text").alias("text_md5"))
 
 
