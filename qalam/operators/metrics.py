@@ -439,3 +439,61 @@ def dialect_rollup(df: DataFrame, dialect_col: str, metric_cols: list[str]) -> D
     the overall mean is sum(n*m)/sum(n) = the mean over all rows."""
     return df.rollup(dialect_col).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in metric_cols]) \
         .withColumn(dialect_col, F.coalesce(F.col(dialect_col), F.lit("overall")))
+
+
+# ----------------------------------------------------------------- I14 text overlap metrics
+
+def overlap_metrics(df: DataFrame, id_col: str, pred: str, ref: str, max_n: int = 4) -> DataFrame:
+    """Exact match, token F1, corpus BLEU-1..4 (clipped n-gram counts,
+    brevity penalty) and ROUGE-1/2 recall.
+
+    N-grams are exploded to rows and counted per (row, n, gram) on both
+    sides; the clipped overlap is sum(min(count_pred, count_ref)) from a
+    full outer join of the two count tables. Everything is a shuffle of
+    counts (map-side combined), never a quadratic per-row loop.
+    """
+    pw, rw = T.py_words(F.lower(F.col(pred))), T.py_words(F.lower(F.col(ref)))
+    base = df.select(F.col(id_col).alias("rid"), pw.alias("pw"), rw.alias("rw"),
+                     (T.py_strip(F.lower(F.col(pred))) == T.py_strip(F.lower(F.col(ref)))).cast("double").alias("em"))
+
+    def grams(col):
+        arrs = [F.struct(F.lit(1).alias("n"), F.col(col).alias("g"))] + \
+               [F.struct(F.lit(n).alias("n"), T.ngrams(F.col(col), n).alias("g")) for n in range(2, max_n + 1)]
+        e = base.select("rid", F.explode(F.array(*arrs)).alias("s")).select("rid", "s.n", F.explode("s.g").alias("gram"))
+        return e.groupBy("rid", "n", "gram").agg(F.count(F.lit(1)).alias("c"))
+    gp = grams("pw").withColumnRenamed("c", "cp")
+    gr = grams("rw").withColumnRenamed("c", "cr")
+    j = gp.join(gr, ["rid", "n", "gram"], "full_outer").fillna(0, ["cp", "cr"])
+    per = j.groupBy("rid", "n").agg(F.sum(F.least("cp", "cr")).alias("m"), F.sum("cp").alias("p"), F.sum("cr").alias("r"))
+    uni = per.filter(F.col("n") == 1).select("rid", F.col("m").alias("m1"), F.col("p").alias("p1"), F.col("r").alias("r1"))
+    rows = base.select("rid", "em", F.size("pw").alias("plen"), F.size("rw").alias("rlen")).join(uni, "rid", "left") \
+        .fillna(0, ["m1", "p1", "r1"])
+    f1 = F.when((F.col("p1") == 0) | (F.col("r1") == 0), F.lit(0.0)).otherwise(2 * F.col("m1") / (F.col("p1") + F.col("r1")))
+    head = rows.agg(F.avg("em").alias("exact_match"), F.avg(f1).alias("token_f1"), F.sum("plen").alias("c"),
+                    F.sum("rlen").alias("r"))
+    tot = per.groupBy().pivot("n", list(range(1, max_n + 1))).agg(F.sum("m").alias("M"), F.sum("p").alias("P"),
+                                                                 F.sum("r").alias("R"))
+    allr = head.crossJoin(tot)
+    bp = F.when(F.col("c") > F.col("r"), F.lit(1.0)).otherwise(F.exp(1 - F.col("r") / F.greatest(F.col("c"), F.lit(1))))
+    out = [F.col("exact_match"), F.col("token_f1")]
+    logp = F.lit(0.0)
+    zero = F.lit(False)
+    for n in range(1, max_n + 1):
+        m, pcount = F.coalesce(F.col(f"{n}_M"), F.lit(0)), F.coalesce(F.col(f"{n}_P"), F.lit(0))
+        zero = zero | (m == 0)
+        logp = logp + F.log(F.greatest(m / F.greatest(pcount, F.lit(1)), F.lit(1e-300)))
+        out.append(F.when(zero, F.lit(0.0)).otherwise(bp * F.exp(logp / n)).alias(f"bleu_{n}"))
+    out += [(F.coalesce(F.col("1_M"), F.lit(0)) / F.greatest(F.coalesce(F.col("1_R"), F.lit(0)), F.lit(1))).alias("rouge_1"),
+            (F.coalesce(F.col("2_M"), F.lit(0)) / F.greatest(F.coalesce(F.col("2_R"), F.lit(0)), F.lit(1))).alias("rouge_2")]
+    return allr.select(*out)
+
+
+def rouge_l(df: DataFrame, pred: str, ref: str) -> DataFrame:
+    """I14 ROUGE-L F-measure (LCS via an Arrow UDF), averaged."""
+    from ..functions.udfs import lcs_length
+    pw = F.array_join(T.py_words(F.lower(F.col(pred))), " ")
+    rw = F.array_join(T.py_words(F.lower(F.col(ref))), " ")
+    s = df.select(lcs_length(pw, rw).alias("l"), F.size(T.py_words(F.col(pred))).alias("pl"), F.size(T.py_words(F.col(ref))).alias("rl"))
+    p = F.col("l") / F.greatest(F.col("pl"), F.lit(1))
+    r = F.col("l") / F.greatest(F.col("rl"), F.lit(1))
+    return s.agg(F.avg(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)).alias("rouge_l"))

@@ -1,3 +1,127 @@
-"""Registered queries."""
+"""Remaining registered queries: NFKC (C5), dialect pipeline (D10),
+augmented-text filter (D15), overlap metrics (I14), utilisation (I26) and
+the corpus readers (A*)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import dialect as D
+from ..operators import metrics as M
+from ..sources import io as IO
+from ..sources import tables as TB
+from . import sqlref as S
+from .catalog import register
+
+
+@register("c5_nfkc_clean")
+def c5_nfkc_clean(spark, sf):
+    """NFKC (Arrow UDF) + Arabic punctuation fold + whitespace clean."""
+    from ..functions.udfs import nfkc
+    a = TB.ar_docs(spark, sf)
+    t = T.clean_text(T.fold_arabic_punctuation(nfkc(F.col("text"))), True, False, False, False)
+    return a.select("doc_id", F.md5(t).alias("clean_md5"))
+
+
+@register("d10_dialect_pipeline")
+def d10_dialect_pipeline(spark, sf):
+    """Analyse -> balance -> split -> augment -> analyse, with the tagging done
+    once per stage input and the per-dialect split counts as the manifest."""
+    tagged = D.detect_dialect(TB.ar_docs(spark, sf))
+    balanced = D.balance_by_dialect(tagged, "doc_id", target=60, texts=TB.ar_docs(spark, sf))
+    retag = D.detect_dialect(balanced.drop("dialect", "confidence"))
+    splits = D.split_by_dialect(retag).groupBy("dialect").agg(F.count(F.lit(1)).alias("n")) \
+        .select(F.lit("split").alias("stage"), "dialect", "n")
+    aug = D.augment_with_dialects(balanced.select("doc_id", "text"), "text", "doc_id", factor=1)
+    after = D.analyze_dialects(D.detect_dialect(aug)).select(F.lit("augmented").alias("stage"), "dialect", "n")
+    before = D.analyze_dialects(tagged).select(F.lit("original").alias("stage"), "dialect", "n")
+    return before.unionByName(splits).unionByName(after)
+
+
+def _d15_sql():
+    aug = S.augment_text("text", "egyptian", "doc_id", 42, 1.0)
+    return S.with_views(
+        "SELECT doc_id, " + S.rnd(S.sim("text", "aug")) + " AS similarity, " + S.sim("text", "aug") + " >= 0.8 AS similar_enough "
+        f"FROM (SELECT doc_id, text, {aug} AS aug FROM ar_docs WHERE {S.has_arabic('text')}) x", "ar_docs")
+
+
+@register("d15_augmented_filter", _d15_sql)
+def d15_augmented_filter(spark, sf):
+    """Similarity gate of augmented texts (the dialect-match half of the rule
+    is D1 on the augmented text; the LM naturalness test needs a model)."""
+    a = TB.ar_docs(spark, sf).filter(T.has_arabic("text"))
+    g = a.select("doc_id", "text", D.augment_text(F.col("text"), "egyptian", F.col("doc_id"), 42, 1.0).alias("aug"))
+    s = T.sim("text", "aug")
+    return g.select("doc_id", F.round(s, 6).alias("similarity"), (s >= 0.8).alias("similar_enough"))
+
+
+@register("i14_overlap_metrics")
+def i14_overlap_metrics(spark, sf):
+    s = TB.sft(spark, sf).select(F.concat_ws("_", "conv_id", "turn").alias("rid"), "instruction", "response")
+    m = M.overlap_metrics(s, "rid", "response", "instruction")
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+
+
+@register("i14_rouge_l")
+def i14_rouge_l(spark, sf):
+    s = TB.sft(spark, sf)
+    return M.rouge_l(s, "response", "instruction").select(F.round("rouge_l", 6).alias("rouge_l"))
+
+
+@register("i26_utilisation_summary",
+          lambda: "SELECT event_type, round(avg(CAST(json_extract(props, '$.k') AS DOUBLE)), 6) AS avg_k, round(avg(value), 6) "
+                  "AS avg_value, avg(CAST(json_extract(props, '$.k') AS DOUBLE)) > 50 AS high_utilisation FROM events GROUP BY event_type")
+def i26_utilisation_summary(spark, sf):
+    """Per group averages of a nested JSON field with an advice flag."""
+    e = TB.table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    g = e.groupBy("event_type").agg(F.avg("k").alias("ak"), F.avg("value").alias("av"))
+    return g.select("event_type", F.round("ak", 6).alias("avg_k"), F.round("av", 6).alias("avg_value"),
+                    (F.col("ak") > 50).alias("high_utilisation"))
+
+
+@register("a1_read_corpus", lambda: "SELECT lang, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY lang")
+def a1_read_corpus(spark, sf):
+    d = IO.read_corpus(spark, f"{sf.rstrip('/')}/documents.parquet")
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@register("a4_write_split_roundtrip")
+def a4_write_split_roundtrip(spark, sf):
+    """G2 split written with partitionBy('split') (A4/A5) and read back."""
+    from ..operators.sampling import split
+    from ..streaming.jobs import work_dir
+    path = work_dir(spark, "splits")
+    s = split(TB.table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
+    IO.write_corpus(s, path, "parquet", split_col="split")
+    return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("a6_manifest_roundtrip")
+def a6_manifest_roundtrip(spark, sf):
+    from ..streaming.jobs import work_dir
+    path = work_dir(spark, "manifest")
+    d = TB.table(spark, sf, "labels")
+    IO.write_with_manifest(d, path, "parquet", source="labels")
+    back, manifest = IO.read_with_manifest(spark, path)
+    return back.agg(F.count(F.lit(1)).alias("n"), F.lit(manifest["size"]).alias("manifest_size"))
+
+
+@register("a10_dataset_inventory",
+          lambda: "SELECT 'documents' AS dataset, count(*) AS num_rows, 'doc_id,text,lang,source,n_chars' AS columns FROM documents "
+                  "UNION ALL SELECT 'labels', count(*), 'doc_id,quality,toxic' FROM labels UNION ALL "
+                  "SELECT 'conversations', count(*), 'conv_id,turn,role,text' FROM conversations")
+def a10_dataset_inventory(spark, sf):
+    frames = {n: TB.table(spark, sf, n) for n in ("documents", "labels", "conversations")}
+    return IO.inventory(frames).select("dataset", "num_rows", "columns")
+
+
+@register("a11_report_lines")
+def a11_report_lines(spark, sf):
+    rep = M.unpivot_report(M.arabic_metrics(TB.ar_docs(spark, sf))).withColumn("section", F.lit("arabic_metrics"))
+    return IO.report_lines(rep)
+
+
+@register("a12_file_hashes")
+def a12_file_hashes(spark, sf):
+    return IO.file_hashes(spark, f"{sf.rstrip('/')}/*.parquet").select("path", "length", "md5", "sha256")
