@@ -7,7 +7,7 @@ and stage counts come from one aggregate over the reason column.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -245,3 +245,14 @@ def fail_fast_preference(df: DataFrame) -> None:
     bad = df.filter((F.coalesce(F.col("chosen"), F.lit("")) == "") | (F.coalesce(F.col("rejected"), F.lit("")) == "")).limit(1).collect()
     if bad:
         raise ValueError("empty chosen or rejected response")
+
+
+def split_checks(df: DataFrame, required: list[str], split_col: str = "split") -> DataFrame:
+    """Has a train split, every split non-empty, required columns present.
+    One aggregate per split; the column test is decided on the schema."""
+    missing = [c for c in required if c not in df.columns]
+    per = df.groupBy(split_col).agg(F.count(F.lit(1)).alias("rows"))
+    return per.select(split_col, "rows", (F.col("rows") > 0).alias("non_empty"),
+                      F.max((F.col(split_col) == "train").cast("int")).over(Window.partitionBy()).cast("boolean")
+                      .alias("has_train"),
+                      F.lit(",".join(missing)).alias("missing_columns"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -322,9 +323,8 @@ def d18_balance_to_distribution(spark, sf):
     nonblank = F.col("text").isNotNull() & (F.col("text") != "")
     keep = t.filter(nonblank & (F.col("confidence") > 0.3))
     per = keep.groupBy("dialect").agg(F.count(F.lit(1)).alias("n"))
-    quotas = per.select("dialect", F.floor(F.sum("n").over(__import__("pyspark.sql").sql.Window.partitionBy())
-                                           / F.count(F.lit(1)).over(__import__("pyspark.sql").sql.Window.partitionBy()))
-                        .cast("long").alias("target"))
+    every = Window.partitionBy()
+    quotas = per.select("dialect", F.floor(F.sum("n").over(every) / F.count(F.lit(1)).over(every)).cast("long").alias("target"))
     b = D.balance_by_dialect(t, "doc_id", quotas=quotas, texts=TB.ar_docs(spark, sf))
     return b.select("doc_id", "dialect", "augmented", "copy_id", F.md5("text").alias("text_md5"))
 

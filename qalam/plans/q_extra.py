@@ -125,3 +125,88 @@ def a11_report_lines(spark, sf):
 @register("a12_file_hashes")
 def a12_file_hashes(spark, sf):
     return IO.file_hashes(spark, f"{sf.rstrip('/')}/*.parquet").select("path", "length", "md5", "sha256")
+
+
+def _work(spark, name):
+    from ..streaming.jobs import work_dir
+    return work_dir(spark, name)
+
+
+@register("a2_tsv_scan")
+def a2_tsv_scan(spark, sf):
+    """Conversations written as TSV and read back through the suffix rule."""
+    path = _work(spark, "tsv") + "/turns.tsv"
+    c = TB.table(spark, sf, "conversations").select("conv_id", "turn", "role", F.regexp_replace("text", r"[\t\n]", " ").alias("text"))
+    c.write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
+    return IO.read_corpus(spark, path).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("a3_train_val_read")
+def a3_train_val_read(spark, sf):
+    """``<stem>.parquet`` plus sibling ``<stem>_val.parquet`` as validation."""
+    base = _work(spark, "trainval")
+    d = TB.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    d.filter(F.col("doc_id") % 10 != 0).write.mode("overwrite").parquet(f"{base}/docs.parquet")
+    d.filter(F.col("doc_id") % 10 == 0).write.mode("overwrite").parquet(f"{base}/docs_val.parquet")
+    return IO.read_with_validation(spark, f"{base}/docs.parquet").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("a5_per_dialect_sink")
+def a5_per_dialect_sink(spark, sf):
+    """Tagged documents written one folder per dialect; manifest of counts."""
+    path = _work(spark, "dialects")
+    tagged = D.detect_dialect(TB.ar_docs(spark, sf)).select("doc_id", "text", "dialect", "confidence")
+    IO.write_corpus(tagged, path, "parquet", split_col="dialect")
+    return spark.read.parquet(path).groupBy("dialect").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("a9_custom_source_builder")
+def a9_custom_source_builder(spark, sf):
+    """Two sources of different formats and key names -> instruction/output
+    rows -> union -> NFKC-free clean -> quality filter (E4 score >= 0.6)."""
+    from ..operators.quality import filter_by_quality
+    base = _work(spark, "sources")
+    s = TB.sft(spark, sf)
+    s.select(F.col("instruction").alias("question"), F.col("response").alias("answer")).write.mode("overwrite").json(f"{base}/qa.jsonl")
+    s.select(F.col("instruction").alias("prompt"), F.col("response").alias("completion")) \
+        .write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{base}/pc.csv")
+    specs = [(f"{base}/qa.jsonl", {"question": "instruction", "answer": "output"}),
+             (f"{base}/pc.csv", {"prompt": "instruction", "completion": "output"})]
+    parts = []
+    for path, keys in specs:
+        df = IO.read_corpus(spark, path)
+        parts.append(df.select(*[F.col(k).alias(v) for k, v in keys.items()]).withColumn("source", F.lit(path.rsplit("/", 1)[1])))
+    u = parts[0].unionByName(parts[1])
+    u = u.select("source", T.clean_text("instruction").alias("instruction"), T.clean_text("output").alias("text"))
+    return filter_by_quality(u, "text", 0.0).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("a13_processed_cache")
+def a13_processed_cache(spark, sf):
+    """Processed-data cache keyed by sha256(source + config): the second call
+    reads the cached parquet instead of recomputing."""
+    root = _work(spark, "cache")
+    cfg = {"threshold": 0.3, "op": "detect_dialect"}
+
+    def compute():
+        return D.detect_dialect(TB.ar_docs(spark, sf)).select("doc_id", "dialect", "confidence")
+    IO.cached_processed(compute, spark, root, f"{sf}/documents.parquet", cfg)
+    again = IO.cached_processed(compute, spark, root, f"{sf}/documents.parquet", cfg)
+    return again.groupBy("dialect").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("e8_split_column_check")
+def e8_split_column_check(spark, sf):
+    from ..operators.quality import split_checks
+    from ..operators.sampling import split
+    s = split(TB.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return split_checks(s, ["doc_id", "text", "label"])
+
+
+@register("e20_fail_fast_preference")
+def e20_fail_fast_preference(spark, sf):
+    """Raises on a missing column or an empty chosen/rejected; else the pairs pass."""
+    from ..operators.quality import fail_fast_preference
+    p = TB.pairs(spark, sf)
+    fail_fast_preference(p)
+    return p.agg(F.count(F.lit(1)).alias("checked_pairs"))
