@@ -39,17 +39,22 @@ def near_dup_edges(df: DataFrame, text_col: str, id_col: str, threshold: float =
     """Exact similar pairs (i < j, Jaccard of shingle sets >= threshold).
 
     Candidates come from a prefix filter: shingles are ordered globally by
-    ascending document frequency (rarest first, ties by the shingle text)
+    ascending document frequency (rarest first, ties by the shingle hash)
     and each document contributes only its first
     ``|s| - ceil(threshold * |s|) + 1`` shingles; any pair reaching the
     threshold shares one of them. Candidates also pass the size filter
-    ``|s_j| >= threshold * |s_i|`` before the exact Jaccard is computed.
-    The shingle frequencies are an aggregate (map-side combined), not a
-    broadcast.
+    ``|s_j| >= threshold * |s_i|``.
+
+    The shingles are tokenised once into 64-bit hashes (id, size, hash),
+    checkpointed, and read twice (frequencies, prefixes); the exact Jaccard
+    is then computed on the shingle *strings*, re-derived only for the
+    documents that appear in a candidate pair.
     """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     sig = df.select(F.col(id_col).alias("id"), _signature(text_col, n).alias("sig"))
-    sig = sig.withColumn("sz", F.size("sig"))
-    ex = sig.select("id", "sz", F.explode("sig").alias("sh"))
+    ex = sig.select("id", F.size("sig").alias("sz"), F.explode(F.transform("sig", lambda x: F.xxhash64(x))).alias("sh")) \
+        .checkpoint()
     freq = ex.groupBy("sh").agg(F.count(F.lit(1)).alias("df"))
     ranked = ex.join(freq, "sh")
     # order shingles inside each doc by (df, sh); keep the prefix
@@ -61,9 +66,12 @@ def near_dup_edges(df: DataFrame, text_col: str, id_col: str, threshold: float =
     b = prefix.select(F.col("id").alias("j"), F.col("sz").alias("szj"), "sh")
     cand = a.join(b, "sh").filter((F.col("i") < F.col("j")) &
                                   (F.least("szi", "szj") >= F.greatest("szi", "szj") * threshold)) \
-        .select("i", "j").distinct()
-    si = sig.select(F.col("id").alias("i"), F.col("sig").alias("si"))
-    sj = sig.select(F.col("id").alias("j"), F.col("sig").alias("sj"))
+        .select("i", "j").distinct().checkpoint()
+    ids = cand.select(F.col("i").alias("id")).union(cand.select(F.col("j").alias("id"))).distinct()
+    exact = df.select(F.col(id_col).alias("id"), text_col).join(ids, "id", "left_semi") \
+        .select("id", _signature(text_col, n).alias("sig"))
+    si = exact.select(F.col("id").alias("i"), F.col("sig").alias("si"))
+    sj = exact.select(F.col("id").alias("j"), F.col("sig").alias("sj"))
     scored = cand.join(si, "i").join(sj, "j")
     jac = F.when((F.size("si") == 0) | (F.size("sj") == 0), F.lit(0.0)).otherwise(
         F.size(F.array_intersect("si", "sj")) / F.size(F.array_union("si", "sj")))
