@@ -25,9 +25,15 @@ def col(c) -> Column:
 
 # ----------------------------------------------------------------- basics
 
+# The same whitespace set as literal characters, for the (regex-free) trim.
+WS_CHARS = "".join(chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                    0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+
+
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: trims every Unicode whitespace, not only spaces."""
-    return F.regexp_replace(col(c), _EDGE_WS, "")
+    """Python ``str.strip()``: trims every Unicode whitespace, not only
+    spaces (a character-set ``trim``, no regex)."""
+    return F.trim(col(c), F.lit(WS_CHARS))
 
 
 def py_words(c) -> Column:
