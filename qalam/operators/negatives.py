@@ -60,21 +60,30 @@ def hard_negatives(pairs: DataFrame, id_col: str = "id", k: int = 3, width: floa
     """for each sample, other samples' chosen responses with
     |q - q_o| < 0.2 and q_o < q, and other samples' negatives with
     q_neg > 0.8 q, in data order (other id, chosen before negatives); first k.
-    Quality is the shared ``quality`` score; negatives are ``rejected``."""
+    Quality is the shared ``quality`` score; negatives are ``rejected``.
+
+    The band join runs on a narrow (id, prompt, qualities) table computed
+    once and checkpointed; response texts are joined back by id for the
+    k winners only."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(pairs.sparkSession)
     base = pairs.select(F.col(id_col).alias("sid"), F.col("prompt").alias("sprompt"), T.quality("chosen").alias("sq"),
-                        "chosen", "rejected")
+                        T.quality("rejected").alias("rq")).checkpoint()
     samples = base.select("sid", "sprompt", "sq")
     chosen_o = base.select((F.col("sid") * 2).alias("order"), F.col("sid").alias("other_id"), F.lit("chosen").alias("kind"),
-                           F.col("sprompt").alias("oprompt"), F.col("sq").alias("oq"), F.col("chosen").alias("negative"))
+                           F.col("sprompt").alias("oprompt"), F.col("sq").alias("oq"))
     neg_o = base.select((F.col("sid") * 2 + 1).alias("order"), F.col("sid").alias("other_id"), F.lit("negative").alias("kind"),
-                        F.col("sprompt").alias("oprompt"), T.quality("rejected").alias("oq"), F.col("rejected").alias("negative"))
+                        F.col("sprompt").alias("oprompt"), F.col("rq").alias("oq"))
     a = first_k_in_band(samples, chosen_o, lambda q: q - 0.2, lambda q: q,
                         lambda q, o: (F.abs(q - o) < 0.2) & (o < q), k, width)
     b = first_k_in_band(samples, neg_o, lambda q: q * 0.8, None, lambda q, o: o > q * 0.8, k, width, q_max=1.0)
     both = a.drop("rank").unionByName(b.drop("rank"))
     w = Window.partitionBy("sid").orderBy("order")
-    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
-        .select(F.col("sid").alias(id_col), "rank", "other_id", "kind", "negative")
+    top = both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    texts = pairs.select(F.col(id_col).alias("other_id"), "chosen", "rejected")
+    return top.join(texts, "other_id").select(
+        F.col("sid").alias(id_col), "rank", "other_id", "kind",
+        F.when(F.col("kind") == "chosen", F.col("chosen")).otherwise(F.col("rejected")).alias("negative"))
 
 
 def group_negatives(df: DataFrame, group_col: str, id_col: str, text_col: str) -> DataFrame:
