@@ -31,20 +31,18 @@ def grouped_row_number(df: DataFrame, group_cols: list[str], order_cols: list, o
     n = num_partitions or _num_partitions(df)
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     keys = [F.col(g) for g in group_cols] + order
-    parted = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    # Within a partition rows are now sorted by (group, order): the position
-    # in the partition is monotonically_increasing_id minus the partition base.
-    local = parted.withColumn("_pid", F.spark_partition_id()) \
-        .withColumn("_pos", F.monotonically_increasing_id())
-    stats = local.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first"))
+    # Range partitions hold contiguous (group, order) slices, so a hot group
+    # is spread over many of them; each (partition, group) slice is numbered
+    # by its own window, whose size is bounded by the partition size.
+    local = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
+    local = local.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid", *group_cols).orderBy(*order)))
+    stats = local.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stats.select("_pid", *group_cols, "_first",
-                           F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
+    offsets = stats.select("_pid", *group_cols, F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
     if max_groups is not None:
         offsets = F.broadcast(offsets)
     joined = local.join(offsets, ["_pid"] + list(group_cols))
-    return joined.withColumn(out, (F.col("_off") + F.col("_pos") - F.col("_first") + 1).cast("long")) \
-        .drop("_pid", "_pos", "_first", "_off")
+    return joined.withColumn(out, (F.col("_off") + F.col("_lrn")).cast("long")).drop("_pid", "_lrn", "_off")
 
 
 def global_row_number(df: DataFrame, order_cols: list, out: str = "rn",
