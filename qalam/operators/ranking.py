@@ -34,7 +34,12 @@ def grouped_row_number(df: DataFrame, group_cols: list[str], order_cols: list, o
     # Range partitions hold contiguous (group, order) slices, so a hot group
     # is spread over many of them; each (partition, group) slice is numbered
     # by its own window, whose size is bounded by the partition size.
-    local = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
+    # Materialised once (reliable checkpoint) so both readers of the slice
+    # ids -- the count table and the join back -- see the same assignment,
+    # also after an executor loss forces a recomputation.
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    local = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()).checkpoint()
     local = local.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid", *group_cols).orderBy(*order)))
     stats = local.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -160,7 +160,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``metric_log(run, step, ts, value)``: events as per-run metric series;
     step = row number by (ts, event_id) within the run."""
+    from ..operators.ranking import grouped_row_number
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "event_id", "ts", "value")
-    from pyspark.sql import Window as W
-    w = W.partitionBy("run").orderBy("ts", "event_id")
-    return e.select("run", F.row_number().over(w).cast("long").alias("step"), "ts", "value", "event_id")
+    # skew-proof: a run holding most events is still numbered by many tasks
+    return grouped_row_number(e, ["run"], ["ts", "event_id"], "step").select("run", "step", "ts", "value", "event_id")
