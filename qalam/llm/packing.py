@@ -143,17 +143,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
     a few part-filled sequences, so the loss does not depend on the input's
     size. Lengths must lie in 1..capacity.
     """
-    rows = written(pieces.withColumn("_at", F.monotonically_increasing_id()), "pieces")
-    short = rows.where(F.col("length") < capacity).select("_at", "length")
+    length = F.col("_piece.length")
+    rows = written(pieces.select(F.struct("*").alias("_piece"), F.monotonically_increasing_id().alias("_at")), "pieces")
+    short = rows.where(length < capacity).select("_at", length.alias("length"))
     groups = max(1, -(-short.count() // group_rows))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_at")
         bins, offsets = best_fit_decreasing(pdf["length"].to_numpy(), capacity)
         return pd.DataFrame({"_at": pdf["_at"], "sequence_id": (int(key[0]) << 32 | bins) * 2 + 1, "offset": offsets})
 
     packed = short.withColumn("_group", F.pmod(F.xxhash64("_at"), F.lit(groups))).groupBy("_group").applyInPandas(
         run, "_at long, sequence_id long, offset long")
-    full = rows.where(F.col("length") >= capacity).withColumns(
-        {"sequence_id": F.col("_at") * 2, "offset": F.lit(0).cast("long")})
-    return full.unionByName(rows.where(F.col("length") < capacity).join(packed, "_at")).drop("_at")
+    full = rows.where(length >= capacity).select("_piece.*", (F.col("_at") * 2).alias("sequence_id"),
+                                                 F.lit(0).cast("long").alias("offset"))
+    return full.unionAll(rows.where(length < capacity).join(packed, "_at").select("_piece.*", "sequence_id", "offset"))

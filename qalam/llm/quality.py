@@ -3,16 +3,12 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from .common import written
-
 #: At most so many labelled rows are fitted, those with the smallest hash of their id.
 MAX_FIT_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, MIN_ROWS, L2 = 80, 4, 64, 0.15, 20, 1.0
@@ -136,41 +132,54 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    label_col: str = "quality", max_fit_rows: int = MAX_FIT_ROWS, threshold: float = 0.7,
-                    keep: list[str] | None = None) -> DataFrame:
-    """One row per document row: id, held_out, score, predicted, and the columns named in ``keep``.
-
-    The statistics of every whole text are computed once and written; the
-    trees are fitted on at most ``max_fit_rows`` labelled rows that are not
-    held out (those with the smallest hash of the id, whatever the table's
-    size), and every row is scored. Null labels are no labels; of several
-    labels of one id the least counts. Texts alone enter a score: null and
-    empty ones get the score of all-zero statistics.
-    """
-    @F.pandas_udf("array<double>")
-    def of(texts: pd.Series) -> pd.Series:
+def _statistics(text: Column) -> Column:
+    def run(texts: pd.Series) -> pd.Series:
         return pd.Series([statistics(t) for t in texts], dtype=object)
 
-    rows = written(docs.select(F.col(id_col).alias("_id"), *(keep or []), of(F.col(text_col)).alias("_x")), "statistics")
+    return F.pandas_udf(run, "array<double>")(text)
+
+
+def fit_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  label_col: str = "quality", max_fit_rows: int = MAX_FIT_ROWS) -> Trees:
+    """Trees fitted on at most ``max_fit_rows`` labelled documents that are not held out.
+
+    The sample is the labels with the smallest hash of their id, whatever
+    the tables' sizes or order. Null labels and ids are no labels; of several
+    labels of one id the least counts, of several texts the one with the
+    least statistics.
+    """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(
         F.col("_y").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id"))).groupBy("_id").agg(
-        F.min("_y").alias("_y"))
-    pool = rows.where(F.col("_id").isNotNull()).select("_id", "_x").join(known, "_id")
-    sample = pool.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id", "_x").limit(max_fit_rows).collect()
-    model = fit(np.array([r["_x"] for r in sample]).reshape(-1, len(FEATURES)),
-                np.array([r["_y"] for r in sample], float))
+        F.min("_y").alias("_y")).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(max_fit_rows)
+    # at most max_fit_rows (id, label) pairs are broadcast
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id")
+    sample = rows.groupBy("_id", "_y").agg(F.min(_statistics(F.col("_text"))).alias("_x")).collect()
+    sample.sort(key=lambda r: str(r["_id"]))
+    return fit(np.array([r["_x"] for r in sample], float).reshape(-1, len(FEATURES)),
+               np.array([r["_y"] for r in sample], float))
+
+
+def score(model: Trees, text: Column) -> Column:
+    """The score of each whole text; null and empty texts score as all-zero statistics."""
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([statistics(t) for t in texts]).reshape(-1, len(FEATURES))))
+
+    return F.pandas_udf(run, "double")(text)
 
-    @F.pandas_udf("double")
-    def score(x: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.stack(x.to_numpy())) if len(x) else np.zeros(0))
 
-    return rows.select(F.col("_id").alias(id_col), *(keep or []), held_out(F.col("_id")).alias("held_out"),
-                       score("_x").alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    label_col: str = "quality", max_fit_rows: int = MAX_FIT_ROWS, threshold: float = 0.7) -> DataFrame:
+    """One row per document row: id, held_out, score, predicted (1 from ``threshold`` on).
+
+    See :func:`fit_documents` for what is learned from; texts alone enter a score.
+    """
+    model = fit_documents(docs, labels, id_col, text_col, label_col, max_fit_rows)
+    return docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"),
+                       score(model, F.col(text_col)).alias("score")).withColumn(
+        "predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
-    """The documents whose predicted label is 1, with all their columns; repeated rows are judged alike."""
-    taken = score_documents(docs, labels, id_col, text_col, threshold=threshold, keep=docs.columns)
-    return taken.where("predicted = 1").select(*docs.columns)
+    """The documents that score at least ``threshold``, with all their columns; repeated rows are judged alike."""
+    return docs.where(score(fit_documents(docs, labels, id_col, text_col), F.col(text_col)) >= threshold)

@@ -291,8 +291,9 @@ def keep_first(docs: DataFrame, k: int = 3, max_bits: int = 3, id_col: str = "do
     Of repeated rows with that id one stays. Where no row of a group has an
     id, one of its rows stays. All columns stay.
     """
-    at = written(docs.withColumn("_at", F.monotonically_increasing_id()), "documents")
-    seen = near_duplicates(at.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_at"
-                                              ).alias("_id"), text_col), k, max_bits, "_id", text_col)
+    at = written(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_at")), "documents")
+    key = F.col("_doc").getField(id_col)
+    seen = near_duplicates(at.select(F.struct(key.isNull().alias("none"), key.alias("id"), "_at").alias("_id"),
+                                     F.col("_doc").getField(text_col).alias("_text")), k, max_bits, "_id", "_text")
     stay = seen.where(F.col("component_id") == F.col("_id")).select(F.col("_id._at").alias("_at"))
-    return at.join(stay, "_at").select(*docs.columns)
+    return at.join(stay, "_at").select("_doc.*")
