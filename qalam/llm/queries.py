@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality, sharding, simhash
+from . import decontaminate, embeddings, licenses, packing, pages, pii, quality, sharding, simhash, substrings
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,16 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's number of links at cosine 0.98 and the smallest vec_id of its component."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the 100-byte strings that start earlier."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's shard of 8, and of 9 after growth."""
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.topology(8), sharding.topology(9))
@@ -37,6 +47,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence notice in a document, with its place and the share of the template it holds."""
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's personal data: counts and hash of the base spans, all spans, and their scores."""
     base = pii.base_spans("spans")
@@ -52,12 +67,32 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenize(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page."""
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_simhash, op3_quality, op6_sharding, op8_pii, op9_packing)}
+    f.__name__: f for f in (op1_decontamination, op2_simhash, op3_quality, op4_embeddings,
+                             op5_substrings, op6_sharding, op7_licenses, op8_pii, op9_packing, op10_html)}
 
 _LOWER_WORDS = "regexp_extract_all(lower({}), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_embeddings": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.98),
+r AS (SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
+c AS (SELECT u AS vec_id, min(v) AS component_id FROM r GROUP BY u),
+n AS (SELECT u AS vec_id, count(*) AS n_links FROM e GROUP BY u)
+SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept
+FROM c LEFT JOIN n USING (vec_id)""",
     "op1_decontamination": f"""
 WITH d AS (SELECT doc_id, {_LOWER_WORDS.format("text")} AS w FROM documents),
 b AS (SELECT item_id, {_LOWER_WORDS.format("text")} AS w FROM benchmark),
