@@ -13,9 +13,12 @@ from __future__ import annotations
 
 import gc
 import hashlib
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,63 +104,82 @@ def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str
     A document is an id and a text's hash; intervals may overlap.
     """
     spark = docs.sparkSession
-
-    @F.pandas_udf("array<struct<a:bigint,first:int,last:int,d:bigint>>")
-    def find(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            data = _bytes(text)
-            h, first, last = anchors(data, width, gram)
-            lo, hi = surrounding(len(data), first, last, width, gram)
-            digest = np.array([xxhash.xxh3_64_intdigest(data[s:e]) for s, e in zip(lo.tolist(), hi.tolist())],
-                              np.uint64)
-            out.append([{"a": a, "first": f, "last": e, "d": d} for a, f, e, d in zip(
-                h.view(np.int64).tolist(), first.tolist(), last.tolist(), digest.view(np.int64).tolist())])
-        return pd.Series(out, dtype=object)
-
     keyed = _keyed(docs, id_col, text_col)
-    key = ["_id", "_h"]
-    rows = written(keyed.select(*key, F.explode(find("_text")).alias("_a")).select(*key, "_a.*"), "anchors")
-    often = rows.groupBy("a").agg(F.sum(F.when(F.col("last") > F.col("first"), 2).otherwise(1)).alias("n")).where("n > 1")
-    again = written(rows.join(often, "a", "left_semi"), "anchors")
-    common.dropped(rows)
+    id_kind = docs.schema[id_col].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got, edges = [], [0]
+            for text in batch.column("_text").to_pylist():
+                data = _bytes(text)
+                h, first, last = anchors(data, width, gram)
+                lo, hi = surrounding(len(data), first, last, width, gram)
+                digest = [xxhash.xxh3_64_intdigest(data[s:e]) for s, e in zip(lo.tolist(), hi.tolist())]
+                got.append((h, first | (last - first) << 32, np.array(digest, np.uint64)))
+                edges.append(edges[-1] + len(h))
+            columns = [pa.array(np.concatenate(c).view(np.int64)) for c in zip(*got)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_h", "_doc")), pa.ListArray.from_arrays(
+                pa.array(edges, pa.int32()), pa.StructArray.from_arrays(columns, ["a", "p", "d"]))],
+                ["_id", "_h", "_doc", "_anchors"])
+
+    # a row per document; _doc numbers the rows, fixed by this write; p: first place, and above it last - first
+    found = written(keyed.select("_id", "_h", F.monotonically_increasing_id().alias("_doc"), "_text").mapInArrow(
+        find, f"_id {id_kind}, _h long, _doc long, _anchors array<struct<a:bigint,p:bigint,d:bigint>>"), "anchors")
+    rows = found.select("_doc", F.explode("_anchors").alias("_a")).select("_doc", "_a.*")
+    more = F.shiftright(F.col("p"), 32).cast("int")
+    often = rows.groupBy("a").agg(F.sum(F.when(more > 0, 2).otherwise(1)).alias("n")).where("n > 1").select("a")
+    again = written(rows.join(often, "a", "left_semi").join(found.select("_doc", "_id", "_h"), "_doc").select(
+        "_id", "_h", "a", F.col("p").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("first"), more.alias("more"), "d"), "anchors")
+    common.dropped(found)
     _settle(spark)
     # documents are ordered by id, null last, then by the text's hash
-    order = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_h", F.col("first").alias("_at"))
-    kinds = written(again.groupBy("a", "d").agg(F.min(order).alias("_first")), "kinds")
-    counts = kinds.groupBy("a").agg(F.count("*").alias("_kinds"))
+    order = lambda at: F.struct(F.col("_id").isNull().alias("_none"), "_id", "_h", F.col(at).alias("_at"))
+    kinds = written(again.groupBy("a", "d").agg(F.min(order("first")).alias("_first")), "kinds")
+    counts = kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    judged = written(again.join(kinds, ["a", "d"]).select(
+        "_id", "_h", "a", "first", "more", (order("first") == F.col("_first")).alias("_stays")), "judged")
+    common.dropped(again)
+    _settle(spark)
     lo = F.greatest(F.col("first") - (width - gram), F.lit(0))
-    copies = again.withColumn("_order", order).join(kinds, ["a", "d"]).where("_order <> _first").select(
-        *key, lo.alias("lo"), (F.col("last") + width).alias("hi"), (F.col("last") - F.col("first")).alias("_long"))
-    # the one that stays of each kind: all its strings may repeat elsewhere
-    stay = again.withColumn("_order", order).join(kinds, ["a", "d"]).where("_order = _first").join(counts, "a").where(
-        (F.col("_kinds") > 1) | (F.col("last") > F.col("first"))).select(*key, "a", "first", "last", "_kinds")
-    wanted = written(stay.groupBy(*key).agg(F.collect_list(F.struct("a", "first", "last", "_kinds")).alias("_cuts")), "cuts")
-
-    @F.pandas_udf("array<struct<a:bigint,kinds:bigint,lo:int,piece:binary>>")
-    def cut(texts: pd.Series, cuts: pd.Series) -> pd.Series:
-        out = []
-        for text, own in zip(texts, cuts):
-            data, got = _bytes(text), []
-            for c in own:
-                s, e = surrounding(len(data), c["first"], c["last"], width, gram)
-                got.append({"a": c["a"], "kinds": c["_kinds"], "lo": int(s), "piece": data[s:e]})
-            out.append(got)
-        return pd.Series(out, dtype=object)
-
-    pieces = written(_with(keyed, wanted, "inner").select(*key, F.explode(cut("_text", "_cuts")).alias("_p")).select(
-        *key, "_p.*"), "pieces")
+    copies = judged.where("not _stays").select("_id", "_h", lo.alias("lo"), (F.col("first") + F.col("more") + width).alias("hi"))
+    # the one that stays of each kind: its strings may repeat in other kinds, or within itself
+    stays = judged.where("_stays").join(counts, "a", "left").where("kinds > 1 or more > 0")
+    wanted = stays.groupBy("_id", "_h").agg(F.collect_list(F.struct("a", "first", "more", "kinds")).alias("_cuts"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, out = [], []
+            for i, (text, cuts) in enumerate(zip(batch.column("_text").to_pylist(), batch.column("_cuts").to_pylist())):
+                data = _bytes(text)
+                for c in cuts:
+                    s, e = surrounding(len(data), c["first"], c["first"] + c["more"], width, gram)
+                    row.append(i)
+                    out.append((c["a"], c["kinds"] or 1, int(s), c["first"] - int(s), c["more"], data[s:e]))
+            at = pa.array(row, pa.int64())
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id").take(at), batch.column("_h").take(at),
+                 *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))],
+                ["_id", "_h", "a", "kinds", "lo", "at", "more", "piece"])
+
+    pieces = written(_with(keyed, wanted, "inner").select("_id", "_h", "_text", "_cuts").mapInArrow(
+        cut, f"_id {id_kind}, _h long, a long, kinds long, lo int, at int, more int, piece binary"), "pieces")
     _settle(spark)
     n_shards = max(1, -(-pieces.count() // shard_pieces))
-    id_kind = docs.schema[id_col].dataType.simpleString()
+    side = (width - gram + 1) // 2  # a string reaches so far beyond its anchor on one side at least
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = [p[i - side:i + gram] if i >= side else None for p, i in zip(pdf["piece"], pdf["at"])]
+        right = [p[i:i + gram + side] if len(p) >= i + gram + side else None
+                 for p, i in zip(pdf["piece"], pdf["at"] + pdf["more"])]
+        sides = [Counter(zip(pdf["a"], x)) for x in (left, right)]
+        pdf = pdf[[bool(m) or any(x is not None and n[a, x] > 1 for n, x in zip(sides, xs))
+                   for m, a, xs in zip(pdf["more"], pdf["a"], zip(left, right))]]
         pdf = pdf.sort_values(["_id", "_h", "lo", "a"], na_position="last").reset_index(drop=True)
-        base, doc = pdf["lo"].to_numpy(np.int64), pdf.groupby(["_id", "_h"], dropna=False, sort=False).ngroup().to_numpy()
-        # strings repeat within an anchor's pieces and, where they are the same bytes, across anchors
         group, piece, offset = repeated(pdf["piece"].tolist(), width)
         if not len(group):
             return pd.DataFrame({"_id": pdf["_id"][:0], "_h": pdf["_h"][:0], "lo": [], "hi": []})
+        base, doc = pdf["lo"].to_numpy(np.int64), pdf.groupby(["_id", "_h"], dropna=False, sort=False).ngroup().to_numpy()
         place = (doc[piece].astype(np.int64) << 40) | (base[piece] + offset)
         edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         least = np.repeat(np.minimum.reduceat(place, edge), np.diff(np.append(edge, len(group))))
@@ -165,29 +187,35 @@ def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str
         new = np.ones(len(late), bool)
         new[1:] = np.diff(late) > width
         start = np.flatnonzero(new)
-        lo, hi = late[start], late[np.append(start[1:], len(late)) - 1] + width
+        lo, hi = late[start], late[np.append(start[1:], len(late)) - 1] + width if len(late) else late
         one = pdf.drop_duplicates(["_id", "_h"]).reset_index(drop=True).iloc[lo >> 40]
         low = (1 << 40) - 1
         return pd.DataFrame({"_id": one["_id"].to_numpy(), "_h": one["_h"].to_numpy(), "lo": lo & low, "hi": hi & low})
 
     shards = pieces.where(F.col("kinds") <= hot_pieces).withColumn("_shard", F.pmod(F.xxhash64("a"), F.lit(n_shards)))
-    sorted_out = shards.select(*key, "a", "lo", "piece", "_shard").groupBy("_shard").applyInPandas(
-        sort, f"_id {id_kind}, _h long, lo int, hi int")
+    out = written(copies.unionAll(shards.drop("kinds").groupBy("_shard").applyInPandas(
+        sort, f"_id {id_kind}, _h long, lo int, hi int")), "intervals")
+    hot = pieces.where(F.col("kinds") > hot_pieces)
+    if not hot.isEmpty():
+        out = out.unionAll(written(_hot(hot, width, order), "intervals"))
+    common.dropped(judged)
+    _settle(spark)
+    return out
+
 
+def _hot(pieces: DataFrame, width: int, order) -> DataFrame:
+    """Intervals of anchors with very many kinds: a row per string, grouped by its 128-bit hash."""
     @F.pandas_udf("array<struct<x:bigint,y:bigint>>")
     def strings(own: pd.Series) -> pd.Series:
         return pd.Series([[{"x": xxhash.xxh64_intdigest(p[i:i + width], 1) - (1 << 63),
                             "y": xxhash.xxh64_intdigest(p[i:i + width], 2) - (1 << 63)}
                            for i in range(len(p) - width + 1)] for p in own], dtype=object)
 
-    hot = pieces.where(F.col("kinds") > hot_pieces).select(*key, "lo", F.posexplode(strings("piece")).alias(
-        "_i", "_s")).select(*key, (F.col("lo") + F.col("_i")).alias("first"), "_s.*").distinct()
-    out = copies.where(F.col("hi") - F.col("lo") >= width).select(*key, "lo", "hi").unionAll(sorted_out)
-    if not pieces.where(F.col("kinds") > hot_pieces).isEmpty():
-        first = hot.groupBy("x", "y").agg(F.min(order).alias("_first"))
-        out = out.unionAll(hot.withColumn("_order", order).join(first, ["x", "y"]).where("_order <> _first").select(
-            *key, F.col("first").alias("lo"), (F.col("first") + width).alias("hi")))
-    return out
+    hot = written(pieces.select("_id", "_h", "lo", F.posexplode(strings("piece")).alias("_i", "_s")).select(
+        "_id", "_h", (F.col("lo") + F.col("_i")).alias("at"), "_s.*"), "strings")
+    first = hot.groupBy("x", "y").agg(F.min(order("at")).alias("_first"))
+    return hot.join(first, ["x", "y"]).where(order("at") != F.col("_first")).select(
+        "_id", "_h", F.col("at").alias("lo"), (F.col("at") + width).alias("hi"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -52,7 +52,7 @@ class Queues:
         """Empty a queue, oldest first; more may be pushed to other queues meanwhile."""
         for at, n in self.stored[symbol]:
             self.file.seek(at)
-            yield np.fromfile(self.file, np.int64, n)
+            yield np.fromfile(self.file, np.int32, n)
         parts, self.waiting[symbol], self.stored[symbol] = self.waiting[symbol], [], []
         if parts:
             whole = np.concatenate(parts)
@@ -104,7 +104,7 @@ def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, symbols: int, b
     for c in reversed(range(symbols)):
         least: list[np.ndarray] = [seeds[:1]] if c == 0 else []  # the end mark, which nothing induces
         bucket(queues, c, least, True)
-        down = np.concatenate(large[c])[::-1] if large[c] else np.zeros(0, np.int64)
+        down = np.concatenate(large[c])[::-1] if large[c] else seeds[:0]
         queues.push(*induced(down, True))
         out += [*least, down]
     queues.close()
@@ -128,7 +128,7 @@ def _named(t: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def suffix_order(t: np.ndarray, symbols: int, depth: int, budget: int = QUEUE_BYTES) -> np.ndarray:
     """Start positions by the first ``depth`` symbols (at least) of their suffixes.
 
-    ``t`` holds 0..symbols-1 and ends with its only 0. The leftmost small
+    ``t`` holds 0..symbols-1 (16-bit: such keys sort by radix) and ends with its only 0; it has fewer than 2^31 symbols. The leftmost small
     suffixes are seeds: a first induction sorts the substrings between them,
     their names make a shorter string whose suffixes are ranked by doubling
     -- as each name spans two symbols or more, ``depth`` symbols take a few
@@ -138,13 +138,14 @@ def suffix_order(t: np.ndarray, symbols: int, depth: int, budget: int = QUEUE_BY
     if len(t) < 2:
         return np.arange(len(t))
     small = _types(t)
-    seeds = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    seeds = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     mark = np.zeros(len(t), bool)
     mark[seeds] = True
     order = _induce(t, small, seeds[::-1][np.argsort(t[seeds[::-1]], kind="stable")], symbols, budget)
     order = order[mark[order]]
     nxt = np.append(seeds[1:], len(t) - 1)
-    place = np.searchsorted(seeds, order)
+    number = np.cumsum(mark, dtype=np.int32) - 1
+    place = number[order]
     rank = np.empty(len(seeds), np.int64)
     rank[place] = _named(t, order, nxt[place])
     step = 1
@@ -162,19 +163,24 @@ def repeated(pieces: list[bytes], width: int, budget: int = QUEUE_BYTES) -> tupl
     # bytes become 2.., 1 ends a piece, 0 ends the text
     data = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8)
     ends = np.cumsum(sizes + 1) - 1
-    t = np.zeros(len(data) + 1, np.int32)
+    t = np.zeros(len(data) + 1, np.uint16)
     t[:-1] = data
     t[:-1] += 2
     t[ends] = 1
+    of = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes + 1)
+    fits = np.append(ends[of] - np.arange(len(data)) >= width, False)
     order = suffix_order(t, 258, width, budget)
-    piece = np.searchsorted(ends, np.minimum(order, len(data) - 1))
-    fits = (order < len(data)) & (ends[piece] - order >= width)
-    order, piece = order[fits], piece[fits]
+    order = order[fits[order]]
+    piece = of[order]
     same = np.zeros(len(order), bool)
     live, j = np.arange(1, len(order)), 0
-    while len(live) and j < width:  # neighbours' common prefixes, as far as the width
-        live = live[t[order[live] + j] == t[order[live - 1] + j]]
-        j += 1
+    # neighbours' common prefixes as far as the width, eight bytes a step
+    eight = np.ndarray(max(0, len(data) - 7), np.uint64, data.tobytes(), strides=(1,))
+    while len(live) and j < width:
+        at = min(j, width - 8) if width >= 8 else j
+        text = eight if width >= 8 else t
+        live = live[text[order[live] + at] == text[order[live - 1] + at]]
+        j = at + 8 if width >= 8 else j + 1
     same[live] = True
     group = np.cumsum(~same)
     many = same.copy()
