@@ -164,8 +164,8 @@ AUGMENT_RATIO = 0.3
 # ---------------------------------------------------------------------------
 # FIXED VALUES: evaluator patterns.
 # ---------------------------------------------------------------------------
+QUALITY_QUESTION_WORDS = ["ما", "كيف", "لماذا", "أين", "متى"]
 EVAL_QUESTION_WORDS = ["ما", "كيف", "لماذا", "أين", "متى", "من", "ماذا", "هل"]
-EVAL_COMMON_PREFIXES = ["ال", "و", "ف", "ب", "ك", "ل"]
 EVAL_FORMAL_INDICATORS = ["إن", "أن", "كان", "يكون", "سوف", "قد"]
 EVAL_DIALECT_ORDER = ["egyptian", "gulf", "levantine", "maghrebi"]
 EVAL_DIALECT_MARKERS = {

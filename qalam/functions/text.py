@@ -106,7 +106,7 @@ def normalize_arabic(c, normalize_alef: bool = True, normalize_teh: bool = True,
     """C4: processor-style normaliser; teh marbuta goes to teh, alef to hamza-alef."""
     t = col(c)
     if remove_diacritics:
-        t = F.regexp_replace(t, r"[\x{064B}-\x{0652}\x{0670}]", "")
+        t = F.regexp_replace(t, r"[\x{064B}-\x{065F}\x{0670}\x{0640}]", "")
     if remove_tatweel:
         t = F.regexp_replace(t, r"\x{0640}", "")
     if normalize_alef:
@@ -301,12 +301,12 @@ def response_quality(c) -> Column:
 
 
 def arabic_quality(c) -> Column:
-    """0.3 Arabic + 0.2 diacritics + 0.3 sentence marks + 0.2 question word, capped at 1."""
+    """0.3 Arabic + 0.2 diacritics + 0.3 more than one '.'-piece + 0.2 question word, capped at 1."""
     t = col(c)
     score = (F.when(t.rlike(f"[{L.AR1}]"), 0.3).otherwise(0.0)
              + F.when(t.rlike(f"[{L.HARAKAT}]"), 0.2).otherwise(0.0)
-             + F.when(t.rlike(r"[.!?؟]"), 0.3).otherwise(0.0)
-             + F.when(F.exists(F.array(*[F.lit(q) for q in L.EVAL_QUESTION_WORDS]),
+             + F.when(F.contains(t, F.lit(".")), 0.3).otherwise(0.0)
+             + F.when(F.exists(F.array(*[F.lit(q) for q in L.QUALITY_QUESTION_WORDS]),
                                lambda q: F.contains(t, q)), 0.2).otherwise(0.0))
     return F.least(score, F.lit(1.0))
 

@@ -8,6 +8,8 @@ semi-join is on a unique id, so nothing is skewed.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,13 +61,17 @@ def near_dup_edges(df: DataFrame, text_col: str, id_col: str, threshold: float =
     ranked = ex.join(freq, "sh")
     # order shingles inside each doc by (df, sh); keep the prefix
     per_doc = ranked.groupBy("id", "sz").agg(F.sort_array(F.collect_list(F.struct("df", "sh"))).alias("ordered"))
-    plen = (F.col("sz") - F.ceil(F.col("sz") * threshold) + 1).cast("int")
+    # exact ceil(sz * threshold): the threshold as a decimal fraction, in integers
+    share = Fraction(str(threshold))
+    num, den = F.lit(share.numerator).cast("long"), F.lit(share.denominator).cast("long")
+    need = F.expr("sz").cast("long") * num
+    plen = (F.col("sz") - (need + den - 1 - F.pmod(need + den - 1, den)) / den + 1).cast("int")
     prefix = per_doc.select("id", "sz", F.explode(F.slice("ordered", 1, F.greatest(plen, F.lit(1)))).alias("p")) \
         .select("id", "sz", F.col("p.sh").alias("sh"))
     a = prefix.select(F.col("id").alias("i"), F.col("sz").alias("szi"), "sh")
     b = prefix.select(F.col("id").alias("j"), F.col("sz").alias("szj"), "sh")
     cand = a.join(b, "sh").filter((F.col("i") < F.col("j")) &
-                                  (F.least("szi", "szj") >= F.greatest("szi", "szj") * threshold)) \
+                                  (F.least("szi", "szj") * den >= F.greatest("szi", "szj") * num)) \
         .select("i", "j").distinct().checkpoint()
     ids = cand.select(F.col("i").alias("id")).union(cand.select(F.col("j").alias("id"))).distinct()
     exact = df.select(F.col(id_col).alias("id"), text_col).join(ids, "id", "left_semi") \
@@ -78,12 +84,13 @@ def near_dup_edges(df: DataFrame, text_col: str, id_col: str, threshold: float =
     return scored.select("i", "j", jac.alias("jaccard")).filter(F.col("jaccard") >= threshold)
 
 
-def greedy_keep_first(nodes: DataFrame, edges: DataFrame, id_col: str = "id", max_rounds: int = 100) -> DataFrame:
+def greedy_keep_first(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
     """Lexicographically-first maximal independent set of the similarity graph.
 
     A node is kept when no kept smaller neighbour exists — the greedy rule
     that scans rows in id order. Rounds decide every undecided node whose
-    smaller neighbours are all decided; each round's status table is
+    smaller neighbours are all decided, and each round decides one at least,
+    so the loop ends with every node decided. Each round's status table is
     checkpointed to the cluster checkpoint folder so lineage stays short.
     Returns ``(id, kept)`` for every node.
     """
@@ -98,10 +105,7 @@ def greedy_keep_first(nodes: DataFrame, edges: DataFrame, id_col: str = "id", ma
     has_smaller = e.select(F.col("j").alias("id")).distinct().withColumn("hs", F.lit(True))
     status = status.join(has_smaller, "id", "left") \
         .select("id", F.when(F.col("hs").isNull(), F.lit("kept")).alias("state")).checkpoint()
-    for _ in range(max_rounds):
-        und = status.filter(F.col("state").isNull()).limit(1).count()
-        if und == 0:
-            break
+    while not status.filter(F.col("state").isNull()).isEmpty():
         s_i = status.select(F.col("id").alias("i"), F.col("state").alias("si"))
         look = e.join(s_i, "i").groupBy("j").agg(
             F.max(F.when(F.col("si") == "kept", 1).otherwise(0)).alias("any_kept"),

@@ -160,8 +160,9 @@ def _numeric(df: DataFrame, c: str) -> bool:
     return df.schema[c].dataType.typeName() in ("integer", "long", "double", "float", "short", "decimal")
 
 
-GOOD_WORDS = ["good", "positive", "desirable", "yes", "true", "1", "جيد", "إيجابي", "مرغوب", "نعم"]
-BAD_WORDS = ["bad", "negative", "undesirable", "no", "false", "0", "سيء", "سلبي", "غير مرغوب", "لا"]
+# fixed values: label words
+GOOD_WORDS = ["good", "positive", "1", "true", "yes", "accept", "preferred", "high", "excellent", "great", "جيد", "ممتاز", "مقبول"]
+BAD_WORDS = ["bad", "negative", "0", "false", "no", "reject", "not_preferred", "low", "poor", "terrible", "سيء", "ضعيف", "مرفوض"]
 
 
 def normalize_label(c: Column) -> Column:
@@ -351,22 +352,23 @@ def clean_conversation(messages: Column, roles=("user", "assistant", "system"))
 
 
 def prompt_from_conversation(messages: Column) -> Column:
-    """Last user turn, else the non-assistant turns joined by newlines."""
+    """Last user turn, else the stripped non-blank turns that are not the assistant's, joined by spaces."""
     users = F.filter(messages, lambda m: m["role"] == "user")
-    others = F.filter(messages, lambda m: m["role"] != "assistant")
+    others = F.transform(F.filter(messages, lambda m: m["role"] != "assistant"), lambda m: T.py_strip(m["content"]))
     return F.when(F.size(users) > 0, F.element_at(users, -1)["content"]) \
-        .otherwise(F.array_join(F.transform(others, lambda m: m["content"]), "\n"))
+        .otherwise(F.array_join(F.filter(others, lambda c: c != ""), " "))
 
 
 def to_standard(messages: Column) -> Column:
-    """B19 (conversation): user turns before the first assistant turn joined
-    by newlines -> instruction; that assistant turn -> output."""
-    roles = F.transform(messages, lambda m: m["role"])
-    first_asst = F.array_position(roles, "assistant")
-    before = F.slice(messages, 1, F.greatest(first_asst - 1, F.lit(0)))
-    instr = F.array_join(F.transform(F.filter(before, lambda m: m["role"] == "user"), lambda m: m["content"]), "\n")
-    return F.struct(instr.alias("instruction"),
-                    F.when(first_asst > 0, F.element_at(messages, first_asst.cast("int"))["content"]).alias("output"))
+    """B19 (conversation): user or human turns before the first assistant, ai
+    or bot turn joined by spaces -> prompt (all of them without such a turn);
+    that turn -> response, else empty."""
+    answers = F.transform(messages, lambda m: m["role"].isin("assistant", "ai", "bot"))
+    first = F.array_position(answers, True).cast("int")
+    before = F.when(first > 0, F.slice(messages, 1, F.greatest(first - 1, F.lit(0)))).otherwise(messages)
+    prompt = F.array_join(F.transform(F.filter(before, lambda m: m["role"].isin("user", "human")), lambda m: m["content"]), " ")
+    return F.struct(prompt.alias("prompt"),
+                    F.when(first > 0, F.element_at(messages, first)["content"]).otherwise(F.lit("")).alias("response"))
 
 
 def detect_format(df: DataFrame) -> str:

@@ -20,10 +20,10 @@ def best_negatives(cands: DataFrame, id_col: str, chosen: str, neg: str, pos_col
 
 
 def adaptive_negatives(q: Column, negs: Column, progress: float) -> Column:
-    """F8: negatives whose quality gap lies in a band that narrows with
-    training progress: [0.05 + 0.3 (1-p), 0.5 + 0.3 (1-p)]."""
-    lo, hi = 0.05 + 0.3 * (1 - progress), 0.5 + 0.3 * (1 - progress)
-    return F.filter(negs, lambda n: (F.abs(q - T.quality(n)) >= lo) & (F.abs(q - T.quality(n)) <= hi))
+    """F8: negatives whose signed quality gap (chosen minus negative) lies in a
+    band that narrows with training progress: [0.1 + 0.4 (1-p), 0.8 - 0.3 p]."""
+    lo, hi = 0.1 + 0.4 * (1 - progress), 0.8 - 0.3 * progress
+    return F.filter(negs, lambda n: (q - T.quality(n) >= lo) & (q - T.quality(n) <= hi))
 
 
 def results_with_models(results: DataFrame, models: DataFrame, order_col: str) -> DataFrame:

@@ -119,7 +119,7 @@ def sft_quality_metrics(df: DataFrame, instruction: str = "instruction", respons
     (``exact=False`` uses the HyperLogLog sketch at scale)."""
     distinct = F.count_distinct(instruction, response) if exact else F.approx_count_distinct(F.concat_ws("\u0001", instruction, response))
     return df.agg(F.avg(F.length(instruction)).alias("avg_instruction_chars"), F.avg(F.length(response)).alias("avg_response_chars"),
-                  F.avg(T.has_arabic(F.col(response)).cast("double")).alias("arabic_ratio"),
+                  F.avg(T.has_arabic(F.col(instruction)).cast("double")).alias("arabic_ratio"),
                   (1.0 - distinct / F.count(F.lit(1))).alias("duplicate_ratio"))
 
 
@@ -357,7 +357,9 @@ def preference_objectives(s: DataFrame, beta: float = 0.1, label_smoothing: floa
     ac, ar = pc / F.greatest(nc, F.lit(1.0)), pr / F.greatest(nr, F.lit(1.0))
     log_odds = (ac - F.log1p(-F.exp(ac))) - (ar - F.log1p(-F.exp(ar)))
     orpo = -ac - orpo_lambda * _logsig(log_odds)
-    kl = F.greatest(F.lit(0.0), F.avg(((pc - rc) + (pr - rr)) / 2).over(Window.partitionBy()))
+    # one aggregate row, joined back to every pair
+    s = s.crossJoin(F.broadcast(s.agg(F.greatest(F.lit(0.0), F.avg(((pc - rc) + (pr - rr)) / 2)).alias("_kl"))))
+    kl = F.col("_kl")
     kto_c = 1 - F.exp(_logsig(beta * (pc - rc) - kl))
     kto_r = 1 - F.exp(_logsig(-(beta * (pr - rr) - kl)))
     rows = s.select(sig.alias("sigmoid"), hinge.alias("hinge"), ipo.alias("ipo"), cpo.alias("cpo"), simpo.alias("simpo"),
@@ -366,7 +368,7 @@ def preference_objectives(s: DataFrame, beta: float = 0.1, label_smoothing: floa
     return rows.agg(*[F.avg(c).alias(f"loss_{c}") for c in ("sigmoid", "hinge", "ipo", "cpo", "simpo", "orpo", "kto")],
                     F.avg("reward_chosen").alias("reward_chosen"), F.avg("reward_rejected").alias("reward_rejected"),
                     F.avg(F.col("reward_chosen") - F.col("reward_rejected")).alias("reward_margin"),
-                    F.avg("acc").alias("reward_accuracy"), F.first("kl").alias("kl_estimate"))
+                    F.avg("acc").alias("reward_accuracy"), F.max("kl").alias("kl_estimate"))
 
 
 # ----------------------------------------------------------------- I21-I27

@@ -95,17 +95,26 @@ def group_negatives(df: DataFrame, group_col: str, id_col: str, text_col: str) -
         F.col("g").alias(group_col), F.col("sid").alias(id_col), "oid", "negative")
 
 
+# fixed values: negation words and the generic answer
+NEGATIONS = ["لا", "ليس", "غير"]
+GENERIC_ANSWER = "لا أعرف الإجابة على هذا السؤال."
+
+
 def synthetic_negatives(text: str = "chosen", key: str = "id", seed: int = 42):
-    """truncated half, word-shuffled, negated, generic — first 3 kept."""
+    """the first half of the words (over 3 words), the words shuffled (over
+    2), the first absent negation word in front, a generic answer: the first 3."""
     t = F.col(text)
     words = T.py_words(t)
     half = F.array_join(F.slice(words, 1, F.greatest(F.floor(F.size(words) / 2).cast("int"), F.lit(1))), " ")
     shuffled = F.array_join(F.transform(F.array_sort(F.transform(words, lambda w, i: F.struct(
         T.u(seed, F.concat(F.col(key).cast("string"), F.lit("|"), i.cast("string"))).alias("r"), w.alias("w")))),
         lambda s: s["w"]), " ")
-    negated = F.concat(F.lit("ليس صحيحا أن "), t)
-    generic = F.lit("لا أعرف الإجابة.")
-    return F.slice(F.array(half, shuffled, negated, generic), 1, 3)
+    negated = None
+    for word in reversed(NEGATIONS):
+        prefixed = F.when(~F.contains(t, F.lit(word)), F.concat(F.lit(f"{word} "), t))
+        negated = prefixed if negated is None else prefixed.otherwise(negated)
+    n = F.size(words)
+    return F.slice(F.array_compact(F.array(F.when(n > 3, half), F.when(n > 2, shuffled), negated, F.lit(GENERIC_ANSWER))), 1, 3)
 
 
 def negative_diversity(df: DataFrame, id_col: str, negs_col: str) -> DataFrame:

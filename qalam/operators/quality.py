@@ -172,11 +172,11 @@ def dpo_filter(df: DataFrame, min_len: int = 10, max_len: int = 4096, min_qualit
     return df.withColumn("filter_reason", reason)
 
 
-def ipo_filter(df: DataFrame, max_ratio: float = 3.0, max_diff: int = 2000, max_bias: float = 0.5) -> DataFrame:
-    """Length ratio, absolute length difference, length-bias score."""
+def ipo_filter(df: DataFrame, max_ratio: float = 3.0, min_diff: int = 20, max_bias: float = 0.5) -> DataFrame:
+    """Longer to shorter length ratio, least length difference, length-bias score."""
     lc, lr = F.length("chosen"), F.length("rejected")
-    reason = (F.when(lc / F.greatest(lr, F.lit(1)) > max_ratio, F.lit("length_ratio"))
-              .when(F.abs(lc - lr) > max_diff, F.lit("length_difference"))
+    reason = (F.when(F.greatest(lc, lr) / F.greatest(F.least(lc, lr), F.lit(1)) > max_ratio, F.lit("length_ratio"))
+              .when(F.abs(lc - lr) < min_diff, F.lit("length_difference"))
               .when(T.length_bias("chosen", "rejected") > max_bias, F.lit("length_bias")))
     return df.withColumn("filter_reason", reason)
 
@@ -225,14 +225,20 @@ def stage_counts(df: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:
                     F.when(processed > 0, F.col("c") / processed).otherwise(0.0).alias("filter_rate"))
 
 
-def sample_format_issues(df: DataFrame, key: str, fields=("instruction", "text")) -> DataFrame:
-    """One row per (key, issue) for blank or < 10-character fields."""
-    issues = []
-    for f in fields:
-        if f in df.columns:
-            t = T.py_strip(F.col(f))
-            issues.append(F.when(F.coalesce(t, F.lit("")) == "", F.lit(f"{f}: blank"))
-                          .when(F.length(t) < 10, F.lit(f"{f}: shorter than 10")))
+def sample_format_issues(df: DataFrame, key: str, format_type: str) -> DataFrame:
+    """One row per (key, issue). Instruction rows: blank instruction or
+    output; text rows: blank, or under 10 characters."""
+    def blank(c):
+        return F.coalesce(T.py_strip(F.col(c)), F.lit("")) == "" if c in df.columns else F.lit(True)
+
+    if format_type == "instruction":
+        issues = [F.when(blank(c), F.lit(f"Empty or missing {c}")) for c in ("instruction", "output")]
+    elif format_type == "text":
+        issues = [F.when(blank("text"), F.lit("Empty or missing text"))]
+        if "text" in df.columns:
+            issues = [issues[0].when(F.length("text") < 10, F.lit("Text too short"))]
+    else:
+        raise ValueError(f"unknown format: {format_type}")
     return df.select(key, F.explode(F.array_compact(F.array(*issues))).alias("issue"))
 
 

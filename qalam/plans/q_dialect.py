@@ -350,11 +350,11 @@ def _d20_sql():
             f"UNION ALL SELECT doc_id, text, 'synonym', {synonym} FROM src "
             f"UNION ALL SELECT doc_id, text, 'paraphrase', {para} FROM src "
             f"UNION ALL SELECT doc_id, text, 'noise', {noise} FROM src) x WHERE variant = 'original' OR t <> text")
-    return S.with_views(body, "ar_docs", extra=[("src", "SELECT doc_id, text FROM ar_docs WHERE length(text) < 3000")])
+    return S.with_views(body, "ar_docs", extra=[("src", "SELECT doc_id, text FROM ar_docs")])
 
 
 @register("d20_general_augment", _d20_sql)
 def d20_general_augment(spark, sf):
-    a = TB.ar_docs(spark, sf).select("doc_id", "text").filter(F.length("text") < 3000)
+    a = TB.ar_docs(spark, sf).select("doc_id", "text")
     g = D.general_augment(a, "text", "doc_id")
     return g.select("doc_id", "variant", F.md5("text").alias("text_md5"))

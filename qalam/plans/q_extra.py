@@ -174,11 +174,11 @@ def a9_custom_source_builder(spark, sf):
              (f"{base}/pc.csv", {"prompt": "instruction", "completion": "output"})]
     parts = []
     for path, keys in specs:
-        df = IO.read_corpus(spark, path)
+        df = IO.read_corpus(spark, path, multiline_csv=True)
         parts.append(df.select(*[F.col(k).alias(v) for k, v in keys.items()]).withColumn("source", F.lit(path.rsplit("/", 1)[1])))
     u = parts[0].unionByName(parts[1])
     u = u.select("source", T.clean_text("instruction").alias("instruction"), T.clean_text("output").alias("text"))
-    return filter_by_quality(u, "text", 0.0).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return filter_by_quality(u, "text", 0.6).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("a13_processed_cache")

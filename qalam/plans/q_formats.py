@@ -177,7 +177,10 @@ def _b9_sql():
     s = f"lower({S.strip(v)})"
     num = f"TRY_CAST({v} AS DOUBLE)"
     return (f"SELECT doc_id, CASE WHEN {num} IS NOT NULL THEN (CASE WHEN {num} >= 0.5 THEN 'good' ELSE 'bad' END) "
-            f"WHEN {s} IN {tuple(B.GOOD_WORDS)} THEN 'good' WHEN {s} IN {tuple(B.BAD_WORDS)} THEN 'bad' END AS label "
+            f"WHEN {s} IN ('good', 'positive', '1', 'true', 'yes', 'accept', 'preferred', 'high', 'excellent', 'great', 'جيد', "
+            "'ممتاز', 'مقبول') THEN 'good' "
+            f"WHEN {s} IN ('bad', 'negative', '0', 'false', 'no', 'reject', 'not_preferred', 'low', 'poor', 'terrible', 'سيء', "
+            "'ضعيف', 'مرفوض') THEN 'bad' END AS label "
             "FROM labels")
 
 
@@ -323,18 +326,18 @@ def b18_detect_format(spark, sf):
 
 # B19-B22 -------------------------------------------------------------------
 def _b19_sql():
-    fa = "list_position(list_transform(messages, lambda m: m.role), 'assistant')"
-    before = f"CASE WHEN coalesce({fa}, 0) = 0 THEN [] ELSE messages[1:{fa} - 1] END"
-    ins = f"array_to_string(list_transform(list_filter({before}, lambda m: m.role = 'user'), lambda m: m.content), chr(10))"
-    out = f"CASE WHEN coalesce({fa}, 0) > 0 THEN messages[{fa}].content END"
-    return S.with_views(f"SELECT conv_id, md5({ins}) AS instruction_md5, md5({out}) AS output_md5 FROM chat",
+    fa = "list_position(list_transform(messages, lambda m: m.role IN ('assistant', 'ai', 'bot')), true)"
+    before = f"CASE WHEN coalesce({fa}, 0) = 0 THEN messages ELSE messages[1:{fa} - 1] END"
+    ins = f"array_to_string(list_transform(list_filter({before}, lambda m: m.role IN ('user', 'human')), lambda m: m.content), ' ')"
+    out = f"CASE WHEN coalesce({fa}, 0) > 0 THEN messages[{fa}].content ELSE '' END"
+    return S.with_views(f"SELECT conv_id, md5({ins}) AS prompt_md5, md5({out}) AS response_md5 FROM chat",
                         extra=[("chat", _CHAT_SQL)])
 
 
 @register("b19_to_standard", _b19_sql)
 def b19_to_standard(spark, sf):
     c = _chat(spark, sf).select("conv_id", B.to_standard(F.col("messages")).alias("s"))
-    return c.select("conv_id", F.md5("s.instruction").alias("instruction_md5"), F.md5("s.output").alias("output_md5"))
+    return c.select("conv_id", F.md5("s.prompt").alias("prompt_md5"), F.md5("s.response").alias("response_md5"))
 
 
 @register("b20_clean_conversation",
@@ -349,8 +352,8 @@ def b20_clean_conversation(spark, sf):
 @register("b21_prompt_from_conversation",
           lambda: S.with_views("SELECT conv_id, md5(CASE WHEN len(list_filter(messages, lambda m: m.role = 'user')) > 0 "
                                "THEN list_filter(messages, lambda m: m.role = 'user')[-1].content ELSE "
-                               "array_to_string(list_transform(list_filter(messages, lambda m: m.role <> 'assistant'), "
-                               "lambda m: m.content), chr(10)) END) AS prompt_md5 FROM chat", extra=[("chat", _CHAT_SQL)]))
+                               "array_to_string(list_filter(list_transform(list_filter(messages, lambda m: m.role <> 'assistant'), "
+                               f"lambda m: {S.strip('m.content')}), lambda c: c <> ''), ' ') END) AS prompt_md5 FROM chat", extra=[("chat", _CHAT_SQL)]))
 def b21_prompt_from_conversation(spark, sf):
     c = _chat(spark, sf)
     return c.select("conv_id", F.md5(B.prompt_from_conversation(F.col("messages"))).alias("prompt_md5"))

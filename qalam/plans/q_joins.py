@@ -45,21 +45,23 @@ def f6_synthetic_negatives(spark, sf):
     return p.select("id", F.transform(N.synthetic_negatives("chosen", "id"), lambda x: F.md5(x)).alias("negatives_md5"))
 
 
+NEXT_PAIR_SQL = ("SELECT p.*, o.rejected AS other FROM pairs p JOIN pairs o ON o.id = p.id % (SELECT count(*) FROM pairs) + 1")
+
+
 def _f7_sql():
     cand = ("SELECT id, k, neg, q, qn FROM (SELECT id, " + S.quality("chosen") + " AS q, unnest([rejected, prompt, "
-            "split_part(chosen, '.', 1)]) AS neg, unnest([1, 2, 3]) AS k, chosen FROM pairs) z, LATERAL (SELECT " +
+            "other]) AS neg, unnest([1, 2, 3]) AS k, chosen FROM nextp) z, LATERAL (SELECT " +
             S.quality("neg") + " AS qn) y")
     score = ("0.4 * (1.0 - abs(q - qn)) + 0.3 * (1.0 - " + S.sim("neg", "chosen_") + ") + 0.3 * least(1.0 / (abs(q - qn) + 0.1) / 10.0, 1.0)")
     body = (f"SELECT id, k, rank FROM (SELECT id, k, row_number() OVER (PARTITION BY id ORDER BY {score} DESC, k) AS rank "
             "FROM (SELECT c.*, p.chosen AS chosen_ FROM cand c JOIN pairs p USING (id)) w) x WHERE rank <= 2")
-    return S.with_views(body, "pairs", extra=[("cand", cand)])
+    return S.with_views(body, "pairs", extra=[("nextp", NEXT_PAIR_SQL), ("cand", cand)])
 
 
 @register("f7_best_negatives", _f7_sql)
 def f7_best_negatives(spark, sf):
-    p = TB.pairs(spark, sf)
-    cands = p.select("id", "chosen", F.posexplode(F.array("rejected", "prompt", F.split_part("chosen", F.lit("."), F.lit(1))))
-                     .alias("pos", "neg")).withColumn("k", F.col("pos") + 1)
+    p = TB.with_next(TB.pairs(spark, sf))
+    cands = p.select("id", "chosen", F.posexplode(F.array("rejected", "prompt", "other")).alias("pos", "neg")).withColumn("k", F.col("pos") + 1)
     b = J.best_negatives(cands, "id", "chosen", "neg", "k", 2)
     return b.select("id", F.col("k").cast("int").alias("k"), F.col("rank").cast("long").alias("rank"))
 
@@ -67,11 +69,11 @@ def f7_best_negatives(spark, sf):
 @register("f8_adaptive_negatives",
           lambda: S.with_views(
               "SELECT id, len(list_filter(list_transform([rejected, prompt], lambda z: " + S.quality("z") +
-              "), lambda qn: abs(q - qn) >= 0.05 + 0.3 * (1 - 0.5) AND abs(q - qn) <= 0.5 + 0.3 * (1 - 0.5))) AS n_selected "
+              "), lambda qn: q - qn >= 0.1 + 0.4 * (1 - 0.5) AND q - qn <= 0.8 - 0.3 * 0.5)) AS n_selected "
               "FROM (SELECT *, " + S.quality("chosen") + " AS q FROM pairs) x", "pairs"))
 def f8_adaptive_negatives(spark, sf):
-    """Progress 0.5: keep negatives whose quality gap lies in the band
-    [0.05 + 0.3 (1 - p), 0.5 + 0.3 (1 - p)]."""
+    """Progress 0.5: keep negatives whose quality lies below the chosen one's by a
+    gap in the band [0.1 + 0.4 (1 - p), 0.8 - 0.3 p]."""
     p = TB.pairs(spark, sf)
     return p.select("id", F.size(J.adaptive_negatives(T.quality("chosen"), F.array("rejected", "prompt"), 0.5)).alias("n_selected"))
 

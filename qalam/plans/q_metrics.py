@@ -100,7 +100,7 @@ def i6_preference_profile(spark, sf):
 @register("i7_sft_quality_metrics",
           lambda: S.with_views(
               f"SELECT {R('avg(length(instruction))')} AS avg_instruction_chars, {R('avg(length(response))')} AS avg_response_chars, "
-              f"{R('avg(CAST(' + S.has_arabic('response') + ' AS DOUBLE))')} AS arabic_ratio, "
+              f"{R('avg(CAST(' + S.has_arabic('instruction') + ' AS DOUBLE))')} AS arabic_ratio, "
               f"{R('1.0 - count(DISTINCT (instruction, response)) / count(*)')} AS duplicate_ratio FROM sft", "sft"))
 def i7_sft_quality_metrics(spark, sf):
     return rall(M.sft_quality_metrics(TB.sft(spark, sf)))
@@ -377,24 +377,23 @@ def i27_dialect_rollup(spark, sf):
 
 
 def _mc_src_sql():
-    w = S.words("text")
-    return (f"SELECT item_id, {w}[1:4] AS options, CAST(item_id % 4 AS INTEGER) AS answer, "
-            f"CAST(list_position(list_transform({w}[1:4], lambda z: length(z)), list_max(list_transform({w}[1:4], lambda z: length(z)))) - 1 "
-            "AS INTEGER) AS prediction FROM benchmark")
+    return ("SELECT g, options, CAST(g % len(options) AS INTEGER) AS answer, CAST(list_position(lens, list_max(lens)) - 1 AS INTEGER) "
+            "AS prediction FROM (SELECT item_id // 4 AS g, list(text ORDER BY item_id) AS options, "
+            "list(length(text) ORDER BY item_id) AS lens FROM benchmark GROUP BY 1) o")
 
 
 @register("i28_multiple_choice_accuracy",
-          lambda: f"SELECT {R('avg(CAST(prediction = answer AS DOUBLE))')} AS accuracy, count(*) AS n FROM ({_mc_src_sql()}) x "
-                  "WHERE len(options) = 4")
+          lambda: f"SELECT {R('avg(CAST(prediction = answer AS DOUBLE))')} AS accuracy, count(*) AS n FROM ({_mc_src_sql()}) x")
 def i28_multiple_choice_accuracy(spark, sf):
-    """Options = the first four words of a benchmark item; answer = item_id % 4;
-    prediction = index of the longest option (first on ties)."""
+    """Options = the whole texts of four consecutive benchmark items; answer =
+    question number modulo their number; prediction = the longest option
+    (first on ties)."""
     b = TB.table(spark, sf, "benchmark")
-    opts = F.slice(T.py_words("text"), 1, 4)
-    lens = F.transform(opts, lambda z: F.length(z))
+    q = b.groupBy(F.floor(F.col("item_id") / 4).alias("g")).agg(
+        F.sort_array(F.collect_list(F.struct("item_id", "text"))).alias("options"))
+    lens = F.transform("options", lambda z: F.length(z["text"]))
     pred = (F.array_position(lens, F.array_max(lens)) - 1).cast("int")
-    m = b.select(opts.alias("options"), (F.col("item_id") % 4).cast("int").alias("answer"), pred.alias("prediction"))
-    m = m.filter(F.size("options") == 4)
+    m = q.select(pred.alias("prediction"), F.pmod(F.col("g"), F.size("options")).cast("int").alias("answer"))
     return m.agg(F.round(F.avg((F.col("prediction") == F.col("answer")).cast("double")), 6).alias("accuracy"),
                  F.count(F.lit(1)).alias("n"))
 

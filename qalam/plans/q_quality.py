@@ -9,6 +9,7 @@ from ..operators import quality as Q
 from ..sources import tables as TB
 from . import sqlref as S
 from .catalog import register
+from .q_joins import NEXT_PAIR_SQL
 
 
 @register("e1_length_filter", lambda: "SELECT doc_id FROM documents WHERE length(text) BETWEEN 10 AND 2048")
@@ -142,8 +143,8 @@ def e13_dpo_filters(spark, sf):
 
 @register("e14_ipo_filters",
           lambda: S.with_views(
-              "SELECT id, CASE WHEN length(chosen) / CAST(greatest(length(rejected), 1) AS DOUBLE) > 3.0 THEN 'length_ratio' "
-              "WHEN abs(length(chosen) - length(rejected)) > 2000 THEN 'length_difference' WHEN " +
+              "SELECT id, CASE WHEN greatest(length(chosen), length(rejected)) / CAST(greatest(least(length(chosen), length(rejected)), 1) "
+              "AS DOUBLE) > 3.0 THEN 'length_ratio' WHEN abs(length(chosen) - length(rejected)) < 20 THEN 'length_difference' WHEN " +
               S.length_bias("chosen", "rejected") + " > 0.5 THEN 'length_bias' END AS filter_reason FROM pairs", "pairs"))
 def e14_ipo_filters(spark, sf):
     return Q.ipo_filter(TB.pairs(spark, sf)).select("id", "filter_reason")
@@ -160,11 +161,11 @@ def e15_kto_filters(spark, sf):
 
 
 @register("e16_cpo_validity",
-          lambda: S.with_views("SELECT id, len(list_filter([rejected, split_part(chosen, '.', 1), prompt], lambda z: length(z) > 0)) "
-                               "BETWEEN 2 AND 8 AS valid FROM pairs", "pairs"))
+          lambda: S.with_views("SELECT id, len(list_filter([rejected, other, prompt], lambda z: length(z) > 0)) "
+                               "BETWEEN 2 AND 8 AS valid FROM nextp", "pairs", extra=[("nextp", NEXT_PAIR_SQL)]))
 def e16_cpo_validity(spark, sf):
-    p = TB.pairs(spark, sf).withColumn("negatives", F.filter(F.array("rejected", F.split_part("chosen", F.lit("."), F.lit(1)),
-                                                                     "prompt"), lambda z: F.length(z) > 0))
+    p = TB.with_next(TB.pairs(spark, sf)).withColumn("negatives", F.filter(F.array("rejected", "other", "prompt"),
+                                                                           lambda z: F.length(z) > 0))
     return p.select("id", Q.cpo_valid("negatives").alias("valid"))
 
 
@@ -202,8 +203,15 @@ def e18_stage_pipeline(spark, sf):
 
 
 @register("e19_sample_format_issues",
-          lambda: S.with_views("SELECT conv_id, issue FROM (SELECT conv_id, CASE WHEN coalesce(" + S.strip("instruction") +
-                               ", '') = '' THEN 'instruction: blank' WHEN length(" + S.strip("instruction") +
-                               ") < 10 THEN 'instruction: shorter than 10' END AS issue FROM sft) x WHERE issue IS NOT NULL", "sft"))
+          lambda: S.with_views("SELECT 'sft' AS kind, CAST(conv_id AS VARCHAR) AS key, 'Empty or missing instruction' AS issue FROM sft "
+                               f"WHERE coalesce({S.strip('instruction')}, '') = '' UNION ALL "
+                               "SELECT 'sft', CAST(conv_id AS VARCHAR), 'Empty or missing output' FROM sft "
+                               f"WHERE coalesce({S.strip('response')}, '') = '' UNION ALL "
+                               "SELECT 'text', CAST(doc_id AS VARCHAR), CASE WHEN "
+                               f"coalesce({S.strip('text')}, '') = '' THEN 'Empty or missing text' ELSE 'Text too short' END FROM ar_docs "
+                               f"WHERE coalesce({S.strip('text')}, '') = '' OR length(text) < 10", "sft", "ar_docs"))
 def e19_sample_format_issues(spark, sf):
-    return Q.sample_format_issues(TB.sft(spark, sf), "conv_id", ("instruction",))
+    sft = TB.sft(spark, sf).withColumnRenamed("response", "output")
+    a = Q.sample_format_issues(sft, "conv_id", "instruction").select(F.lit("sft").alias("kind"), F.col("conv_id").alias("key"), "issue")
+    b = Q.sample_format_issues(TB.ar_docs(spark, sf), "doc_id", "text").select(F.lit("text").alias("kind"), F.col("doc_id").alias("key"), "issue")
+    return a.unionByName(b).withColumn("key", F.col("key").cast("string"))

@@ -63,7 +63,7 @@ proj("c3_normalize_dialect", "ar_docs", {"normalized_md5": lambda: F.md5(T.norma
 
 # C4 --------------------------------------------------------------------------
 def _norm_ar_sql(x):
-    y = S.rr(x, r"[\x{064B}-\x{0652}\x{0670}]")
+    y = S.rr(x, r"[\x{064B}-\x{065F}\x{0670}\x{0640}]")
     y = S.rr(y, r"\x{0640}")
     y = f"translate({y}, 'إآا', 'أأأ')"
     y = f"translate({y}, {S.q(L.TEH_MARBUTA)}, {S.q(L.TEH)})"
@@ -301,7 +301,7 @@ proj("c30_diacritic_counts", "ar_docs",
      {"diacritics": f"CAST({S.char_count('text', L.HARAKAT)} AS BIGINT)",
       "diacritized_words": f"CAST(len(list_filter({S.words('text')}, lambda w: regexp_matches(w, {S.q('[' + L.HARAKAT + ']')}))) AS BIGINT)"})
 proj("c31_numeral_conversion", "ar_docs",
-     {"eastern_md5": lambda: F.md5(T.western_to_arabic_digits(F.col("source"))),
-      "roundtrip_ok": lambda: T.arabic_to_western_digits(T.western_to_arabic_digits(F.col("source"))) == F.col("source")},
-     {"eastern_md5": f"md5(translate(source, '0123456789', {S.q(T.ARABIC_DIGITS)}))",
-      "roundtrip_ok": f"translate(translate(source, '0123456789', {S.q(T.ARABIC_DIGITS)}), {S.q(T.ARABIC_DIGITS)}, '0123456789') = source"})
+     {"eastern_md5": lambda: F.md5(T.western_to_arabic_digits(F.col("text"))),
+      "roundtrip_ok": lambda: T.arabic_to_western_digits(T.western_to_arabic_digits(F.col("text"))) == F.col("text")},
+     {"eastern_md5": f"md5(translate(text, '0123456789', {S.q(T.ARABIC_DIGITS)}))",
+      "roundtrip_ok": f"translate(translate(text, '0123456789', {S.q(T.ARABIC_DIGITS)}), {S.q(T.ARABIC_DIGITS)}, '0123456789') = text"})

@@ -130,12 +130,11 @@ def sft_sql() -> str:
 
 
 def pairs_sql() -> str:
-    return ("SELECT g.rn AS id, split_part(g.text, chr(10), 1) AS prompt, g.text AS chosen, b.text AS rejected, "
-            "g.doc_id AS chosen_id, b.doc_id AS rejected_id FROM "
-            "(SELECT l.doc_id, d.text, row_number() OVER (ORDER BY l.doc_id) AS rn FROM labels l "
-            " JOIN documents d USING (doc_id) WHERE l.quality = 1) g JOIN "
-            "(SELECT l.doc_id, d.text, row_number() OVER (ORDER BY l.doc_id) AS rn FROM labels l "
-            " JOIN documents d USING (doc_id) WHERE l.quality = 0) b ON g.rn = b.rn")
+    one = ("(SELECT l.doc_id, d.text, row_number() OVER (ORDER BY l.doc_id) AS rn, count(*) OVER () AS n FROM labels l "
+           "JOIN documents d USING (doc_id) WHERE l.quality = {})")
+    return ("SELECT greatest(g.rn, b.rn) AS id, split_part(g.text, chr(10), 1) AS prompt, g.text AS chosen, b.text AS rejected, "
+            f"g.doc_id AS chosen_id, b.doc_id AS rejected_id FROM {one.format(1)} g JOIN {one.format(0)} b "
+            "ON CASE WHEN g.n >= b.n THEN (g.rn - 1) % b.n + 1 = b.rn ELSE (b.rn - 1) % g.n + 1 = g.rn END")
 
 
 def kto_sql() -> str:
@@ -358,10 +357,10 @@ def response_quality(x):
 
 
 def arabic_quality(x):
-    qs = " OR ".join(f"contains({x}, {q(t)})" for t in L.EVAL_QUESTION_WORDS)
+    qs = " OR ".join(f"contains({x}, {q(t)})" for t in ("ما", "كيف", "لماذا", "أين", "متى"))
     return (f"least((CASE WHEN regexp_matches({x}, {q('[' + L.AR1 + ']')}) THEN 0.3 ELSE 0.0 END) + "
             f"(CASE WHEN regexp_matches({x}, {q('[' + L.HARAKAT + ']')}) THEN 0.2 ELSE 0.0 END) + "
-            f"(CASE WHEN regexp_matches({x}, '[.!?؟]') THEN 0.3 ELSE 0.0 END) + "
+            f"(CASE WHEN contains({x}, '.') THEN 0.3 ELSE 0.0 END) + "
             f"(CASE WHEN {qs} THEN 0.2 ELSE 0.0 END), 1.0)")
 
 

@@ -7,7 +7,9 @@ overwritten. Defaults below only fill gaps, which is what local tests need.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -61,12 +63,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use ``spark.checkpoint.dir`` from the session; set a local one only if unset.
 
     On a cluster the setting names a shared folder (HDFS/S3/ABFS) that
-    survives executor loss. The local fallback exists for tests only.
+    survives executor loss; without it this raises. The local fallback
+    exists for tests only and goes when the process ends.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="qalam-ckpt-", dir=os.environ.get("QALAM_LOCAL_TMP", "/tmp"))
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
         try:
             spark.conf.set("spark.checkpoint.dir", configured)
         except Exception:  # core conf, not settable at runtime: the context dir below suffices

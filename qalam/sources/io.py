@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 FORMATS = {".json": "json", ".jsonl": "json", ".csv": "csv", ".tsv": "csv", ".parquet": "parquet", ".txt": "text"}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -26,25 +26,23 @@ def detect_format(path: str) -> str:
     return FORMATS.get(os.path.splitext(path.rstrip("/"))[1].lower(), "json")
 
 
-def _is_json_array(spark: SparkSession, path: str) -> bool:
-    """True when the (first) JSON file starts with '['; read only its first bytes."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 64).alias("h")).limit(1).collect()
-    return bool(head) and bytes(head[0]["h"]).lstrip().startswith(b"[")
-
-
-def read_corpus(spark: SparkSession, path: str, fmt: str = "auto", schema=None) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, fmt: str = "auto", schema=None, json_array: bool = False,
+                multiline_csv: bool = False) -> DataFrame:
     """A1/A2: read json/jsonl/csv/tsv/parquet/text; unknown suffix -> json.
-    A missing path raises FileNotFoundError; an unknown format ValueError."""
-    if not _exists(spark, path):
+    A missing path raises FileNotFoundError; an unknown format ValueError.
+    ``json_array``: each file holds one array (else a record a line);
+    ``multiline_csv``: quoted fields hold line breaks. Either makes a file
+    one task, so both are the caller's to say."""
+    if not exists(spark, path):
         raise FileNotFoundError(f"Dataset path not found: {path}")
     if fmt == "auto":
         fmt = detect_format(path)
     r = spark.read.schema(schema) if schema is not None else spark.read
     if fmt == "json":
-        return r.option("multiLine", _is_json_array(spark, path)).json(path)
+        return r.option("multiLine", json_array).json(path)
     if fmt == "csv":
         sep = "\t" if path.lower().endswith(".tsv") else ","
-        return r.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').csv(path)
+        return r.option("header", True).option("sep", sep).option("multiLine", multiline_csv).option("escape", '"').csv(path)
     if fmt == "tsv":
         return r.option("header", True).option("sep", "\t").csv(path)
     if fmt == "parquet":
@@ -60,7 +58,7 @@ def read_with_validation(spark: SparkSession, path: str, fmt: str = "auto") -> D
     train = read_corpus(spark, path, fmt).withColumn("split", F.lit("train"))
     stem, ext = os.path.splitext(path)
     val = f"{stem}_val{ext}"
-    if _exists(spark, val):
+    if exists(spark, val):
         return train.unionByName(read_corpus(spark, val, fmt).withColumn("split", F.lit("validation")),
                                  allowMissingColumns=True)
     return train
@@ -144,7 +142,7 @@ def cached_processed(df_fn, spark: SparkSession, cache_root: str, source: str, c
     import hashlib
     key = hashlib.sha256((source + json.dumps(config, sort_keys=True)).encode()).hexdigest()[:16]
     path = f"{cache_root.rstrip('/')}/{key}"
-    if _exists(spark, path + "/_SUCCESS"):
+    if exists(spark, path + "/_SUCCESS"):
         return spark.read.parquet(path)
     df_fn().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

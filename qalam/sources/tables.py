@@ -16,27 +16,16 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-# Tables whose rows carry long text: per-row CPU dominates, so they are spread
-# over all cores when the scan yields fewer splits than that.
+# Session setting for benches on tables of one row group: deal the rows of the
+# text tables to so many partitions. Unset, as on a cluster, a scan is a scan.
+SPREAD = "qalam.spread.text.tables"
 TEXT_TABLES = {"documents", "conversations", "pages", "benchmark"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin to the cluster's parallelism when the scan has fewer splits.
-
-    A no-op at scale (many files and row groups give many splits); on a
-    single-row-group file it turns one CPU-bound task into one per core.
-    """
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    parts = spark.conf.get(SPREAD, None)
+    return df.repartition(int(parts)) if parts and name in TEXT_TABLES else df
 
 
 # ---------------------------------------------------------------------------
@@ -89,23 +78,35 @@ def sft(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pairs(id, prompt, chosen, rejected)``: the i-th quality-1 document is
-    paired with the i-th quality-0 document (both ordered by doc_id); the
-    prompt is the first line of the chosen text."""
+    """``pairs(id, prompt, chosen, rejected)``: every document of the larger
+    quality class, ordered by doc_id, is paired with the document of the
+    smaller class that has its number modulo that class's size; the prompt is
+    the first line of the chosen text."""
     from ..operators.ranking import grouped_row_number
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranked = grouped_row_number(lab, ["quality"], ["doc_id"], "rn", max_groups=2)
+    sizes = lab.agg(F.count_if(F.col("quality") == 1).alias("ng"), F.count_if(F.col("quality") == 0).alias("nb"))
+    larger = F.when(F.col("ng") >= F.col("nb"), 1).otherwise(0)
+    ids = ranked.crossJoin(sizes).filter((F.col("quality") == larger) & (F.col("ng") > 0) & (F.col("nb") > 0)).select(
+        F.col("rn").alias("id"), (F.pmod(F.col("rn") - 1, "ng") + 1).alias("g"), (F.pmod(F.col("rn") - 1, "nb") + 1).alias("b"))
     good = ranked.filter("quality = 1").join(docs, "doc_id").select(
-        "rn", F.col("doc_id").alias("chosen_id"), F.col("text").alias("chosen_text"))
+        F.col("rn").alias("g"), F.col("doc_id").alias("chosen_id"), F.col("text").alias("chosen_text"))
     bad = ranked.filter("quality = 0").join(docs, "doc_id").select(
-        "rn", F.col("doc_id").alias("rejected_id"), F.col("text").alias("rejected"))
-    j = good.join(bad, "rn")
+        F.col("rn").alias("b"), F.col("doc_id").alias("rejected_id"), F.col("text").alias("rejected"))
+    j = ids.join(good, "g").join(bad, "b")
     prompt = F.substring_index(F.col("chosen_text"), "\n", 1)
-    return j.select(F.col("rn").alias("id"), prompt.alias("prompt"),
+    return j.select("id", prompt.alias("prompt"),
                     F.col("chosen_text").alias("chosen"), "rejected", "chosen_id", "rejected_id")
 
 
+def with_next(p: DataFrame) -> DataFrame:
+    """``pairs`` with ``other``: the rejected text of the pair after it (the first one's for the last)."""
+    n = p.agg(F.count(F.lit(1)).alias("n"))
+    after = p.select(F.col("id").alias("_next"), F.col("rejected").alias("other"))
+    return p.crossJoin(n).withColumn("_next", F.pmod(F.col("id"), "n") + 1).join(after, "_next").drop("_next", "n")
+
+
 def kto(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``kto(id, prompt, completion, label)``: labelled documents; label = quality."""
     lab = table(spark, sf_dir, "labels")

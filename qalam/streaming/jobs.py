@@ -18,6 +18,7 @@ from ..functions import text as T
 from ..operators import dialect as D
 from ..operators import quality as Q
 from ..session import ensure_checkpoint_dir
+from ..sources import io as IO
 from ..sources import tables as TB
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -29,9 +30,20 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex[:8]}"
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str, schema: str, max_files: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+#: Session setting: files that a micro-batch takes at most (unset: all there are).
+FILES_PER_TRIGGER = "qalam.stream.files.per.trigger"
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str, schema: str, max_files: int | None = None) -> DataFrame:
+    """The table as a stream, whether it is one file or a folder of files."""
+    folder, table = sf_dir.rstrip("/"), f"{name}.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}")
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    r = spark.readStream.schema(schema)
+    max_files = max_files or spark.conf.get(FILES_PER_TRIGGER, None)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", int(max_files))
+    return r.parquet(f"{folder}/{table}") if whole else r.option("pathGlobFilter", table).parquet(folder)
 
 
 def arabise(df: DataFrame) -> DataFrame:
@@ -120,12 +132,13 @@ def live_loss_trend(spark: SparkSession, sf_dir: str, window: int = 10, buffer:
     s = stream_table(spark, sf_dir, "events", EVENT_SCHEMA).select(F.col("user_id").alias("run"), "ts", "event_id", "value")
 
     def update(key, pdfs, state):
-        vals = list(state.get[0]) if state.exists else []
+        # the latest values by (ts, event_id), whatever batch or Arrow block they come in
+        rows = list(zip(*state.get)) if state.exists else []
         for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            vals.extend(pdf["value"].tolist())
-        vals = vals[-buffer:]
-        state.update((vals,))
+            rows += list(zip(pdf["ts"].astype("int64").tolist(), pdf["event_id"].tolist(), pdf["value"].tolist()))
+            rows = sorted(rows)[-buffer:]
+        state.update(tuple(list(c) for c in zip(*rows)))
+        vals = [r[2] for r in rows]
         n = len(vals)
         if n <= window:
             trend = "insufficient"
@@ -138,14 +151,17 @@ def live_loss_trend(spark: SparkSession, sf_dir: str, window: int = 10, buffer:
                             "should_stop": [trend == "increasing" and n > 50]})
 
     out = s.groupBy("run").applyInPandasWithState(
-        update, "run long, n_points long, trend string, should_stop boolean", "vals array<double>", "update",
+        update, "run long, n_points long, trend string, should_stop boolean", "ts array<bigint>, event_id array<bigint>, vals array<double>", "update",
         GroupStateTimeout.NoTimeout)
     path = f"{base}/out"
 
-    def write(batch, batch_id):
-        batch.write.mode("append").parquet(path)
+    def write(batch, batch_id):  # a replayed batch writes over itself
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     run_available(out, path, f"{base}/ckpt", mode="update", foreach_batch=write)
-    return spark.read.parquet(path)
+    # a run's trend is that of the last batch it was in
+    last = spark.read.parquet(path)
+    newest = last.groupBy("run").agg(F.max("batch_id").alias("batch_id"))
+    return last.join(newest, ["run", "batch_id"]).drop("batch_id")
 
 
 def capped_balanced_sink(spark: SparkSession, sf_dir: str, cap: int = 40, seed: int = 42) -> DataFrame:
@@ -160,16 +176,20 @@ def capped_balanced_sink(spark: SparkSession, sf_dir: str, cap: int = 40, seed:
 
     def write(batch, batch_id):
         sp = batch.sparkSession
-        try:
-            seen = sp.read.parquet(totals)
-        except Exception:
-            seen = sp.createDataFrame([], "dialect string, taken long")
-        ranked = batch.withColumn("__r", F.row_number().over(W.partitionBy("dialect").orderBy(T.u(seed, F.col("doc_id")), "doc_id")))
-        chosen = ranked.join(F.broadcast(seen), "dialect", "left").filter(
-            F.col("__r") <= F.lit(cap) - F.coalesce(F.col("taken"), F.lit(0))).drop("__r", "taken").checkpoint()
-        chosen.write.mode("append").parquet(out)
-        new_tot = chosen.groupBy("dialect").agg(F.count(F.lit(1)).alias("c")).join(seen, "dialect", "full_outer") \
-            .select("dialect", (F.coalesce("taken", F.lit(0)) + F.coalesce("c", F.lit(0))).alias("taken")).checkpoint()
-        new_tot.write.mode("overwrite").parquet(totals)
+        seen = sp.createDataFrame([], "dialect string, taken long")
+        if batch_id and IO.exists(sp, f"{totals}/{batch_id - 1}"):
+            seen = sp.read.schema("dialect string, taken long").parquet(f"{totals}/{batch_id - 1}")
+        # the rank up to a literal cap is a group limit: no task sorts a whole dialect; texts join the winners
+        at = F.struct(T.u(seed, F.col("doc_id")).alias("u"), "doc_id")
+        ranked = batch.select("dialect", "doc_id").withColumn("__r", F.row_number().over(W.partitionBy("dialect").orderBy(at))) \
+            .filter(F.col("__r") <= cap)
+        picked = ranked.join(seen, "dialect", "left").filter(
+            F.col("__r") <= F.lit(cap) - F.coalesce(F.col("taken"), F.lit(0))).select("doc_id", "dialect")
+        # a replayed batch writes over itself
+        batch.join(picked.select("doc_id"), "doc_id", "left_semi").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        taken = sp.read.schema(batch.schema).parquet(f"{out}/batch_id={batch_id}").groupBy("dialect").agg(F.count(F.lit(1)).alias("c"))
+        taken.join(seen, "dialect", "full_outer").select(
+            "dialect", (F.coalesce("taken", F.lit(0)) + F.coalesce("c", F.lit(0))).alias("taken")
+        ).write.mode("overwrite").parquet(f"{totals}/{batch_id}")
     run_available(s, out, f"{base}/ckpt", foreach_batch=write)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch_id")
