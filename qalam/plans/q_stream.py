@@ -8,43 +8,69 @@ from pyspark.sql import functions as F
 
 from ..sources import tables as TB
 from ..streaming import jobs as K
+from . import sqlref as S
 from .catalog import register
 
 
-@register("k1_stream_ingest")
+def _clean_tagged_sql():
+    return S.with_views(
+        f"SELECT doc_id, dialect, round(confidence, 6) AS confidence, round({S.quality_score('text')}, 6) AS quality_score "
+        f"FROM tagged WHERE {S.quality_score('text')} >= 0.6", "ar_docs",
+        extra=[("cleaned", f"SELECT doc_id, {S.clean_text('text')} AS text, lang, source FROM ar_docs"),
+               ("tagged", S.detect_dialect_select("cleaned", keep="doc_id, text, lang, source"))])
+
+
+def _tagged_sql(body):
+    return S.with_views(body, "ar_docs", extra=[("tagged", S.detect_dialect_select("ar_docs", keep="doc_id, text, lang, source"))])
+
+
+_WINDOWS_SQL = ("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, user_id AS run, round(avg(value), 6) AS mean_value, "
+                "count(*) AS n FROM events GROUP BY 1, 2")
+
+
+@register("k1_stream_ingest", _clean_tagged_sql)
 def k1_stream_ingest(spark, sf):
     return K.ingest(spark, sf).select("doc_id", "dialect", F.round("confidence", 6).alias("confidence"),
                                       F.round("quality_score", 6).alias("quality_score"))
 
 
-@register("k2_running_dialect_counts")
+@register("k2_running_dialect_counts",
+          lambda: _tagged_sql("SELECT dialect, count(*) AS n FROM tagged WHERE text <> '' GROUP BY dialect"))
 def k2_running_dialect_counts(spark, sf):
     return K.running_dialect_counts(spark, sf)
 
 
-@register("k3_stream_dedup")
+@register("k3_stream_dedup", lambda: f"SELECT DISTINCT {S.normalized_hash('text')} AS h FROM documents")
 def k3_stream_dedup(spark, sf):
-    return K.stream_dedup(spark, sf)
+    """The texts that pass; which of equal ones passes depends on their arrival."""
+    return K.stream_dedup(spark, sf).select("h")
 
 
-@register("k4_stream_metric_windows")
+@register("k4_stream_metric_windows", lambda: _WINDOWS_SQL)
 def k4_stream_metric_windows(spark, sf):
     return K.stream_metric_windows(spark, sf).select("window_start", "run", F.round("mean_value", 6).alias("mean_value"), "n")
 
 
 @register("k4_metric_windows_batch",
-          lambda: "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, user_id AS run, round(avg(value), 6) AS mean_value, "
-                  "count(*) AS n FROM events GROUP BY 1, 2")
+          lambda: _WINDOWS_SQL)
 def k4_metric_windows_batch(spark, sf):
     e = TB.table(spark, sf, "events")
     return K.metric_windows(e).select("window_start", "run", F.round("mean_value", 6).alias("mean_value"), "n")
 
 
-@register("k5_live_loss_trend")
+@register("k5_live_loss_trend",
+          lambda: "SELECT run, CAST(n_points AS BIGINT) AS n_points, trend, trend = 'increasing' AND n_points > 50 AS should_stop FROM ("
+                  "SELECT run, n_points, CASE WHEN n_points <= 10 THEN 'insufficient' WHEN recent > prev * 1.05 THEN 'increasing' "
+                  "WHEN recent < prev * 0.95 THEN 'decreasing' ELSE 'stable' END AS trend FROM (SELECT run, count(*) AS n_points, "
+                  "avg(CASE WHEN k <= 10 THEN value END) AS recent, avg(CASE WHEN k > 10 AND k <= 20 THEN value END) AS prev FROM ("
+                  "SELECT user_id AS run, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k "
+                  "FROM events) a WHERE k <= 100 GROUP BY run) b) c")
 def k5_live_loss_trend(spark, sf):
     return K.live_loss_trend(spark, sf)
 
 
-@register("k6_capped_balanced_sink")
+@register("k6_capped_balanced_sink",
+          lambda: _tagged_sql("SELECT doc_id, dialect FROM (SELECT doc_id, dialect, row_number() OVER (PARTITION BY dialect ORDER BY "
+                              + S.u(42, "doc_id") + ", doc_id) AS r FROM tagged WHERE confidence > 0.3) x WHERE r <= 40"))
 def k6_capped_balanced_sink(spark, sf):
     return K.capped_balanced_sink(spark, sf).select("doc_id", "dialect")
