@@ -222,6 +222,10 @@ def dialect_variants(df: DataFrame, text_col: str, key_col: str, dialects=None,
     return df.select("*", v.alias("__v")).select(*df.columns, "__v.target_dialect", "__v.variant")
 
 
+#: Augmented copies that one row expands into.
+COPY_BLOCK = 65_536
+
+
 def balance_by_dialect(tagged: DataFrame, key_col: str, text_col: str = "text", target: int = 1000,
                        augment_minority: bool = True, seed: int = 42, min_confidence: float = 0.3,
                        quotas: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
@@ -263,9 +267,14 @@ def balance_by_dialect(tagged: DataFrame, key_col: str, text_col: str = "text",
         .select(*tagged.columns, F.lit(False).alias("augmented"), F.lit(0).cast("long").alias("copy_id"))
     if not augment_minority:
         return originals
-    need = counts.filter((F.col("n") < F.col("target")) & (F.col("n") > 0)) \
-        .select("dialect", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("target") - F.col("n")))
-                .alias("copy_id"))
+    # the missing copies in two steps, so that no task makes all of a dialect's
+    short = F.col("target") - F.col("n")
+    blocks = counts.filter((short > 0) & (F.col("n") > 0)).select(
+        "dialect", "n", short.alias("__short"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((short - 1) / COPY_BLOCK))).alias("__block")) \
+        .repartition("dialect", "__block")
+    need = blocks.select("dialect", "n", F.explode(F.sequence(
+        F.col("__block") * COPY_BLOCK + 1, F.least((F.col("__block") + 1) * COPY_BLOCK, F.col("__short")))).alias("copy_id"))
     pick = (F.floor(T.u(seed, F.concat(F.col("dialect"), F.lit("|"), F.col("copy_id").cast("string")))
                     * F.col("n")) + 1).cast("long")
     need = need.select("dialect", "copy_id", pick.alias("__rn"))

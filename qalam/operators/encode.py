@@ -2,9 +2,7 @@
 
 The default tokenizer is a deterministic whitespace tokenizer whose ids are
 hashes of the words (``md5`` prefix mod vocabulary), so it runs as native
-expressions and can be reproduced in SQL. A real tokenizer plugs in through
-``hf_token_ids``: an iterator Pandas UDF that loads the tokenizer file once
-per Python worker and encodes Arrow batches.
+expressions and can be reproduced in SQL.
 """
 
 from __future__ import annotations
@@ -27,22 +25,6 @@ def word_ids(text: Column, vocab: int = VOCAB) -> Column:
                        .cast("int"))
 
 
-def hf_token_ids(tokenizer_file: str):
-    """Pandas UDF (iterator form) encoding a string column with a
-    ``tokenizers`` JSON file, loaded once per worker."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("array<int>")
-    def encode(batches):
-        from tokenizers import Tokenizer  # imported on the worker
-        tok = Tokenizer.from_file(tokenizer_file)
-        for s in batches:
-            enc = tok.encode_batch([x if x is not None else "" for x in s.tolist()], add_special_tokens=False)
-            yield pd.Series([e.ids for e in enc])
-    return encode
-
-
 def mask_prefix(ids: Column, n: Column) -> Column:
     """Labels: the first ``n`` positions set to -100, the rest copied. Built
     from ``array_repeat`` + ``slice`` so ``n`` is evaluated once per row."""

@@ -117,7 +117,7 @@ def sft_quality_metrics(df: DataFrame, instruction: str = "instruction", respons
                         exact: bool = True) -> DataFrame:
     """Average lengths, Arabic share, duplicate ratio 1 - distinct/count
     (``exact=False`` uses the HyperLogLog sketch at scale)."""
-    distinct = F.count_distinct(instruction, response) if exact else F.approx_count_distinct(F.concat_ws("\u0001", instruction, response))
+    distinct = F.count_distinct(F.md5(instruction), F.md5(response)) if exact else F.approx_count_distinct(F.concat_ws("\u0001", instruction, response))
     return df.agg(F.avg(F.length(instruction)).alias("avg_instruction_chars"), F.avg(F.length(response)).alias("avg_response_chars"),
                   F.avg(T.has_arabic(F.col(instruction)).cast("double")).alias("arabic_ratio"),
                   (1.0 - distinct / F.count(F.lit(1))).alias("duplicate_ratio"))

@@ -119,10 +119,13 @@ def synthetic_negatives(text: str = "chosen", key: str = "id", seed: int = 42):
 
 def negative_diversity(df: DataFrame, id_col: str, negs_col: str) -> DataFrame:
     """mean pairwise similarity of a row's negatives (i < j) via
-    posexplode + self-join on the row id; diversity = 1 - mean."""
+    posexplode + self-join on the row id; diversity = 1 - mean, and 0 for
+    rows with fewer than two negatives."""
     e = df.select(F.col(id_col).alias("rid"), F.posexplode(negs_col).alias("pos", "neg"))
     a = e.select("rid", F.col("pos").alias("i"), F.col("neg").alias("ni"))
     b = e.select("rid", F.col("pos").alias("j"), F.col("neg").alias("nj"))
     p = a.join(b, "rid").filter(F.col("i") < F.col("j"))
-    return p.groupBy("rid").agg(F.avg(T.sim("ni", "nj")).alias("mean_similarity")) \
-        .select(F.col("rid").alias(id_col), "mean_similarity", (1 - F.col("mean_similarity")).alias("diversity"))
+    mean = p.groupBy("rid").agg(F.avg(T.sim("ni", "nj")).alias("mean_similarity"))
+    return df.select(F.col(id_col).alias("rid")).join(mean, "rid", "left") \
+        .select(F.col("rid").alias(id_col), "mean_similarity",
+                F.coalesce(1 - F.col("mean_similarity"), F.lit(0.0)).alias("diversity"))

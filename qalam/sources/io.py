@@ -111,11 +111,11 @@ def combine(frames: dict[str, DataFrame]) -> DataFrame:
 
 
 def inventory(frames: dict[str, DataFrame]) -> DataFrame:
-    """A10: per set: row count, column list and the first row as JSON; one
-    aggregate per set, unioned."""
+    """A10: per set: row count, column list and the first row (the least by its
+    columns in order) as JSON; one aggregate per set, unioned."""
     out = None
     for name, df in frames.items():
-        first = F.to_json(F.first(F.struct(*df.columns), ignorenulls=False))
+        first = F.to_json(F.min(F.struct(*df.columns)))
         t = df.agg(F.count(F.lit(1)).alias("num_rows"), first.alias("first_row")) \
             .select(F.lit(name).alias("dataset"), "num_rows", F.lit(",".join(df.columns)).alias("columns"), "first_row")
         out = t if out is None else out.unionByName(t)

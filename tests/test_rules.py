@@ -86,6 +86,11 @@ def test_synthetic_negatives_follow_the_word_count(spark):
     assert got[4] == ["غير لا ليس", N.GENERIC_ANSWER]
 
 
+def test_diversity_of_fewer_than_two_negatives_is_zero(spark):
+    df = spark.createDataFrame([(1, ["a"]), (2, []), (3, ["a b", "a b"]), (4, None)], "id long, negs array<string>")
+    assert {r.id: r.diversity for r in N.negative_diversity(df, "id", "negs").collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+
+
 def test_filters_and_issues(spark):
     rows = [(1, "a" * 100, "b" * 20), (2, "a" * 20, "b" * 100), (3, "a" * 40, "b" * 30)]
     got = {r.id: r.filter_reason for r in Q.ipo_filter(spark.createDataFrame(rows, "id long, chosen string, rejected string")).collect()}
