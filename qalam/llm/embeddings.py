@@ -25,8 +25,9 @@ from .components import components
 CHUNK = 4096
 PIVOTS = 64
 LEAF = 32
-#: Slack of the bounds against rounding; pairs within it are compared exactly.
-EPS = 1e-9
+#: Slack of the bounds against rounding; pairs within it are compared exactly. A distance of near 0 comes
+#: from a cosine, so it may be off by the root of a double's precision.
+EPS = 1e-7
 
 
 def unit(rows: list) -> np.ndarray:

@@ -26,7 +26,7 @@ from .common import written
 from .components import components
 
 BITS = 64
-#: Candidates beyond which a fingerprint counts as dense.
+#: Candidates beyond which a fingerprint counts as dense: estimated ones, or the true ones of one key.
 DENSE = 1024
 #: A part's value enters the estimate by its count if that is at least this share of all rows.
 HEAVY_SHARE = 1 / 20_000
@@ -229,9 +229,17 @@ def links(fps: DataFrame, max_bits: int = 3, dense: int = DENSE) -> DataFrame:
                         yield pd.DataFrame({"key": _key(i, v[who] ^ mask), "u": fp[who]})
 
     probes = written(fps.mapInPandas(probe, "key long, u long"), "probes")
-    found = probes.where("key >= 0").join(fps.mapInPandas(index, "key long, v long"), "key").where(
-        F.col("u") != F.col("v")).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits).select("u", "v")
+    entries = fps.mapInPandas(index, "key long, v long")
     hot = probes.where("key = -1").select(F.col("u").alias("fp"))
+    cold = probes.where("key >= 0")
+    # keys that the estimate took for small: whoever probes one is dense after all
+    crowds = written(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > dense).select("key"), "crowds")
+    if not crowds.isEmpty():
+        late = written(cold.join(crowds, "key", "left_semi").select(F.col("u").alias("fp")).distinct(), "crowded")
+        hot = hot.unionAll(late)
+        cold = cold.join(late, cold["u"] == late["fp"], "left_anti")
+    found = cold.join(entries, "key").where(F.col("u") != F.col("v")).where(
+        F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits).select("u", "v")
     return found if hot.isEmpty() else found.unionAll(_dense_links(hot, max_bits))
 
 

@@ -50,8 +50,9 @@ def test_op2_matches_brute_force(spark, texts):
     assert len({c for _, c in got.values()}) < len(ids)
 
 
-@pytest.mark.parametrize("dense", [1024, 6, 0])
-def test_links_have_all_components_however_dense(spark, dense):
+@pytest.mark.parametrize("dense, share", [(1024, simhash.HEAVY_SHARE), (6, simhash.HEAVY_SHARE), (6, 1.0), (0, 1.0)])
+def test_links_have_all_components_however_dense(spark, monkeypatch, dense, share):
+    monkeypatch.setattr(simhash, "HEAVY_SHARE", share)  # 1.0: no value enters the estimate
     rng = np.random.default_rng(dense)
     fps = set()
     for centre in rng.integers(0, 1 << 63, 12).tolist():
@@ -101,6 +102,21 @@ def test_simhash_edges(spark, edge_docs, no_docs):
 
 # --- embeddings -------------------------------------------------------------
 
+def test_bounds_allow_for_rounded_radii():
+    """Nearly equal vectors, whose measured radius may be 0, at the threshold from one another."""
+    rng = np.random.default_rng(3)
+    a = embeddings.unit(rng.normal(size=(1, 64)).tolist())[0]
+    side = rng.normal(size=64)
+    side = embeddings.unit([side - (side @ a) * a])[0]
+    b = 0.98 * a + np.sqrt(1 - 0.98 ** 2) * side
+    near = lambda x: embeddings.unit(x + rng.normal(scale=3e-9, size=(60, 64)))
+    x, y = embeddings.CoverTree(near(a), 4), embeddings.CoverTree(near(b), 4)
+    got = np.zeros((60, 60), bool)
+    for i, j, mask in embeddings.close_pairs(x, y, 0.98):
+        got[i, j] = True if mask is None else mask
+    assert (got == (x.x @ y.x.T >= 0.98)).all() and got.any() and not got.all()
+
+
 def brute_vectors(rows, cosine=0.98):
     ok = {i: np.array(x, float) for i, x, lab in rows if lab is not None and x and all(v is not None and np.isfinite(v) for v in x)
           and any(x)}
