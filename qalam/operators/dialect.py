@@ -312,6 +312,39 @@ def augment_with_dialects(df: DataFrame, text_col: str, key_col: str, dialects=N
                 "__e.augmentation_id")
 
 
+def validation_issues(tagged: DataFrame, text_col: str = "text", min_confidence: float = 0.5) -> DataFrame:
+    """D12 (issues): the tagged rows that are not Arabic, or whose dialect is uncertain, with ``issue``."""
+    arabic = T.has_arabic(text_col)
+    issue = F.when(~arabic, F.lit("non_arabic")).when(F.col("confidence") < min_confidence, F.lit("low_confidence"))
+    return tagged.withColumn("issue", issue).filter(F.col("issue").isNotNull())
+
+
+def validation_summary(tagged: DataFrame, text_col: str = "text") -> DataFrame:
+    """D12 (statistics) as (section, key, n): all samples, Arabic samples, and
+    the dialects of the Arabic ones. One aggregate by (Arabic, dialect)."""
+    g = tagged.groupBy(T.has_arabic(text_col).alias("ar"), "dialect").agg(F.count(F.lit(1)).alias("c"))
+    totals = g.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total_samples"),
+                   F.coalesce(F.sum(F.when(F.col("ar"), F.col("c"))), F.lit(0)).alias("arabic_samples")) \
+        .unpivot([], ["total_samples", "arabic_samples"], "key", "n").select(F.lit("samples").alias("section"), "key", "n")
+    return totals.unionByName(g.filter("ar").select(F.lit("dialect").alias("section"), F.col("dialect").alias("key"),
+                                                    F.col("c").alias("n")))
+
+
+def augmented_gate(df: DataFrame, original_col: str, augmented_col: str, target: str, min_similarity: float = 0.8,
+                   min_confidence: float = 0.7) -> DataFrame:
+    """(similarity, reason) of augmented texts; a null reason means valid.
+
+    First the similarity with the original, then the dialect of the augmented
+    text: it must be the target, at the confidence asked for. The third test
+    of the rule, naturalness, needs a language model.
+    """
+    keep = [c for c in df.columns]
+    t = detect_dialect(df.withColumn("similarity", T.sim(original_col, augmented_col)), augmented_col)
+    reason = (F.when(F.col("similarity") < min_similarity, F.lit("low_similarity"))
+              .when((F.col("dialect") != target) | (F.col("confidence") < min_confidence), F.lit("inconsistent_dialect")))
+    return t.select(*keep, "similarity", "dialect", "confidence", reason.alias("reason"))
+
+
 def label_check(tagged: DataFrame, expected_col: str, min_confidence: float = 0.7) -> DataFrame:
     """Reason per row: low confidence, mismatch, or null when fine."""
     reason = (F.when(F.col("confidence") < min_confidence, F.lit("low_confidence"))

@@ -371,14 +371,50 @@ def to_standard(messages: Column) -> Column:
                     F.when(first > 0, F.element_at(messages, first)["content"]).otherwise(F.lit("")).alias("response"))
 
 
+# the columns whose presence makes a format, in the order in which formats are tried
+FORMAT_COLUMNS = [("conversation", ("conversation",)), ("conversation", ("messages",)),
+                  ("instruction", ("instruction", "input", "output")), ("preference", ("prompt", "chosen", "rejected")),
+                  ("chat", ("prompt", "response"))]
+
+
 def detect_format(df: DataFrame) -> str:
-    """Conversation / instruction / preference / chat / unknown, decided
-    on the schema once."""
-    cols = set(df.columns)
-    if "conversations" in cols or "messages" in cols:
-        return "conversation" if "conversations" in cols else "chat"
-    if {"prompt", "chosen", "rejected"} <= cols:
-        return "preference"
-    if "instruction" in cols or {"input", "output"} <= cols:
-        return "instruction"
-    return "unknown"
+    """B18 (whole table): conversation / instruction / preference / chat / unknown, decided on the schema once."""
+    return next((name for name, cols in FORMAT_COLUMNS if set(cols) <= set(df.columns)), "unknown")
+
+
+def row_format(df: DataFrame) -> Column:
+    """B18 (mixed rows, as mixed JSON lines arrive): the same rules by row; a null is an absent field."""
+    out = F.lit("unknown")
+    for name, cols in reversed(FORMAT_COLUMNS):
+        if set(cols) <= set(df.columns):
+            present = F.col(cols[0]).isNotNull()
+            for c in cols[1:]:
+                present = present & F.col(c).isNotNull()
+            out = F.when(present, F.lit(name)).otherwise(out)
+    return out
+
+
+def standardize(df: DataFrame) -> DataFrame:
+    """B19 (mixed rows): prompt, response, chosen, rejected and _original_format
+    by each row's format; the fields they come from go, all others stay.
+
+    Instruction rows: instruction, then a blank line and the input if that is
+    not empty -> prompt, output -> response. Preference rows have no response,
+    the others no pair; rows of unknown format have neither.
+    """
+    have = set(df.columns)
+    get = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
+    talks = [F.when(F.col(c).isNotNull(), to_standard(F.col(c))) for c in ("conversation", "messages") if c in have]
+    said = lambda field: F.coalesce(*talks)[field] if talks else F.lit(None).cast("string")
+    asked = F.when(get("input") != "", F.concat(get("instruction"), F.lit("\n\n"), get("input"))).otherwise(get("instruction"))
+    fmt = F.col("_original_format")
+    others = [c for c in df.columns if c not in {"conversation", "messages", "instruction", "input", "output", "prompt",
+                                                 "response", "chosen", "rejected", "_original_format"}]
+    return df.withColumn("_original_format", row_format(df)).select(
+        *others, "_original_format",
+        F.when(fmt == "conversation", said("prompt")).when(fmt == "instruction", asked)
+        .when(fmt.isin("preference", "chat"), get("prompt")).alias("prompt"),
+        F.when(fmt == "conversation", said("response")).when(fmt == "instruction", get("output"))
+        .when(fmt == "chat", get("response")).alias("response"),
+        F.when(fmt == "preference", get("chosen")).alias("chosen"),
+        F.when(fmt == "preference", get("rejected")).alias("rejected"))

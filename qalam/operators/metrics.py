@@ -499,3 +499,15 @@ def rouge_l(df: DataFrame, pred: str, ref: str) -> DataFrame:
     p = F.col("l") / F.greatest(F.col("pl"), F.lit(1))
     r = F.col("l") / F.greatest(F.col("rl"), F.lit(1))
     return s.agg(F.avg(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)).alias("rouge_l"))
+
+
+def utilisation_summary(records: DataFrame, list_col: str = "gpus", by: list[str] | None = None, min_gpu: float = 70.0,
+                        min_memory: float = 80.0) -> DataFrame:
+    """Mean utilisation over every device of every record, and the two
+    advice flags (mean below ``min_gpu``, ``min_memory``). ``list_col`` is an
+    array of structs with gpu_utilization and memory_utilization; records
+    without devices count for nothing."""
+    d = records.select(*(by or []), F.explode(list_col).alias("__d"))
+    g = d.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.avg("__d.gpu_utilization").alias("avg_gpu"),
+                                   F.avg("__d.memory_utilization").alias("avg_memory"))
+    return g.select("*", (F.col("avg_gpu") < min_gpu).alias("low_gpu"), (F.col("avg_memory") < min_memory).alias("low_memory"))

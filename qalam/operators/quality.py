@@ -108,17 +108,31 @@ def validation_report(validated: DataFrame, top: int = 10) -> DataFrame:
     return summary.select("section", "key", "value").unionByName(top_errs.select("section", "key", "value"))
 
 
-def dataset_gate(df: DataFrame, text_col: str, required: list[str], min_size: int = 100, max_size: int = 10 ** 9,
-                 min_avg_words: float = 5.0, min_arabic_share: float = 0.5) -> DataFrame:
-    """One aggregate row -> issues / warnings / passed."""
-    a = df.agg(F.count(F.lit(1)).alias("size"), F.avg(T.word_count(text_col)).alias("avg_words"),
-               F.avg(T.has_arabic(F.col(text_col)).cast("double")).alias("arabic_share"))
+def dataset_gate(df: DataFrame, text_col: str = "text", required: tuple[str, ...] = ("text",), min_size: int = 100,
+                 max_size: int = 1_000_000, min_avg_words: float = 10.0, max_avg_words: float = 1000.0,
+                 min_arabic_ratio: float = 0.5) -> DataFrame:
+    """One row of statistics over all texts, issues and warnings.
+
+    Too few rows and missing columns are issues and fail the gate; too many
+    rows, a mean word count outside the bounds and a low mean share of Arabic
+    characters among the letters are warnings. Null texts count as empty;
+    without rows or without the text column the text statistics are null and
+    warn of nothing.
+    """
+    text = F.coalesce(F.col(text_col), F.lit("")) if text_col in df.columns else F.lit(None).cast("string")
+    a = df.select(T.word_count(text).alias("n"), T.arabic_ratio_block_alpha(text).alias("r"),
+                  text.isNotNull().alias("has")).agg(
+        F.count(F.lit(1)).alias("size"), F.avg(F.when(F.col("has"), F.col("n"))).alias("avg_words"),
+        F.min(F.when(F.col("has"), F.col("n"))).cast("long").alias("min_words"),
+        F.max(F.when(F.col("has"), F.col("n"))).cast("long").alias("max_words"),
+        F.avg(F.when(F.col("has"), F.col("r"))).alias("avg_arabic_ratio"))
     missing = [c for c in required if c not in df.columns]
     issues = F.array_compact(F.array(F.when(F.col("size") < min_size, F.lit("too_small")),
-                                     F.when(F.col("size") > max_size, F.lit("too_large")),
                                      *[F.lit(f"missing_column:{c}") for c in missing]))
-    warnings = F.array_compact(F.array(F.when(F.col("avg_words") < min_avg_words, F.lit("short_texts")),
-                                       F.when(F.col("arabic_share") < min_arabic_share, F.lit("low_arabic_share"))))
+    warnings = F.array_compact(F.array(F.when(F.col("size") > max_size, F.lit("very_large")),
+                                       F.when(F.col("avg_words") < min_avg_words, F.lit("short_texts")),
+                                       F.when(F.col("avg_words") > max_avg_words, F.lit("long_texts")),
+                                       F.when(F.col("avg_arabic_ratio") < min_arabic_ratio, F.lit("low_arabic_content"))))
     return a.select("*", issues.alias("issues"), warnings.alias("warnings"), (F.size(issues) == 0).alias("passed"))
 
 

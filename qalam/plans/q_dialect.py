@@ -238,13 +238,20 @@ def d11_label_check(spark, sf):
 # D12 -----------------------------------------------------------------------
 @register("d12_arabic_validator",
           lambda: _views(f"SELECT doc_id, CASE WHEN NOT {S.has_arabic('text')} THEN 'non_arabic' "
-                         "ELSE 'low_confidence' END AS issue FROM tagged "
+                         "ELSE 'low_confidence' END AS issue, " + S.rnd("confidence") + " AS confidence, "
+                         "md5(substr(text, 1, 50)) AS head_md5 FROM tagged "
                          f"WHERE NOT {S.has_arabic('text')} OR confidence < 0.5"))
 def d12_arabic_validator(spark, sf):
-    t = tagged_docs(spark, sf)
-    ar = T.has_arabic("text")
-    return t.filter(~ar | (F.col("confidence") < 0.5)).select(
-        "doc_id", F.when(~ar, F.lit("non_arabic")).otherwise(F.lit("low_confidence")).alias("issue"))
+    return D.validation_issues(tagged_docs(spark, sf)).select(
+        "doc_id", "issue", _r("confidence").alias("confidence"), F.md5(F.substring("text", 1, 50)).alias("head_md5"))
+
+
+@register("d12_validator_summary",
+          lambda: _views("SELECT 'samples' AS section, 'total_samples' AS key, count(*) AS n FROM tagged UNION ALL "
+                         f"SELECT 'samples', 'arabic_samples', count_if({S.has_arabic('text')}) FROM tagged UNION ALL "
+                         f"SELECT 'dialect', dialect, count(*) FROM tagged WHERE {S.has_arabic('text')} GROUP BY dialect"))
+def d12_validator_summary(spark, sf):
+    return D.validation_summary(tagged_docs(spark, sf))
 
 
 # D13 -----------------------------------------------------------------------

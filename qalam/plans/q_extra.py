@@ -41,19 +41,21 @@ def d10_dialect_pipeline(spark, sf):
 
 def _d15_sql():
     aug = S.augment_text("text", "egyptian", "doc_id", 42, 1.0)
+    gated = S.detect_dialect_select("g", "aug", "doc_id, similarity")
     return S.with_views(
-        "SELECT doc_id, " + S.rnd(S.sim("text", "aug")) + " AS similarity, " + S.sim("text", "aug") + " >= 0.8 AS similar_enough "
-        f"FROM (SELECT doc_id, text, {aug} AS aug FROM ar_docs WHERE {S.has_arabic('text')}) x", "ar_docs")
+        f"SELECT doc_id, {S.rnd('similarity')} AS similarity, dialect, {S.rnd('confidence')} AS confidence, CASE WHEN similarity < "
+        "0.8 THEN 'low_similarity' WHEN dialect <> 'egyptian' OR confidence < 0.7 THEN 'inconsistent_dialect' END AS reason FROM gated",
+        "ar_docs", extra=[("g", f"SELECT doc_id, aug, {S.sim('text', 'aug')} AS similarity FROM (SELECT doc_id, text, {aug} AS aug "
+                                f"FROM ar_docs WHERE {S.has_arabic('text')}) x"), ("gated", gated)])
 
 
 @register("d15_augmented_filter", _d15_sql)
 def d15_augmented_filter(spark, sf):
-    """Similarity gate of augmented texts (the dialect-match half of the rule
-    is D1 on the augmented text; the LM naturalness test needs a model)."""
+    """Augmented texts with the reason that rejects them: similarity, then dialect and confidence."""
     a = TB.ar_docs(spark, sf).filter(T.has_arabic("text"))
     g = a.select("doc_id", "text", D.augment_text(F.col("text"), "egyptian", F.col("doc_id"), 42, 1.0).alias("aug"))
-    s = T.sim("text", "aug")
-    return g.select("doc_id", F.round(s, 6).alias("similarity"), (s >= 0.8).alias("similar_enough"))
+    return D.augmented_gate(g, "text", "aug", "egyptian").select(
+        "doc_id", F.round("similarity", 6).alias("similarity"), "dialect", F.round("confidence", 6).alias("confidence"), "reason")
 
 
 @register("i14_overlap_metrics")
@@ -69,15 +71,24 @@ def i14_rouge_l(spark, sf):
     return M.rouge_l(s, "response", "instruction").select(F.round("rouge_l", 6).alias("rouge_l"))
 
 
-@register("i26_utilisation_summary",
-          lambda: "SELECT event_type, round(avg(CAST(json_extract(props, '$.k') AS DOUBLE)), 6) AS avg_k, round(avg(value), 6) "
-                  "AS avg_value, avg(CAST(json_extract(props, '$.k') AS DOUBLE)) > 50 AS high_utilisation FROM events GROUP BY event_type")
+def _i26_sql():
+    k = "CAST(json_extract(props, '$.k') AS DOUBLE)"
+    return ("SELECT event_type, count(*) AS n, round(avg(g.gpu_utilization), 6) AS avg_gpu, round(avg(g.memory_utilization), 6) AS "
+            "avg_memory, avg(g.gpu_utilization) < 70 AS low_gpu, avg(g.memory_utilization) < 80 AS low_memory FROM (SELECT "
+            f"event_type, unnest([struct_pack(gpu_utilization := {k}, memory_utilization := value), "
+            f"struct_pack(gpu_utilization := 100 - {k} / 4, memory_utilization := value / 2)]) AS g FROM events) x GROUP BY event_type")
+
+
+@register("i26_utilisation_summary", _i26_sql)
 def i26_utilisation_summary(spark, sf):
-    """Per group averages of a nested JSON field with an advice flag."""
-    e = TB.table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("double"))
-    g = e.groupBy("event_type").agg(F.avg("k").alias("ak"), F.avg("value").alias("av"))
-    return g.select("event_type", F.round("ak", 6).alias("avg_k"), F.round("av", 6).alias("avg_value"),
-                    (F.col("ak") > 50).alias("high_utilisation"))
+    """Monitoring records with a list of devices each, by event type."""
+    k = F.get_json_object("props", "$.k").cast("double")
+    dev = lambda g, m: F.struct(g.alias("gpu_utilization"), m.alias("memory_utilization"))
+    e = TB.table(spark, sf, "events").select("event_type", F.array(
+        dev(k, F.col("value")), dev(100 - k / 4, F.col("value") / 2)).alias("gpus"))
+    g = M.utilisation_summary(e, "gpus", ["event_type"])
+    return g.select("event_type", "n", F.round("avg_gpu", 6).alias("avg_gpu"), F.round("avg_memory", 6).alias("avg_memory"),
+                    "low_gpu", "low_memory")
 
 
 @register("a1_read_corpus", lambda: "SELECT lang, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY lang")

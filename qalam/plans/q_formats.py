@@ -307,37 +307,68 @@ def b17_scored_preference_map(spark, sf):
                     r6(F.col("score_rejected")).alias("score_rejected"))
 
 
-# B18 -----------------------------------------------------------------------
+# B18, B19 ------------------------------------------------------------------
+_MIXED_SQL = (
+    "SELECT concat('i', conv_id, '_', turn) AS rid, instruction, CASE WHEN conv_id % 2 = 1 THEN concat('turn ', turn) "
+    "ELSE '' END AS input, response AS output, NULL AS prompt, NULL AS response, NULL AS chosen, NULL AS rejected, "
+    "NULL AS messages FROM sft UNION ALL "
+    "SELECT concat('p', id), NULL, NULL, NULL, prompt, NULL, chosen, rejected, NULL FROM pairs UNION ALL "
+    "SELECT concat('t', id), NULL, NULL, NULL, prompt, completion, NULL, NULL, NULL FROM kto UNION ALL "
+    "SELECT concat('u', doc_id), NULL, NULL, NULL, text, NULL, NULL, NULL, NULL FROM documents UNION ALL "
+    "SELECT concat('c', conv_id), NULL, NULL, NULL, NULL, NULL, NULL, NULL, messages FROM (" + _CHAT_SQL + ") c")
+
+
+def _mixed(spark, sf):
+    """A union of rows of every format, one absent field away from one another (as mixed JSON lines arrive)."""
+    rid = lambda kind, *cols: F.concat(F.lit(kind), F.concat_ws("_", *cols)).alias("rid")
+    parts = [
+        TB.sft(spark, sf).select(rid("i", "conv_id", "turn"), "instruction", F.when(
+            F.col("conv_id") % 2 == 1, F.concat(F.lit("turn "), F.col("turn"))).otherwise("").alias("input"),
+            F.col("response").alias("output")),
+        TB.pairs(spark, sf).select(rid("p", "id"), "prompt", "chosen", "rejected"),
+        TB.kto(spark, sf).select(rid("t", "id"), "prompt", F.col("completion").alias("response")),
+        TB.table(spark, sf, "documents").select(rid("u", "doc_id"), F.col("text").alias("prompt")),
+        _chat(spark, sf).select(rid("c", "conv_id"), "messages")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+_ROW_FORMAT_SQL = ("CASE WHEN messages IS NOT NULL THEN 'conversation' WHEN instruction IS NOT NULL AND input IS NOT NULL AND "
+                   "output IS NOT NULL THEN 'instruction' WHEN prompt IS NOT NULL AND chosen IS NOT NULL AND rejected IS NOT NULL "
+                   "THEN 'preference' WHEN prompt IS NOT NULL AND response IS NOT NULL THEN 'chat' ELSE 'unknown' END")
+
+
 @register("b18_detect_format",
-          lambda: S.with_views("SELECT fmt, count(*) AS n FROM ("
-                               "SELECT 'instruction' AS fmt FROM sft UNION ALL SELECT 'preference' FROM pairs "
-                               f"UNION ALL SELECT 'chat' FROM ({_CHAT_SQL}) c) x GROUP BY fmt", "sft", "pairs"))
+          lambda: S.with_views(f"SELECT fmt, count(*) AS n FROM (SELECT {_ROW_FORMAT_SQL} AS fmt FROM mixed) x GROUP BY fmt",
+                               "sft", "pairs", "kto", extra=[("mixed", _MIXED_SQL)]))
 def b18_detect_format(spark, sf):
-    """Row-level format detection over a mixed union (as mixed JSONL arrives)."""
-    sft = TB.sft(spark, sf).select("instruction", "response")
-    pairs = TB.pairs(spark, sf).select("prompt", "chosen", "rejected")
-    chat = _chat(spark, sf).select("messages")
-    mixed = sft.unionByName(pairs, allowMissingColumns=True).unionByName(chat, allowMissingColumns=True)
-    fmt = (F.when(F.col("messages").isNotNull(), F.lit("chat"))
-           .when(F.col("prompt").isNotNull() & F.col("chosen").isNotNull() & F.col("rejected").isNotNull(), F.lit("preference"))
-           .when(F.col("instruction").isNotNull(), F.lit("instruction")).otherwise(F.lit("unknown")))
-    return mixed.groupBy(fmt.alias("fmt")).agg(F.count(F.lit(1)).alias("n"))
-
-
-# B19-B22 -------------------------------------------------------------------
+    """Row-level format detection over a mixed union."""
+    mixed = _mixed(spark, sf)
+    return mixed.groupBy(B.row_format(mixed).alias("fmt")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _b19_sql():
     fa = "list_position(list_transform(messages, lambda m: m.role IN ('assistant', 'ai', 'bot')), true)"
     before = f"CASE WHEN coalesce({fa}, 0) = 0 THEN messages ELSE messages[1:{fa} - 1] END"
     ins = f"array_to_string(list_transform(list_filter({before}, lambda m: m.role IN ('user', 'human')), lambda m: m.content), ' ')"
     out = f"CASE WHEN coalesce({fa}, 0) > 0 THEN messages[{fa}].content ELSE '' END"
-    return S.with_views(f"SELECT conv_id, md5({ins}) AS prompt_md5, md5({out}) AS response_md5 FROM chat",
-                        extra=[("chat", _CHAT_SQL)])
+    body = ("SELECT rid, fmt AS original_format, md5(CASE fmt WHEN 'conversation' THEN " + ins + " WHEN 'instruction' THEN "
+            "CASE WHEN input <> '' THEN instruction || chr(10) || chr(10) || input ELSE instruction END "
+            "WHEN 'preference' THEN prompt WHEN 'chat' THEN prompt END) AS prompt_md5, "
+            "md5(CASE fmt WHEN 'conversation' THEN " + out + " WHEN 'instruction' THEN output WHEN 'chat' THEN response END) "
+            "AS response_md5, md5(CASE fmt WHEN 'preference' THEN chosen || chr(10) || rejected END) AS pair_md5 "
+            f"FROM (SELECT *, {_ROW_FORMAT_SQL} AS fmt FROM mixed) x")
+    return S.with_views(body, "sft", "pairs", "kto", extra=[("mixed", _MIXED_SQL)])
 
 
 @register("b19_to_standard", _b19_sql)
 def b19_to_standard(spark, sf):
-    c = _chat(spark, sf).select("conv_id", B.to_standard(F.col("messages")).alias("s"))
-    return c.select("conv_id", F.md5("s.prompt").alias("prompt_md5"), F.md5("s.response").alias("response_md5"))
+    s = B.standardize(_mixed(spark, sf))
+    return s.select("rid", F.col("_original_format").alias("original_format"), F.md5("prompt").alias("prompt_md5"),
+                    F.md5("response").alias("response_md5"),
+                    F.md5(F.concat("chosen", F.lit("\n"), "rejected")).alias("pair_md5"))
 
 
 @register("b20_clean_conversation",

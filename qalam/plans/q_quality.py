@@ -88,18 +88,24 @@ def _e6_sql():
             "GROUP BY key ORDER BY value DESC, key LIMIT 10)")
 
 
-@register("e7_dataset_gate",
-          lambda: S.with_views(f"SELECT size, {S.rnd('avg_words')} AS avg_words, {S.rnd('arabic_share')} AS arabic_share, "
-                               "array_to_string(list_filter([CASE WHEN size < 100 THEN 'too_small' END, 'missing_column:label'], "
-                               "lambda z: z IS NOT NULL), '|') AS issues, array_to_string(list_filter([CASE WHEN avg_words < 5.0 THEN "
-                               "'short_texts' END, CASE WHEN arabic_share < 0.5 THEN 'low_arabic_share' END], lambda z: z IS NOT NULL), "
-                               "'|') AS warnings, false AS passed FROM (SELECT count(*) AS size, avg(" + S.nwords("text") +
-                               ") AS avg_words, avg(CAST(" + S.has_arabic("text") + " AS DOUBLE)) AS arabic_share FROM ar_docs) a",
-                               "ar_docs"))
+def _e7_sql():
+    stats = ("SELECT count(*) AS size, avg(n) AS avg_words, min(n) AS min_words, max(n) AS max_words, avg(r) AS avg_arabic_ratio "
+             f"FROM (SELECT CAST({S.nwords('t')} AS BIGINT) AS n, {S.arabic_ratio_block_alpha('t')} AS r FROM "
+             "(SELECT coalesce(text, '') AS t FROM ar_docs) y) z")
+    return S.with_views(
+        f"SELECT size, {S.rnd('avg_words')} AS avg_words, min_words, max_words, {S.rnd('avg_arabic_ratio')} AS avg_arabic_ratio, "
+        "array_to_string(list_filter([CASE WHEN size < 100 THEN 'too_small' END, 'missing_column:label'], lambda z: z IS NOT NULL), "
+        "'|') AS issues, array_to_string(list_filter([CASE WHEN size > 1000000 THEN 'very_large' END, CASE WHEN avg_words < 10 "
+        "THEN 'short_texts' END, CASE WHEN avg_words > 1000 THEN 'long_texts' END, CASE WHEN avg_arabic_ratio < 0.5 THEN "
+        f"'low_arabic_content' END], lambda z: z IS NOT NULL), '|') AS warnings, false AS passed FROM ({stats}) a", "ar_docs")
+
+
+@register("e7_dataset_gate", _e7_sql)
 def e7_dataset_gate(spark, sf):
-    g = Q.dataset_gate(TB.ar_docs(spark, sf), "text", ["doc_id", "text", "label"])
-    return g.select("size", F.round("avg_words", 6).alias("avg_words"), F.round("arabic_share", 6).alias("arabic_share"),
-                    F.array_join("issues", "|").alias("issues"), F.array_join("warnings", "|").alias("warnings"), "passed")
+    g = Q.dataset_gate(TB.ar_docs(spark, sf), "text", ("doc_id", "text", "label"))
+    return g.select("size", F.round("avg_words", 6).alias("avg_words"), "min_words", "max_words",
+                    F.round("avg_arabic_ratio", 6).alias("avg_arabic_ratio"), F.array_join("issues", "|").alias("issues"),
+                    F.array_join("warnings", "|").alias("warnings"), "passed")
 
 
 @register("e9_method_validators",

@@ -7,6 +7,7 @@ from qalam.functions import text as T
 from qalam.operators import dedup as DD
 from qalam.operators import formats as B
 from qalam.operators import joins as J
+from qalam.operators import metrics as M
 from qalam.operators import negatives as N
 from qalam.operators import quality as Q
 from qalam.operators import dialect as D
@@ -145,3 +146,52 @@ def test_streams_over_many_micro_batches_equal_their_batch_twins(spark, many_fil
         F.count("*").alias("n")).collect()}
     have = {r.dialect: r.n for r in tagged.filter("confidence > 0.3").groupBy("dialect").agg(F.count("*").alias("n")).collect()}
     assert capped == {d: min(7, n) for d, n in have.items()}
+
+
+def test_mixed_rows_become_standard(spark):
+    turns = "messages array<struct<role string, content string>>"
+    rows = [(1, "do", "this", "done", None, None, None, None, None), (2, "do", "", "done", None, None, None, None, None),
+            (3, "do", None, "done", None, None, None, None, None), (4, None, None, None, "p", "r", None, None, None),
+            (5, None, None, None, "p", "r", "c", "x", None), (6, None, None, None, "p", None, "c", None, None),
+            (7, "do", "i", "o", None, None, None, None, [("user", "a"), ("ai", "b")])]
+    df = spark.createDataFrame(rows, "id int, instruction string, input string, output string, prompt string, response string, "
+                                     f"chosen string, rejected string, {turns}")
+    got = {r.id: tuple(r)[1:] for r in B.standardize(df).collect()}
+    assert got == {1: ("instruction", "do\n\nthis", "done", None, None), 2: ("instruction", "do", "done", None, None),
+                   3: ("unknown", None, None, None, None), 4: ("chat", "p", "r", None, None),
+                   5: ("preference", "p", None, "c", "x"), 6: ("unknown", None, None, None, None),
+                   7: ("conversation", "a", "b", None, None)}
+    assert [B.detect_format(df.select(*c)) for c in (["messages"], ["instruction", "output"], ["prompt", "chosen", "rejected"],
+                                                    ["prompt", "response"])] == ["conversation", "unknown", "preference", "chat"]
+
+
+def test_dataset_gate_bounds(spark):
+    short = spark.createDataFrame([("كلمة abc",)] * 99, "text string")
+    r = Q.dataset_gate(short).first()
+    assert r.issues == ["too_small"] and r.warnings == ["short_texts"] and not r.passed
+    assert (r.avg_words, r.min_words, r.max_words) == (2, 2, 2) and r.avg_arabic_ratio == pytest.approx(4 / 7)
+    long = spark.createDataFrame([("word " * 1001,)] * 100, "text string")
+    r = Q.dataset_gate(long, max_size=99).first()
+    assert r.issues == [] and r.warnings == ["very_large", "long_texts", "low_arabic_content"] and r.passed
+    r = Q.dataset_gate(long.select(F.col("text").alias("body"))).first()
+    assert r.issues == ["missing_column:text"] and r.warnings == [] and r.avg_words is None
+
+
+def test_augmented_gate_and_validator(spark):
+    df = spark.createDataFrame([(1, "ازيك يا صاحبي", "شلونك وين رايح"), (2, "ازيك يا صاحبي", "ازيك يا صاحبي")],
+                               "id int, a string, b string")
+    got = {r.id: (r.reason, r.confidence >= 0.7) for r in D.augmented_gate(df, "a", "b", "egyptian").collect()}
+    assert got[1][0] == "low_similarity" and got[2][0] == (None if got[2][1] else "inconsistent_dialect")
+    tagged = spark.createDataFrame([("ازيك", "egyptian", 0.4), ("شلونك", "gulf", 0.9), ("abc", "unknown", 0.0)],
+                                   "text string, dialect string, confidence double")
+    assert sorted(map(tuple, D.validation_summary(tagged).collect())) == [
+        ("dialect", "egyptian", 1), ("dialect", "gulf", 1), ("samples", "arabic_samples", 2), ("samples", "total_samples", 3)]
+    assert [r.issue for r in D.validation_issues(tagged).orderBy("text").collect()] == ["non_arabic", "low_confidence"]
+
+
+def test_utilisation_counts_every_device(spark):
+    df = spark.createDataFrame([([(60.0, 90.0), (70.0, 60.0)],), ([(86.0, 95.0)],), ([],)],
+                               "gpus array<struct<gpu_utilization double, memory_utilization double>>")
+    r = M.utilisation_summary(df).first()
+    assert (r.n, r.avg_gpu, r.low_gpu, r.low_memory) == (3, 72, False, False)
+    assert r.avg_memory == pytest.approx(245 / 3)
