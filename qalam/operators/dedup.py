@@ -33,99 +33,104 @@ def triple_dedup(df: DataFrame, id_col: str, cols=("prompt", "chosen", "rejected
     return keep_first(df, list(cols), id_col)
 
 
-def _signature(text_col: str, n: int):
-    return T.shingles(text_col, n)
+def shingle_sets(df: DataFrame, text_col: str, id_col: str, n: int = 3) -> DataFrame:
+    """(id, sz, hs, rep): each row's distinct shingles as sorted 64-bit hashes,
+    and the smallest id with the same set.
 
+    Texts are tokenised once, into a checkpointed table from which digests,
+    frequencies, prefixes and verification are all read. Rows without a text
+    have no set and are left out. Two 64-bit hashes and the size stand for a set.
+    """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    sets = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.sort_array(
+        F.transform(T.shingles(text_col, n), lambda x: F.xxhash64(x))).alias("hs"))
+    sets = sets.select("id", F.size("hs").cast("long").alias("sz"), "hs", F.xxhash64("hs").alias("d1"),
+                       F.xxhash64(F.lit(1), F.reverse("hs")).alias("d2")).checkpoint()
+    key = ["sz", "d1", "d2"]
+    return sets.join(sets.groupBy(*key).agg(F.min("id").alias("rep")), key).select("id", "sz", "hs", "rep")
 
-def near_dup_edges(df: DataFrame, text_col: str, id_col: str, threshold: float = 0.95, n: int = 3) -> DataFrame:
-    """Exact similar pairs (i < j, Jaccard of shingle sets >= threshold).
+
+def similar_sets(sets: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """(i, j, jaccard): the pairs i < j of :func:`shingle_sets` rows, one row
+    a set, whose Jaccard similarity is ``threshold`` or more.
 
     Candidates come from a prefix filter: shingles are ordered globally by
-    ascending document frequency (rarest first, ties by the shingle hash)
-    and each document contributes only its first
-    ``|s| - ceil(threshold * |s|) + 1`` shingles; any pair reaching the
-    threshold shares one of them. Candidates also pass the size filter
-    ``|s_j| >= threshold * |s_i|``.
-
-    The shingles are tokenised once into 64-bit hashes (id, size, hash),
-    checkpointed, and read twice (frequencies, prefixes); the exact Jaccard
-    is then computed on the shingle *strings*, re-derived only for the
-    documents that appear in a candidate pair.
+    ascending document frequency (rarest first, ties by the hash) and each
+    set contributes only its first ``|s| - ceil(threshold * |s|) + 1``; any
+    pair reaching the threshold shares one of them. Candidates also pass the
+    size filter, and a shared shingle counts only where the shingles after it
+    could still make up the overlap asked for (the first shared one of a true
+    pair always does). All bounds are in integers.
     """
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    sig = df.select(F.col(id_col).alias("id"), _signature(text_col, n).alias("sig"))
-    ex = sig.select("id", F.size("sig").alias("sz"), F.explode(F.transform("sig", lambda x: F.xxhash64(x))).alias("sh")) \
-        .checkpoint()
-    freq = ex.groupBy("sh").agg(F.count(F.lit(1)).alias("df"))
-    ranked = ex.join(freq, "sh")
-    # order shingles inside each doc by (df, sh); keep the prefix
-    per_doc = ranked.groupBy("id", "sz").agg(F.sort_array(F.collect_list(F.struct("df", "sh"))).alias("ordered"))
-    # exact ceil(sz * threshold): the threshold as a decimal fraction, in integers
+    ex = sets.select("id", "sz", F.explode("hs").alias("sh"))
+    ranked = ex.join(ex.groupBy("sh").agg(F.count(F.lit(1)).alias("df")), "sh")
+    per_set = ranked.groupBy("id", "sz").agg(F.sort_array(F.collect_list(F.struct("df", "sh"))).alias("ordered"))
     share = Fraction(str(threshold))
     num, den = F.lit(share.numerator).cast("long"), F.lit(share.denominator).cast("long")
-    need = F.expr("sz").cast("long") * num
-    plen = (F.col("sz") - (need + den - 1 - F.pmod(need + den - 1, den)) / den + 1).cast("int")
-    prefix = per_doc.select("id", "sz", F.explode(F.slice("ordered", 1, F.greatest(plen, F.lit(1)))).alias("p")) \
-        .select("id", "sz", F.col("p.sh").alias("sh"))
-    a = prefix.select(F.col("id").alias("i"), F.col("sz").alias("szi"), "sh")
-    b = prefix.select(F.col("id").alias("j"), F.col("sz").alias("szj"), "sh")
-    cand = a.join(b, "sh").filter((F.col("i") < F.col("j")) &
-                                  (F.least("szi", "szj") * den >= F.greatest("szi", "szj") * num)) \
-        .select("i", "j").distinct().checkpoint()
-    ids = cand.select(F.col("i").alias("id")).union(cand.select(F.col("j").alias("id"))).distinct()
-    exact = df.select(F.col(id_col).alias("id"), text_col).join(ids, "id", "left_semi") \
-        .select("id", _signature(text_col, n).alias("sig"))
-    si = exact.select(F.col("id").alias("i"), F.col("sig").alias("si"))
-    sj = exact.select(F.col("id").alias("j"), F.col("sig").alias("sj"))
-    scored = cand.join(si, "i").join(sj, "j")
-    jac = F.when((F.size("si") == 0) | (F.size("sj") == 0), F.lit(0.0)).otherwise(
-        F.size(F.array_intersect("si", "sj")) / F.size(F.array_union("si", "sj")))
-    return scored.select("i", "j", jac.alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    need = F.col("sz") * num + den - 1
+    plen = (F.col("sz") - (need - F.pmod(need, den)) / den + 1).cast("int")
+    prefix = per_set.select("id", "sz", F.posexplode(F.slice("ordered", 1, F.greatest(plen, F.lit(1)))).alias("pos", "p")) \
+        .select("id", "sz", F.col("p.sh").alias("sh"), (F.col("sz") - F.col("pos")).alias("rest"))
+    a = prefix.select(F.col("id").alias("i"), F.col("sz").alias("szi"), F.col("rest").alias("ri"), "sh")
+    b = prefix.select(F.col("id").alias("j"), F.col("sz").alias("szj"), F.col("rest").alias("rj"), "sh")
+    cand = a.join(b, "sh").filter((F.col("i") < F.col("j")) & (F.least("szi", "szj") * den >= F.greatest("szi", "szj") * num)
+                                  & (F.least("ri", "rj") * (den + num) >= (F.col("szi") + F.col("szj")) * num)) \
+        .select("i", "j").distinct()
+    si = sets.select(F.col("id").alias("i"), F.col("sz").alias("szi"), F.col("hs").alias("hi"))
+    sj = sets.select(F.col("id").alias("j"), F.col("sz").alias("szj"), F.col("hs").alias("hj"))
+    scored = cand.join(si, "i").join(sj, "j").select(
+        "i", "j", (F.col("szi") + F.col("szj")).alias("both"), F.size(F.array_intersect("hi", "hj")).cast("long").alias("common"))
+    union = F.col("both") - F.col("common")
+    return scored.filter(F.col("common") * den >= union * num).select("i", "j", (F.col("common") / union).alias("jaccard"))
+
+
+def near_dup_edges(df: DataFrame, text_col: str, id_col: str, threshold: float = 0.95, n: int = 3) -> DataFrame:
+    """Similar pairs (i < j, Jaccard of shingle sets >= threshold), copies folded.
+
+    Rows with equal sets are linked with the first of them only, as (first,
+    row, 1.0), and the other pairs are between first rows: k copies give
+    k - 1 links, and every similar pair follows from them.
+    """
+    sets = shingle_sets(df, text_col, id_col, n)
+    copies = sets.filter(F.col("rep") < F.col("id")).select(F.col("rep").alias("i"), F.col("id").alias("j"),
+                                                            F.lit(1.0).alias("jaccard"))
+    return similar_sets(sets.filter(F.col("id") == F.col("rep")), threshold).unionByName(copies)
 
 
 def greedy_keep_first(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
     """Lexicographically-first maximal independent set of the similarity graph.
 
-    A node is kept when no kept smaller neighbour exists — the greedy rule
-    that scans rows in id order. Rounds decide every undecided node whose
-    smaller neighbours are all decided, and each round decides one at least,
-    so the loop ends with every node decided. Each round's status table is
-    checkpointed to the cluster checkpoint folder so lineage stays short.
-    Returns ``(id, kept)`` for every node.
+    A node is kept when no kept smaller neighbour exists, the greedy rule
+    that scans rows in id order. Each round keeps the nodes without an open
+    smaller neighbour, drops their neighbours, and goes on with the edges
+    that are left between open nodes; it settles one edge at least, so the
+    loop ends with every node decided. Only open edges are written again, in
+    the cluster checkpoint folder. Returns ``(id, kept)`` for every node.
     """
-    spark = nodes.sparkSession
     from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    # the similarity graph is reused every round: materialise it once in the
-    # cluster checkpoint folder (reliable, survives executor loss)
-    e = edges.select("i", "j").checkpoint()
-    status = nodes.select(F.col(id_col).alias("id")).withColumn("state", F.lit(None).cast("string"))
-    # nodes with no smaller neighbour are kept outright
-    has_smaller = e.select(F.col("j").alias("id")).distinct().withColumn("hs", F.lit(True))
-    status = status.join(has_smaller, "id", "left") \
-        .select("id", F.when(F.col("hs").isNull(), F.lit("kept")).alias("state")).checkpoint()
-    while not status.filter(F.col("state").isNull()).isEmpty():
-        s_i = status.select(F.col("id").alias("i"), F.col("state").alias("si"))
-        look = e.join(s_i, "i").groupBy("j").agg(
-            F.max(F.when(F.col("si") == "kept", 1).otherwise(0)).alias("any_kept"),
-            F.max(F.when(F.col("si").isNull(), 1).otherwise(0)).alias("any_open"))
-        status = status.join(look.withColumnRenamed("j", "id"), "id", "left").select(
-            "id", F.when(F.col("state").isNotNull(), F.col("state"))
-            .when(F.col("any_kept") == 1, F.lit("dropped"))
-            .when(F.coalesce(F.col("any_open"), F.lit(0)) == 0, F.lit("kept")).alias("state")).checkpoint()
-    return status.select(F.col("id").alias(id_col), (F.col("state") == "kept").alias("kept"))
+    ensure_checkpoint_dir(nodes.sparkSession)
+    left = edges.select("i", "j").checkpoint()
+    dropped = left.select(F.col("j").alias("id")).limit(0)
+    while not left.isEmpty():
+        first = left.select("i").distinct().join(left.select(F.col("j").alias("i")).distinct(), "i", "left_anti")
+        gone = left.join(first, "i", "left_semi").select(F.col("j").alias("id")).distinct().checkpoint()
+        dropped = dropped.unionByName(gone)
+        left = left.join(gone.withColumnRenamed("id", "i"), "i", "left_anti") \
+            .join(gone.withColumnRenamed("id", "j"), "j", "left_anti").select("i", "j").checkpoint()
+    return nodes.select(F.col(id_col).alias("id")).join(dropped.withColumn("__gone", F.lit(True)), "id", "left") \
+        .select(F.col("id").alias(id_col), F.col("__gone").isNull().alias("kept"))
 
 
 def near_dedup(df: DataFrame, text_col: str, id_col: str, threshold: float = 0.95, n: int = 3) -> DataFrame:
     """greedy first-kept near-duplicate removal at Jaccard >= threshold.
 
-    Identical shingle sets always share the fate of their first occurrence,
-    so they are collapsed first (keep-first on the set digest); the
-    similarity graph is built only over the survivors.
+    Equal shingle sets share the fate of their first row, so the similarity
+    graph is built only over first rows. Rows without a text stay.
     """
-    digest = F.md5(F.array_join(F.array_sort(_signature(text_col, n)), "\u0001"))
-    reps = keep_first(df.select(id_col, text_col, digest.alias("__d")), ["__d"], id_col)
-    edges = near_dup_edges(reps, text_col, id_col, threshold, n)
-    status = greedy_keep_first(reps.select(id_col), edges, id_col)
-    return df.join(status.filter("kept").select(id_col), id_col, "left_semi")
+    sets = shingle_sets(df, text_col, id_col, n)
+    reps = sets.filter(F.col("id") == F.col("rep"))
+    status = greedy_keep_first(reps.select("id"), similar_sets(reps, threshold))
+    none = df.filter(F.col(text_col).isNull()).select(F.col(id_col).alias("id"))
+    stay = status.filter("kept").select("id").unionByName(none)
+    return df.join(stay.withColumnRenamed("id", id_col), id_col, "left_semi")

@@ -42,22 +42,38 @@ def f2_triple_dedup(spark, sf):
 F3_THRESHOLD = 0.8
 
 
-def _f3_pairs_sql():
-    sig = S.shingles("text")
-    return (f"WITH s AS (SELECT doc_id, {sig} AS sig FROM documents), "
-            "s2 AS (SELECT doc_id, sig, len(sig) AS sz FROM s) "
-            f"SELECT a.doc_id AS i, b.doc_id AS j, {S.rnd(S.jaccard('a.sig', 'b.sig', 0.0))} AS jaccard FROM s2 a JOIN s2 b "
+def _f3_sql(body: str) -> str:
+    """``sets``, ``reps`` (first rows of equal sets) and ``e`` (similar pairs of them), then ``body``."""
+    return (f"WITH RECURSIVE sets AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sig) AS rep, sig FROM (SELECT doc_id, "
+            f"list_sort({S.shingles('text')}) AS sig FROM documents WHERE text IS NOT NULL) y), "
+            "reps AS (SELECT doc_id, sig, len(sig) AS sz FROM sets WHERE doc_id = rep), "
+            f"e AS (SELECT a.doc_id AS i, b.doc_id AS j, {S.jaccard('a.sig', 'b.sig', 0.0)} AS jaccard FROM reps a JOIN reps b "
             f"ON a.doc_id < b.doc_id AND least(a.sz, b.sz) >= greatest(a.sz, b.sz) * {F3_THRESHOLD} "
-            f"WHERE {S.jaccard('a.sig', 'b.sig', 0.0)} >= {F3_THRESHOLD}")
+            f"WHERE {S.jaccard('a.sig', 'b.sig', 0.0)} >= {F3_THRESHOLD}) {body}")
 
 
-@register("f3_similar_pairs", _f3_pairs_sql)
+@register("f3_similar_pairs",
+          lambda: _f3_sql(f"SELECT i, j, {S.rnd('jaccard')} AS jaccard FROM e UNION ALL SELECT rep, doc_id, 1.0 FROM sets "
+                          "WHERE rep < doc_id"))
 def f3_similar_pairs(spark, sf):
     e = DD.near_dup_edges(_docs(spark, sf), "text", "doc_id", F3_THRESHOLD)
     return e.select("i", "j", F.round("jaccard", 6).alias("jaccard"))
 
 
-@register("f3_near_dedup")
+def _f3_dedup_sql():
+    # one document a step, in id order: kept unless a kept one is similar
+    return _f3_sql(
+        ", n AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, coalesce(list(e.i), []) AS near FROM "
+        "(SELECT doc_id FROM reps WHERE doc_id IN (SELECT i FROM e) OR doc_id IN (SELECT j FROM e)) r "
+        "LEFT JOIN e ON e.j = r.doc_id GROUP BY doc_id), "
+        "g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT n.k, CASE WHEN list_has_any(g.kept, n.near) "
+        "THEN g.kept ELSE list_append(g.kept, n.doc_id) END FROM g JOIN n ON n.k = g.k + 1) "
+        "SELECT doc_id FROM reps WHERE doc_id NOT IN (SELECT i FROM e) AND doc_id NOT IN (SELECT j FROM e) "
+        "UNION ALL SELECT unnest(kept) FROM (SELECT kept FROM g ORDER BY k DESC LIMIT 1) l "
+        "UNION ALL SELECT doc_id FROM documents WHERE text IS NULL")
+
+
+@register("f3_near_dedup", _f3_dedup_sql)
 def f3_near_dedup(spark, sf):
-    """Greedy keep-first result; checked against a brute-force scan in tests."""
+    """Greedy keep-first result; also checked against a brute-force scan in tests."""
     return DD.near_dedup(_docs(spark, sf), "text", "doc_id", F3_THRESHOLD).select("doc_id")

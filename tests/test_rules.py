@@ -28,14 +28,24 @@ def test_greedy_decides_every_node_of_a_long_chain(spark):
     assert got == {i: i % 2 == 0 for i in range(30)}
 
 
+def test_near_dedup_of_copies_empty_and_missing_texts(spark):
+    rows = [(1, "a b c d"), (2, "a b c d"), (3, ""), (4, None), (5, " "), (6, None), (7, "a b"), (8, "x y z")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert sorted(r.id for r in DD.near_dedup(df, "text", "id", 0.8).collect()) == [1, 3, 4, 6, 7, 8]
+    assert sorted(map(tuple, DD.near_dup_edges(df, "text", "id", 0.8).collect())) == [(1, 2, 1.0), (3, 5, 1.0)]
+    assert DD.near_dedup(df.limit(0), "text", "id").count() == 0
+
+
 @pytest.mark.parametrize("threshold", [0.55, 0.95])
 def test_near_dup_edges_are_exact(spark, threshold):
     ws = [[f"w{(i * 7 + k) % 40}" if k < i % 25 else f"x{k}" for k in range(22)] for i in range(40)]
     rows = [(i, " ".join(w)) for i, w in enumerate(ws)]
     df = spark.createDataFrame(rows, "id long, text string")
     sets = {r.id: set(r.s) for r in df.select("id", T.shingles("text", 3).alias("s")).collect()}
-    want = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-12
-            and sets[i] and sets[j]}
+    rep = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    want = {(i, j) for i in sets for j in sets if i < j and rep[i] == i and rep[j] == j
+            and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-12} | {(rep[i], i) for i in sets if rep[i] < i}
+    assert len(set(rep.values())) < len(rep) and want
     assert {(r.i, r.j) for r in DD.near_dup_edges(df, "text", "id", threshold).collect()} == want
 
 
