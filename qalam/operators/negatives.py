@@ -2,17 +2,17 @@
 
 Hard-negative mining is a band join: for each sample, the first ``k`` other
 responses (in data order) whose quality lies in an interval that depends on
-the sample. It is answered without pairing every sample with every row of a
-hot quality band:
-
-* qualities are cut into fine buckets of width ``w``;
-* a bucket lying wholly inside a sample's interval only needs its first few
-  rows: the first ``k`` rows of each of its first ``k + 1`` prompts (by first
-  appearance) always contain the first ``k`` rows of any other prompt, so at
-  most ``k * (k + 1)`` rows per bucket survive, cut map-side by
-  ``WindowGroupLimit``;
-* only the buckets at the two ends of the interval are joined in full, with
-  the exact predicate.
+the sample. It is answered without pairing samples with the rows of a band:
+
+* the first ``k`` rows of each of the first ``k + 1`` prompts (by first
+  appearance) of any set of rows always hold the first ``k`` rows of any other
+  prompt, so ``k * (k + 1)`` rows stand for the set;
+* such rows are kept, cut map-side by ``WindowGroupLimit``, for each quality
+  and for each dyadic cell of the quality axis, from the whole axis down to
+  cells of 2^-26;
+* an interval is at most two cells a level, and a few cells of the finest
+  level at its ends, where the exact predicate decides by quality;
+* samples of equal quality have one interval and share its rows.
 """
 
 from __future__ import annotations
@@ -22,41 +22,64 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Levels of dyadic cells: the finest are 2^-LEVELS wide, far above the rounding of a quality.
+LEVELS = 26
 
-def _prelimit(others: DataFrame, k: int) -> DataFrame:
-    """Per fine bucket, the rows any 'first k rows of another prompt' query can need."""
-    first = others.groupBy("fb", "oprompt").agg(F.min("order").alias("first_order"))
-    wp = Window.partitionBy("fb").orderBy("first_order", "oprompt")
-    top_prompts = first.withColumn("__pr", F.row_number().over(wp)).filter(F.col("__pr") <= k + 1).select("fb", "oprompt")
-    wr = Window.partitionBy("fb", "oprompt").orderBy("order")
-    top_rows = others.withColumn("__r", F.row_number().over(wr)).filter(F.col("__r") <= k).drop("__r")
-    return top_rows.join(top_prompts, ["fb", "oprompt"], "left_semi")
 
+def _prelimit(rows: DataFrame, group: list[str], k: int) -> DataFrame:
+    """Per group, the rows any 'first k rows of another prompt' query can need: k * (k + 1) at most."""
+    first = rows.groupBy(*group, "oprompt").agg(F.min("order").alias("first_order"))
+    wp = Window.partitionBy(*group).orderBy("first_order", "oprompt")
+    top_prompts = first.withColumn("__pr", F.row_number().over(wp)).filter(F.col("__pr") <= k + 1).select(*group, "oprompt")
+    wr = Window.partitionBy(*group, "oprompt").orderBy("order")
+    top_rows = rows.withColumn("__r", F.row_number().over(wr)).filter(F.col("__r") <= k).drop("__r")
+    return top_rows.join(top_prompts, [*group, "oprompt"], "left_semi")
 
-def first_k_in_band(samples: DataFrame, others: DataFrame, lo, hi, pred, k: int = 3, width: float = 0.0125,
-                    q_max: float = 1.0) -> DataFrame:
+
+def _cell(q):
+    # a product with a power of two is exact, so cells keep the order of qualities
+    return F.floor(q * float(1 << LEVELS)).cast("long")
+
+
+def band_candidates(samples: DataFrame, others: DataFrame, lo, hi, pred, k: int, q_max: float) -> DataFrame:
+    """(sq, order, oprompt, payload...): per distinct sample quality, the k * (k + 1) rows at most that its samples need."""
+    leaf = _prelimit(others.filter(F.col("oprompt").isNotNull()), ["oq"], k)
+    levels = F.sequence(F.lit(0), F.lit(LEVELS + int(q_max + 1).bit_length()))  # the last: one cell for all
+    cells = _prelimit(leaf.withColumn("level", F.explode(levels)).withColumn(
+        "cell", F.expr("shiftright(cast(floor(oq * %d) as bigint), level)" % (1 << LEVELS))), ["level", "cell"], k)
+    q = samples.filter(F.col("sprompt").isNotNull() & F.col("sq").isNotNull()).select("sq").distinct()
+    sq = F.col("sq")
+    end = F.lit(int(q_max * (1 << LEVELS)) + 4).cast("long")
+    q = q.withColumn("a", _cell(lo(sq)) if lo is not None else F.lit(-4).cast("long")) \
+        .withColumn("b", _cell(hi(sq)) if hi is not None else end)
+    # the finest cells at both ends, with every quality in them
+    ends = q.select("sq", F.explode(F.array_distinct(F.concat(
+        F.sequence(F.col("a") - 1, F.col("a") + 1), F.sequence(F.col("b") - 1, F.col("b") + 1)))).alias("cell"))
+    at_ends = ends.join(leaf.withColumn("cell", _cell(F.col("oq"))), "cell").filter(pred(sq, F.col("oq"))).drop("cell")
+    # the cells between them: on each level the first if its number is odd, and the last if its number is even
+    span = q.withColumn("level", F.explode(levels)) \
+        .withColumn("first", F.expr("-shiftright(-(a + 2), level)")).withColumn("end", F.expr("shiftright(b - 1, level)")) \
+        .filter(F.col("first") < F.col("end"))
+    inner = span.select("sq", "level", F.explode(F.array_compact(F.array(
+        F.when(F.pmod("first", F.lit(2)) == 1, F.col("first")),
+        F.when(F.pmod("end", F.lit(2)) == 1, F.col("end") - 1)))).alias("cell"))
+    within = inner.join(cells, ["level", "cell"]).drop("level", "cell")
+    return _prelimit(at_ends.unionByName(within), ["sq"], k)
+
+
+def first_k_in_band(samples: DataFrame, others: DataFrame, lo, hi, pred, k: int = 3, q_max: float = 1.0) -> DataFrame:
     """For each sample row (``sid, sprompt, sq``), the first ``k`` rows of
     ``others`` (``order, oprompt, oq, payload...``) with ``pred(sq, oq)`` and
     ``oprompt != sprompt``. ``lo``/``hi`` (Column -> Column, ``None`` =
-    unbounded) bound the band ``pred`` admits; they only choose buckets, with
-    one bucket of margin, and ``pred`` is applied exactly."""
-    o = others.withColumn("fb", F.floor(F.col("oq") / width).cast("long"))
-    sq = F.col("sq")
-    lo_b = F.floor(lo(sq) / width).cast("long") if lo is not None else F.lit(-1).cast("long")
-    hi_b = F.floor(hi(sq) / width).cast("long") if hi is not None else F.lit(int(q_max / width) + 2).cast("long")
-    s = samples.select("sid", "sprompt", "sq", lo_b.alias("lo_b"), hi_b.alias("hi_b"))
-    # edge buckets (two on each side, full rows) and interior buckets (pre-limited rows)
-    edges = s.select("sid", "sprompt", "sq", F.explode(F.array_distinct(F.concat(
-        F.sequence(F.col("lo_b") - 1, F.col("lo_b") + 1), F.sequence(F.col("hi_b") - 1, F.col("hi_b") + 1)))).alias("fb"))
-    inner = s.filter(F.col("hi_b") - F.col("lo_b") > 3).select(
-        "sid", "sprompt", "sq", F.explode(F.sequence(F.col("lo_b") + 2, F.col("hi_b") - 2)).alias("fb"))
-    cand = edges.join(o, "fb").unionByName(inner.join(_prelimit(o, k), "fb"))
-    cand = cand.filter((F.col("oprompt") != F.col("sprompt")) & pred(sq, F.col("oq")))
+    unbounded) bound the band ``pred`` admits, up to rounding; qualities are
+    at most ``q_max``. Null prompts and qualities match nothing."""
+    cand = samples.join(band_candidates(samples, others, lo, hi, pred, k, q_max), "sq") \
+        .filter(F.col("oprompt") != F.col("sprompt"))
     w = Window.partitionBy("sid").orderBy("order")
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def hard_negatives(pairs: DataFrame, id_col: str = "id", k: int = 3, width: float = 0.0125) -> DataFrame:
+def hard_negatives(pairs: DataFrame, id_col: str = "id", k: int = 3) -> DataFrame:
     """for each sample, other samples' chosen responses with
     |q - q_o| < 0.2 and q_o < q, and other samples' negatives with
     q_neg > 0.8 q, in data order (other id, chosen before negatives); first k.
@@ -67,7 +90,8 @@ def hard_negatives(pairs: DataFrame, id_col: str = "id", k: int = 3, width: floa
     k winners only."""
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(pairs.sparkSession)
-    base = pairs.select(F.col(id_col).alias("sid"), F.col("prompt").alias("sprompt"), T.quality("chosen").alias("sq"),
+    # prompts are only told apart: their digests do
+    base = pairs.select(F.col(id_col).alias("sid"), F.md5("prompt").alias("sprompt"), T.quality("chosen").alias("sq"),
                         T.quality("rejected").alias("rq")).checkpoint()
     samples = base.select("sid", "sprompt", "sq")
     chosen_o = base.select((F.col("sid") * 2).alias("order"), F.col("sid").alias("other_id"), F.lit("chosen").alias("kind"),
@@ -75,8 +99,8 @@ def hard_negatives(pairs: DataFrame, id_col: str = "id", k: int = 3, width: floa
     neg_o = base.select((F.col("sid") * 2 + 1).alias("order"), F.col("sid").alias("other_id"), F.lit("negative").alias("kind"),
                         F.col("sprompt").alias("oprompt"), F.col("rq").alias("oq"))
     a = first_k_in_band(samples, chosen_o, lambda q: q - 0.2, lambda q: q,
-                        lambda q, o: (F.abs(q - o) < 0.2) & (o < q), k, width)
-    b = first_k_in_band(samples, neg_o, lambda q: q * 0.8, None, lambda q, o: o > q * 0.8, k, width, q_max=1.0)
+                        lambda q, o: (F.abs(q - o) < 0.2) & (o < q), k)
+    b = first_k_in_band(samples, neg_o, lambda q: q * 0.8, None, lambda q, o: o > q * 0.8, k)
     both = a.drop("rank").unionByName(b.drop("rank"))
     w = Window.partitionBy("sid").orderBy("order")
     top = both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -205,3 +205,21 @@ def test_utilisation_counts_every_device(spark):
     r = M.utilisation_summary(df).first()
     assert (r.n, r.avg_gpu, r.low_gpu, r.low_memory) == (3, 72, False, False)
     assert r.avg_memory == pytest.approx(245 / 3)
+
+
+@pytest.mark.parametrize("kind", ["ties", "grid", "wide"])
+def test_band_join_matches_all_pairs_with_few_candidates(spark, kind):
+    n = 240
+    q = {"ties": lambda i: 0.5, "grid": lambda i: (i * 7 % 11) / 10, "wide": lambda i: (i * 0.6180339887) % 1 * 6.5}[kind]
+    rows = [(i, f"p{i % 3 if i % 4 else i}", q(i)) for i in range(n)]
+    s = spark.createDataFrame(rows, "sid long, sprompt string, sq double")
+    o = s.select(F.col("sid").alias("order"), F.col("sprompt").alias("oprompt"), F.col("sq").alias("oq"))
+    bands = [(lambda x: x - 0.2, lambda x: x, lambda x, y: (F.abs(x - y) < 0.2) & (y < x), lambda x, y: abs(x - y) < 0.2 and y < x),
+             (lambda x: x * 0.8, None, lambda x, y: y > x * 0.8, lambda x, y: y > x * 0.8)]
+    for lo, hi, pred, plain in bands:
+        want = {(i, r + 1, j) for i, p, x in rows
+                for r, j in enumerate([j for j, p2, y in rows if p2 != p and plain(x, y)][:3])}
+        got = N.first_k_in_band(s, o, lo, hi, pred, 3, 6.5).select("sid", "rank", "order").collect()
+        assert {tuple(r) for r in got} == want
+        per = N.band_candidates(s, o, lo, hi, pred, 3, 6.5).groupBy("sq").count().agg(F.max("count")).first()[0]
+        assert (per or 0) <= 12
