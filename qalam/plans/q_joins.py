@@ -39,7 +39,21 @@ def f5_group_negatives(spark, sf):
     return g.select("g", "id", "oid", F.md5("negative").alias("negative_md5"))
 
 
-@register("f6_synthetic_negatives")
+def _f6_sql():
+    t, w, n = "chosen", S.words("chosen"), S.nwords("chosen")
+    key = "concat(CAST(id AS VARCHAR), '|', CAST(i - 1 AS VARCHAR))"
+    half = f"array_to_string(w[1:greatest(CAST(floor(n / 2) AS BIGINT), 1)], ' ')"
+    shuffled = (f"array_to_string(list_transform(list_sort(list_transform(w, lambda x, i: struct_pack(r := {S.u(42, key)}, x := x))), "
+                "lambda s: s.x), ' ')")
+    negated = (f"CASE WHEN NOT contains({t}, 'لا') THEN 'لا ' || {t} WHEN NOT contains({t}, 'ليس') THEN 'ليس ' || {t} "
+               f"WHEN NOT contains({t}, 'غير') THEN 'غير ' || {t} END")
+    body = (f"SELECT id, list_transform(list_filter([CASE WHEN n > 3 THEN {half} END, CASE WHEN n > 2 THEN {shuffled} END, {negated}, "
+            "'لا أعرف الإجابة على هذا السؤال.'], lambda x: x IS NOT NULL)[1:3], lambda x: md5(x)) AS negatives_md5 "
+            f"FROM (SELECT id, chosen, {w} AS w, {n} AS n FROM pairs) y")
+    return S.with_views(body, "pairs")
+
+
+@register("f6_synthetic_negatives", _f6_sql)
 def f6_synthetic_negatives(spark, sf):
     p = TB.pairs(spark, sf)
     return p.select("id", F.transform(N.synthetic_negatives("chosen", "id"), lambda x: F.md5(x)).alias("negatives_md5"))
