@@ -170,10 +170,6 @@ def generation_quality(df: DataFrame, pred: str = "prediction", ref: str = "refe
 
 # ----------------------------------------------------------------- I12 Arabic metrics
 
-def _sum_words_per_sentence(sents: Column) -> Column:
-    return F.aggregate(F.transform(sents, lambda s: F.size(T.py_words(s))), F.lit(0), lambda a, b: a + b)
-
-
 def _contains_count(text: Column, terms) -> Column:
     total = F.lit(0)
     for t in terms:
@@ -181,69 +177,80 @@ def _contains_count(text: Column, terms) -> Column:
     return total
 
 
-def repeated_distinct(arr: Column) -> Column:
-    """Number of distinct values occurring more than once, in O(n log n):
-    sort, flag equal neighbours, count the starts of runs of flags."""
-    srt = F.array_sort(arr)
-    eq = F.zip_with(srt, F.slice(srt, 2, F.greatest(F.size(srt) - 1, F.lit(0))), lambda a, b: a == b)
-    eq = F.filter(eq, lambda x: x.isNotNull())
-    prev = F.concat(F.array(F.lit(False)), eq)
-    starts = F.zip_with(eq, prev, lambda a, b: a & ~b)
-    return F.size(F.filter(starts, lambda x: x.isNotNull() & x))
-
-
-def arabic_row_scores(text: Column, target_dialect: str = "msa", diacritics: bool = True) -> dict[str, Column]:
-    """Per-text parts of the Arabic report (I12a-j, D13)."""
-    t = text
-    words = T.py_words(t)
-    nw = F.size(words)
-    sents = T.sentences(t)
-    clean = T.sentences(t, drop_blank=True)
-    letters = T.letter_count(t)
-    ar_letters = T.arabic_letter_count(t)
-    ar_any = t.rlike(f"[{L.AR2}]")
-    latin = letters - ar_letters
-    has_latin = latin > 0
-    latin_ratio = latin / F.greatest(letters, F.lit(1))
-    avg_sent = _sum_words_per_sentence(sents) / F.greatest(F.size(sents), F.lit(1))
-    dial = F.lit(0)
+# Counts over a text whose white space is single spaces: each match starts
+# where a word or sentence starts and runs to its end, so the number of
+# matches is that of the words. Plain classes and no lambdas: a class of all
+# Unicode spaces, negated, takes ten times as long for each character.
+_COUNTS = {
+    "words": "[^ ]++",
+    "ar_words": f"[{L.AR2}][^ ]*+",
+    "diac_words": f"[{L.HARAKAT}][^ ]*+",
+    "long_words": "[^ ]{11,}+",
+    "double_article": f"(?:^| ){L.DOUBLE_ARTICLE}",
+    "marks": "[.!?]",
+    "sentence_words": "[^ .!?]++",
+    "full_sentences": "[^ .!?][^.!?]*+",
+    # of three words at least
+    "long_sentences": "(?<![^ .!?])(?:[^ .!?]++ ){2}[^ .!?][^.!?]*+",
+}
+
+
+def arabic_counts(df: DataFrame, text_col: str = "text", blocked_terms: list[str] | None = None) -> DataFrame:
+    """The counts of each text from which I12's scores are made."""
+    spaced = df.select(F.col(text_col).alias("t"), F.lower(F.col(text_col)).alias("low"),
+                       F.regexp_replace(F.col(text_col), T.WS_RUN, " ").alias("spaced"))
+    t, low, n = F.col("t"), F.col("low"), F.col("spaced")
+    # words of five letters and more that start with an Arabic one, equal ones side by side
+    keys = F.regexp_extract_all(n, F.lit(f"(?:^| )([{L.AR2}][^ ]{{4,}}+)"), F.lit(1))
+    spaced = spaced.withColumn("keys", F.concat(F.lit(" "), F.array_join(F.sort_array(keys), " "), F.lit(" ")))
+    hits = F.lit(0)
     for d in L.EVAL_DIALECT_ORDER:
-        dial = dial + _contains_count(F.lower(t), L.EVAL_DIALECT_MARKERS[d])
-    formality = _contains_count(t, L.EVAL_FORMAL_INDICATORS) / F.greatest(nw, F.lit(1)) * 0.4
+        hits = hits + _contains_count(low, L.EVAL_DIALECT_MARKERS[d])
+    any_of = lambda text, terms: F.exists(F.array(*[F.lit(x) for x in terms]), lambda x: F.contains(text, x))
+    return spaced.select(
+        *[F.regexp_count(n, F.lit(p)).alias(k) for k, p in _COUNTS.items()],
+        F.length(t).alias("chars"), F.length(F.replace(n, F.lit(" "), F.lit(""))).alias("word_chars"),
+        T.letter_count(t).alias("letters"), T.arabic_letter_count(t).alias("ar_letters"), T.diacritic_count(t).alias("diacritics"),
+        F.size(F.array_remove(F.array_distinct(F.split(n, " ")), "")).alias("distinct"),
+        F.regexp_count("keys", F.lit(r" ([^ ]++)(?: \1(?= ))++")).alias("repeated"),
+        t.rlike(f"[{L.AR2}]").alias("ar_any"), hits.alias("dialect_hits"), evaluator_dialect(t).alias("dialect"),
+        _contains_count(t, L.EVAL_FORMAL_INDICATORS).alias("formal_hits"),
+        _contains_count(t, L.COHERENCE_CONNECTORS).alias("connectors"),
+        any_of(t, L.RELIGIOUS_TERMS).cast("double").alias("religious"),
+        (F.lit(1.0) if not blocked_terms else (~any_of(low, blocked_terms)).cast("double")).alias("appropriate"))
+
+
+def arabic_row_scores(counts: DataFrame, target_dialect: str = "msa", diacritics: bool = True) -> DataFrame:
+    """Per-text parts of the Arabic report (I12a-j) from :func:`arabic_counts`."""
+    c = F.col
+    nw, n_clean = c("words"), c("full_sentences")
+    latin = c("letters") - c("ar_letters")
+    latin_ratio = latin / F.greatest(c("letters"), F.lit(1))
+    avg_sent = c("sentence_words") / F.greatest(c("marks") + 1, F.lit(1))
+    avg_wlen = F.try_divide(c("word_chars"), nw)
+    has_punct = c("marks") > 0
+    formality = c("formal_hits") / F.greatest(nw, F.lit(1)) * 0.4
     if diacritics:
-        formality = formality + F.least(T.diacritic_count(t) / F.greatest(F.length(t), F.lit(1)), F.lit(0.1)) * 0.3
-    formality = formality - dial / F.greatest(nw, F.lit(1)) * 0.3 + F.when(avg_sent > 10, 0.2).otherwise(0.0)
-    formality = F.greatest(F.lit(0.0), F.least(F.lit(1.0), formality))
-    grammar = 1.0 - F.size(F.filter(words, lambda w: w.startswith(L.DOUBLE_ARTICLE))) * 0.1 \
-        - F.size(F.filter(clean, lambda s: F.size(T.py_words(s)) < 3)) * 0.05
-    grammar = F.greatest(F.lit(0.0), grammar)
-    avg_wlen = F.try_divide(F.aggregate(F.transform(words, lambda w: F.length(w)), F.lit(0), lambda a, b: a + b), nw)
-    has_punct = t.rlike("[.!?]")
+        formality = formality + F.least(c("diacritics") / F.greatest(c("chars"), F.lit(1)), F.lit(0.1)) * 0.3
+    formality = formality - c("dialect_hits") / F.greatest(nw, F.lit(1)) * 0.3 + F.when(avg_sent > 10, 0.2).otherwise(0.0)
+    grammar = 1.0 - c("double_article") * 0.1 - (n_clean - c("long_sentences")) * 0.05
     fluency = (F.when((nw > 0) & (avg_wlen >= 3) & (avg_wlen <= 8), 0.3).otherwise(0.0)
                + F.when((avg_sent >= 5) & (avg_sent <= 20), 0.3).otherwise(0.0)
-               + F.when((nw > 0) & (F.try_divide(F.size(F.array_distinct(words)), nw) > 0.7), 0.2).otherwise(0.0)
+               + F.when((nw > 0) & (F.try_divide(c("distinct"), nw) > 0.7), 0.2).otherwise(0.0)
                + F.when(has_punct, 0.2).otherwise(0.0))
-    n_clean = F.size(clean)
-    keys = F.filter(words, lambda w: (F.length(w) > 4) & F.substring(w, 1, 1).rlike(f"^[{L.AR2}]"))
-    repeated = repeated_distinct(keys)
-    coherence = F.when(n_clean > 1, F.least(F.try_divide(_contains_count(t, L.COHERENCE_CONNECTORS), n_clean), F.lit(0.5))
-                       + F.least(F.try_divide(repeated, n_clean), F.lit(0.5))).otherwise(F.lit(0.8))
+    coherence = F.when(n_clean > 1, F.least(F.try_divide(c("connectors"), n_clean), F.lit(0.5))
+                       + F.least(F.try_divide(c("repeated"), n_clean), F.lit(0.5))).otherwise(F.lit(0.8))
     readability = F.when((nw > 0) & (n_clean > 0),
                          1.0 - F.when(avg_wlen > 8, 0.2).otherwise(0.0) - F.when(F.try_divide(nw, n_clean) > 15, 0.2).otherwise(0.0)
-                         - F.try_divide(F.size(F.filter(words, lambda w: F.length(w) > 10)), nw) * 0.3
+                         - F.try_divide(c("long_words"), nw) * 0.3
                          - F.when(~has_punct, 0.2).otherwise(0.0)).otherwise(F.lit(1.0))
-    readability = F.greatest(F.lit(0.0), readability)
-    ar_words = F.filter(words, lambda w: w.rlike(f"[{L.AR2}]"))
-    return {
-        "ar_letters": ar_letters, "letters": letters,
-        "ar_words": F.size(ar_words),
-        "diac_words": F.size(F.filter(ar_words, lambda w: w.rlike(f"[{L.HARAKAT}]"))),
-        "script_ok": ((ar_any & (~has_latin | (latin_ratio < 0.1))) | (~ar_any & has_latin)).cast("double"),
-        "dialect_hit": (evaluator_dialect(t) == target_dialect).cast("double"),
-        "formality": formality, "grammar": grammar, "fluency": fluency, "coherence": coherence,
-        "readability": readability,
-        "religious": F.exists(F.array(*[F.lit(x) for x in L.RELIGIOUS_TERMS]), lambda x: F.contains(t, x)).cast("double"),
-    }
+    return counts.select(
+        "ar_letters", "letters", "ar_words", "diac_words", "religious", "appropriate",
+        ((c("ar_any") & ((latin <= 0) | (latin_ratio < 0.1))) | (~c("ar_any") & (latin > 0))).cast("double").alias("script_ok"),
+        (c("dialect") == target_dialect).cast("double").alias("dialect_hit"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), formality)).alias("formality"),
+        F.greatest(F.lit(0.0), grammar).alias("grammar"), fluency.alias("fluency"), coherence.alias("coherence"),
+        F.greatest(F.lit(0.0), readability).alias("readability"))
 
 
 def arabic_metrics(df: DataFrame, text_col: str = "text", target_dialect: str = "msa", diacritics: bool = True,
@@ -254,11 +261,7 @@ def arabic_metrics(df: DataFrame, text_col: str = "text", target_dialect: str =
     unless ``blocked_terms`` is given; religious sensitivity is always 1.0
     and the share of texts with a religious term is reported beside it.
     """
-    sc = arabic_row_scores(F.col(text_col), target_dialect, diacritics)
-    rows = df.select(*[v.alias(k) for k, v in sc.items()],
-                     (F.lit(True) if not blocked_terms else
-                      ~F.exists(F.array(*[F.lit(x) for x in blocked_terms]),
-                                lambda x: F.contains(F.lower(F.col(text_col)), x))).cast("double").alias("appropriate"))
+    rows = arabic_row_scores(arabic_counts(df, text_col, blocked_terms), target_dialect, diacritics)
     n = F.count(F.lit(1))
     agg = rows.agg(
         F.coalesce(F.try_divide(F.sum("ar_letters"), F.sum("letters")), F.lit(0.0)).alias("arabic_character_ratio"),

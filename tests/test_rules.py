@@ -223,3 +223,20 @@ def test_band_join_matches_all_pairs_with_few_candidates(spark, kind):
         assert {tuple(r) for r in got} == want
         per = N.band_candidates(s, o, lo, hi, pred, 3, 6.5).groupBy("sq").count().agg(F.max("count")).first()[0]
         assert (per or 0) <= 12
+
+
+def test_arabic_counts(spark):
+    text = "كتاب كتاب مدرسة\u00a0مدرسة مدرسة. الالكتاب abc!  مَن  هذا كلام طويل؟ جدا\nabcdefghijk مدرسة.\t. x"
+    r = M.arabic_counts(spark.createDataFrame([(text,), ("",), (None,)], "text string")).collect()
+    got = r[0].asDict()
+    words, sents = text.split(), [x.split() for x in text.replace("!", ".").split(".")]
+    assert (got["words"], got["word_chars"], got["distinct"]) == (len(words), sum(map(len, words)), len(set(words)))
+    assert got["long_words"] == 1 and got["double_article"] == 1 and got["diac_words"] == 1 and got["marks"] == 4
+    assert got["ar_words"] == sum(any("\u0600" <= c <= "\u06ff" for c in w) for w in words)
+    assert (got["sentence_words"], got["full_sentences"], got["long_sentences"]) == (
+        sum(map(len, sents)), sum(len(x) > 0 for x in sents), sum(len(x) > 2 for x in sents))
+    keys = [w for w in words if len(w) > 4 and "\u0600" <= w[0] <= "\u06ff"]
+    assert got["repeated"] == sum(keys.count(w) > 1 for w in set(keys)) == 2
+    assert r[1].words == r[1].distinct == r[1].repeated == r[1].full_sentences == 0 and r[2].words is None
+    scores = M.arabic_metrics(spark.createDataFrame([(text,), ("a bad word",)], "text string"), blocked_terms=["bad"]).first()
+    assert scores.cultural_appropriateness == 0.5 and scores.n_texts == 2
