@@ -33,8 +33,9 @@ def encoder(path: str):
     """A byte-pair encoder of the vocabulary file at ``path``, kept for the life of the worker.
 
     Reads the tokenizer file and gives its ids through tiktoken, which takes
-    a sixth of the time. Tokens' ids are their merge ranks in such a file;
-    a test holds the ids against the file's own library.
+    a sixth of the time. Tokens' ids are their merge ranks in such a file,
+    its added tokens have ids of their own; tests hold the ids against the
+    file's own library.
     """
     if path not in _encoders:
         import public_tokenizers
@@ -42,19 +43,26 @@ def encoder(path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         names = byte_names()
-        added = {t["content"] for t in spec.get("added_tokens", [])}
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path}: added tokens that take in or look at their neighbours are not supported")
         ranks = {bytes(names[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
         _encoders[path] = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                                            special_tokens={})
+                                            special_tokens=added)
     return _encoders[path]
 
 
-def encode(path: str, text: str) -> np.ndarray:
-    """The token ids of a text; special tokens' strings are ordinary text."""
+def encode(path: str, text: str, added: bool = False) -> np.ndarray:
+    """The token ids of a text; the file's added tokens count as such, or else as ordinary text.
+
+    With ``added`` the ids are those of the file's own library at its
+    defaults, without it those under ``encode_special_tokens``.
+    """
+    special = {"allowed_special": "all" if added else set(), "disallowed_special": ()}
     try:
-        return encoder(path).encode_to_numpy(text, disallowed_special=())
+        return encoder(path).encode_to_numpy(text, **special)
     except UnicodeEncodeError:  # lone surrogates, which no UTF-8 text holds
-        return encoder(path).encode_to_numpy(text.encode("utf-8", "replace").decode(), disallowed_special=())
+        return encoder(path).encode_to_numpy(text.encode("utf-8", "replace").decode(), **special)
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -68,7 +76,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every document: id, piece, start, length, ids_crc32, and the ids themselves on demand.
 
-    A document is its token ids and ``end_id``; null and empty texts are
+    A document is its token ids, added tokens' strings as their own ids, and ``end_id``; null and empty texts are
     ``end_id`` alone. Only documents longer than ``capacity`` are cut.
     Repeated rows and null ids are documents of their own.
     """
@@ -76,7 +84,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
     def pieces(texts: pd.Series) -> pd.Series:
         out = []
         for text in texts:
-            ids = np.append(encode(path, text or ""), end_id).astype("<u4")
+            ids = np.append(encode(path, text or "", added=True), end_id).astype("<u4")
             out.append([{"start": start, "length": n, "ids_crc32": zlib.crc32(ids[start:start + n].tobytes())}
                         | ({"ids": ids[start:start + n].astype(np.int32)} if with_ids else {})
                         for start, n in cut(len(ids), capacity)])

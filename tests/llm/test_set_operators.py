@@ -273,6 +273,24 @@ def test_encoder_matches_the_tokenizer_file(texts):
         assert packing.encode(queries.TOKENIZER, t).tolist() == own.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_their_own_ids(spark, texts):
+    from tokenizers import Tokenizer
+    own = Tokenizer.from_file(queries.TOKENIZER)  # at its defaults
+    end = "<|endoftext|>"
+    rows = [*texts.values(), f"a {end} b", end, end * 3, f"a{end}b", f" \n{end}\n\n x  ", f"it's{end}'s  {end}  ", end[:-1],
+            f"<{end}>", ("word " * 700 + end) * 9]
+    for t in rows:
+        assert packing.encode(queries.TOKENIZER, t, added=True).tolist() == own.encode(t, add_special_tokens=False).ids
+    assert packing.encode(queries.TOKENIZER, f"a {end} b", added=True).tolist() == [64, 220, 50256, 275]
+    df = spark.createDataFrame(list(enumerate(rows[-9:])), "doc_id long, text string")
+    got = {}
+    for r in packing.pack(packing.tokenize(df, queries.TOKENIZER)).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    for i, t in enumerate(rows[-9:]):
+        ids = np.append(own.encode(t, add_special_tokens=False).ids, 0).astype("<u4")
+        assert sorted(got[i]) == [(s, n, zlib.crc32(ids[s:s + n].tobytes())) for s, n in packing.cut(len(ids), 2048)]
+
+
 def check_places(rows, capacity=2048):
     at = {}
     for r in rows:
