@@ -173,8 +173,10 @@ def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str
         right = [p[i:i + gram + side] if len(p) >= i + gram + side else None
                  for p, i in zip(pdf["piece"], pdf["at"] + pdf["more"])]
         sides = [Counter(zip(pdf["a"], x)) for x in (left, right)]
-        pdf = pdf[[bool(m) or any(x is not None and n[a, x] > 1 for n, x in zip(sides, xs))
-                   for m, a, xs in zip(pdf["more"], pdf["a"], zip(left, right))]]
+        # a run's sides are read at its ends, but a string may share any of its anchors: no row of such an anchor is judged
+        runs = set(pdf["a"][pdf["more"] > 0])
+        pdf = pdf[[a in runs or any(x is not None and n[a, x] > 1 for n, x in zip(sides, xs))
+                   for a, xs in zip(pdf["a"], zip(left, right))]]
         pdf = pdf.sort_values(["_id", "_h", "lo", "a"], na_position="last").reset_index(drop=True)
         group, piece, offset = repeated(pdf["piece"].tolist(), width)
         if not len(group):

@@ -212,6 +212,27 @@ def test_substrings_of_hard_texts(spark, hot):
     assert got == dict(enumerate(brute_removal([t.encode() for t in texts], 100)))
 
 
+@pytest.mark.parametrize("hot", [10_000, 1])
+@pytest.mark.parametrize("tail", [False, True])
+def test_substrings_shared_with_one_end_of_a_run(spark, hot, tail):
+    rng = np.random.default_rng(12)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    texts = []
+    while len(texts) < 12:  # a line twice in one document, its other only once and in part
+        line = letters(60)
+        h = substrings._hashes(np.frombuffer((line * 2).encode(), np.uint8), 24)[:60]
+        at = int(h.argmin())
+        if tail and at < 15:  # the second anchor alone: 45 bytes, then the line
+            texts += [letters(200) + line * 2 + letters(200), letters(200) + line[15:] + line + letters(200)]
+        elif not tail and 22 <= at < 36:  # the first anchor alone: the line, then 45 bytes
+            texts += [letters(200) + line * 2 + letters(200), letters(200) + line + line[:45] + letters(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
+           for r in substrings.remove_repeats(df, hot_pieces=hot).collect()}
+    want = dict(enumerate(brute_removal([t.encode() for t in texts], 100)))
+    assert got == want and all(want[i][1] >= 105 for i in range(1, 12, 2))
+
+
 def test_substring_edges(spark, edge_docs, no_docs):
     got = {}
     for r in substrings.remove_repeats(edge_docs).collect():
