@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import HashSet, shingle_hashes, word_hashes
 from .decontaminate import shingles, words
+from .license_texts import TEXTS
 
 #: Chance that the bands miss a window that holds a template.
 MISS = 1e-9
@@ -60,6 +61,51 @@ TEMPLATES: list[tuple[str, str]] = [
                 "to this work"),
 ]
 
+# the FSF's standard headers; versions and kinds differ by a word, so each needs its own for the fullest to be the right one
+_HEADER = ("This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by "
+           "the Free Software Foundation{} either version {} of the License, or (at your option) any later version.")
+_GNU = [("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"),
+        ("LGPL-2.0", "Library General Public License", "2"), ("LGPL-2.1", "Lesser General Public License", "2.1"),
+        ("LGPL-3.0", "Lesser General Public License", "3"), ("AGPL-3.0", "Affero General Public License", "3")]
+# BSD texts as far as they tell two clauses from three and hold no holder's name; conditions with numbers or bullets
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: {} Redistributions of source code must retain the above copyright notice, this list "
+        "of conditions and the following disclaimer. {} Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+        "with the distribution. {}")
+_DISCLAIMER = (
+    "THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE "
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
+    "DAMAGE.")
+_PROVIDED = "THIS SOFTWARE IS PROVIDED BY"
+_THIRD = ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+          "derived from this software without specific prior written permission.")
+
+
+def _texts() -> list[tuple[str, str]]:
+    """The standard headers, identifiers, BSD texts and full licence texts that TEMPLATES does not spell out."""
+    out = []
+    for name, title, version in _GNU:
+        out += [(name, _HEADER.format(noun, ":", title, ",", version)) for noun in ("program", "library")]
+        out.append((name, f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                          f"{title} version {version} as published by the Free Software Foundation."))
+        out.append((name, f"licensed under the GNU {title}, version {version}"))
+        out += [(name, f"SPDX-License-Identifier: {name}{x}") for x in ("", "-only", "-or-later")]
+    out.append(("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"))
+    for marks in (("1.", "2.", "3."), ("*", "*", "*")):
+        head = _BSD.format(*marks[:2], "")
+        out += [("BSD-2-Clause", head + _PROVIDED), ("BSD-2-Clause", f"{head}{_PROVIDED} {_DISCLAIMER}"),
+                ("BSD-3-Clause", f"{head}{marks[2]} Neither the name of"),
+                ("BSD-3-Clause", f"{head}{marks[2]} {_THIRD} {_PROVIDED} {_DISCLAIMER}")]
+    return [*out, *TEXTS.items()]
+
+
+TEMPLATES += [x for x in _texts() if x not in TEMPLATES]
+
 
 @dataclass
 class Group:

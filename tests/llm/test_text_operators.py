@@ -94,6 +94,36 @@ def test_license_notices_anywhere_in_long_texts_and_altered():
     assert index.scan("the license of this text is unknown") == index.scan(None) == index.scan("") == []
 
 
+def test_licences_that_differ_by_a_word_are_told_apart():
+    index = licenses.Index(licenses.TEMPLATES, 5, 0.8)
+    names = lambda text: {x[0] for x in index.scan("Some words before. " * 30 + text + " And words after." * 30)}
+    header = ("This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published "
+              "by the Free Software Foundation{} either version {} of the License, or (at your option) any later version.")
+    for name, title, version in [("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"),
+                                 ("LGPL-2.1", "Lesser General Public License", "2.1"),
+                                 ("LGPL-3.0", "Lesser General Public License", "3"),
+                                 ("AGPL-3.0", "Affero General Public License", "3")]:
+        for noun in ("program", "library"):
+            assert names(header.format(noun, ";", title, ";", version)) == {name}
+        assert names(f"This file is licensed under the GNU {title}, version {version}.") == {name}
+    conditions = ["Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+                  "following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list "
+                  "of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+                  "distribution.", "Neither the name of Example Inc. nor the names of its contributors may be used to endorse or "
+                  "promote products derived from this software without specific prior written permission."]
+    for n, name in ((2, "BSD-2-Clause"), (3, "BSD-3-Clause")):
+        for mark in ("{}.", "*", "({})"):
+            for holder in ("THE COPYRIGHT HOLDERS", "EXAMPLE INC."):
+                text = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+                        "that the following conditions are met: ") + " ".join(
+                    mark.format(i + 1) + " " + c for i, c in enumerate(conditions[:n]))
+                assert names(f"{text} THIS SOFTWARE IS PROVIDED BY {holder} AND CONTRIBUTORS \"AS IS\" AND ANY") == {name}
+    for name, text in licenses.TEMPLATES:  # full texts: one finding, over the whole of it
+        if len(text.split()) > 1000:
+            found = index.scan("Some words before. " + text + " And words after.")
+            assert [x[0] for x in found] == [name] and found[0][3] - found[0][2] > 0.98 * len(text.strip())
+
+
 def test_license_edges(spark, edge_docs, no_docs):
     assert licenses.scan_documents(edge_docs).count() == 0
     assert licenses.scan_documents(no_docs).count() == 0
