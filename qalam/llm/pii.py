@@ -161,14 +161,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact_documents(docs: DataFrame, min_score: float = 0.5, text_col: str = "text",
                      chars_col: str | None = "n_chars") -> DataFrame:
-    """The documents with every span of at least ``min_score`` replaced by its kind.
+    """The documents with every confirmed span replaced by its kind, of the added kinds those of at least ``min_score``.
 
     All columns stay; ``chars_col``, where there is one, follows the new text.
     Null texts stay null.
     """
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, [x for x in find_spans(t) if x.score >= min_score]) for t in texts], dtype=object)
+        return pd.Series([redact(t, [x for x in find_spans(t) if x.kind in BASE or x.score >= min_score])
+                          for t in texts], dtype=object)
 
     out = docs.withColumn(text_col, clean(F.col(text_col)))
     if chars_col and chars_col in docs.columns:

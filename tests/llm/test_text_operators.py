@@ -169,6 +169,15 @@ def test_validators_and_context():
     assert score("call +1 (212) 555-7713 now") > score("x +1 (212) 555-7713 y") > score("order +1 (212) 555-7713 y")
 
 
+def test_every_base_span_is_redacted_whatever_its_score(spark):
+    text = "Invoice +1 555 867 5309 due, and version 10.1.2.3 of it"
+    low = [x for x in pii.find_spans(text) if x.score < 0.5]
+    assert {x.kind for x in low} == {"phone", "ip"}
+    df = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    [row] = pii.redact_documents(df).collect()
+    assert "867" not in row.text and "10.1.2.3" not in row.text and row.n_chars == len(row.text)
+
+
 def test_op8_digest_and_edges(spark, texts, edge_docs, no_docs):
     for r in queries.op8_pii(spark, SF).collect():
         base = brute_base(texts[r.doc_id])
