@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, licenses, packing, pages, pii, quality, sharding, simhash, substrings
+from . import (decontaminate, embeddings, filter_audit, language, licenses, packing, pages, pii, quality, sharding,
+               simhash, substrings, vector_codes)
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,9 +73,80 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's code of 16 parts, its error, its label's error, and the digest of the codebooks."""
+    return vector_codes.code_table(table(spark, sf_dir, "embeddings"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language from a network fitted on documents that are not held out."""
+    return language.identify_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's documents kept, removed and so on by every step of all 120 orders of five filters."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_simhash, op3_quality, op4_embeddings,
-                             op5_substrings, op6_sharding, op7_licenses, op8_pii, op9_packing, op10_html)}
+                             op5_substrings, op6_sharding, op7_licenses, op8_pii, op9_packing, op10_html,
+                             op11_vector_codes, op12_language, op13_filter_audit)}
+
+
+
+def _codes_sql() -> str:
+    """Two rounds of codebooks as plain k-means steps over all entries, then the codes."""
+    nearest = """
+c{r} AS (SELECT vec_id, label, part, x, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d
+  FROM (SELECT v.vec_id, v.label, v.part, v.x, b.entry,
+               list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+        FROM v JOIN b{r} b ON b.part = v.part)
+  GROUP BY vec_id, label, part, x)"""
+    moved = """
+s{r} AS (SELECT part, entry, list(m ORDER BY pos) AS x
+  FROM (SELECT part, entry, pos, (s - ((s % n) + n) % n) // n AS m
+        FROM (SELECT part, entry, pos, sum(x[pos])::BIGINT AS s, count(*) AS n
+              FROM c{p}, (SELECT unnest(range(1, 65)) AS pos) WHERE pos <= len(x) GROUP BY part, entry, pos))
+  GROUP BY part, entry),
+b{r} AS (SELECT b.part, b.entry, coalesce(s.x, b.x) AS x FROM b{p} b LEFT JOIN s{r} s USING (part, entry))"""
+    return """
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+v AS (SELECT vec_id, label, part, x[part * (len(x) // 16) + 1:(part + 1) * (len(x) // 16)] AS x
+      FROM k, (SELECT unnest(range(16)) AS part)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k QUALIFY entry < 64),
+b0 AS (SELECT part, entry, x FROM v JOIN f USING (vec_id)),""" + ",".join(
+        nearest.format(r=r) + ("," + moved.format(p=r, r=r + 1) if r < 2 else "") for r in range(3)) + """,
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2),
+o AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code,
+             sum(d)::BIGINT AS error FROM c2 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o, h"""
+
+
+_AUDIT_SQL = """
+WITH RECURSIVE p AS (SELECT '' AS filter_order UNION ALL
+  SELECT filter_order || l FROM p, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) WHERE NOT contains(filter_order, l)),
+w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+             regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+m AS (SELECT doc_id, part, [
+        len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+        100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'),
+        coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails FROM w),
+l AS (SELECT doc_id, coalesce(max(quality) = 1, false) AS good, coalesce(max(toxic) = 1, false) AS toxic
+      FROM labels GROUP BY doc_id),
+d AS (SELECT part, list_sum(list_transform(fails, lambda x: x::INT))::INT AS k, fails, coalesce(good, false) AS good,
+             coalesce(toxic, false) AS toxic FROM m LEFT JOIN l USING (doc_id)),
+t AS (SELECT part, filter_order, step, good, toxic, k,
+             fails[instr('ABCDE', filter_order[step])] AS fail,
+             len(list_filter(range(1, step), lambda i: fails[instr('ABCDE', filter_order[i])])) > 0 AS gone
+      FROM d, (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM p WHERE len(filter_order) = 5)),
+r AS (SELECT part, filter_order, step, filter_order[step] AS f, count(*) FILTER (NOT fail AND NOT gone) AS kept,
+             count(*) FILTER (fail AND NOT gone) AS removed, count(*) FILTER (fail AND gone) AS redundant,
+             count(*) FILTER (fail AND k = 1) AS unique_fails, count(*) FILTER (fail AND NOT gone AND good) AS good_lost,
+             count(*) FILTER (fail AND NOT gone AND toxic) AS toxic_lost
+      FROM t GROUP BY part, filter_order, step)
+SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r"""
 
 _LOWER_WORDS = "regexp_extract_all(lower({}), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')"
 
@@ -107,4 +179,6 @@ SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_shingles) AS n_shingle
        count(*) / any_value(n_shingles) AS containment
 FROM ds JOIN bs USING (k, s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_shingles) - 1e-9""",
+    "op11_vector_codes": _codes_sql(),
+    "op13_filter_audit": _AUDIT_SQL,
 }
