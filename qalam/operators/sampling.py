@@ -1,10 +1,10 @@
 """Sampling, splitting, ordering and top-k.
 
 Randomness is ``u(seed, key)`` (md5-based), so every result is independent
-of partitioning and reproducible in SQL. Every quota (exact split sizes,
-per-group targets) is enforced by an exact rank from
-``ranking.grouped_row_number``: no single-task global window, no group
-gathered into one task.
+of partitioning and reproducible in SQL. Quotas (exact split sizes,
+per-group targets) are thresholds on (u, key) from ``quota``, so a selection
+is a filter; where the place itself is the result (G1, G5, G8) it is an exact
+rank from ``ranking``: no single-task global window, no group in one task.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .ranking import global_row_number, grouped_row_number
+from . import quota as Q
+from .ranking import global_row_number
 
 
 def with_u(df: DataFrame, key_col: str, seed: int = 42, out: str = "__u") -> DataFrame:
@@ -36,43 +37,35 @@ def split(df: DataFrame, key_col: str, train: float = 0.8, val: float = 0.1, tes
 
     Held-out sizes follow the public ``train_test_split`` rule:
     ``n_held = ceil((val+test) * n)``, then the held-out part is split again
-    with ``n_test = ceil((1 - val/(val+test)) * n_held)``. Rows are ranked by
-    u(seed, key); the first ``n - n_held`` are train, the next
+    with ``n_test = ceil((1 - val/(val+test)) * n_held)``. In the order of
+    (u(seed, key), key) the first ``n - n_held`` rows are train, the next
     ``n_held - n_test`` validation, the rest test. ``test == 0`` gives two
-    splits. The row count is one aggregate row joined back by broadcast.
+    splits. The two borders are thresholds (``quota.thresholds``), joined back
+    as one broadcast row.
     """
     if abs(train + val + test - 1.0) > 1e-6:
         raise ValueError("Split ratios must sum to 1.0")
-    ranked = global_row_number(with_u(df, key_col, seed), ["__u", key_col], "__rn")
-    n = df.agg(F.count(F.lit(1)).alias("__n"))
-    held = F.ceil(F.lit(val + test) * F.col("__n"))
-    n_train = F.col("__n") - held
-    if test > 0:
-        n_test = F.ceil(F.lit(1 - val / (val + test)) * held)
-        n_val = held - n_test
-        label = (F.when(F.col("__rn") <= n_train, F.lit("train"))
-                 .when(F.col("__rn") <= n_train + n_val, F.lit("validation")).otherwise(F.lit("test")))
-    else:
-        label = F.when(F.col("__rn") <= n_train, F.lit("train")).otherwise(F.lit("validation"))
-    return ranked.crossJoin(F.broadcast(n)).withColumn("split", label).drop("__u", "__rn", "__n")
+    n = df.agg(F.count(F.lit(1)).alias("n"))
+    held = F.ceil(F.lit(val + test) * F.col("n"))
+    first = F.col("n") - held
+    second = first + held - F.ceil(F.lit(1 - val / (val + test)) * held) if test > 0 else F.col("n")
+    ranks = n.select(F.explode(F.array(F.struct(F.lit("train").alias("name"), first.cast("long").alias("rank")),
+                                       F.struct(F.lit("val").alias("name"), second.cast("long").alias("rank")))).alias("r")).select("r.*")
+    found = Q.thresholds(df, [], ranks, key_col, seed)
+    of = lambda name, c: F.max(F.when(F.col("name") == name, F.col(c)))
+    cuts = found.agg(*[of(name, c).alias(f"__{name}_{c}") for name in ("train", "val") for c in ("u_cut", "key_cut")])
+    up_to = lambda name: F.coalesce(Q.within(F.col(key_col), F.col(f"__{name}_u_cut"), F.col(f"__{name}_key_cut"), seed), F.lit(False))
+    label = F.when(up_to("train"), F.lit("train")).when(up_to("val"), F.lit("validation")).otherwise(F.lit("test"))
+    return df.crossJoin(F.broadcast(cuts)).select(*df.columns, label.alias("split"))
 
 
 def random_sample(df: DataFrame, n: int, key_col: str, seed: int = 42) -> DataFrame:
     """N rows with the smallest u; everything when n >= size."""
-    ranked = global_row_number(with_u(df, key_col, seed), ["__u", key_col], "__rn")
-    return ranked.filter(F.col("__rn") <= n).drop("__u", "__rn")
-
-
-def _quota_sample(df: DataFrame, group_cols: list[str], quotas: DataFrame, key_col: str, seed: int,
-                  max_groups: int | None = None) -> DataFrame:
-    """Keep, per group, the ``quota`` rows with the smallest u."""
-    ranked = grouped_row_number(with_u(df, key_col, seed), group_cols, ["__u", key_col], "__rn", max_groups=max_groups)
-    q = F.broadcast(quotas) if max_groups is not None else quotas
-    return ranked.join(q, group_cols).filter(F.col("__rn") <= F.col("quota")).drop("__u", "__rn", "quota")
+    quotas = df.sparkSession.createDataFrame([(n,)], "quota long")
+    return Q.smallest(df, [], quotas, key_col, seed)
 
 
-def stratified_sample(df: DataFrame, n: int, label_col: str, key_col: str, seed: int = 42,
-                      max_groups: int | None = None) -> DataFrame:
+def stratified_sample(df: DataFrame, n: int, label_col: str, key_col: str, seed: int = 42) -> DataFrame:
     """Per label max(1, int(n * count/N)); when the total exceeds n,
     every quota is scaled by n/total, floored, at least 1. Not topped up."""
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("c"))
@@ -82,7 +75,7 @@ def stratified_sample(df: DataFrame, n: int, label_col: str, key_col: str, seed:
     total = F.sum("k").over(everything)
     q = q.select(label_col, F.least(F.col("c"), F.when(total > n, F.greatest(F.lit(1), F.floor(F.col("k") * (F.lit(n) / total))))
                                      .otherwise(F.col("k"))).alias("quota"))
-    return _quota_sample(df, [label_col], q, key_col, seed, max_groups)
+    return Q.smallest(df, [label_col], q, key_col, seed)
 
 
 def systematic_sample(df: DataFrame, order_col: str, k: int = 1000) -> DataFrame:
@@ -96,9 +89,11 @@ def systematic_sample(df: DataFrame, order_col: str, k: int = 1000) -> DataFrame
     return j.filter(((F.col("__rn") - 1) % step == 0) & ((F.col("__rn") - 1) / step < size)).drop("__rn", "__n")
 
 
-def mix(datasets: dict[str, DataFrame], ratios: dict[str, float], key_col: str, seed: int = 42) -> DataFrame:
+def mix(datasets: dict[str, DataFrame], ratios: dict[str, float], key_col: str, seed: int = 42,
+        shuffled: bool = True) -> DataFrame:
     """Sample int(ratio/sum * min_len * n_sets) rows from each set (all when
-    smaller), tag ``source_dataset``, shuffle."""
+    smaller), tag ``source_dataset``; ``shuffle_rank`` is the row's place in
+    the seeded shuffle of the mix."""
     total_ratio = sum(ratios.values())
     counts = None
     for name, d in datasets.items():
@@ -109,12 +104,13 @@ def mix(datasets: dict[str, DataFrame], ratios: dict[str, float], key_col: str,
     for name, ratio in ratios.items():
         if name not in datasets:
             continue
-        size = F.floor(F.lit(ratio / total_ratio) * F.col("min_len") * len(datasets))
-        d = with_u(datasets[name], key_col, seed)
-        ranked = global_row_number(d, ["__u", key_col], "__rn").crossJoin(F.broadcast(min_len))
-        s = ranked.filter(F.col("__rn") <= size).drop("__rn", "min_len").withColumn("source_dataset", F.lit(name))
+        size = min_len.select(F.floor(F.lit(ratio / total_ratio) * F.col("min_len") * len(datasets)).alias("quota"))
+        s = Q.smallest(datasets[name], [], size, key_col, seed).withColumn("source_dataset", F.lit(name))
         parts = s if parts is None else parts.unionByName(s, allowMissingColumns=True)
-    return parts.drop("__u")
+    if not shuffled:
+        return parts
+    order = F.concat_ws("|", "source_dataset", F.col(key_col).cast("string"))
+    return global_row_number(parts.withColumn("__u", T.u(seed, order)), ["__u", "source_dataset", key_col], "shuffle_rank").drop("__u")
 
 
 def length_bucket(text: Column) -> Column:
@@ -131,7 +127,7 @@ def balance_by_length(df: DataFrame, text_col: str, key_col: str, distribution:
     spark = df.sparkSession
     targets = spark.createDataFrame([(k, float(v)) for k, v in distribution.items()], "length_bucket string, ratio double")
     q = targets.crossJoin(total).select("length_bucket", F.floor(F.col("total") * F.col("ratio")).alias("quota"))
-    return _quota_sample(b, ["length_bucket"], q, key_col, seed, max_groups=len(distribution))
+    return Q.smallest(b, ["length_bucket"], q, key_col, seed)
 
 
 def fixed_groups(df: DataFrame, order_col: str, size: int) -> DataFrame:
@@ -149,7 +145,7 @@ def balance_labels(df: DataFrame, label_col: str, key_col: str, tolerance: float
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("c"))
     everything = Window.partitionBy()
     q = counts.select(label_col, F.floor(F.min("c").over(everything) * (1 + tolerance)).alias("quota"))
-    return _quota_sample(df, [label_col], q, key_col, seed, max_groups=2)
+    return Q.smallest(df, [label_col], q, key_col, seed)
 
 
 def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list, n: int, out: str = "rank") -> DataFrame:

@@ -118,13 +118,21 @@ def a6_manifest_roundtrip(spark, sf):
     return back.agg(F.count(F.lit(1)).alias("n"), F.lit(manifest["size"]).alias("manifest_size"))
 
 
-@register("a10_dataset_inventory",
-          lambda: "SELECT 'documents' AS dataset, count(*) AS num_rows, 'doc_id,text,lang,source,n_chars' AS columns FROM documents "
-                  "UNION ALL SELECT 'labels', count(*), 'doc_id,quality,toxic' FROM labels UNION ALL "
-                  "SELECT 'conversations', count(*), 'conv_id,turn,role,text' FROM conversations")
+_INVENTORY = {"documents": "doc_id,text,lang,source,n_chars", "labels": "doc_id,quality,toxic",
+              "conversations": "conv_id,turn,role,text"}
+
+
+def _a10_sql():
+    one = ("SELECT '{n}' AS dataset, (SELECT count(*) FROM {n}) AS num_rows, '{c}' AS columns, to_json(struct_pack({f}))::VARCHAR "
+           "AS first_row FROM (SELECT * FROM {n} ORDER BY {c} LIMIT 1) x")
+    return " UNION ALL ".join(one.format(n=n, c=c, f=", ".join(f"{k} := {k}" for k in c.split(","))) for n, c in _INVENTORY.items())
+
+
+@register("a10_dataset_inventory", _a10_sql)
 def a10_dataset_inventory(spark, sf):
-    frames = {n: TB.table(spark, sf, n) for n in ("documents", "labels", "conversations")}
-    return IO.inventory(frames).select("dataset", "num_rows", "columns")
+    """Rows, columns and the first row as JSON of three sets."""
+    frames = {n: TB.table(spark, sf, n).select(*c.split(",")) for n, c in _INVENTORY.items()}
+    return IO.inventory(frames).select("dataset", "num_rows", "columns", "first_row")
 
 
 @register("a11_report_lines")

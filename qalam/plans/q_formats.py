@@ -16,6 +16,7 @@ from ..operators import formats as B
 from ..sources import tables as TB
 from . import sqlref as S
 from .catalog import register
+from .q_joins import NEXT_PAIR_SQL
 
 
 def r6(c):
@@ -459,16 +460,17 @@ def b26_table_builder(spark, sf):
 
 
 def _b27_sql():
-    arr = (f"list_filter(list_transform([rejected, {S.strip('prompt')}, ' ', rejected], "
+    arr = (f"list_filter(list_transform([rejected, {S.strip('other_prompt')}, ' ', rejected], "
            f"lambda x: {S.strip('x')}), lambda x: x <> '')")
     dedup = "list_filter(raw, lambda x, i: list_position(raw, x) = i)"
     return S.with_views(f"SELECT id, CAST(len(negs) AS BIGINT) AS n_negatives, md5(array_to_string(negs, chr(1))) AS negatives_md5 "
-                        f"FROM (SELECT id, {dedup} AS negs FROM (SELECT id, {arr} AS raw FROM pairs) y) x", "pairs")
+                        f"FROM (SELECT id, {dedup} AS negs FROM (SELECT id, {arr} AS raw FROM nextp) y) x", "pairs",
+                        extra=[("nextp", NEXT_PAIR_SQL)])
 
 
 @register("b27_negatives_list", _b27_sql)
 def b27_negatives_list(spark, sf):
-    p = TB.pairs(spark, sf).select("id", "rejected", F.array(F.col("prompt"), F.lit(" ")).alias("negatives"),
+    p = TB.with_next(TB.pairs(spark, sf)).select("id", "rejected", F.array(F.col("other_prompt"), F.lit(" ")).alias("negatives"),
                                    F.col("rejected").alias("bad_response"))
     n = B.negatives_list(p, "rejected", "negatives", "bad_response")
     return p.select("id", F.size(n).cast("long").alias("n_negatives"), F.md5(F.array_join(n, "\u0001")).alias("negatives_md5"))

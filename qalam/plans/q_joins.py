@@ -59,11 +59,11 @@ def f6_synthetic_negatives(spark, sf):
     return p.select("id", F.transform(N.synthetic_negatives("chosen", "id"), lambda x: F.md5(x)).alias("negatives_md5"))
 
 
-NEXT_PAIR_SQL = ("SELECT p.*, o.rejected AS other FROM pairs p JOIN pairs o ON o.id = p.id % (SELECT count(*) FROM pairs) + 1")
+NEXT_PAIR_SQL = ("SELECT p.*, o.rejected AS other, o.prompt AS other_prompt FROM pairs p JOIN pairs o ON o.id = p.id % (SELECT count(*) FROM pairs) + 1")
 
 
 def _f7_sql():
-    cand = ("SELECT id, k, neg, q, qn FROM (SELECT id, " + S.quality("chosen") + " AS q, unnest([rejected, prompt, "
+    cand = ("SELECT id, k, neg, q, qn FROM (SELECT id, " + S.quality("chosen") + " AS q, unnest([rejected, other_prompt, "
             "other]) AS neg, unnest([1, 2, 3]) AS k, chosen FROM nextp) z, LATERAL (SELECT " +
             S.quality("neg") + " AS qn) y")
     score = ("0.4 * (1.0 - abs(q - qn)) + 0.3 * (1.0 - " + S.sim("neg", "chosen_") + ") + 0.3 * least(1.0 / (abs(q - qn) + 0.1) / 10.0, 1.0)")
@@ -75,31 +75,31 @@ def _f7_sql():
 @register("f7_best_negatives", _f7_sql)
 def f7_best_negatives(spark, sf):
     p = TB.with_next(TB.pairs(spark, sf))
-    cands = p.select("id", "chosen", F.posexplode(F.array("rejected", "prompt", "other")).alias("pos", "neg")).withColumn("k", F.col("pos") + 1)
+    cands = p.select("id", "chosen", F.posexplode(F.array("rejected", "other_prompt", "other")).alias("pos", "neg")).withColumn("k", F.col("pos") + 1)
     b = J.best_negatives(cands, "id", "chosen", "neg", "k", 2)
     return b.select("id", F.col("k").cast("int").alias("k"), F.col("rank").cast("long").alias("rank"))
 
 
 @register("f8_adaptive_negatives",
           lambda: S.with_views(
-              "SELECT id, len(list_filter(list_transform([rejected, prompt], lambda z: " + S.quality("z") +
+              "SELECT id, len(list_filter(list_transform([rejected, other_prompt], lambda z: " + S.quality("z") +
               "), lambda qn: q - qn >= 0.1 + 0.4 * (1 - 0.5) AND q - qn <= 0.8 - 0.3 * 0.5)) AS n_selected "
-              "FROM (SELECT *, " + S.quality("chosen") + " AS q FROM pairs) x", "pairs"))
+              "FROM (SELECT *, " + S.quality("chosen") + " AS q FROM nextp) x", "pairs", extra=[("nextp", NEXT_PAIR_SQL)]))
 def f8_adaptive_negatives(spark, sf):
     """Progress 0.5: keep negatives whose quality lies below the chosen one's by a
     gap in the band [0.1 + 0.4 (1 - p), 0.8 - 0.3 p]."""
-    p = TB.pairs(spark, sf)
-    return p.select("id", F.size(J.adaptive_negatives(T.quality("chosen"), F.array("rejected", "prompt"), 0.5)).alias("n_selected"))
+    p = TB.with_next(TB.pairs(spark, sf))
+    return p.select("id", F.size(J.adaptive_negatives(T.quality("chosen"), F.array("rejected", "other_prompt"), 0.5)).alias("n_selected"))
 
 
 @register("f9_negative_diversity",
           lambda: S.with_views(
               "SELECT a.rid AS id, round(avg(" + S.sim("a.ni", "b.nj") + "), 6) AS mean_similarity, round(1 - avg(" +
-              S.sim("a.ni", "b.nj") + "), 6) AS diversity FROM (SELECT id AS rid, unnest([rejected, prompt, chosen]) AS ni, "
-              "unnest([0, 1, 2]) AS i FROM pairs) a JOIN (SELECT id AS rid, unnest([rejected, prompt, chosen]) AS nj, "
-              "unnest([0, 1, 2]) AS j FROM pairs) b ON a.rid = b.rid AND a.i < b.j GROUP BY a.rid", "pairs"))
+              S.sim("a.ni", "b.nj") + "), 6) AS diversity FROM (SELECT id AS rid, unnest([rejected, other_prompt, other]) AS ni, "
+              "unnest([0, 1, 2]) AS i FROM nextp) a JOIN (SELECT id AS rid, unnest([rejected, other_prompt, other]) AS nj, "
+              "unnest([0, 1, 2]) AS j FROM nextp) b ON a.rid = b.rid AND a.i < b.j GROUP BY a.rid", "pairs", extra=[("nextp", NEXT_PAIR_SQL)]))
 def f9_negative_diversity(spark, sf):
-    p = TB.pairs(spark, sf).select("id", F.array("rejected", "prompt", "chosen").alias("negs"))
+    p = TB.with_next(TB.pairs(spark, sf)).select("id", F.array("rejected", "other_prompt", "other").alias("negs"))
     d = N.negative_diversity(p, "id", "negs")
     return d.select("id", F.round("mean_similarity", 6).alias("mean_similarity"), F.round("diversity", 6).alias("diversity"))
 
@@ -220,10 +220,11 @@ def f17_concatenate(spark, sf):
 
 
 @register("f18_common_metrics",
-          lambda: "SELECT event_type FROM events WHERE user_id % 2 = 0 INTERSECT SELECT event_type FROM events WHERE value > 10")
+          lambda: S.with_views("SELECT event_type FROM events INTERSECT SELECT method FROM runs", "runs"))
 def f18_common_metrics(spark, sf):
+    """Metric names of the event table that the run log has too."""
     e = TB.table(spark, sf, "events")
-    return e.filter(F.col("user_id") % 2 == 0).select("event_type").intersect(e.filter(F.col("value") > 10).select("event_type"))
+    return e.select("event_type").intersect(TB.runs(spark, sf).select("method"))
 
 
 @register("a7_combine_sources",

@@ -23,8 +23,8 @@ def e2_word_length_filter(spark, sf):
 
 
 def _ar_pairs_sql():
-    tr = f"translate(lower(x), {S.q(TB.LATIN)}, {S.q(TB.ARABIC26)})"
-    return ("SELECT id, " + ", ".join(f"{tr.replace('x', c)} AS {c}" for c in ("prompt", "chosen", "rejected")) + " FROM pairs")
+    tr = lambda c: f"translate(lower({c}), {S.q(TB.LATIN)}, {S.q(TB.ARABIC26)}) AS {c}"
+    return "SELECT id, " + ", ".join(map(tr, ("prompt", "chosen", "rejected"))) + " FROM pairs"
 
 
 def _ar_pairs(spark, sf):
@@ -167,10 +167,10 @@ def e15_kto_filters(spark, sf):
 
 
 @register("e16_cpo_validity",
-          lambda: S.with_views("SELECT id, len(list_filter([rejected, other, prompt], lambda z: length(z) > 0)) "
+          lambda: S.with_views("SELECT id, len(list_filter([rejected, other, other_prompt], lambda z: length(z) > 0)) "
                                "BETWEEN 2 AND 8 AS valid FROM nextp", "pairs", extra=[("nextp", NEXT_PAIR_SQL)]))
 def e16_cpo_validity(spark, sf):
-    p = TB.with_next(TB.pairs(spark, sf)).withColumn("negatives", F.filter(F.array("rejected", "other", "prompt"),
+    p = TB.with_next(TB.pairs(spark, sf)).withColumn("negatives", F.filter(F.array("rejected", "other", "other_prompt"),
                                                                            lambda z: F.length(z) > 0))
     return p.select("id", Q.cpo_valid("negatives").alias("valid"))
 

@@ -79,15 +79,17 @@ def _g6_sql():
     for lang, r in MIX.items():
         parts.append(f"SELECT doc_id, '{lang}' AS source_dataset FROM (SELECT doc_id, row_number() OVER (ORDER BY {U}, doc_id) "
                      f"AS rn FROM documents WHERE lang = '{lang}') x, m WHERE rn <= floor({r / tot} * min_len * {len(MIX)})")
-    return ("WITH m AS (SELECT min(n) AS min_len FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) c) "
-            + " UNION ALL ".join(parts))
+    u = S.u(42, "source_dataset || '|' || CAST(doc_id AS VARCHAR)")
+    return ("WITH m AS (SELECT min(n) AS min_len FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) c), "
+            f"mixed AS ({' UNION ALL '.join(parts)}) SELECT *, row_number() OVER (ORDER BY {u}, source_dataset, doc_id) AS shuffle_rank "
+            "FROM mixed")
 
 
 @register("g6_dataset_mix", _g6_sql)
 def g6_dataset_mix(spark, sf):
     d = _docs(spark, sf).select("doc_id", "lang")
     sets = {lang: d.filter(F.col("lang") == lang).select("doc_id") for lang in MIX}
-    return G.mix(sets, MIX, "doc_id").select("doc_id", "source_dataset")
+    return G.mix(sets, MIX, "doc_id").select("doc_id", "source_dataset", "shuffle_rank")
 
 
 # G7 ------------------------------------------------------------------------
@@ -135,14 +137,15 @@ def _eff_sql():
 
 
 @register("g10_method_rankings",
-          lambda: S.with_views("SELECT method, dataset, rank() OVER (ORDER BY efficiency DESC, seconds ASC, final_loss ASC) AS rank "
-                               "FROM eff", "runs", extra=[("eff", _eff_sql())]))
+          lambda: S.with_views("SELECT method, dataset, row_number() OVER (ORDER BY efficiency DESC, seconds ASC, final_loss ASC, method, "
+                               "dataset) AS rank FROM eff", "runs", extra=[("eff", _eff_sql())]))
 def g10_method_rankings(spark, sf):
     from ..operators.metrics import efficiency_table
     from pyspark.sql import Window as W
     e = efficiency_table(TB.runs(spark, sf))
-    w = W.orderBy(F.col("efficiency").desc(), F.col("seconds").asc(), F.col("final_loss").asc())
-    return e.select("method", "dataset", F.rank().over(w).cast("long").alias("rank"))
+    # a run log has a row per method and dataset; ties go by their names
+    w = W.orderBy(F.col("efficiency").desc(), F.col("seconds").asc(), F.col("final_loss").asc(), "method", "dataset")
+    return e.select("method", "dataset", F.row_number().over(w).cast("long").alias("rank"))
 
 
 @register("g11_best_of",

@@ -101,9 +101,10 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_next(p: DataFrame) -> DataFrame:
-    """``pairs`` with ``other``: the rejected text of the pair after it (the first one's for the last)."""
+    """``pairs`` with ``other`` and ``other_prompt``: the rejected text and the
+    prompt of the pair after it (the first one's for the last)."""
     n = p.agg(F.count(F.lit(1)).alias("n"))
-    after = p.select(F.col("id").alias("_next"), F.col("rejected").alias("other"))
+    after = p.select(F.col("id").alias("_next"), F.col("rejected").alias("other"), F.col("prompt").alias("other_prompt"))
     return p.crossJoin(n).withColumn("_next", F.pmod(F.col("id"), "n") + 1).join(after, "_next").drop("_next", "n")
 
 
