@@ -19,6 +19,20 @@ def _num_partitions(df: DataFrame) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def slices(df: DataFrame, group_cols: list[str], order_cols: list, num_partitions: int | None = None) -> DataFrame:
+    """``df`` with ``_pid``: each (``_pid``, group) is a contiguous slice of its group, slices in the order of ``_pid``.
+
+    A range partition holds slices of few groups, or one slice of a hot group,
+    so a slice is bounded by the partition. Checkpointed once: all readers of
+    the slice numbers see the same ones, also after an executor is lost.
+    """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    n = num_partitions or _num_partitions(df)
+    return df.repartitionByRange(n, *map(F.col, group_cols), *order).withColumn("_pid", F.spark_partition_id()).checkpoint()
+
+
 def grouped_row_number(df: DataFrame, group_cols: list[str], order_cols: list, out: str = "rn",
                        max_groups: int | None = None, num_partitions: int | None = None) -> DataFrame:
     """Exact ``row_number() over (partition by group_cols order by order_cols)``.
@@ -28,18 +42,8 @@ def grouped_row_number(df: DataFrame, group_cols: list[str], order_cols: list, o
     table has at most ``num_partitions * max_groups`` rows and is broadcast;
     otherwise it is joined by key and left to AQE.
     """
-    n = num_partitions or _num_partitions(df)
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    keys = [F.col(g) for g in group_cols] + order
-    # Range partitions hold contiguous (group, order) slices, so a hot group
-    # is spread over many of them; each (partition, group) slice is numbered
-    # by its own window, whose size is bounded by the partition size.
-    # Materialised once (reliable checkpoint) so both readers of the slice
-    # ids -- the count table and the join back -- see the same assignment,
-    # also after an executor loss forces a recomputation.
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    local = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()).checkpoint()
+    local = slices(df, group_cols, order_cols, num_partitions)
     local = local.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid", *group_cols).orderBy(*order)))
     stats = local.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -46,9 +46,11 @@ def k3_stream_dedup(spark, sf):
     return K.stream_dedup(spark, sf).select("h")
 
 
-@register("k4_stream_metric_windows", lambda: _WINDOWS_SQL)
+@register("k4_stream_metric_windows", lambda: f"SELECT *, CAST(0 AS BIGINT) AS n_late FROM ({_WINDOWS_SQL}) w")
 def k4_stream_metric_windows(spark, sf):
-    return K.stream_metric_windows(spark, sf).select("window_start", "run", F.round("mean_value", 6).alias("mean_value"), "n")
+    """Read as one micro-batch nothing is late; over several, n + n_late is the batch's n."""
+    return K.stream_metric_windows(spark, sf).select(
+        "window_start", "run", F.round("mean_value", 6).alias("mean_value"), "n", "n_late")
 
 
 @register("k4_metric_windows_batch",
@@ -58,14 +60,24 @@ def k4_metric_windows_batch(spark, sf):
     return K.metric_windows(e).select("window_start", "run", F.round("mean_value", 6).alias("mean_value"), "n")
 
 
+_TREND_SQL = ("SELECT run, CAST(n_points AS BIGINT) AS n_points, trend, trend = 'increasing' AND n_points > 50 AS should_stop FROM ("
+              "SELECT run, n_points, CASE WHEN n_points <= 10 THEN 'insufficient' WHEN recent > prev * 1.05 THEN 'increasing' "
+              "WHEN recent < prev * 0.95 THEN 'decreasing' ELSE 'stable' END AS trend FROM (SELECT run, count(*) AS n_points, "
+              "avg(CASE WHEN k <= 10 THEN value END) AS recent, avg(CASE WHEN k > 10 AND k <= 20 THEN value END) AS prev FROM ("
+              "SELECT user_id AS run, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k "
+              "FROM events) a WHERE k <= 100 GROUP BY run) b) c")
+_STOP_SQL = ("WITH s AS (SELECT *, min(value) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) "
+             "AS best_before FROM metric_log), i AS (SELECT *, sum(CAST(best_before IS NULL OR value < best_before AS INTEGER)) OVER "
+             "(PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM s), "
+             "w AS (SELECT *, row_number() OVER (PARTITION BY run, island ORDER BY step) - 1 AS wait FROM i) "
+             "SELECT run, min(value) AS best_value, count(*) AS n_seen, min(CASE WHEN wait >= 3 THEN step END) AS stop_step FROM w GROUP BY run")
+
+
 @register("k5_live_loss_trend",
-          lambda: "SELECT run, CAST(n_points AS BIGINT) AS n_points, trend, trend = 'increasing' AND n_points > 50 AS should_stop FROM ("
-                  "SELECT run, n_points, CASE WHEN n_points <= 10 THEN 'insufficient' WHEN recent > prev * 1.05 THEN 'increasing' "
-                  "WHEN recent < prev * 0.95 THEN 'decreasing' ELSE 'stable' END AS trend FROM (SELECT run, count(*) AS n_points, "
-                  "avg(CASE WHEN k <= 10 THEN value END) AS recent, avg(CASE WHEN k > 10 AND k <= 20 THEN value END) AS prev FROM ("
-                  "SELECT user_id AS run, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k "
-                  "FROM events) a WHERE k <= 100 GROUP BY run) b) c")
+          lambda: S.with_views("SELECT run, n_points, trend, should_stop, n_seen, best_value, stop_step, CAST(0 AS BIGINT) AS n_late "
+                               f"FROM ({_TREND_SQL}) t JOIN ({_STOP_SQL}) e USING (run)", "metric_log"))
 def k5_live_loss_trend(spark, sf):
+    """Trend and early stop of the stream, as W3 and W4 give them in batch."""
     return K.live_loss_trend(spark, sf)
 
 
