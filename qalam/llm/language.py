@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import quota
+
 #: At most so many documents are learned from: of each language, then in all, those with the smallest hash of their id.
 MAX_FIT_PER_LANG, MAX_FIT_ROWS = 600, 20_000
 #: At most so many windows of a document are learned from, spread evenly over its whole text.
@@ -211,10 +213,10 @@ def fit_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(
         F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).where(
         F.col("_text").rlike(r"\p{L}"))
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_id"))
-    drawn = named.select("_lang", "_id", F.xxhash64(F.col("_id").cast("string")).alias("_hash")).withColumn(
-        "_rank", rank).where(F.col("_rank") <= per_lang).orderBy("_rank", "_hash", "_lang").limit(most).select(
-        "_id", "_lang").distinct()
+    quotas = named.groupBy("_lang").agg(F.lit(per_lang).alias("quota"))
+    few = quota.smallest(named.select("_lang", "_id"), ["_lang"], quotas, "_id").distinct()  # a filter: no language meets in a task
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy(quota.u32(42, F.col("_id")), "_id"))
+    drawn = few.withColumn("_place", place).orderBy("_place", "_lang").limit(most).select("_id", "_lang")
     # at most `most` (id, language) pairs are broadcast
     sample = named.join(F.broadcast(drawn), ["_id", "_lang"]).groupBy("_id", "_lang").agg(
         F.min(_fit_windows(F.col("_text"), MAX_FIT_WINDOWS)).alias("_x")).collect()
