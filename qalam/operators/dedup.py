@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import ensure_checkpoint_dir
+from . import graph as G
 
 
 def keep_first(df: DataFrame, key: list, id_col: str) -> DataFrame:
@@ -41,7 +43,6 @@ def shingle_sets(df: DataFrame, text_col: str, id_col: str, n: int = 3) -> DataF
     frequencies, prefixes and verification are all read. Rows without a text
     have no set and are left out. Two 64-bit hashes and the size stand for a set.
     """
-    from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     sets = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.sort_array(
         F.transform(T.shingles(text_col, n), lambda x: F.xxhash64(x))).alias("hs"))
@@ -98,26 +99,50 @@ def near_dup_edges(df: DataFrame, text_col: str, id_col: str, threshold: float =
     return similar_sets(sets.filter(F.col("id") == F.col("rep")), threshold).unionByName(copies)
 
 
-def greedy_keep_first(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
-    """Lexicographically-first maximal independent set of the similarity graph.
+#: Links up to which a component of similar texts is resolved in one task (24 bytes a link, streamed).
+TASK_LINKS = 20_000_000
 
-    A node is kept when no kept smaller neighbour exists, the greedy rule
-    that scans rows in id order. Each round keeps the nodes without an open
-    smaller neighbour, drops their neighbours, and goes on with the edges
-    that are left between open nodes; it settles one edge at least, so the
-    loop ends with every node decided. Only open edges are written again, in
-    the cluster checkpoint folder. Returns ``(id, kept)`` for every node.
+
+def _dropped_in_rounds(edges: DataFrame) -> DataFrame:
+    """The same for components too large for one task, all their nodes at once.
+
+    A round keeps the nodes without an open smaller neighbour and drops their
+    neighbours; the links left between open nodes go on. Each round's dropped
+    nodes are a part of one table, read once at the end.
     """
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(nodes.sparkSession)
-    left = edges.select("i", "j").checkpoint()
-    dropped = left.select(F.col("j").alias("id")).limit(0)
+    import uuid
+    spark = edges.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/dropped-{uuid.uuid4().hex}"
+    left, k = edges.select("i", "j").checkpoint(), 0
     while not left.isEmpty():
         first = left.select("i").distinct().join(left.select(F.col("j").alias("i")).distinct(), "i", "left_anti")
-        gone = left.join(first, "i", "left_semi").select(F.col("j").alias("id")).distinct().checkpoint()
-        dropped = dropped.unionByName(gone)
+        left.join(first, "i", "left_semi").select(F.col("j").alias("id")).distinct().write.parquet(f"{path}/round={k}")
+        gone = spark.read.parquet(f"{path}/round={k}")
         left = left.join(gone.withColumnRenamed("id", "i"), "i", "left_anti") \
             .join(gone.withColumnRenamed("id", "j"), "j", "left_anti").select("i", "j").checkpoint()
+        k += 1
+    return spark.read.parquet(path).select("id") if k else edges.select(F.col("j").alias("id")).limit(0)
+
+
+def greedy_keep_first(nodes: DataFrame, edges: DataFrame, id_col: str = "id", task_links: int = TASK_LINKS) -> DataFrame:
+    """Lexicographically-first maximal independent set of the similarity graph.
+
+    A node is kept when no kept smaller neighbour exists, the greedy rule
+    that scans rows in id order. The rule acts inside components of the
+    graph: each is scanned in one task, however long its chains; components
+    with more than ``task_links`` links go through rounds instead. Returns
+    ``(id, kept)`` for every node.
+    """
+    ensure_checkpoint_dir(nodes.sparkSession)
+    links = edges.select("i", "j").checkpoint()
+    of = G.components(links, "i", "j")
+    tagged = links.join(of.withColumnRenamed("node", "i"), "i").checkpoint()
+    large = tagged.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > task_links).select("root").checkpoint()
+    if large.isEmpty():
+        dropped = G.dropped_in_order(tagged)
+    else:
+        dropped = G.dropped_in_order(tagged.join(large, "root", "left_anti")).unionByName(
+            _dropped_in_rounds(tagged.join(large, "root", "left_semi")))
     return nodes.select(F.col(id_col).alias("id")).join(dropped.withColumn("__gone", F.lit(True)), "id", "left") \
         .select(F.col("id").alias(id_col), F.col("__gone").isNull().alias("kept"))
 

@@ -11,6 +11,8 @@ import atexit
 import os
 import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -51,9 +53,27 @@ def configure(spark: SparkSession) -> SparkSession:
         if conf.get(key, None) in (None, ""):
             conf.set(key, value)
     ensure_checkpoint_dir(spark)
+    ship(spark)
     return spark
 
 
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, through Spark's own file distribution."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    folder = _shipped[sc.applicationId] = tempfile.TemporaryDirectory()  # on the driver, which serves the file while it lives
+    root = Path(__file__).resolve().parent
+    to = Path(folder.name, f"{root.name}-lib.zip")
+    with zipfile.ZipFile(to, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(to))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster-named shared checkpoint folder (``spark.checkpoint.dir``)."""
     return ensure_checkpoint_dir(spark)
