@@ -259,5 +259,15 @@ QA_TEMPLATES = {
     "conversation": "المستخدم: {question}\nالمساعد: {answer}",
 }
 
+# FIXED VALUES: alef and meem as they look when UTF-8 was read as a one-byte encoding.
+MOJIBAKE = [("\u00d8\u00a7", "\u0627"), ("\u00d9\u2026", "\u0645")]
+
+# FIXED VALUES: prompts of a question alone, with a context, and with options.
+QUESTION_PROMPTS = {
+    "plain": "السؤال: {question}\n\nالإجابة:",
+    "context": "السياق: {context}\n\nالسؤال: {question}\n\nالإجابة:",
+    "options": "السؤال: {question}\n\nالخيارات:\n{options}\n\nالإجابة:",
+}
+
 # FIXED VALUES: Arabic grade words (B10); anything else is bad.
 GRADE_MAP = {"ممتاز": "good", "جيد جداً": "good", "جيد": "good", "مقبول": "bad", "ضعيف": "bad", "سيء": "bad"}

@@ -130,13 +130,17 @@ def greedy_keep_first(nodes: DataFrame, edges: DataFrame, id_col: str = "id", ta
     A node is kept when no kept smaller neighbour exists, the greedy rule
     that scans rows in id order. The rule acts inside components of the
     graph: each is scanned in one task, however long its chains; components
-    with more than ``task_links`` links go through rounds instead. Returns
-    ``(id, kept)`` for every node.
+    with more than ``task_links`` links go through rounds instead. A graph
+    with fewer links than a tenth of that needs no components: one task scans
+    it. Returns ``(id, kept)`` for every node.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
     links = edges.select("i", "j").checkpoint()
-    of = G.components(links, "i", "j")
-    tagged = links.join(of.withColumnRenamed("node", "i"), "i").checkpoint()
+    if links.count() * 10 <= task_links:
+        tagged = links.withColumn("root", F.lit(0))
+    else:
+        of = G.components(links, "i", "j")
+        tagged = links.join(of.withColumnRenamed("node", "i"), "i").checkpoint()
     large = tagged.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > task_links).select("root").checkpoint()
     if large.isEmpty():
         dropped = G.dropped_in_order(tagged)

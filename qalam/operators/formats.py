@@ -294,6 +294,21 @@ def qa_text(question: Column, answer: Column, kind: str = "simple", context: Col
     return render_template(L.QA_TEMPLATES[kind], **fields)
 
 
+def question_prompt(question: Column, context: Column | None = None, options: Column | None = None) -> Column:
+    """The prompt of a question: with its options, one numbered line
+    each, if it has any; else with its context unless that is blank; else
+    alone."""
+    out = render_template(L.QUESTION_PROMPTS["plain"], question=question)
+    if context is not None:
+        out = F.when(F.coalesce(context, F.lit("")) != "",
+                     render_template(L.QUESTION_PROMPTS["context"], question=question, context=context)).otherwise(out)
+    if options is not None:
+        lines = F.array_join(F.transform(options, lambda o, i: F.concat((i + 1).cast("string"), F.lit(". "), o)), "\n")
+        out = F.when(F.coalesce(F.size(options), F.lit(0)) > 0,
+                     render_template(L.QUESTION_PROMPTS["options"], question=question, options=lines)).otherwise(out)
+    return out
+
+
 def grade_label(rating: Column | None = None, grade: Column | None = None) -> Column:
     """Rating >= 4 -> good else bad; else Arabic grade word map, default bad."""
     if rating is not None:

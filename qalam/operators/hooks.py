@@ -31,7 +31,7 @@ def preprocess(df: DataFrame, required: Sequence[str] = (), hook: Callable[[Data
 def run_stages(df: DataFrame, stages: Sequence[tuple[str, Stage]], path: str) -> tuple[DataFrame, DataFrame]:
     """``(rows, counts)`` of named stages that are written to ``path`` in one pass.
 
-    A stage is a predicate column (rows where it is not true go; the
+    A stage is a predicate over columns (rows where it is not true go; the
     caller's own predicates, U3, are stages too) or a function from table to
     table. Every stage is counted by an ``Observation`` beside the write, so
     no second pass attributes rows to stages. ``counts`` has a row per stage:

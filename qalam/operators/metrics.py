@@ -8,6 +8,8 @@ long ``(metric, value)`` table.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +28,13 @@ def unpivot_report(df: DataFrame, id_cols: list[str] | None = None) -> DataFrame
 
 # ----------------------------------------------------------------- I1 / I2 / I8
 
-def text_profile(df: DataFrame, text_cols: list[str] | None = None, split_col: str | None = None) -> DataFrame:
+def text_profile(df: DataFrame, text_cols: list[str] | None = None, split_col: str | None = None,
+                 count_tokens: Callable[[Column], Column] | None = None) -> DataFrame:
     """Count, char-length min/max/mean/median/pop-std and Arabic count and
     ratio per text column (auto: columns whose name contains 'text' or
-    'content'); per split when ``split_col`` is given."""
+    'content'); per split when ``split_col`` is given. With ``count_tokens``,
+    a tokenizer's function from text to number of tokens, the same statistics
+    of the tokens, over all rows."""
     cols = text_cols or [c for c in df.columns if "text" in c.lower() or "content" in c.lower()]
     aggs = [F.count(F.lit(1)).alias("num_examples")]
     for c in cols:
@@ -38,6 +43,10 @@ def text_profile(df: DataFrame, text_cols: list[str] | None = None, split_col: s
                  F.avg(ln).alias(f"{c}_mean_length"), F.median(ln).alias(f"{c}_median_length"),
                  F.stddev_pop(ln).alias(f"{c}_std_length"),
                  F.count_if(T.has_arabic(F.col(c))).alias(f"{c}_arabic_examples")]
+        if count_tokens is not None:
+            n = count_tokens(F.col(c))
+            aggs += [F.min(n).alias(f"{c}_min_tokens"), F.max(n).alias(f"{c}_max_tokens"), F.avg(n).alias(f"{c}_mean_tokens"),
+                     F.median(n).alias(f"{c}_median_tokens"), F.stddev_pop(n).alias(f"{c}_std_tokens")]
     g = df.groupBy(split_col).agg(*aggs) if split_col else df.agg(*aggs)
     return g.select("*", *[(F.col(f"{c}_arabic_examples") / F.col("num_examples")).alias(f"{c}_arabic_ratio")
                            for c in cols])
@@ -147,12 +156,13 @@ def instruction_report(df: DataFrame, instruction: str = "instruction", response
 
 
 def generation_basics(df: DataFrame, pred: str = "prediction", ref: str = "reference") -> DataFrame:
-    """Average word / char lengths, their ratio, distinct-prediction share."""
+    """Average word / char lengths, their ratio, distinct-prediction share
+    (texts told apart by 128-bit digests, so no text is shuffled)."""
     return df.agg(F.avg(T.word_count(pred)).alias("avg_prediction_length"),
                   F.avg(T.word_count(ref)).alias("avg_reference_length"),
                   F.avg(F.length(pred)).alias("avg_prediction_char_length"),
                   F.avg(F.length(ref)).alias("avg_reference_char_length"),
-                  (F.count_distinct(pred) / F.count(F.lit(1))).alias("prediction_diversity")) \
+                  (F.count_distinct(F.md5(pred)) / F.count(F.lit(1))).alias("prediction_diversity")) \
         .withColumn("length_ratio", F.col("avg_prediction_length") / F.greatest(F.col("avg_reference_length"), F.lit(1.0)))
 
 
@@ -254,13 +264,19 @@ def arabic_row_scores(counts: DataFrame, target_dialect: str = "msa", diacritics
 
 
 def arabic_metrics(df: DataFrame, text_col: str = "text", target_dialect: str = "msa", diacritics: bool = True,
-                   blocked_terms: list[str] | None = None) -> DataFrame:
+                   blocked_terms: list[str] | None = None, plugins: Sequence[str] = ()) -> DataFrame:
     """I12a-k: the Arabic report in one aggregate pass (one wide row).
 
     Cultural appropriateness has no patterns in the reference, so it is 1.0
     unless ``blocked_terms`` is given; religious sensitivity is always 1.0
     and the share of texts with a religious term is reported beside it.
+    ``plugins`` names the caller's metrics (``hooks.register_metric``), a
+    column each.
     """
+    if plugins:
+        from .hooks import evaluate
+        own = evaluate(df, plugins).groupBy().pivot("metric", list(plugins)).agg(F.first("value"))
+        return arabic_metrics(df, text_col, target_dialect, diacritics, blocked_terms).crossJoin(own)  # one row each
     rows = arabic_row_scores(arabic_counts(df, text_col, blocked_terms), target_dialect, diacritics)
     n = F.count(F.lit(1))
     agg = rows.agg(
@@ -341,11 +357,15 @@ def _logsig(x: Column) -> Column:
 
 def preference_objectives(s: DataFrame, beta: float = 0.1, label_smoothing: float = 0.0, ipo_tau: float = 0.1,
                           cpo_alpha: float = 1.0, simpo_beta: float = 2.0, simpo_gamma_ratio: float = 0.5,
-                          orpo_lambda: float = 0.1) -> DataFrame:
+                          orpo_lambda: float = 0.1, desirable_weight: float = 1.0, undesirable_weight: float = 1.0,
+                          cpo_simpo_gamma: float = 0.5) -> DataFrame:
     """Per-pair losses from policy/reference log-prob sums and token
     counts (lp_chosen, lp_rejected, ref_chosen, ref_rejected, n_chosen,
     n_rejected), then one aggregate row of means. Formulas are the published
-    sigmoid-DPO, hinge, IPO, KTO, CPO, SimPO and ORPO objectives."""
+    sigmoid-DPO, hinge, IPO, KTO, CPO, SimPO and ORPO objectives; CPO also
+    with its hinge, ipo and simpo preference terms, KTO with the weights of
+    the two classes and the share of each class on its side of the reference
+    (``kto_accuracy_*``)."""
     pc, pr, rc, rr = F.col("lp_chosen"), F.col("lp_rejected"), F.col("ref_chosen"), F.col("ref_rejected")
     nc, nr = F.col("n_chosen").cast("double"), F.col("n_rejected").cast("double")
     h = (pc - rc) - (pr - rr)
@@ -355,6 +375,10 @@ def preference_objectives(s: DataFrame, beta: float = 0.1, label_smoothing: floa
         (pr / F.greatest(nr, F.lit(1.0)) - rr / F.greatest(nr, F.lit(1.0)))
     ipo = F.pow(hn - 1 / (2 * ipo_tau), 2)
     cpo = -_logsig(beta * (pc - pr)) + cpo_alpha * (-pc / F.greatest(nc, F.lit(1.0)))
+    nll = cpo_alpha * (-pc / F.greatest(nc, F.lit(1.0)))
+    cpo_hinge = F.greatest(F.lit(0.0), 1 - beta * (pc - pr)) + nll
+    cpo_ipo = F.pow((pc - pr) - 1 / (2 * beta), 2) + nll
+    cpo_simpo = -_logsig(beta * (pc / F.greatest(nc, F.lit(1.0)) - pr / F.greatest(nr, F.lit(1.0))) - cpo_simpo_gamma) + nll
     gamma = simpo_gamma_ratio * simpo_beta
     simpo = -_logsig(simpo_beta * (pc / F.greatest(nc, F.lit(1.0)) - pr / F.greatest(nr, F.lit(1.0))) - gamma)
     ac, ar = pc / F.greatest(nc, F.lit(1.0)), pr / F.greatest(nr, F.lit(1.0))
@@ -366,14 +390,38 @@ def preference_objectives(s: DataFrame, beta: float = 0.1, label_smoothing: floa
     kto_c = 1 - F.exp(_logsig(beta * (pc - rc) - kl))
     kto_r = 1 - F.exp(_logsig(-(beta * (pr - rr) - kl)))
     rows = s.select(sig.alias("sigmoid"), hinge.alias("hinge"), ipo.alias("ipo"), cpo.alias("cpo"), simpo.alias("simpo"),
-                    orpo.alias("orpo"), ((kto_c + kto_r) / 2).alias("kto"), (beta * (pc - rc)).alias("reward_chosen"),
+                    orpo.alias("orpo"), ((desirable_weight * kto_c + undesirable_weight * kto_r) / 2).alias("kto"),
+                    cpo_hinge.alias("cpo_hinge"), cpo_ipo.alias("cpo_ipo"), cpo_simpo.alias("cpo_simpo"),
+                    (pc - rc > 0).cast("double").alias("good"), (pr - rr < 0).cast("double").alias("bad"), (beta * (pc - rc)).alias("reward_chosen"),
                     (beta * (pr - rr)).alias("reward_rejected"), (h > 0).cast("double").alias("acc"), kl.alias("kl"))
-    return rows.agg(*[F.avg(c).alias(f"loss_{c}") for c in ("sigmoid", "hinge", "ipo", "cpo", "simpo", "orpo", "kto")],
+    return rows.agg(*[F.avg(c).alias(f"loss_{c}") for c in ("sigmoid", "hinge", "ipo", "cpo", "simpo", "orpo", "kto",
+                                                                  "cpo_hinge", "cpo_ipo", "cpo_simpo")],
+                    F.avg("good").alias("kto_accuracy_desirable"), F.avg("bad").alias("kto_accuracy_undesirable"),
                     F.avg("reward_chosen").alias("reward_chosen"), F.avg("reward_rejected").alias("reward_rejected"),
                     F.avg(F.col("reward_chosen") - F.col("reward_rejected")).alias("reward_margin"),
                     F.avg("acc").alias("reward_accuracy"), F.max("kl").alias("kl_estimate"))
 
 
+def reward_calibration(s: DataFrame, beta: float = 0.1, bins: int = 10) -> DataFrame:
+    """Per bin of the predicted probability that the chosen text wins,
+    sigmoid(beta * margin): pairs, mean probability, share of pairs whose
+    policy prefers the chosen text, and the gap between the two."""
+    margin = (F.col("lp_chosen") - F.col("ref_chosen")) - (F.col("lp_rejected") - F.col("ref_rejected"))
+    p = 1 / (1 + F.exp(-beta * margin))
+    won = (F.col("lp_chosen") > F.col("lp_rejected")).cast("double")
+    rows = s.select(F.least(F.floor(p * bins), F.lit(bins - 1)).cast("int").alias("bin"), p.alias("p"), won.alias("won"))
+    g = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("confidence"), F.avg("won").alias("accuracy"))
+    return g.withColumn("gap", F.abs(F.col("confidence") - F.col("accuracy")))
+
+
+def margin_correlations(s: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
+    """Correlation of the reward margin with the difference in quality and in length of the two texts."""
+    margin = F.col("lp_chosen") - F.col("lp_rejected")
+    rows = s.select(margin.alias("m"), (T.quality(chosen) - T.quality(rejected)).alias("q"),
+                    (F.length(chosen) - F.length(rejected)).cast("double").alias("l"))
+    return rows.agg(F.corr("m", "q").alias("quality_corr"), F.corr("m", "l").alias("length_corr"), F.count(F.lit(1)).alias("n"))
+
+
 # ----------------------------------------------------------------- I21-I27
 
 def efficiency_table(runs: DataFrame) -> DataFrame:
@@ -430,6 +478,40 @@ def latency_report(df: DataFrame, value_col: str, group_cols: list[str], key_col
     return j.groupBy(*group_cols).agg(*aggs)
 
 
+def latency_sketch(df: DataFrame, value_col: str, group_cols: list[str], ps=(0.5, 0.95, 0.99), k: int = 800) -> DataFrame:
+    """I24 for inputs too large to rank: percentiles from a KLL sketch per
+    group, merged from the tasks' sketches; with ``k`` = 800 a value's rank
+    is off by well under 1 % of the rows."""
+    g = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"), F.avg(value_col).alias("mean"),
+                                    F.kll_sketch_agg_double(F.col(value_col).cast("double"), k).alias("__s"))
+    return g.select(*group_cols, "mean", "n", *[F.kll_sketch_get_quantile_double("__s", F.lit(float(p))).alias(f"p{int(p * 100)}") for p in ps])
+
+
+def throughput(df: DataFrame, group_cols: list[str], start_us: Column, duration_us: Column, units: Column | None = None,
+               num_partitions: int | None = None) -> DataFrame:
+    """Requests (and ``units``, such as tokens) per busy second of each group.
+
+    Busy time is the length of the union of the requests' intervals: a
+    request adds what lies behind the latest end of all requests that start
+    before it. That end is found inside slices of range partitions and
+    carried across them by one row a slice, so a hot group is many tasks.
+    """
+    from .ranking import slices
+    rows = df.select(*group_cols, start_us.cast("long").alias("_from"), (start_us + duration_us).cast("long").alias("_to"),
+                     (units if units is not None else F.lit(0)).cast("long").alias("_units"))
+    cut = slices(rows, group_cols, ["_from", "_to"], num_partitions)
+    earlier = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy(*group_cols, "_pid").agg(F.max("_to").alias("_last")).withColumn("_before", F.max("_last").over(earlier)) \
+        .select(*group_cols, "_pid", "_before")
+    inside = Window.partitionBy(*group_cols, "_pid").orderBy("_from", "_to").rowsBetween(Window.unboundedPreceding, -1)
+    known = cut.join(before, [*group_cols, "_pid"]).withColumn("_until", F.greatest("_before", F.max("_to").over(inside)))
+    busy = F.greatest(F.lit(0), F.col("_to") - F.greatest("_from", "_until"))
+    g = known.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("requests"), F.sum("_units").alias("units"), F.sum(busy).alias("_busy"))
+    seconds = F.col("_busy") / 1e6
+    return g.select(*group_cols, "requests", "units", seconds.alias("busy_seconds"),
+                    F.try_divide("requests", seconds).alias("requests_per_second"), F.try_divide("units", seconds).alias("units_per_second"))
+
+
 def stage_share(df: DataFrame, stage_col: str, value_col: str, threshold: float = 30.0) -> DataFrame:
     """Average per stage, percent of the total, bottleneck flag."""
     g = df.groupBy(stage_col).agg(F.avg(value_col).alias("avg"), F.sum(value_col).alias("total"))
@@ -439,11 +521,17 @@ def stage_share(df: DataFrame, stage_col: str, value_col: str, threshold: float
                     (F.col("total") == F.max("total").over(every)).alias("primary_bottleneck"))
 
 
-def dialect_rollup(df: DataFrame, dialect_col: str, metric_cols: list[str]) -> DataFrame:
+def dialect_rollup(df: DataFrame, dialect_col: str, metric_cols: list[str], plugins: Sequence[str] = ()) -> DataFrame:
     """Metrics by dialect plus the weighted overall row (ROLLUP);
-    the overall mean is sum(n*m)/sum(n) = the mean over all rows."""
-    return df.rollup(dialect_col).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in metric_cols]) \
+    the overall mean is sum(n*m)/sum(n) = the mean over all rows. ``plugins``
+    names the caller's metrics (``hooks.register_metric``), a column each."""
+    out = df.rollup(dialect_col).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in metric_cols]) \
         .withColumn(dialect_col, F.coalesce(F.col(dialect_col), F.lit("overall")))
+    if plugins:
+        from .hooks import evaluate
+        per = evaluate(df, plugins, [dialect_col]).unionByName(evaluate(df, plugins).withColumn(dialect_col, F.lit("overall")))
+        out = out.join(per.groupBy(dialect_col).pivot("metric", list(plugins)).agg(F.first("value")), dialect_col, "left")
+    return out
 
 
 # ----------------------------------------------------------------- I14 text overlap metrics

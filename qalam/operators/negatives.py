@@ -153,3 +153,14 @@ def negative_diversity(df: DataFrame, id_col: str, negs_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("rid")).join(mean, "rid", "left") \
         .select(F.col("rid").alias(id_col), "mean_similarity",
                 F.coalesce(1 - F.col("mean_similarity"), F.lit(0.0)).alias("diversity"))
+
+
+def negative_hardness(chosen: str | Column, negs: str | Column) -> Column:
+    """how hard a row's negatives are, at most 1: a tenth of 1 / (mean
+    quality gap + 0.1), the gap being the chosen text's quality less a
+    negative's. Without negatives the gap is 0; a gap of exactly -0.1 gives
+    null."""
+    chosen, negs = (F.col(c) if isinstance(c, str) else c for c in (chosen, negs))
+    gaps = F.aggregate(F.transform(negs, T.quality), F.lit(0.0).cast("double"), lambda a, x: a + (T.quality(chosen) - x))
+    mean = F.when(F.size(negs) > 0, gaps / F.size(negs)).otherwise(0.0)
+    return F.least(F.try_divide(F.lit(1.0), mean + 0.1) / 10.0, F.lit(1.0))

@@ -74,8 +74,9 @@ def filter_by_quality(df: DataFrame, text_col: str = "text", min_score: float =
 
 
 def validate_rules(df: DataFrame, rules: dict) -> DataFrame:
-    """E5: per field rules {required, type, min_length, max_length, pattern}
-    -> ``errors`` array and ``is_valid``. Type rules resolve on the schema."""
+    """E5: per field rules {required, type, min_length, max_length, pattern,
+    check with message} -> ``errors`` array and ``is_valid``. Type rules
+    resolve on the schema; ``check`` is a function from column to predicate."""
     errs = []
     for field, r in rules.items():
         if field not in df.columns:
@@ -93,6 +94,8 @@ def validate_rules(df: DataFrame, rules: dict) -> DataFrame:
             errs.append(F.when(F.length(c) > r["max_length"], F.lit(f"{field}: longer than {r['max_length']}")))
         if "pattern" in r:
             errs.append(F.when(~c.rlike(r["pattern"]), F.lit(f"{field}: pattern mismatch")))
+        if "check" in r:  # U3: the caller's predicate, column to column; what is not true fails
+            errs.append(F.when(~F.coalesce(r["check"](c), F.lit(False)), F.lit(f"{field}: {r.get('message', 'check failed')}")))
     arr = F.array_compact(F.array(*errs)) if errs else F.array().cast("array<string>")
     return df.withColumn("errors", arr).withColumn("is_valid", F.size("errors") == 0)
 
@@ -136,21 +139,29 @@ def dataset_gate(df: DataFrame, text_col: str = "text", required: tuple[str, ...
     return a.select("*", issues.alias("issues"), warnings.alias("warnings"), (F.size(issues) == 0).alias("passed"))
 
 
+def _blank(c: str) -> Column:
+    return F.coalesce(T.py_strip(F.col(c).cast("string")), F.lit("")) == ""
+
+
 def method_checks(df: DataFrame, method: str) -> DataFrame:
     """Per-rule violation counts over all rows (the reference looks at the
-    first row only): missing/empty fields, and chosen == rejected for pairs."""
-    if method == "sft":
-        cols = ["instruction", "response"]
-    elif method == "kto":
-        cols = ["prompt", "completion", "label"]
-    else:
-        cols = ["prompt", "chosen", "rejected"]
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for c in cols:
-        aggs.append(F.count_if(F.col(c).isNull() | (F.col(c).cast("string") == "")).alias(f"empty_{c}"))
+    first row only), and whether the table passes.
+
+    Fields that are null cannot be extracted; sft rows fail when instruction
+    and response are both blank, kto and pair rows when any text is blank.
+    """
+    cols = {"sft": ["instruction", "response"], "kto": ["prompt", "completion", "label"]}.get(method, ["prompt", "chosen", "rejected"])
+    texts = [c for c in cols if c != "label"]
+    blanks = [_blank(c) for c in texts]
+    empty = blanks[0] & blanks[1] if method == "sft" else blanks[0] | blanks[1] | (blanks[2] if len(blanks) > 2 else F.lit(False))
+    missing = F.col(cols[0]).isNull()
+    for c in cols[1:]:
+        missing = missing | F.col(c).isNull()
+    aggs = [F.count(F.lit(1)).alias("rows"), F.count_if(missing).alias("missing_fields"), F.count_if(~missing & empty).alias("empty_texts"),
+            *[F.count_if(F.col(c).isNull() | (F.col(c).cast("string") == "")).alias(f"empty_{c}") for c in cols]]
     if method not in ("sft", "kto"):
         aggs.append(F.count_if(F.col("chosen") == F.col("rejected")).alias("chosen_equals_rejected"))
-    return df.agg(*aggs)
+    return df.agg(*aggs).withColumn("passed", (F.col("missing_fields") == 0) & (F.col("empty_texts") == 0))
 
 
 def drop_missing(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -164,21 +175,30 @@ def sft_valid(instruction="instruction", response="response", min_len=1, max_len
     return (F.length(i).between(min_len, max_len) & F.length(r).between(min_len, max_len))
 
 
-def preference_valid(min_len: int = 10, max_len: int = 4096, min_diversity: float = 0.1, require_arabic: bool = False) -> Column:
-    """Lengths, chosen/rejected diversity (sim < 1 - min), language."""
-    ok = F.length("chosen").between(min_len, max_len) & F.length("rejected").between(min_len, max_len)
+def _within(c: str, low: int, high: int) -> Column:
+    return F.length(c).between(low, high)
+
+
+def preference_valid(min_len: int = 10, max_len: int = 4096, min_diversity: float = 0.1, require_arabic: bool = False,
+                     min_prompt: int = 1, max_prompt: int = 1024) -> Column:
+    """Lengths of prompt and responses, chosen/rejected diversity (sim < 1 - min), language of all three."""
+    ok = _within("prompt", min_prompt, max_prompt) & _within("chosen", min_len, max_len) & _within("rejected", min_len, max_len)
     ok = ok & (T.sim("chosen", "rejected") < 1.0 - min_diversity)
     if require_arabic:
-        ok = ok & T.has_arabic("chosen") & T.has_arabic("rejected")
+        ok = ok & T.has_arabic("prompt") & T.has_arabic("chosen") & T.has_arabic("rejected")
     return ok
 
 
 def dpo_filter(df: DataFrame, min_len: int = 10, max_len: int = 4096, min_quality_diff: float = 0.1,
-               max_similarity: float = 0.9, min_strength: float = 0.5, max_ratio: float = 3.0) -> DataFrame:
-    """Length bounds, quality difference, similarity cap, preference
-    strength (C28) and length ratio; keeps the first failing reason."""
+               max_similarity: float = 0.9, min_strength: float = 0.5, max_ratio: float = 3.0, min_prompt: int = 1,
+               max_prompt: int = 1024) -> DataFrame:
+    """Stripped prompt and response lengths, quality difference,
+    similarity cap, preference strength (C28) and length ratio; keeps the
+    first failing reason."""
+    n = {c: F.length(T.py_strip(c)) for c in ("prompt", "chosen", "rejected")}
     ratio = F.greatest(F.length("chosen"), F.length("rejected")) / F.greatest(F.least(F.length("chosen"), F.length("rejected")), F.lit(1))
-    reason = (F.when(~(F.length("chosen").between(min_len, max_len) & F.length("rejected").between(min_len, max_len)), F.lit("length"))
+    reason = (F.when(~n["prompt"].between(min_prompt, max_prompt), F.lit("prompt_length"))
+              .when(~(n["chosen"].between(min_len, max_len) & n["rejected"].between(min_len, max_len)), F.lit("length"))
               .when(T.quality("chosen") - T.quality("rejected") < min_quality_diff, F.lit("quality_diff"))
               .when(T.sim("chosen", "rejected") > max_similarity, F.lit("similarity"))
               .when(T.dpo_strength("chosen", "rejected") < min_strength, F.lit("strength"))
@@ -186,30 +206,43 @@ def dpo_filter(df: DataFrame, min_len: int = 10, max_len: int = 4096, min_qualit
     return df.withColumn("filter_reason", reason)
 
 
-def ipo_filter(df: DataFrame, max_ratio: float = 3.0, min_diff: int = 20, max_bias: float = 0.5) -> DataFrame:
-    """Longer to shorter length ratio, least length difference, length-bias score."""
+def ipo_filter(df: DataFrame, max_ratio: float = 3.0, min_diff: int = 20, max_bias: float = 0.5,
+               min_normalized_quality: float = 0.0) -> DataFrame:
+    """Longer to shorter length ratio, least length difference,
+    length-bias score, and the least difference of the length-normalised
+    qualities (chosen less rejected)."""
     lc, lr = F.length("chosen"), F.length("rejected")
+    normal = lambda c: T.length_normalized_quality(T.quality(c), F.length(c))
     reason = (F.when(F.greatest(lc, lr) / F.greatest(F.least(lc, lr), F.lit(1)) > max_ratio, F.lit("length_ratio"))
               .when(F.abs(lc - lr) < min_diff, F.lit("length_difference"))
-              .when(T.length_bias("chosen", "rejected") > max_bias, F.lit("length_bias")))
+              .when(T.length_bias("chosen", "rejected") > max_bias, F.lit("length_bias"))
+              .when(normal("chosen") - normal("rejected") < min_normalized_quality, F.lit("normalized_quality")))
     return df.withColumn("filter_reason", reason)
 
 
 def kto_filter(df: DataFrame, min_len: int = 10, max_len: int = 4096, min_quality: float = 0.2,
-               utility_range=(-2.25, 1.0)) -> DataFrame:
-    """Label present, completion length, quality floor, utility range."""
+               utility_range=(-2.25, 1.0), min_prompt: int = 1, max_prompt: int = 1024) -> DataFrame:
+    """Label present, prompt and completion lengths (the least without
+    surrounding white space, the most with it), quality floor, utility range."""
     q = T.quality("completion")
     util = T.kto_utility(q, F.col("label") == 1)
+    bounds = lambda c, low, high: (F.length(T.py_strip(c)) >= low) & (F.length(c) <= high)
     reason = (F.when(F.col("label").isNull(), F.lit("label"))
-              .when(~F.length("completion").between(min_len, max_len), F.lit("length"))
+              .when(~F.coalesce(bounds("prompt", min_prompt, max_prompt), F.lit(False)), F.lit("prompt_length"))
+              .when(~bounds("completion", min_len, max_len), F.lit("length"))
               .when(q < min_quality, F.lit("quality"))
               .when(~util.between(*utility_range), F.lit("utility")))
     return df.withColumn("filter_reason", reason)
 
 
-def cpo_valid(negs: str = "negatives", min_negs: int = 2, max_negs: int = 8, min_len: int = 1) -> Column:
-    """Between min and max negatives, each long enough."""
-    return F.size(negs).between(min_negs, max_negs) & F.forall(negs, lambda x: F.length(x) >= min_len)
+def cpo_valid(negs: str = "negatives", min_negs: int = 2, max_negs: int = 8, min_len: int = 1, min_prompt: int = 1,
+              max_similarity: float = 0.9) -> Column:
+    """Prompt, chosen and every negative long enough (stripped), between
+    min and max negatives, and contrast: no negative is nearly the chosen
+    text (similarity above ``max_similarity``)."""
+    long_enough = (F.length(T.py_strip("prompt")) >= min_prompt) & (F.length(T.py_strip("chosen")) >= min_len)
+    return long_enough & F.size(negs).between(min_negs, max_negs) & F.forall(negs, lambda x: F.length(T.py_strip(x)) >= min_len) \
+        & F.forall(negs, lambda x: T.sim(F.col("chosen"), x) <= max_similarity)
 
 
 def length_ratio_filter(df: DataFrame, max_ratio: float = 2.0) -> DataFrame:
@@ -267,12 +300,15 @@ def fail_fast_preference(df: DataFrame) -> None:
         raise ValueError("empty chosen or rejected response")
 
 
-def split_checks(df: DataFrame, required: list[str], split_col: str = "split") -> DataFrame:
-    """Has a train split, every split non-empty, required columns present.
-    One aggregate per split; the column test is decided on the schema."""
+def split_checks(df: DataFrame, required: list[str], expected: tuple[str, ...] = ("train", "validation", "test"),
+                 split_col: str = "split") -> DataFrame:
+    """One row per expected or present split: its rows, whether it has
+    any, whether there is a train split, and the required columns that are
+    missing (decided on the schema)."""
     missing = [c for c in required if c not in df.columns]
     per = df.groupBy(split_col).agg(F.count(F.lit(1)).alias("rows"))
-    return per.select(split_col, "rows", (F.col("rows") > 0).alias("non_empty"),
-                      F.max((F.col(split_col) == "train").cast("int")).over(Window.partitionBy()).cast("boolean")
-                      .alias("has_train"),
-                      F.lit(",".join(missing)).alias("missing_columns"))
+    names = df.sparkSession.createDataFrame([(x,) for x in expected], f"{split_col} string")
+    every = per.join(names, split_col, "full_outer").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    train = F.max(((F.col(split_col) == "train") & (F.col("rows") > 0)).cast("int")).over(Window.partitionBy())
+    return every.select(split_col, "rows", (F.col("rows") > 0).alias("non_empty"), (train == 1).alias("has_train"),
+                        F.lit(",".join(missing)).alias("missing_columns"))

@@ -451,6 +451,29 @@ def b25_qa_templates(spark, sf):
                                          for k in L.QA_TEMPLATES])
 
 
+def _b25_prompt_sql():
+    from ..functions import lexicon as LX
+    opts = "CASE WHEN turn % 3 = 0 THEN [response, 'نعم', 'لا'] WHEN turn % 3 = 1 THEN [] END"
+    lines = "array_to_string(list_transform(opts, lambda o, i: i || '. ' || o), chr(10))"
+    prompt = (f"CASE WHEN coalesce(len(opts), 0) > 0 THEN {_render_sql(LX.QUESTION_PROMPTS['options'], question='instruction', options=lines)} "
+              f"WHEN coalesce(context, '') <> '' THEN {_render_sql(LX.QUESTION_PROMPTS['context'], question='instruction', context='context')} "
+              f"ELSE {_render_sql(LX.QUESTION_PROMPTS['plain'], question='instruction')} END")
+    filled = _render_sql(L.QA_TEMPLATES["context"], question="instruction", answer="response", context="coalesce(context, '')")
+    return S.with_views(f"SELECT conv_id, turn, md5({prompt}) AS prompt_md5, md5({filled}) AS context_md5 FROM (SELECT *, {opts} AS opts, "
+                        "CASE WHEN turn % 2 = 0 THEN split_part(response, '.', 1) END AS context FROM sft) x", "sft")
+
+
+@register("b25_question_prompts", _b25_prompt_sql)
+def b25_question_prompts(spark, sf):
+    """Questions with options, with a context and alone, and the QA template with its context filled."""
+    s = TB.sft(spark, sf)
+    opts = F.when(F.col("turn") % 3 == 0, F.array(F.col("response"), F.lit("نعم"), F.lit("لا"))) \
+        .when(F.col("turn") % 3 == 1, F.array().cast("array<string>"))
+    context = F.when(F.col("turn") % 2 == 0, F.substring_index("response", ".", 1))
+    return s.select("conv_id", "turn", F.md5(B.question_prompt(F.col("instruction"), context, opts)).alias("prompt_md5"),
+                    F.md5(B.qa_text(F.col("instruction"), F.col("response"), "context", context)).alias("context_md5"))
+
+
 @register("b26_table_builder",
           lambda: S.with_views("SELECT conv_id, turn, md5(instruction) AS instruction_md5, md5(response) AS response_md5 "
                                "FROM sft WHERE instruction IS NOT NULL AND response IS NOT NULL", "sft"))

@@ -104,6 +104,16 @@ def f9_negative_diversity(spark, sf):
     return d.select("id", F.round("mean_similarity", 6).alias("mean_similarity"), F.round("diversity", 6).alias("diversity"))
 
 
+@register("f9_negative_hardness",
+          lambda: S.with_views(
+              "SELECT id, round(least(1.0 / (list_avg(list_transform([rejected, other_prompt, other], lambda z: q - " + S.quality("z") +
+              ")) + 0.1) / 10.0, 1.0), 6) AS hardness FROM (SELECT *, " + S.quality("chosen") + " AS q FROM nextp) x", "pairs",
+              extra=[("nextp", NEXT_PAIR_SQL)]))
+def f9_negative_hardness(spark, sf):
+    p = TB.with_next(TB.pairs(spark, sf)).select("id", "chosen", F.array("rejected", "other_prompt", "other").alias("negs"))
+    return p.select("id", F.round(N.negative_hardness("chosen", "negs"), 6).alias("hardness"))
+
+
 # F10-F18 -------------------------------------------------------------------
 def _models_spark(spark, sf):
     r = TB.runs(spark, sf)

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..operators import hooks as H
 from ..operators import metrics as M
 from ..operators import windows as WN
+from ..operators.encode import word_ids
 from ..sources import tables as TB
 from . import sqlref as S
 from .catalog import register
@@ -29,7 +31,9 @@ def _i1_sql():
     return S.with_views(
         f"SELECT lang AS split, count(*) AS num_examples, min({ln}) AS text_min_length, max({ln}) AS text_max_length, "
         f"{R(f'avg({ln})')} AS text_mean_length, {R(f'median({ln})')} AS text_median_length, "
-        f"{R(f'stddev_pop({ln})')} AS text_std_length, count_if({S.has_arabic('text')}) AS text_arabic_examples, "
+        f"{R(f'stddev_pop({ln})')} AS text_std_length, min({S.nwords('text')}) AS text_min_tokens, max({S.nwords('text')}) AS "
+        f"text_max_tokens, {R('avg(' + S.nwords('text') + ')')} AS text_mean_tokens, {R('median(' + S.nwords('text') + ')')} AS "
+        f"text_median_tokens, {R('stddev_pop(' + S.nwords('text') + ')')} AS text_std_tokens, count_if({S.has_arabic('text')}) AS text_arabic_examples, "
         f"{R(f'count_if({S.has_arabic(chr(116) + chr(101) + chr(120) + chr(116))}) / count(*)')} AS text_arabic_ratio "
         "FROM ar_docs GROUP BY lang", "ar_docs")
 
@@ -37,10 +41,13 @@ def _i1_sql():
 @register("i1_text_profile", _i1_sql)
 def i1_text_profile(spark, sf):
     d = TB.ar_docs(spark, sf).select(F.col("lang").alias("split"), "text")
-    p = M.text_profile(d, ["text"], "split")
+    p = M.text_profile(d, ["text"], "split", lambda t: F.size(word_ids(t)))  # tokens of the default tokenizer
     return rall(p.select("split", "num_examples", F.col("text_min_length").cast("long").alias("text_min_length"),
                          F.col("text_max_length").cast("long").alias("text_max_length"), "text_mean_length",
                          F.col("text_median_length").cast("double").alias("text_median_length"), "text_std_length",
+                         F.col("text_min_tokens").cast("long").alias("text_min_tokens"),
+                         F.col("text_max_tokens").cast("long").alias("text_max_tokens"), "text_mean_tokens", "text_median_tokens",
+                         "text_std_tokens",
                          "text_arabic_examples", "text_arabic_ratio"))
 
 
@@ -185,10 +192,31 @@ def i12_arabic_metrics(spark, sf):
     return rall(M.arabic_metrics(TB.ar_docs(spark, sf)))
 
 
-@register("i12_arabic_metric_table")
+BLOCKED_TERMS = ["تثج", "صاحبي", "مرحبا"]
+
+
+@register("i12_blocked_terms",
+          lambda: S.with_views("SELECT round(avg(CAST(NOT (" + " OR ".join(f"contains(lower(text), {S.q(t)})" for t in BLOCKED_TERMS) +
+                               ") AS DOUBLE)), 6) AS cultural_appropriateness, count(*) AS n_texts FROM ar_docs", "ar_docs"))
+def i12_blocked_terms(spark, sf):
+    """I12f with a list of blocked terms."""
+    m = M.arabic_metrics(TB.ar_docs(spark, sf), blocked_terms=BLOCKED_TERMS)
+    return m.select(F.round("cultural_appropriateness", 6).alias("cultural_appropriateness"), "n_texts")
+
+
+def _i12_table_sql():
+    names = ["arabic_character_ratio", "diacritics_coverage", "script_consistency", "dialect_detection_accuracy", "formality_score",
+             "grammar_correctness", "cultural_appropriateness", "religious_sensitivity", "religious_term_share", "text_fluency",
+             "coherence_score", "readability_score", "n_texts"]
+    one = _i12_sql()
+    return (f"WITH rep AS ({one}) SELECT unnest([{', '.join(S.q(n) for n in names)}]) AS metric, "
+            f"unnest([{', '.join(f'CAST({n} AS DOUBLE)' for n in names)}]) AS value FROM rep")
+
+
+@register("i12_arabic_metric_table", _i12_table_sql)
 def i12_arabic_metric_table(spark, sf):
     """I12k: the same report as a long (metric, value) table."""
-    return M.unpivot_report(M.arabic_metrics(TB.ar_docs(spark, sf)))
+    return M.unpivot_report(M.arabic_metrics(TB.ar_docs(spark, sf))).withColumn("value", F.round("value", 6))
 
 
 # I13 -----------------------------------------------------------------------
@@ -267,12 +295,16 @@ def _i19_sql():
             f"greatest(0.0, 1 - {b} * {h}) AS hinge, pow({hn} - 1 / (2 * 0.1), 2) AS ipo, "
             f"-{logsig(f'{b} * (lp_chosen - lp_rejected)')} + 1.0 * (-lp_chosen / {nc}) AS cpo, "
             f"-{logsig(f'2.0 * ({ac} - {ar}) - 1.0')} AS simpo, -{ac} - 0.1 * {logsig(lo)} AS orpo, "
+            f"greatest(0.0, 1 - {b} * (lp_chosen - lp_rejected)) - lp_chosen / {nc} AS cpo_hinge, "
+            f"pow((lp_chosen - lp_rejected) - 1 / (2 * {b}), 2) - lp_chosen / {nc} AS cpo_ipo, "
+            f"-{logsig(f'({b} * ({ac} - {ar}) - 0.5)')} - lp_chosen / {nc} AS cpo_simpo, "
+            "CAST(lp_chosen > ref_chosen AS DOUBLE) AS good, CAST(lp_rejected < ref_rejected AS DOUBLE) AS bad, "
             f"{b} * (lp_chosen - ref_chosen) AS reward_chosen, {b} * (lp_rejected - ref_rejected) AS reward_rejected, "
             f"CAST({h} > 0 AS DOUBLE) AS acc, lp_chosen, ref_chosen, lp_rejected, ref_rejected, {kl} AS kl FROM scores")
-    kto = (f"((1 - exp({logsig(f'{b} * (lp_chosen - ref_chosen) - kl')})) + "
-           f"(1 - exp({logsig(f'-({b} * (lp_rejected - ref_rejected) - kl)')}))) / 2")
-    body = ("SELECT " + ", ".join(f"{R(f'avg({c})')} AS loss_{c}" for c in ("sigmoid", "hinge", "ipo", "cpo", "simpo", "orpo")) +
-            f", {R(f'avg({kto})')} AS loss_kto, {R('avg(reward_chosen)')} AS reward_chosen, {R('avg(reward_rejected)')} AS reward_rejected, "
+    kto = (f"(1.5 * (1 - exp({logsig(f'{b} * (lp_chosen - ref_chosen) - kl')})) + "
+           f"0.75 * (1 - exp({logsig(f'-({b} * (lp_rejected - ref_rejected) - kl)')}))) / 2")
+    body = ("SELECT " + ", ".join(f"{R(f'avg({c})')} AS loss_{c}" for c in ("sigmoid", "hinge", "ipo", "cpo", "simpo", "orpo", "cpo_hinge", "cpo_ipo", "cpo_simpo")) +
+            f", {R('avg(good)')} AS kto_accuracy_desirable, {R('avg(bad)')} AS kto_accuracy_undesirable, {R(f'avg({kto})')} AS loss_kto, {R('avg(reward_chosen)')} AS reward_chosen, {R('avg(reward_rejected)')} AS reward_rejected, "
             f"{R('avg(reward_chosen - reward_rejected)')} AS reward_margin, {R('avg(acc)')} AS reward_accuracy, "
             f"{R('first(kl)')} AS kl_estimate FROM r")
     return S.with_views(body, "scores", extra=[("r", rows)])
@@ -280,7 +312,7 @@ def _i19_sql():
 
 @register("i19_preference_objectives", _i19_sql)
 def i19_preference_objectives(spark, sf):
-    return rall(M.preference_objectives(TB.scores(spark, sf)))
+    return rall(M.preference_objectives(TB.scores(spark, sf), desirable_weight=1.5, undesirable_weight=0.75))
 
 
 @register("i20_length_bias_slices",
@@ -299,6 +331,29 @@ def i20_length_bias_slices(spark, sf):
     return rall(g)
 
 
+_MARGIN = "((lp_chosen - ref_chosen) - (lp_rejected - ref_rejected))"
+
+
+@register("i20_reward_calibration",
+          lambda: S.with_views(
+              f"SELECT bin, n, {R('confidence')} AS confidence, {R('accuracy')} AS accuracy, {R('abs(confidence - accuracy)')} AS gap FROM ("
+              "SELECT CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*) AS n, avg(p) AS confidence, avg(won) AS accuracy FROM ("
+              f"SELECT 1 / (1 + exp(-0.1 * {_MARGIN})) AS p, CAST(lp_chosen > lp_rejected AS DOUBLE) AS won FROM scores) x GROUP BY 1) y",
+              "scores"))
+def i20_reward_calibration(spark, sf):
+    return rall(M.reward_calibration(TB.scores(spark, sf)))
+
+
+@register("i20_margin_correlations",
+          lambda: S.with_views(
+              f"SELECT {R('corr(m, q)')} AS quality_corr, {R('corr(m, l)')} AS length_corr, count(*) AS n FROM (SELECT lp_chosen - lp_rejected "
+              f"AS m, {S.quality('chosen')} - {S.quality('rejected')} AS q, CAST(length(chosen) - length(rejected) AS DOUBLE) AS l "
+              "FROM scores JOIN pairs USING (id)) x", "scores"))
+def i20_margin_correlations(spark, sf):
+    s = TB.scores(spark, sf).join(TB.pairs(spark, sf).select("id", "chosen", "rejected"), "id")
+    return rall(M.margin_correlations(s))
+
+
 # I21-I25, I27, I28 ---------------------------------------------------------
 def _eff_cols():
     t = "CAST(regexp_extract(training_time, '([0-9.]+)', 1) AS DOUBLE)"
@@ -355,6 +410,26 @@ def i24_latency_percentiles(spark, sf):
     return r.select("event_type", F.round("mean", 6).alias("mean"), "n", "p50", "p95", "p99")
 
 
+@register("i24_latency_sketch")
+def i24_latency_sketch(spark, sf):
+    """The percentiles from mergeable sketches; a test bounds their rank error."""
+    return M.latency_sketch(TB.table(spark, sf, "events"), "value", ["event_type"])
+
+
+@register("i24_throughput",
+          lambda: "SELECT event_type, requests, units, round(busy / 1e6, 6) AS busy_seconds, round(requests / (busy / 1e6), 6) AS "
+                  "requests_per_second, round(units / (busy / 1e6), 6) AS units_per_second FROM (SELECT event_type, count(*) AS requests, "
+                  "CAST(sum(user_id) AS BIGINT) AS units, sum(greatest(0, t1 - greatest(t0, coalesce(until, t0)))) AS busy FROM ("
+                  "SELECT *, max(t1) OVER (PARTITION BY event_type ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until "
+                  "FROM (SELECT event_type, user_id, epoch_us(ts) AS t0, epoch_us(ts) + CAST(floor(value * 60 * 1000000) AS BIGINT) AS t1 "
+                  "FROM events) e) x GROUP BY event_type) y")
+def i24_throughput(spark, sf):
+    """Events as requests of ``value`` minutes with user_id as their size."""
+    e = TB.table(spark, sf, "events")
+    t = M.throughput(e, ["event_type"], F.unix_micros(F.col("ts").cast("timestamp")), F.floor(F.col("value") * 60 * 1000000), F.col("user_id"))
+    return rall(t)
+
+
 @register("i25_stage_share",
           lambda: "SELECT event_type, round(avg_v, 6) AS avg, round(pct, 6) AS percent, pct > 30.0 AS flag, "
                   "total = max(total) OVER () AS primary_bottleneck FROM (SELECT event_type, avg(value) AS avg_v, sum(value) AS total, "
@@ -376,6 +451,43 @@ def i27_dialect_rollup(spark, sf):
     return rall(M.dialect_rollup(t, "dialect", ["confidence", "chars"]))
 
 
+def _spread_update(state, pdf):
+    """Welford's mean and spread of word lengths, a batch at a time."""
+    n, mean, m2 = state
+    sizes = [len(w) for t in pdf["text"] if t for w in t.split()]
+    if not sizes:
+        return state
+    k = len(sizes)
+    own = sum(sizes) / k
+    return _spread_merge([n, mean, m2], [k, own, sum((x - own) ** 2 for x in sizes)])
+
+
+def _spread_merge(a, b):
+    n = a[0] + b[0]
+    if not n:
+        return a
+    d = b[1] - a[1]
+    return [n, a[1] + d * b[0] / n, a[2] + b[2] + d * d * a[0] * b[0] / n]
+
+
+H.register_metric(H.Metric("word_length_spread", ("text",), lambda: [0, 0.0, 0.0], _spread_update, _spread_merge,
+                           lambda s: (s[2] / s[0]) ** 0.5 if s[0] else None))
+
+
+def _u4_sql():
+    each = (f"SELECT lang, length(w) AS k FROM (SELECT lang, unnest({S.words('text')}) AS w FROM documents) x")
+    return (f"WITH k AS ({each}) SELECT lang, 'word_length_spread' AS metric, round(stddev_pop(k), 6) AS value FROM k GROUP BY lang "
+            "UNION ALL SELECT 'overall', 'word_length_spread', round(stddev_pop(k), 6) FROM k")
+
+
+@register("u4_metric_plugin", _u4_sql)
+def u4_metric_plugin(spark, sf):
+    """A metric of the caller, by language and over all."""
+    d = TB.table(spark, sf, "documents").select("lang", "text")
+    every = H.evaluate(d, ["word_length_spread"]).withColumn("lang", F.lit("overall"))
+    return rall(H.evaluate(d, ["word_length_spread"], ["lang"]).unionByName(every))
+
+
 def _mc_src_sql():
     return ("SELECT g, options, CAST(g % len(options) AS INTEGER) AS answer, CAST(list_position(lens, list_max(lens)) - 1 AS INTEGER) "
             "AS prediction FROM (SELECT item_id // 4 AS g, list(text ORDER BY item_id) AS options, "

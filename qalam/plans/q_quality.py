@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import hooks as H
 from ..operators import quality as Q
 from ..sources import tables as TB
+from ..streaming.jobs import work_dir
 from . import sqlref as S
 from .catalog import register
 from .q_joins import NEXT_PAIR_SQL
@@ -51,7 +53,8 @@ def e4_quality_score(spark, sf):
 
 
 RULES = {"text": {"required": True, "min_length": 50, "max_length": 20000, "pattern": "[.!?]"},
-         "lang": {"required": True, "pattern": "^(en|fr|de|es|ar)$"}, "title": {"required": True}}
+         "lang": {"required": True, "pattern": "^(en|fr|de|es|ar)$"},
+         "n_chars": {"check": lambda c: c % 2 == 0, "message": "odd number of characters"}, "title": {"required": True}}
 
 
 def _e5_sql():
@@ -61,6 +64,7 @@ def _e5_sql():
             "CASE WHEN NOT regexp_matches(text, '[.!?]') THEN 'text: pattern mismatch' END",
             "CASE WHEN lang IS NULL OR lang = '' THEN 'lang: required' END",
             "CASE WHEN NOT regexp_matches(lang, '^(en|fr|de|es|ar)$') THEN 'lang: pattern mismatch' END",
+            "CASE WHEN NOT n_chars % 2 = 0 THEN 'n_chars: odd number of characters' END",
             "'title: missing required field'"]
     return ("SELECT doc_id, CAST(len(e) AS BIGINT) AS n_errors, len(e) = 0 AS is_valid, array_to_string(e, '|') AS errors FROM "
             "(SELECT doc_id, list_filter([" + ", ".join(errs) + "], lambda z: z IS NOT NULL) AS e FROM documents) x")
@@ -108,14 +112,33 @@ def e7_dataset_gate(spark, sf):
                     F.array_join("warnings", "|").alias("warnings"), "passed")
 
 
-@register("e9_method_validators",
-          lambda: S.with_views("SELECT count(*) AS rows, count_if(prompt IS NULL OR prompt = '') AS empty_prompt, "
-                               "count_if(chosen IS NULL OR chosen = '') AS empty_chosen, count_if(rejected IS NULL OR rejected = '') "
-                               "AS empty_rejected, count_if(chosen = rejected) AS chosen_equals_rejected FROM pairs", "pairs"))
+def _e9_sql(method, table, cols):
+    blank = lambda c: f"coalesce({S.strip(f'CAST({c} AS VARCHAR)')}, '') = ''"
+    texts = [c for c in cols if c != "label"]
+    missing = " OR ".join(f"{c} IS NULL" for c in cols)
+    empty = (" AND " if method == "sft" else " OR ").join(map(blank, texts))
+    same = ", count_if(chosen = rejected) AS chosen_equals_rejected" if method == "dpo" else ""
+    return S.with_views(
+        f"SELECT *, missing_fields = 0 AND empty_texts = 0 AS passed FROM (SELECT count(*) AS rows, count_if({missing}) AS missing_fields, "
+        f"count_if(NOT ({missing}) AND ({empty})) AS empty_texts, "
+        + ", ".join(f"count_if({c} IS NULL OR CAST({c} AS VARCHAR) = '') AS empty_{c}" for c in cols) + f"{same} FROM {table}) x", table)
+
+
+@register("e9_method_validators", lambda: _e9_sql("dpo", "pairs", ["prompt", "chosen", "rejected"]))
 def e9_method_validators(spark, sf):
     return Q.method_checks(TB.pairs(spark, sf), "dpo")
 
 
+@register("e9_sft_validator", lambda: _e9_sql("sft", "sft", ["instruction", "response"]))
+def e9_sft_validator(spark, sf):
+    return Q.method_checks(TB.sft(spark, sf), "sft")
+
+
+@register("e9_kto_validator", lambda: _e9_sql("kto", "kto", ["prompt", "completion", "label"]))
+def e9_kto_validator(spark, sf):
+    return Q.method_checks(TB.kto(spark, sf), "kto")
+
+
 @register("e10_missing_field_skip",
           lambda: S.with_views("SELECT conv_id, turn FROM sft WHERE instruction IS NOT NULL AND response IS NOT NULL", "sft"))
 def e10_missing_field_skip(spark, sf):
@@ -130,15 +153,19 @@ def e11_sft_validity(spark, sf):
 
 
 @register("e12_preference_validity",
-          lambda: S.with_views(f"SELECT id, length(chosen) BETWEEN 10 AND 4096 AND length(rejected) BETWEEN 10 AND 4096 AND "
-                               f"{S.sim('chosen', 'rejected')} < 0.9 AS valid FROM pairs", "pairs"))
+          lambda: S.with_views(f"SELECT id, v AS valid, v AND {S.has_arabic('prompt')} AND {S.has_arabic('chosen')} AND "
+                               f"{S.has_arabic('rejected')} AS valid_arabic FROM (SELECT *, length(prompt) BETWEEN 1 AND 1024 AND "
+                               "length(chosen) BETWEEN 10 AND 4096 AND length(rejected) BETWEEN 10 AND 4096 AND "
+                               f"{S.sim('chosen', 'rejected')} < 0.9 AS v FROM ap) x", "pairs", extra=[("ap", _ar_pairs_sql())]))
 def e12_preference_validity(spark, sf):
-    return TB.pairs(spark, sf).select("id", Q.preference_valid().alias("valid"))
+    return _ar_pairs(spark, sf).select("id", Q.preference_valid().alias("valid"),
+                                       Q.preference_valid(require_arabic=True).alias("valid_arabic"))
 
 
 @register("e13_dpo_filters",
           lambda: S.with_views(
-              "SELECT id, CASE WHEN NOT (length(chosen) BETWEEN 10 AND 4096 AND length(rejected) BETWEEN 10 AND 4096) THEN 'length' "
+              f"SELECT id, CASE WHEN NOT length({S.strip('prompt')}) BETWEEN 1 AND 1024 THEN 'prompt_length' WHEN NOT "
+              f"(length({S.strip('chosen')}) BETWEEN 10 AND 4096 AND length({S.strip('rejected')}) BETWEEN 10 AND 4096) THEN 'length' "
               f"WHEN {S.quality('chosen')} - {S.quality('rejected')} < 0.1 THEN 'quality_diff' WHEN {S.sim('chosen', 'rejected')} > 0.9 "
               f"THEN 'similarity' WHEN {S.dpo_strength('chosen', 'rejected')} < 0.5 THEN 'strength' WHEN "
               "greatest(length(chosen), length(rejected)) / CAST(greatest(least(length(chosen), length(rejected)), 1) AS DOUBLE) > 3.0 "
@@ -151,14 +178,18 @@ def e13_dpo_filters(spark, sf):
           lambda: S.with_views(
               "SELECT id, CASE WHEN greatest(length(chosen), length(rejected)) / CAST(greatest(least(length(chosen), length(rejected)), 1) "
               "AS DOUBLE) > 3.0 THEN 'length_ratio' WHEN abs(length(chosen) - length(rejected)) < 20 THEN 'length_difference' WHEN " +
-              S.length_bias("chosen", "rejected") + " > 0.5 THEN 'length_bias' END AS filter_reason FROM pairs", "pairs"))
+              S.length_bias("chosen", "rejected") + " > 0.5 THEN 'length_bias' WHEN " +
+              S.length_normalized_quality(S.quality("chosen"), "length(chosen)") + " - " +
+              S.length_normalized_quality(S.quality("rejected"), "length(rejected)") +
+              " < 0 THEN 'normalized_quality' END AS filter_reason FROM pairs", "pairs"))
 def e14_ipo_filters(spark, sf):
     return Q.ipo_filter(TB.pairs(spark, sf)).select("id", "filter_reason")
 
 
 @register("e15_kto_filters",
           lambda: S.with_views(
-              "SELECT id, CASE WHEN label IS NULL THEN 'label' WHEN NOT length(completion) BETWEEN 10 AND 4096 THEN 'length' "
+              f"SELECT id, CASE WHEN label IS NULL THEN 'label' WHEN NOT coalesce(length({S.strip('prompt')}) >= 1 AND length(prompt) <= 1024, "
+              f"false) THEN 'prompt_length' WHEN NOT (length({S.strip('completion')}) >= 10 AND length(completion) <= 4096) THEN 'length' "
               f"WHEN {S.quality('completion')} < 0.2 THEN 'quality' WHEN NOT (CASE WHEN label = 1 THEN pow({S.quality('completion')}, 0.88) "
               f"ELSE -2.25 * pow(1.0 - {S.quality('completion')}, 0.88) END) BETWEEN -2.25 AND 1.0 THEN 'utility' END AS filter_reason "
               "FROM kto", "kto"))
@@ -167,8 +198,10 @@ def e15_kto_filters(spark, sf):
 
 
 @register("e16_cpo_validity",
-          lambda: S.with_views("SELECT id, len(list_filter([rejected, other, other_prompt], lambda z: length(z) > 0)) "
-                               "BETWEEN 2 AND 8 AS valid FROM nextp", "pairs", extra=[("nextp", NEXT_PAIR_SQL)]))
+          lambda: S.with_views(f"SELECT id, length({S.strip('prompt')}) >= 1 AND length({S.strip('chosen')}) >= 1 AND len(n) BETWEEN 2 AND 8 "
+                               f"AND len(list_filter(n, lambda z: length({S.strip('z')}) < 1 OR {S.sim('chosen', 'z')} > 0.9)) = 0 AS valid "
+                               "FROM (SELECT *, list_filter([rejected, other, other_prompt], lambda z: length(z) > 0) AS n FROM nextp) x",
+                               "pairs", extra=[("nextp", NEXT_PAIR_SQL)]))
 def e16_cpo_validity(spark, sf):
     p = TB.with_next(TB.pairs(spark, sf)).withColumn("negatives", F.filter(F.array("rejected", "other", "other_prompt"),
                                                                            lambda z: F.length(z) > 0))
@@ -203,7 +236,7 @@ def e18_stage_pipeline(spark, sf):
     t = F.col("text")
     stages = [("has_text", F.coalesce(F.length(t), F.lit(0)) > 0), ("min_words", T.word_count(t) >= 20),
               ("max_chars", F.length(t) <= 10000), ("arabic", T.has_arabic(t))]
-    s = Q.stage_counts(TB.ar_docs(spark, sf), stages)
+    _, s = H.run_stages(TB.ar_docs(spark, sf).select("doc_id", "text"), stages, work_dir(spark, "stages"))
     return s.select("idx", "stage", F.col("processed").cast("long").alias("processed"),
                     F.col("filtered").cast("long").alias("filtered"), F.round("filter_rate", 6).alias("filter_rate"))
 

@@ -78,10 +78,13 @@ proj("c4_normalize_arabic", "ar_docs", {"normalized_md5": lambda: F.md5(T.normal
 proj("c6_encoding_issues", "ar_docs",
      {"question_marks_with_arabic": lambda: F.array_contains(T.encoding_issues("text"), "question_marks_with_arabic"),
       "rtl_ltr_override": lambda: F.array_contains(T.encoding_issues("text"), "rtl_ltr_override"),
+      "unicode_encode_error": lambda: F.array_contains(T.encoding_issues("text"), "unicode_encode_error"),
       "fixed_md5": lambda: F.md5(T.fix_encoding("text"))},
-     {"question_marks_with_arabic": f"(contains(text, '?') AND regexp_matches(text, {S.q('[' + L.AR5 + ']')}))",
+     {"unicode_encode_error": "false",
+      "question_marks_with_arabic": f"(contains(text, '?') AND regexp_matches(text, {S.q('[' + L.AR5 + ']')}))",
       "rtl_ltr_override": r"regexp_matches(text, '[\x{202D}\x{202E}]')",
-      "fixed_md5": f"md5({S.rr('text', r'[\x{202D}\x{202E}\x{200B}-\x{200D}]')})"})
+      "fixed_md5": f"md5(replace(replace({S.rr('text', r'[\x{202D}\x{202E}\x{200B}-\x{200D}]')}, chr(216) || chr(167), chr(1575)), "
+                   "chr(217) || chr(8230), chr(1605)))"})
 
 # C7 --------------------------------------------------------------------------
 proj("c7_fix_common_issues", "ar_docs",

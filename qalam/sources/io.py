@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMATS = {".json": "json", ".jsonl": "json", ".csv": "csv", ".tsv": "csv", ".parquet": "parquet", ".txt": "text"}
@@ -83,21 +83,24 @@ def write_with_manifest(df: DataFrame, path: str, fmt: str = "parquet", split_co
     write_corpus(df, path, fmt, split_col)
     spark = df.sparkSession
     n = spark.read.format(fmt).load(path).count() if fmt != "csv" else spark.read.option("header", True).csv(path).count()
-    manifest = {"size": n, "columns": df.columns, "format": fmt, "flags": flags}
+    manifest = {"size": n, "columns": df.columns, "format": fmt, "flags": flags,
+                "created_at": spark.range(1).select(F.current_timestamp().cast("string")).first()[0]}
     spark.createDataFrame([(json.dumps(manifest, ensure_ascii=False),)], "manifest string") \
-        .withColumn("created_at", F.current_timestamp().cast("string")) \
         .coalesce(1).write.mode("overwrite").json(path.rstrip("/") + "_manifest")
     return manifest
 
 
 def read_with_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    """Load data written by ``write_with_manifest`` and check its manifest."""
+    """Load data written by ``write_with_manifest``; its columns and its
+    row count must be the manifest's."""
     m = spark.read.json(path.rstrip("/") + "_manifest").collect()[0]
     manifest = json.loads(m["manifest"])
     df = spark.read.format(manifest["format"]).load(path)
     missing = set(manifest["columns"]) - set(df.columns)
     if missing:
         raise ValueError(f"manifest columns missing from data: {sorted(missing)}")
+    if (n := df.count()) != manifest["size"]:
+        raise ValueError(f"manifest has {manifest['size']} rows, the data {n}")
     return df, manifest
 
 
@@ -126,14 +129,97 @@ def report_lines(long_report: DataFrame, section_col: str = "section", key_col:
                  value_col: str = "value") -> DataFrame:
     """Long metric table -> markdown lines ordered by section and key."""
     return long_report.select(section_col, key_col, F.concat(F.lit("- **"), F.col(key_col), F.lit("**: "),
-                                                            F.col(value_col).cast("string")).alias("line"))
-
-
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """md5 / sha1 / sha256 of each file's bytes (binaryFile source)."""
-    b = spark.read.format("binaryFile").load(path)
-    return b.select("path", "length", F.md5("content").alias("md5"), F.sha1("content").alias("sha1"),
-                    F.sha2("content", 256).alias("sha256"))
+                                                            F.col(value_col).cast("string")).alias("line")) \
+        .orderBy(section_col, key_col)
+
+
+_LINES = "array<struct<place:string,line:string>>"
+
+
+def _line(place: Column, text: Column) -> Column:
+    return F.struct(place.alias("place"), text.alias("line"))
+
+
+def _section(name: Column, value: Column, kind, depth: int, place: Column) -> Column:
+    """The lines of one section, of a struct or a map: heading, entries in order, empty line; a missing one has no entries."""
+    heading = F.array(_line(F.concat(place, F.lit("/")), F.concat(F.lit("#" * (depth + 1) + " "), name)))
+    end = F.array(_line(F.concat(place, F.lit("/~")), F.lit("")))
+
+    def entry(key: Column, item: Column, of, at: Column) -> Column:
+        here = F.concat(place, F.lit("/"), at)
+        if of.typeName() in ("struct", "map"):
+            return _section(key, item, of, depth + 1, here)
+        shown = F.concat(F.lit("["), F.array_join(item.cast("array<string>"), ", ", "null"), F.lit("]")) \
+            if of.typeName() == "array" else item.cast("string")
+        return F.array(_line(here, F.concat(F.lit("- **"), key, F.lit("**: "), F.coalesce(shown, F.lit("null")))))
+
+    if kind.typeName() == "struct":
+        parts = [entry(F.lit(f.name), value[f.name], f.dataType, F.lit(f"{i:06d}")) for i, f in enumerate(kind.fields)]
+        inner = F.concat(*parts) if parts else F.array().cast(_LINES)
+    else:
+        pairs = F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].cast("string").alias("key"), e["value"].alias("value"))),
+                             lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+        inner = F.flatten(F.transform(pairs, lambda e, i: entry(e["key"], e["value"], kind.valueType, F.lpad(i.cast("string"), 6, "0"))))
+    return F.concat(heading, F.coalesce(inner, F.array().cast(_LINES)), end)
+
+
+def nested_report_lines(report: DataFrame, title: str = "Dataset Analysis") -> DataFrame:
+    """A nested report, one row of structs, maps and values, as markdown lines ``(place, line)``.
+
+    The schema says what is a section (structs; maps by key) and what a line;
+    ``place`` sorts the lines: the entries' numbers along the path. Several
+    rows give several reports, told apart by a leading row number.
+    """
+    from pyspark.sql.types import StructType
+    kind: StructType = report.schema
+    row = F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")
+    found = report.select(row.alias("__row"), F.struct(*report.columns).alias("__r"))
+    lines = _section(F.lit(title), F.col("__r"), kind, 1, F.col("__row"))
+    return found.select(F.explode(lines).alias("__l")).select("__l.place", "__l.line")
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """The lines in order: dealt by ranges of their place, so part files follow one another."""
+    lines.repartitionByRange("place").sortWithinPartitions("place").select("line").write.mode("overwrite").text(path)
+
+
+#: Files beyond this size are hashed by streaming them instead of as one cell (Spark's cells end at 2 GB).
+CELL_BYTES = 1 << 30
+
+
+def file_hashes(spark: SparkSession, path: str, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """Length and md5 / sha1 / sha256 of each file's bytes.
+
+    Files up to ``cell_bytes`` go through the binaryFile source. Of larger
+    ones only the names are read; each is streamed once, in blocks, through
+    Hadoop's file system by one task: a digest is sequential by its nature.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    small = files.filter(F.col("length") <= cell_bytes).select(
+        "path", "length", F.md5("content").alias("md5"), F.sha1("content").alias("sha1"), F.sha2("content", 256).alias("sha256"))
+    large = [(r.path, r.length) for r in files.filter(F.col("length") > cell_bytes).select("path", "length").collect()]
+    if not large:
+        return small
+
+    def digest(blocks):
+        import hashlib
+
+        import pandas as pd
+        from pyarrow import fs
+        for pdf in blocks:
+            rows = []
+            for name, length in zip(pdf.path, pdf.length):
+                store, at = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and
+                                                   not name.startswith("file:///") else name)
+                sums = [hashlib.md5(), hashlib.sha1(), hashlib.sha256()]
+                with store.open_input_stream(at) as f:
+                    while block := f.read(8 << 20):
+                        for h in sums:
+                            h.update(block)
+                rows.append((name, length, *(h.hexdigest() for h in sums)))
+            yield pd.DataFrame(rows, columns=["path", "length", "md5", "sha1", "sha256"])
+    names = spark.createDataFrame(large, "path string, length long").repartition(len(large), "path")
+    return small.unionByName(names.mapInPandas(digest, "path string, length long, md5 string, sha1 string, sha256 string"))
 
 
 def cached_processed(df_fn, spark: SparkSession, cache_root: str, source: str, config: dict) -> DataFrame:
