@@ -13,13 +13,14 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, HashSet, shingle_hashes, word_hashes
+from .common import WORD, HashSet, shingle_hashes, word_hashes, written
 
 #: Characters of test items that one pass over the documents holds in a task.
 BLOCK_CHARS = 32_000_000
@@ -101,13 +102,19 @@ def find_items(docs: DataFrame, items: DataFrame, k: int = 5, similarity: float
     ``block_chars`` characters are searched in blocks, one pass over the
     documents each, so a task never holds more than a block.
     """
-    blocks, kind = _blocks(items, item_col, item_text_col, block_chars)
-    out = None
-    for b in blocks:
-        hits = _search(b, k, similarity, f"array<struct<item:{kind},n_shared:bigint,n_shingles:bigint>>", lambda found: [
-            {"item": key, "n_shared": n, "n_shingles": m} for key, n, m in found])
+    kind = items.schema[item_col].dataType.simpleString()
+    parts = []
+    blocks = _blocks(items, item_col, item_text_col, block_chars)
+    for block in blocks:
+        hits = _search(block, k, similarity, f"array<struct<item:{kind},copies:bigint,n_shared:bigint,n_shingles:bigint>>",
+                       lambda found: [{"item": i, "copies": c, "n_shared": n, "n_shingles": m} for (i, c), n, m in found])
         found = docs.select(F.col(id_col).alias("_id"), F.explode(hits(F.col(text_col))).alias("_hit"))
-        out = found if out is None else out.unionAll(found)
+        if len(blocks) > 1:  # one block at a time: its findings are kept, its items go
+            found = written(found, "items-found")
+            block.unpersist()
+        parts.append(found)
+    out = reduce(DataFrame.unionAll, parts)
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_hit.copies"))))
     return out.select(F.col("_id").alias(id_col), F.col("_hit.item").alias(item_col), "_hit.n_shared", "_hit.n_shingles",
                       (F.col("_hit.n_shared") / F.col("_hit.n_shingles")).alias("containment"))
 
@@ -116,26 +123,56 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, similarity:
                       text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                       block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that contain no item, in the sense of :func:`find_items`, with all their columns."""
-    for b in _blocks(items, item_col, item_text_col, block_chars)[0]:
-        docs = docs.where(_search(b, k, similarity, "boolean", lambda found: not found)(F.col(text_col)))
+    blocks = _blocks(items, item_col, item_text_col, block_chars)
+    for block in blocks:
+        docs = docs.where(_search(block, k, similarity, "boolean", lambda found: not found)(F.col(text_col)))
+        if len(blocks) > 1:
+            docs = written(docs, "without-items")
+            block.unpersist()
     return docs
 
 
-def _search(block, k: int, similarity: float, kind: str, say):
+class Block:
+    """Test items of about a block's size in the shared folder; collected and broadcast when first searched, until let go."""
+
+    def __init__(self, items: DataFrame):
+        self.items, self.sent = items, None
+
+    def send(self):
+        if self.sent is None:
+            rows = [((r["item"], r["copies"]), r["text"]) for r in self.items.collect()]
+            self.sent = self.items.sparkSession.sparkContext.broadcast(rows)
+        return self.sent
+
+    def unpersist(self) -> None:
+        if self.sent is not None:
+            self.sent.unpersist()
+            self.sent = None
+
+
+def _search(block: Block, k: int, similarity: float, kind: str, say):
     """A UDF over texts: what ``say`` makes of a text's hits; a task builds the index of its block once."""
+    sent = block.send()
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index(block.value, k, similarity)
+        index = Index(sent.value, k, similarity)
         for texts in batches:
             yield pd.Series([say(index.search(t)) for t in texts], dtype=object)
 
     return F.pandas_udf(run, kind)
 
 
-def _blocks(items: DataFrame, item_col: str, text_col: str, block_chars: int) -> tuple[list, str]:
-    """Broadcasts of (id, text) lists of about ``block_chars`` characters that hold all items; the id's type."""
-    items = items.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("text is not null")
-    total = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // block_chars))
-    return [items.sparkSession.sparkContext.broadcast(
-        [tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).collect()])
-        for b in range(n)], items.schema["item"].dataType.simpleString()
+def _blocks(items: DataFrame, item_col: str, text_col: str, block_chars: int) -> list[Block]:
+    """The items in blocks of about ``block_chars`` characters, equal (item, text) rows folded to one with their number.
+
+    Folded items are dealt to twice as many blocks as their characters need,
+    by hash, so a block stays near half the bound.
+    """
+    folded = items.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("text is not null").groupBy(
+        "item", "text").agg(F.count(F.lit(1)).alias("copies"))
+    total = folded.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
+    if total <= block_chars:
+        return [Block(folded)]
+    n = -(-2 * total // block_chars)
+    folded = written(folded.withColumn("_b", F.pmod(F.xxhash64("item", "text"), F.lit(n))), "items")
+    return [Block(folded.where(F.col("_b") == b)) for b in range(n)]

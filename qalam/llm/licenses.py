@@ -37,8 +37,8 @@ TEMPLATES: list[tuple[str, str]] = [
             "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
             "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
             "following conditions:"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
-                     "provided that the following conditions are met:"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted "
+            "provided that the following conditions are met:"),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("GPL-3.0", "licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
@@ -52,11 +52,19 @@ TEMPLATES: list[tuple[str, str]] = [
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
             "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("MIT-0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+              "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
+              "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+              "copies of the Software, and to permit persons to whom the Software is furnished to do so."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0"),
+    ("GPL-1.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                "General Public License as published by the Free Software Foundation; either version 1, or (at your "
+                "option) any later version."),
+    *((f"CC-{short}-4.0", f"Licensed under CC {short} 4.0") for short in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")),
+    *((f"CC-{short}-4.0", f"This work is licensed under a Creative Commons Attribution{rest} 4.0 International License")
+      for short, rest in (("BY", ""), ("BY-SA", "-ShareAlike"), ("BY-ND", "-NoDerivatives"), ("BY-NC", "-NonCommercial"),
+                          ("BY-NC-SA", "-NonCommercial-ShareAlike"), ("BY-NC-ND", "-NonCommercial-NoDerivatives"))),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights "
                 "to this work"),
 ]
@@ -64,7 +72,7 @@ TEMPLATES: list[tuple[str, str]] = [
 # the FSF's standard headers; versions and kinds differ by a word, so each needs its own for the fullest to be the right one
 _HEADER = ("This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by "
            "the Free Software Foundation{} either version {} of the License, or (at your option) any later version.")
-_GNU = [("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"),
+_GNU = [("GPL-1.0", "General Public License", "1"), ("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"),
         ("LGPL-2.0", "Library General Public License", "2"), ("LGPL-2.1", "Lesser General Public License", "2.1"),
         ("LGPL-3.0", "Lesser General Public License", "3"), ("AGPL-3.0", "Affero General Public License", "3")]
 # BSD texts as far as they tell two clauses from three and hold no holder's name; conditions with numbers or bullets
@@ -82,6 +90,13 @@ _DISCLAIMER = (
     "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
     "DAMAGE.")
 _PROVIDED = "THIS SOFTWARE IS PROVIDED BY"
+_ADVERTISING = ("All advertising materials mentioning features or use of this software must display the following acknowledgement: "
+                "This product includes software developed by")
+#: Names of texts that several licences open with: any other finding on the same words goes first.
+NEUTRAL = {"BSD"}
+#: What follows a whole identifier must not go on with it, as -0 does behind MIT.
+_IDENTIFIER = "SPDX-License-Identifier:"
+_GOES_ON = re.compile(r"[-.][A-Za-z0-9]")
 _THIRD = ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
           "derived from this software without specific prior written permission.")
 
@@ -95,10 +110,13 @@ def _texts() -> list[tuple[str, str]]:
                           f"{title} version {version} as published by the Free Software Foundation."))
         out.append((name, f"licensed under the GNU {title}, version {version}"))
         out += [(name, f"SPDX-License-Identifier: {name}{x}") for x in ("", "-only", "-or-later")]
-    out.append(("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"))
+    out += [(name, f"{_IDENTIFIER} {name}") for name in (
+        "BSD-2-Clause", "BSD-4-Clause", "MIT-0", "EPL-1.0", "EPL-2.0", "MPL-2.0", "ISC", "Unlicense", "CC0-1.0",
+        *(f"CC-{x}-4.0" for x in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")))]
     for marks in (("1.", "2.", "3."), ("*", "*", "*")):
         head = _BSD.format(*marks[:2], "")
         out += [("BSD-2-Clause", head + _PROVIDED), ("BSD-2-Clause", f"{head}{_PROVIDED} {_DISCLAIMER}"),
+                ("BSD-4-Clause", f"{head}{marks[2]} {_ADVERTISING}"),
                 ("BSD-3-Clause", f"{head}{marks[2]} Neither the name of"),
                 ("BSD-3-Clause", f"{head}{marks[2]} {_THIRD} {_PROVIDED} {_DISCLAIMER}")]
     return [*out, *TEXTS.items()]
@@ -130,6 +148,7 @@ class Index:
     def __init__(self, templates: list[tuple[str, str]], k: int, similarity: float):
         self.similarity, self.k = similarity, k
         self.templates: list[tuple[str, set[str], int]] = []
+        self.identifiers: set[int] = set()
         by_class: dict[tuple[int, int], list[int]] = {}
         hashes: list[np.ndarray] = []
         for name, text in templates:
@@ -138,6 +157,8 @@ class Index:
                 continue
             size = min(k, len(ws))
             by_class.setdefault((size, len(ws).bit_length()), []).append(len(self.templates))
+            if text.startswith(_IDENTIFIER):
+                self.identifiers.add(len(self.templates))
             self.templates.append((name, shingles(ws, k), size))
             hashes.append(np.unique(shingle_hashes(word_hashes(text), size)))
         rng = np.random.default_rng(7)
@@ -186,7 +207,8 @@ class Index:
         """(licence, containment, start, end) of the notices of a text, in code points, ends exclusive.
 
         Of overlapping findings the fullest stays, then the longest, then the first: versions of a
-        licence differ by a word, so a weaker reading of the same words is not reported.
+        licence differ by a word, so a weaker reading of the same words is not reported. Neutral
+        names give way to any other.
         """
         if not text or not (todo := list(self.candidates(text))):
             return []
@@ -209,11 +231,13 @@ class Index:
                         runs.append([])
                     runs[-1].append(i)
                 for run in runs:
+                    if t in self.identifiers and _GOES_ON.match(text, places[run[-1] + size - 1][1]):
+                        continue
                     share = len({" ".join(ws[i:i + size]) for i in run}) / len(want)
                     if share >= self.similarity - 1e-9:
                         found.append((name, share, places[run[0]][0], places[run[-1] + size - 1][1]))
         kept: list[tuple[str, float, int, int]] = []
-        for x in sorted(set(found), key=lambda x: (-x[1], x[2] - x[3], x[2])):
+        for x in sorted(set(found), key=lambda x: (x[0] in NEUTRAL, -x[1], x[2] - x[3], x[2])):
             if not any(y[2] < x[3] and x[2] < y[3] for y in kept):
                 kept.append(x)
         return sorted(kept, key=lambda x: (x[2], x[0]))
@@ -225,7 +249,8 @@ def scan_documents(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
 
     A notice is a place that holds at least ``similarity`` of a template's
     distinct k-word shingles (a shorter template is one shingle); words are
-    those of the decontamination operator. Null and empty texts hold none.
+    those of the decontamination operator. An identifier (SPDX) must be whole:
+    ``MIT`` is not found in ``MIT-0``. Null and empty texts hold none.
     Repeated rows give repeated findings. Other columns are not read.
     """
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -6,6 +6,7 @@ import functools
 import html as references
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,16 +34,55 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _PIECES = re.compile(r"[a-z]+")
 
 
+PATH_DIMS, WORD_DIMS, NUMBERS = 192, 48, 8
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _slots(token: str, dims: int) -> tuple[int, int]:
+    h = zlib.crc32(token.encode("utf-8", "surrogatepass"))
+    return h % dims, (h >> 16) % dims
+
+
+class Tag:
+    """An open element: its name and classes, the element around it, and what the whole path to it says, as one bit set."""
+    __slots__ = ("names", "above", "depth", "bits")
+
+    def __init__(self, names: tuple[str, ...], above: Tag | None):
+        self.names, self.above = names, above
+        self.depth, self.bits = (above.depth + 1, above.bits) if above else (1, 0)
+        for name in names:
+            for slot in _slots(name, PATH_DIMS):
+                self.bits |= 1 << slot
+
+
 @dataclass
 class Block:
-    path: tuple[tuple[str, ...], ...]
+    """A leaf text block: its innermost element, its text, and the share of the text inside links."""
+    tag: Tag | None
     text: str
     linked: float = 0.0
 
+    @property
+    def path(self) -> tuple[tuple[str, ...], ...]:
+        """The names on the path to the block, outermost first."""
+        names, tag = [], self.tag
+        while tag:
+            names.append(tag.names)
+            tag = tag.above
+        return tuple(reversed(names))
+
 
 @dataclass
 class _Page:
-    stack: list[tuple[str, tuple[str, ...]]] = field(default_factory=list)
+    """Open elements, counted by name, and counted by name among the inline ones since each block element.
+
+    So whether an end tag closes anything is known without a look through
+    the open elements, and every element is opened and closed once: the work
+    grows with the page, however deep it is nested.
+    """
+    stack: list[tuple[str, Tag]] = field(default_factory=list)
+    open: Counter = field(default_factory=Counter)
+    inline: list[Counter] = field(default_factory=lambda: [Counter()])
     text: list[str] = field(default_factory=list)
     linked: int = 0
     blocks: list[Block] = field(default_factory=list)
@@ -52,16 +92,31 @@ class _Page:
         said = " ".join(references.unescape("".join(self.text)).split())
         if said:
             raw = sum(len(t) for t in self.text)
-            self.blocks.append(Block(tuple(names for _, names in self.stack), said, min(1.0, self.linked / max(1, raw))))
+            self.blocks.append(Block(self.stack[-1][1] if self.stack else None, said, min(1.0, self.linked / max(1, raw))))
         self.text, self.linked = [], 0
 
-    def pop(self, tags: set[str], until: set[str] = frozenset()) -> None:
-        for i in reversed(range(len(self.stack))):
-            if self.stack[i][0] in tags:
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in until:
-                return
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.stack.append((tag, Tag(names, self.stack[-1][1] if self.stack else None)))
+        self.open[tag] += 1
+        if tag in INLINE:
+            self.inline[-1][tag] += 1
+        else:
+            self.inline.append(Counter())
+
+    def pop(self) -> str:
+        tag, _ = self.stack.pop()
+        self.open[tag] -= 1
+        if tag in INLINE:
+            self.inline[-1][tag] -= 1
+        else:
+            self.inline.pop()
+        return tag
+
+    def close(self, tag: str) -> None:
+        """End the innermost element of this name and all in it; an inline one only up to the block element around."""
+        if (self.inline[-1] if tag in INLINE else self.open)[tag]:
+            while self.pop() != tag:
+                pass
 
 
 def parse(page: str | None) -> list[Block]:
@@ -70,7 +125,7 @@ def parse(page: str | None) -> list[Block]:
     for m in _TOKEN.finditer(page or ""):
         if (text := m["text"]) is not None:
             p.text.append(text)
-            if any(tag == "a" for tag, _ in p.stack):
+            if p.open["a"]:
                 p.linked += len(text)
             continue
         tag = (m["tag"] or m["tag2"] or "").lower()
@@ -81,52 +136,40 @@ def parse(page: str | None) -> list[Block]:
             if tag in ("br", "img", "input", "wbr"):
                 p.text.append(" " if tag != "wbr" else "")
             elif end:
-                p.pop({tag}, {t for t, _ in p.stack if t not in INLINE})
+                p.close(tag)
             else:
-                p.stack.append((tag, (tag,)))
+                p.push(tag, (tag,))
             continue
         p.flush()
         if end:
-            p.pop({tag})
+            p.close(tag)
             continue
-        if any(t == "p" for t, _ in p.stack):  # a block ends an open paragraph
-            p.pop({"p"})
+        p.close("p")  # a block ends an open paragraph
         while p.stack and p.stack[-1][0] in INLINE:
-            p.stack.pop()
+            p.pop()
         if tag in CLOSES:
             while p.stack and p.stack[-1][0] in CLOSES[tag]:
-                p.stack.pop()
+                p.pop()
         if tag not in VOID:
-            named = " ".join(next(x for x in g if x is not None) if any(g) else "" for g in _NAMED.findall(attrs)).lower()
-            p.stack.append((tag, (tag, *("." + x for x in _PIECES.findall(named)))))
+            named = " ".join("".join(g) for g in _NAMED.findall(attrs)).lower()  # one of the three quotings matched
+            p.push(tag, (tag, *("." + x for x in _PIECES.findall(named))))
     p.flush()
     return p.blocks
 
 
-PATH_DIMS, WORD_DIMS, NUMBERS = 192, 48, 8
-
-
-@functools.lru_cache(maxsize=1 << 16)
-def _slots(token: str, dims: int) -> tuple[int, int]:
-    h = zlib.crc32(token.encode("utf-8", "surrogatepass"))
-    return h % dims, (h >> 16) % dims
-
-
 def features(blocks: list[Block]) -> np.ndarray:
     """[block, feature]: hashed tag path, hashed words, and a few numbers."""
     x = np.zeros((len(blocks), PATH_DIMS + WORD_DIMS + NUMBERS), np.float32)
     for i, b in enumerate(blocks):
-        for names in b.path:
-            for name in names:
-                for s in _slots(name, PATH_DIMS):
-                    x[i, s] = 1
+        if b.tag:
+            x[i, :PATH_DIMS] = np.unpackbits(np.frombuffer(b.tag.bits.to_bytes(PATH_DIMS // 8, "little"), np.uint8), bitorder="little")
         ws = b.text.split()
         for w in set(ws):
             x[i, PATH_DIMS + _slots(w, WORD_DIMS)[0]] += 1
         x[i, PATH_DIMS:PATH_DIMS + WORD_DIMS] /= max(1, len(ws))
         n = len(b.text)
         x[i, -NUMBERS:] = (np.log1p(n) / 8, b.linked, len(ws) <= 3, b.text[-1] in ".!?", "©" in b.text,
-                           sum(map(b.text.count, ".,;")) / max(1, len(ws)), i / max(1, len(blocks) - 1), len(b.path) / 10)
+                           sum(map(b.text.count, ".,;")) / max(1, len(ws)), i / max(1, len(blocks) - 1), (b.tag.depth if b.tag else 0) / 10)
     return x
 
 
@@ -359,7 +402,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     """One row per page row: id, the columns in ``keep``, text, n_chars.
 
     The text is the main text, empty if a page has none; null and empty pages
-    have none. Every block is labelled with the whole page as context.
+    have none. Every block is labelled with the whole page as context. Repeated
+    rows, and rows with a null id, are pages of their own; very long and very
+    deeply nested pages are read whole, in time that grows with their length.
+    Other columns of the table do not matter, also ones named text or n_chars
+    (unless kept: ``keep`` must not name those two).
     """
     model = pages.sparkSession.sparkContext.broadcast(trained())
 

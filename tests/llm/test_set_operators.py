@@ -273,6 +273,44 @@ def test_movement_stays_in_changed_subtrees(spark):
     assert all(abs(n / 20_000 - 0.125) < 0.012 for n in Counter(a for a, _ in rows).values())
 
 
+def slow_hash(key, name):
+    """Spark's xxhash64 of (long, string): the second seeded with the first."""
+    first = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42) if key is not None else 42
+    return xxhash.xxh64_intdigest(name.encode(), first)
+
+
+def slow_place(key, leaves):
+    """Region, rack, shard by weighted draws, level by level."""
+    def winner(names):
+        draws = {}
+        for name, weight in names.items():
+            u = ((slow_hash(key, name) & ((1 << 52) - 1)) + 0.5) / (1 << 52)
+            draws[name] = -np.log(u) / weight
+        return min(draws, key=draws.get)
+
+    total = lambda xs: sum(x.weight for x in xs)
+    left, path = list(leaves), ""
+    for level in ("region", "rack"):
+        groups = {}
+        for x in left:
+            groups.setdefault(f"{level}/{path}{getattr(x, level)}", []).append(x)
+        name = winner({n: total(xs) for n, xs in groups.items()})
+        left, path = groups[name], f"{path}{getattr(groups[name][0], level)}/"
+    name = winner({f"shard/{path}{x.shard}": x.weight for x in left})
+    return int(name.rsplit("/", 1)[1])
+
+
+def test_places_follow_the_draws(spark, texts):
+    for r in queries.op6_sharding(spark, SF).collect():
+        assert (r.shard, r.grown_shard) == (slow_place(r.doc_id, sharding.topology(8)), slow_place(r.doc_id, sharding.topology(9)))
+        data = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32) == (len(data) + 1, zlib.crc32(data))
+    tree = [sharding.Leaf("a", "x", 0, 1.5), sharding.Leaf("a", "y", 1, 0.5), sharding.Leaf("b", "x", 2, 4.0), sharding.Leaf("b", "x", 3)]
+    ids = spark.range(-300, 300)
+    for r in ids.select("id", sharding.place(ids.id, tree).alias("s")).collect():
+        assert r.s == slow_place(r.id, tree)
+
+
 def test_sharding_edges(spark, edge_docs, no_docs):
     rows = sharding.shard_documents(edge_docs, sharding.topology(3)).collect()
     assert len(rows) == 10 and all(r.grown_shard is None for r in rows)

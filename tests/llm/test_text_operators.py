@@ -2,6 +2,9 @@
 
 import hashlib
 import re
+import time
+from collections import Counter
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -41,6 +44,19 @@ def test_decontamination_short_items_blocks_and_edges(spark, edge_docs, no_docs)
     assert left.columns == edge_docs.columns and left.count() == 6
 
 
+@pytest.mark.parametrize("block", [1 << 20, 3000])
+def test_equal_items_are_folded_before_they_are_dealt(spark, edge_docs, block):
+    rows = [(i, f"item number {i} of many items with words enough to fill a block of their own") for i in range(100)]
+    rows += [(7000, "Gamma, delta!")] * 50 + [(7001, "Gamma, delta!")] * 20
+    items = spark.createDataFrame(rows, "item_id long, text string").repartition(5)
+    blocks = decontaminate._blocks(items, "item_id", "text", block)
+    sizes = [sum(len(t) for _, t in b.send().value) for b in blocks]
+    assert max(sizes) <= block and sum(sizes) == sum(len(t) for _, t in set(rows))
+    got = Counter((r.doc_id, r.item_id) for r in decontaminate.find_items(edge_docs, items, block_chars=block).collect())
+    assert got == {(1, 7000): 100, (1, 7001): 40}
+    assert decontaminate.drop_contaminated(edge_docs, items, block_chars=block).count() == 8
+
+
 @pytest.mark.parametrize("n", range(1, 60))
 def test_sketch_cannot_be_missed(n):
     kept = next(c for c in range(n + 1) if c >= 0.8 * n - 1e-9)
@@ -227,15 +243,95 @@ def test_quality_edges(spark, edge_docs, no_docs):
     assert quality.keep_good(edge_docs, labels).columns == edge_docs.columns
 
 
+def test_licences_named_like_others():
+    index = licenses.Index(licenses.TEMPLATES, 5, 0.8)
+    names = lambda text: [x[0] for x in index.scan("Some words before. " * 30 + text + " And words after." * 30)]
+    for name in ("MIT", "MIT-0", "GPL-1.0", "GPL-2.0", "EPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "CC-BY-4.0",
+                 "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "MPL-2.0", "ISC"):
+        assert names(f"SPDX-License-Identifier: {name}\n") == [name] and names(f"SPDX-License-Identifier: {name}. Then") == [name]
+    assert names("SPDX-License-Identifier: GPL-3.0-or-later") == ["GPL-3.0"]
+    assert names("SPDX-License-Identifier: MIT-Modern-Variant") == [] and names("SPDX-License-Identifier: ISC-Veillard") == []
+    for short in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"):
+        assert names(f"Licensed under CC {short} 4.0") == [f"CC-{short}-4.0"]
+    assert names("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.") == [
+        "CC-BY-NC-SA-4.0"]
+    grant = next(t for n, t in licenses.TEMPLATES if n == "MIT-0" and len(t) > 100)
+    assert names(grant) == ["MIT-0"] and names(grant[:-1] + ", subject to the following conditions:") == ["MIT"]
+    opening = next(t for n, t in licenses.TEMPLATES if n == "BSD")
+    assert names(opening + " conditions that nobody has written before") == ["BSD"]
+    conditions = (" 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+                  "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions "
+                  "and the following disclaimer in the documentation and/or other materials provided with the distribution. ")
+    fourth = ("3. All advertising materials mentioning features or use of this software must display the following acknowledgement: "
+              "This product includes software developed by Example Inc.")
+    assert names(opening + conditions + fourth) == ["BSD-4-Clause"]
+    assert names("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+                 "License as published by the Free Software Foundation; either version 1, or (at your option) any later version.") == ["GPL-1.0"]
+
+
 # --- pages ------------------------------------------------------------------
 
+class ArticleReader(HTMLParser):
+    """The article of a page by the standard library's parser: blocks of text, white space folded, in order."""
+    INLINE = pages.INLINE
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skipped, self.text, self.blocks = 0, 0, [], []
+
+    def cut(self):
+        if said := " ".join("".join(self.text).split()):
+            self.blocks.append(said)
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style"):
+            self.skipped += 1
+        if tag == "br":
+            self.text.append(" ")
+        elif tag not in self.INLINE and self.inside:
+            self.cut()
+        if tag == "article":
+            self.inside += 1
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.skipped -= 1
+        if tag not in self.INLINE and self.inside:
+            self.cut()
+        if tag == "article":
+            self.inside -= 1
+
+    def handle_data(self, data):
+        if self.inside and not self.skipped:
+            self.text.append(data)
+
+
 def test_pages_match_their_articles(spark):
     rows = {r.page_id: r.html for r in table(spark, SF, "pages").collect()}
     got = queries.op10_html(spark, SF).collect()
     assert len(got) == len(rows)
     for r in got:
-        own = [b.text for b in pages.parse(rows[r.page_id]) if any(n[0] == "article" for n in b.path)]
-        assert r.text == "\n\n".join(own) and r.n_chars == len(r.text)
+        reader = ArticleReader()
+        reader.feed(rows[r.page_id])
+        assert r.text == "\n\n".join(reader.blocks) and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 100_000, "<b>" * 100_000 + "</i>x" * 100_000, "<i><div>" + "<b>" * 50_000 + "</i>y" * 50_000,
+                                  "<div>" * 100_000 + "</p>z" * 50_000])
+def test_deep_pages_are_read_in_time_that_grows_with_their_length(page):
+    began = time.process_time()
+    blocks = pages.parse(page)
+    pages.features(blocks)
+    assert time.process_time() - began < 20  # seconds; a look through the open tags at every tag would take hours
+    assert sum(len(b.text.replace(" ", "")) for b in blocks) == sum(page.count(c) for c in "xyz")
+
+
+def test_paths_name_the_open_elements():
+    blocks = pages.parse("<body class=page><div id='main x'><p>a <b>b</b><p>c</div>d")
+    assert [(b.text, b.path) for b in blocks] == [
+        ("a b", (("body", ".page"), ("div", ".main", ".x"), ("p",))), ("c", (("body", ".page"), ("div", ".main", ".x"), ("p",))),
+        ("d", (("body", ".page"),))]
 
 
 def test_labeller_on_unseen_generated_pages():
