@@ -189,7 +189,8 @@ def augment_text(text: Column, dialect: str, key: Column, seed: int = 42,
     t = text
     for i, (src, dst) in enumerate(rules["transformations"]):
         fire = T.u(seed, _key(key, f"|{dialect}|r{i}")) < ratio
-        t = F.when(fire, F.regexp_replace(t, _boundary(src), dst)).otherwise(t)
+        # a rule that does not fire puts each match back: the expression names t once, so it grows by one step a rule
+        t = F.regexp_replace(t, F.lit(_boundary(src)), F.when(fire, F.lit(dst)).otherwise(F.lit("$0")))
     syn = rules["synonyms"]
 
     def swap(w, i):
