@@ -5,8 +5,9 @@ bytes with the least hash in them. Only the surroundings of anchors that
 occur more than once can hold repeats. Equal surroundings are folded into
 one; the different ones of an anchor meet in a shard, whose suffixes are
 sorted by induction (:mod:`suffixes`), and neighbours with a common prefix of
-``width`` bytes are repeats. An anchor with very many different surroundings
-is not gathered: its strings are grouped by their hashes in Spark.
+``width`` bytes are repeats. Shards are made by bytes, so that their sorts fit
+a task; an anchor with more bytes or different surroundings than a shard is
+not gathered: its strings are grouped by their hashes in Spark.
 """
 
 from __future__ import annotations
@@ -30,6 +31,11 @@ from .suffixes import repeated
 WIDTH, GRAM = 100, 24
 #: Different surroundings that a shard holds, and beyond which an anchor is not gathered.
 SHARD_PIECES, HOT_PIECES = 16_384, 16_384
+#: Bytes of surroundings that a shard is made for (half of it on average), and beyond which an anchor is not gathered;
+#: a sort takes some 60 bytes of memory a byte.
+SHARD_BYTES = 8 << 20
+#: A long run of an anchor is handled in segments of so many strings.
+SEGMENT = 1 << 16
 #: Strings whose anchors are chosen at once within a text.
 STRIDE = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
@@ -98,7 +104,7 @@ def _settle(spark: SparkSession) -> None:
 
 
 def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
-             shard_pieces: int = SHARD_PIECES, hot_pieces: int = HOT_PIECES) -> DataFrame:
+             shard_pieces: int = SHARD_PIECES, hot_pieces: int = HOT_PIECES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(_id, _h, lo, hi): intervals of each document whose bytes are to go.
 
     A document is an id and a text's hash; intervals may overlap.
@@ -152,20 +158,26 @@ def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str
             for i, (text, cuts) in enumerate(zip(batch.column("_text").to_pylist(), batch.column("_cuts").to_pylist())):
                 data = _bytes(text)
                 for c in cuts:
-                    s, e = surrounding(len(data), c["first"], c["first"] + c["more"], width, gram)
-                    row.append(i)
-                    out.append((c["a"], c["kinds"] or 1, int(s), c["first"] - int(s), c["more"], data[s:e]))
+                    s, e = map(int, surrounding(len(data), c["first"], c["first"] + c["more"], width, gram))
+                    for x in range(s, max(s + 1, e - width + 1), SEGMENT):  # each string of a long run is in one segment
+                        part = data[x:min(e, x + SEGMENT + width - 1)]
+                        row.append(i)
+                        out.append((c["a"], c["kinds"] or 1, x, max(0, c["first"] - x), c["more"], len(part), part))
             at = pa.array(row, pa.int64())
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id").take(at), batch.column("_h").take(at),
                  *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))],
-                ["_id", "_h", "a", "kinds", "lo", "at", "more", "piece"])
+                ["_id", "_h", "a", "kinds", "lo", "at", "more", "size", "piece"])
 
     pieces = written(_with(keyed, wanted, "inner").select("_id", "_h", "_text", "_cuts").mapInArrow(
-        cut, f"_id {id_kind}, _h long, a long, kinds long, lo int, at int, more int, piece binary"), "pieces")
+        cut, f"_id {id_kind}, _h long, a long, kinds long, lo int, at int, more int, size int, piece binary"), "pieces")
     _settle(spark)
-    n_shards = max(1, -(-pieces.count() // shard_pieces))
+    weights = pieces.groupBy("a").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("kinds").alias("kinds"))
+    is_hot = (F.col("bytes") > shard_bytes) | (F.col("kinds") > hot_pieces)
+    total = weights.agg(F.sum(F.when(~is_hot, F.col("bytes"))).alias("bytes"), F.sum(F.when(~is_hot, F.col("n"))).alias("n"),
+                        F.count_if(is_hot).alias("hot")).first()
+    n_shards = max(1, -(-(total.n or 0) // shard_pieces), -(-2 * (total.bytes or 0) // shard_bytes))
     side = (width - gram + 1) // 2  # a string reaches so far beyond its anchor on one side at least
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -194,12 +206,13 @@ def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str
         low = (1 << 40) - 1
         return pd.DataFrame({"_id": one["_id"].to_numpy(), "_h": one["_h"].to_numpy(), "lo": lo & low, "hi": hi & low})
 
-    shards = pieces.where(F.col("kinds") <= hot_pieces).withColumn("_shard", F.pmod(F.xxhash64("a"), F.lit(n_shards)))
-    out = written(copies.unionAll(shards.drop("kinds").groupBy("_shard").applyInPandas(
+    hot = weights.where(is_hot).select("a")
+    shards = (pieces.join(hot, "a", "left_anti") if total.hot else pieces).withColumn(
+        "_shard", F.pmod(F.xxhash64("a"), F.lit(n_shards)))
+    out = written(copies.unionAll(shards.drop("kinds", "size").groupBy("_shard").applyInPandas(
         sort, f"_id {id_kind}, _h long, lo int, hi int")), "intervals")
-    hot = pieces.where(F.col("kinds") > hot_pieces)
-    if not hot.isEmpty():
-        out = out.unionAll(written(_hot(hot, width, order), "intervals"))
+    if total.hot:
+        out = out.unionAll(written(_hot(pieces.join(hot, "a", "left_semi"), width, order), "intervals"))
     common.dropped(judged)
     _settle(spark)
     return out

@@ -212,6 +212,21 @@ def test_substrings_of_hard_texts(spark, hot):
     assert got == dict(enumerate(brute_removal([t.encode() for t in texts], 100)))
 
 
+@pytest.mark.parametrize("shard_bytes, segment", [(1 << 23, 1 << 16), (4000, 700), (1 << 23, 150)])
+def test_long_runs_are_cut_and_heavy_anchors_are_spread(spark, monkeypatch, shard_bytes, segment):
+    monkeypatch.setattr(substrings, "SEGMENT", segment)
+    rng = np.random.default_rng(4)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    line = letters(70)
+    texts = [line * 40, letters(300) + line * 12 + letters(120), letters(50), line * 3 + letters(500), "a" * 5000, letters(80) + "a" * 1500,
+             "ab" * 900, letters(700), ""]
+    texts.append(texts[7][100:400] + line)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
+           for r in substrings.remove_repeats(df, shard_bytes=shard_bytes).collect()}
+    assert got == dict(enumerate(brute_removal([t.encode() for t in texts], 100)))
+
+
 @pytest.mark.parametrize("hot", [10_000, 1])
 @pytest.mark.parametrize("tail", [False, True])
 def test_substrings_shared_with_one_end_of_a_run(spark, hot, tail):
