@@ -161,15 +161,26 @@ def f12_missing_rows(spark, sf):
     return d.exceptAll(TB.table(spark, sf, "labels").select("doc_id"))
 
 
-@register("f13_metric_comparison",
-          lambda: S.with_views(
-              "SELECT a.metric, round(a.v, 6) AS model_1, round(b.v, 6) AS model_2, round(a.v - b.v, 6) AS difference, "
-              "round((a.v - b.v) / greatest(abs(b.v), 1e-8) * 100, 6) AS relative_improvement, "
-              "CASE WHEN a.v > b.v THEN 'model_1' ELSE 'model_2' END AS better_model FROM "
-              "(SELECT unnest(['avg_loss', 'avg_samples', 'n_runs']) AS metric, unnest([avg(final_loss), avg(samples_trained), count(*)]) AS v "
-              "FROM runs WHERE dataset = 'arabic_sft') a JOIN "
-              "(SELECT unnest(['avg_loss', 'avg_samples', 'n_runs']) AS metric, unnest([avg(final_loss), avg(samples_trained), count(*)]) AS v "
-              "FROM runs WHERE dataset = 'arabic_eval') b USING (metric)", "runs"))
+#: Every two of the run datasets.
+RUN_PAIRS = [("arabic_sft", "arabic_preference"), ("arabic_sft", "arabic_eval"), ("arabic_preference", "arabic_eval")]
+
+
+def _f13_sql():
+    long = ("(SELECT unnest(['avg_loss', 'avg_samples', 'n_runs']) AS metric, unnest([avg(final_loss), avg(samples_trained), count(*)]) "
+            "AS v FROM runs WHERE dataset = '{}')")
+    one = ("SELECT '{0}' AS dataset_1, '{1}' AS dataset_2, a.metric, round(a.v, 6) AS model_1, round(b.v, 6) AS model_2, round(a.v - b.v, 6) "
+           "AS difference, round((a.v - b.v) / greatest(abs(b.v), 1e-8) * 100, 6) AS relative_improvement, CASE WHEN a.v > b.v THEN "
+           "'model_1' ELSE 'model_2' END AS better_model FROM {2} a JOIN {3} b USING (metric)")
+    return S.with_views(" UNION ALL ".join(one.format(x, y, long.format(x), long.format(y)) for x, y in RUN_PAIRS), "runs")
+
+
+def _each_pair(of):
+    """The rows of ``of(dataset, dataset)`` for every two datasets."""
+    parts = [of(x, y).select(F.lit(x).alias("dataset_1"), F.lit(y).alias("dataset_2"), "*") for x, y in RUN_PAIRS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("f13_metric_comparison", _f13_sql)
 def f13_metric_comparison(spark, sf):
     r = TB.runs(spark, sf)
 
@@ -178,24 +189,28 @@ def f13_metric_comparison(spark, sf):
                                                  F.avg("samples_trained").alias("avg_samples"),
                                                  F.count(F.lit(1)).cast("double").alias("n_runs"))
         return a.unpivot([], ["avg_loss", "avg_samples", "n_runs"], "metric", "value")
-    c = J.compare_metrics(long_metrics("arabic_sft"), long_metrics("arabic_eval"))
-    return c.select("metric", *[F.round(x, 6).alias(x) for x in ("model_1", "model_2", "difference", "relative_improvement")],
-                    "better_model")
+    c = _each_pair(lambda x, y: J.compare_metrics(long_metrics(x), long_metrics(y)))
+    return c.select("dataset_1", "dataset_2", "metric", *[F.round(x, 6).alias(x) for x in (
+        "model_1", "model_2", "difference", "relative_improvement")], "better_model")
 
 
-@register("f14_keyed_diff",
-          lambda: S.with_views(
-              "SELECT coalesce(a.method, b.method) AS method, CASE WHEN a.method IS NULL THEN 'only_right' WHEN b.method IS NULL "
-              "THEN 'only_left' ELSE 'common' END AS side, round(abs(a.final_loss - b.final_loss), 6) AS abs_diff, "
-              "coalesce(abs(a.final_loss - b.final_loss) <= 0.5, false) AS within_tolerance FROM "
-              "(SELECT method, final_loss FROM runs WHERE dataset = 'arabic_sft' AND status = 'completed') a FULL OUTER JOIN "
-              "(SELECT method, final_loss FROM runs WHERE dataset = 'arabic_eval') b USING (method)", "runs"))
+def _f14_sql():
+    one = ("SELECT '{0}' AS dataset_1, '{1}' AS dataset_2, coalesce(a.method, b.method) AS method, CASE WHEN a.method IS NULL THEN 'only_right' "
+           "WHEN b.method IS NULL THEN 'only_left' ELSE 'common' END AS side, round(abs(a.final_loss - b.final_loss), 6) AS abs_diff, "
+           "coalesce(abs(a.final_loss - b.final_loss) <= 0.5, false) AS within_tolerance FROM "
+           "(SELECT method, final_loss FROM runs WHERE dataset = '{0}' AND status = 'completed') a FULL OUTER JOIN "
+           "(SELECT method, final_loss FROM runs WHERE dataset = '{1}') b USING (method)")
+    return S.with_views(" UNION ALL ".join(one.format(x, y) for x, y in RUN_PAIRS), "runs")
+
+
+@register("f14_keyed_diff", _f14_sql)
 def f14_keyed_diff(spark, sf):
+    """Completed runs of one dataset against all runs of another, by method."""
     r = TB.runs(spark, sf)
-    left = r.filter((F.col("dataset") == "arabic_sft") & (F.col("status") == "completed")).select("method", "final_loss")
-    right = r.filter(F.col("dataset") == "arabic_eval").select("method", "final_loss")
-    d = J.keyed_diff(left, right, "method", "final_loss", 0.5)
-    return d.select("method", "side", F.round("abs_diff", 6).alias("abs_diff"), "within_tolerance")
+    of = lambda ds: r.filter(F.col("dataset") == ds)
+    d = _each_pair(lambda x, y: J.keyed_diff(of(x).filter(F.col("status") == "completed").select("method", "final_loss"),
+                                             of(y).select("method", "final_loss"), "method", "final_loss", 0.5))
+    return d.select("dataset_1", "dataset_2", "method", "side", F.round("abs_diff", 6).alias("abs_diff"), "within_tolerance")
 
 
 @register("f15_lexicon_match",
