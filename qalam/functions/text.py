@@ -96,7 +96,9 @@ def normalize_dialect(c) -> Column:
     t = F.translate(t, L.ALEF_VARIANTS + L.TEH_MARBUTA + L.YEH_VARIANTS,
                     L.ALEF * len(L.ALEF_VARIANTS) + L.HEH + L.YEH * len(L.YEH_VARIANTS))
     t = F.regexp_replace(t, WS_RUN, " ")
-    t = F.regexp_replace(t, f"[^{L.AR5}{L.WS}]", "")
+    # spaces are the only white space left; most characters pass the first, short class, the look-behind sees the rest
+    main, rest = L.AR5[:len(r"\x{0600}-\x{06FF}")], L.AR5[len(r"\x{0600}-\x{06FF}"):]
+    t = F.regexp_replace(t, f"[^{main} ](?<![{rest}])", "")
     return py_strip(t)
 
 

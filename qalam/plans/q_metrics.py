@@ -9,7 +9,6 @@ from ..functions import text as T
 from ..operators import hooks as H
 from ..operators import metrics as M
 from ..operators import windows as WN
-from ..operators.encode import word_ids
 from ..sources import tables as TB
 from . import sqlref as S
 from .catalog import register
@@ -41,7 +40,7 @@ def _i1_sql():
 @register("i1_text_profile", _i1_sql)
 def i1_text_profile(spark, sf):
     d = TB.ar_docs(spark, sf).select(F.col("lang").alias("split"), "text")
-    p = M.text_profile(d, ["text"], "split", lambda t: F.size(word_ids(t)))  # tokens of the default tokenizer
+    p = M.text_profile(d, ["text"], "split", T.word_count)  # the default tokenizer gives a token a word
     return rall(p.select("split", "num_examples", F.col("text_min_length").cast("long").alias("text_min_length"),
                          F.col("text_max_length").cast("long").alias("text_max_length"), "text_mean_length",
                          F.col("text_median_length").cast("double").alias("text_median_length"), "text_std_length",
