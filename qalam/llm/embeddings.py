@@ -7,6 +7,11 @@ levels with halving radii). Cell pairs, then node pairs, are pruned where
 their centres lie further apart than the covering radii and the threshold
 allow, and taken whole where all their points must be close enough; what
 remains is compared point by point in double precision.
+
+The chunks of a label lie in blocks of about the square root of their
+number. A task holds the trees of one block and meets those of another one
+after the other, so C chunks cross the shuffle about C * sqrt(C) times, not
+twice per pair of chunks.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, written
@@ -25,6 +30,8 @@ from .components import components
 CHUNK = 4096
 PIVOTS = 64
 LEAF = 32
+#: Vectors of a block's trees that a task holds at a time, in bytes of doubles.
+BLOCK_BYTES = 64 << 20
 #: Slack of the bounds against rounding; pairs within it are compared exactly. A distance of near 0 comes
 #: from a cosine, so it may be off by the root of a double's precision.
 EPS = 1e-7
@@ -219,27 +226,35 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     named = chunked.withColumn("_group", F.concat_ws("/", F.hex(F.xxhash64(*group)), F.hex(F.xxhash64(F.lit(1), *group))))
     trees = written(named.select("_group", "_cell", "_sub", "_rep", "_copies", "_x").groupBy(
         "_group", "_cell", "_sub").applyInPandas(plant, "_group string, _cell int, _sub long, _tree binary"), "trees")
-    pairs = _pairs(cells, group, float(np.sqrt(max(0.0, 2 - 2 * cosine))))
+    met_trees = _met_trees(trees, cells, group, chunk, float(np.sqrt(max(0.0, 2 - 2 * cosine))))
+
+    def links(left: tuple, right: tuple) -> Iterator[pd.DataFrame]:
+        (a, ra, wa), (b, rb, wb) = left, right
+        na, nb, label = link(a, b, wa, wb, cosine)
+        n, rep = (na, ra) if b is a else (np.concatenate([na, nb]), np.concatenate([ra, rb]))
+        hit = n > 0
+        if hit.any():
+            yield pd.DataFrame({"u": rep[hit], "v": rep[label[hit]], "n": n[hit].astype(np.int64)})
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, block = None, []  # the pair of blocks at hand, and the trees of its first block
         for pdf in batches:
-            for left, right in zip(pdf["_left"], pdf["_right"]):
-                a, ra, wa = pickle.loads(left)
-                b, rb, wb = (a, ra, wa) if right is None else pickle.loads(right)
-                na, nb, label = link(a, b, wa, wb, cosine)
-                n, rep = (na, ra) if b is a else (np.concatenate([na, nb]), np.concatenate([ra, rb]))
-                hit = n > 0
-                if hit.any():
-                    yield pd.DataFrame({"u": rep[hit], "v": rep[label[hit]], "n": n[hit].astype(np.int64)})
-
-    left = trees.select("_group", F.col("_cell").alias("_a"), F.col("_sub").alias("_i"), F.col("_tree").alias("_left"))
-    right = trees.select("_group", F.col("_cell").alias("_b"), F.col("_sub").alias("_j"), F.col("_tree").alias("_right"))
-    own = pairs.where("_a = _b and _i = _j").join(left, ["_group", "_a", "_i"]).select(
-        "_left", F.lit(None).cast("binary").alias("_right"))
-    other = pairs.where("_a <> _b or _i <> _j").join(left, ["_group", "_a", "_i"]).join(
-        right, ["_group", "_b", "_j"]).select("_left", "_right")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # rows of two trees each
-    met = written(own.unionAll(other).mapInPandas(meet, "u long, v long, n long"), "links")
+            for *pair, second, cell, near, tree in zip(*(pdf[c] for c in MET)):
+                if pair != at:
+                    at, block = pair, []
+                own, tree = pair[1] == pair[2], pickle.loads(tree)
+                if own or second:
+                    near = set(near.tolist())
+                    for c, left in block:
+                        if c * PIVOTS + cell in near:
+                            yield from links(left, tree)
+                if own:
+                    yield from links(tree, tree)
+                if not second:
+                    block.append((cell, tree))
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a tree a row
+    met = written(met_trees.mapInPandas(meet, "u long, v long, n long"), "links")
     prepare(spark)
     partners = met.groupBy(F.col("u").alias("_rep")).agg(F.sum("n").alias("_n"))
     roots = components(met.select("u", "v")).withColumnRenamed("node", "_rep")
@@ -294,17 +309,45 @@ def _celled(reps: DataFrame, sizes: DataFrame, group: list[str], chunk: int) ->
         wide.groupBy(*keys)).applyInPandas(assign, f"{schema}, _cell int, _far double, _pivot array<double>"), "slices")
 
 
-def _pairs(cells: DataFrame, group: list[str], t: float) -> DataFrame:
-    """Pairs of chunks, each once, of cells near enough for a link; at most PIVOTS cells a group."""
+#: Columns that a task reads of each tree: its pair of blocks, whether it is of the second one, its cell, near cell pairs.
+MET = ["_group", "_p", "_q", "_second", "_cell", "_near", "_tree"]
+
+
+def _blocks(cells: DataFrame, group: list[str], chunk: int, t: float) -> tuple[DataFrame, DataFrame]:
+    """Cells with the place of their first chunk and the size of a block, and the pairs of blocks with near cells.
+
+    The chunks of a group are numbered through its cells, at most PIVOTS, and
+    cut into blocks. ``_near`` lists the pairs of cells, one of each block,
+    that are near enough for a link.
+    """
     name = F.concat_ws("/", F.hex(F.xxhash64(*group)), F.hex(F.xxhash64(F.lit(1), *group)))
-    c = cells.select(name.alias("_group"), "_cell", "_radius", "_pivot", "_chunks")
-    a = c.select("_group", *(F.col(x).alias(f"{x}_a") for x in c.columns[1:]))
-    b = c.select("_group", *(F.col(x).alias(f"{x}_b") for x in c.columns[1:]))
+    whole = Window.partitionBy(*group)  # a row per cell
+    before = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    fit = F.floor(F.lit(float(BLOCK_BYTES)) / (F.col("_dim") * (8.0 * chunk)))
+    c = cells.withColumns({
+        "_from": F.coalesce(F.sum("_chunks").over(before), F.lit(0)),
+        "_size": F.greatest(F.lit(1), F.least(F.ceil(F.sqrt(F.sum("_chunks").over(whole))), fit)).cast("long"),
+    }).select(name.alias("_group"), "_cell", "_radius", "_pivot", "_size", "_from",
+              (F.col("_from") + F.col("_chunks") - 1).alias("_to"))
+    a = c.select("_group", "_size", *(F.col(x).alias(f"{x}_a") for x in ("_cell", "_radius", "_pivot", "_from", "_to")))
+    b = c.select("_group", *(F.col(x).alias(f"{x}_b") for x in ("_cell", "_radius", "_pivot", "_from", "_to")))
     apart = F.sqrt(F.aggregate(F.zip_with("_pivot_a", "_pivot_b", lambda p, q: (p - q) * (p - q)),
                                F.lit(0.0).cast("double"), lambda s, v: s + v))
     near = a.join(b, "_group").where("_cell_a <= _cell_b").where(
         (F.col("_cell_a") == F.col("_cell_b")) | (apart <= F.col("_radius_a") + F.col("_radius_b") + t + EPS))
-    subs = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1))
-    return near.withColumn("_i", subs("_chunks_a")).withColumn("_j", subs("_chunks_b")).where(
-        "_cell_a < _cell_b or _i <= _j").select("_group", F.col("_cell_a").alias("_a"), "_i",
-                                                F.col("_cell_b").alias("_b"), "_j")
+    blocks = lambda k: F.explode(F.expr(f"sequence(_from_{k} div _size, _to_{k} div _size)"))
+    pairs = near.withColumn("_p", blocks("a")).withColumn("_q", blocks("b")).where("_p <= _q").groupBy(
+        "_group", "_p", "_q").agg(F.collect_set(F.col("_cell_a") * PIVOTS + F.col("_cell_b")).alias("_near"))
+    return c.select("_group", "_cell", "_from", "_size"), pairs
+
+
+def _met_trees(trees: DataFrame, cells: DataFrame, group: list[str], chunk: int, t: float) -> DataFrame:
+    """The trees of each pair of blocks in one partition, those of the first block before those of the second."""
+    placed, pairs = _blocks(cells, group, chunk, t)
+    pairs = written(pairs, "blocks")
+    members = trees.join(placed, ["_group", "_cell"]).withColumn("_block", F.expr("(_from + _sub) div _size")).drop("_from", "_size")
+    first = members.withColumnRenamed("_block", "_p").join(pairs, ["_group", "_p"]).withColumn("_second", F.lit(False))
+    second = members.withColumnRenamed("_block", "_q").join(pairs.where("_p < _q"), ["_group", "_q"]).withColumn("_second", F.lit(True))
+    tasks = int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return first.unionByName(second).repartition(tasks, "_group", "_p", "_q").sortWithinPartitions(
+        "_group", "_p", "_q", "_second", "_cell", "_sub").select(*MET)

@@ -156,6 +156,35 @@ def test_embeddings_edges(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_trees_cross_the_shuffle_by_blocks(spark):
+    sizes, chunk, dim = [70, 1, 30, 20], 16, 4  # chunks of four cells, the last of them far from the others
+    pivots = np.array([[1, 0, 0, 0], [0.8, 0.6, 0, 0], [0.6, 0.8, 0, 0], [-1, 0, 0, 0]], float)
+    cells = spark.createDataFrame([(7, dim, c, 0.5, n * chunk, pivots[c].tolist(), n) for c, n in enumerate(sizes)],
+                                  "_label int, _dim int, _cell int, _radius double, _m long, _pivot array<double>, _chunks int")
+    name = embeddings._blocks(cells, ["_label", "_dim"], chunk, 0.2)[0].first()._group
+    trees = spark.createDataFrame([(name, c, s, bytearray(b"t")) for c, n in enumerate(sizes) for s in range(n)],
+                                  "_group string, _cell int, _sub long, _tree binary")
+    met = embeddings._met_trees(trees, cells, ["_label", "_dim"], chunk, 0.2)
+    total = sum(sizes)
+    n = 0
+    pairs = Counter()
+    for part in met.rdd.glom().collect():
+        at, block = None, []
+        for r in part:
+            n += 1
+            if (r._p, r._q) != at:
+                at, block = (r._p, r._q), []
+            assert r._second or not block or not block[-1][1], "first block before the second"
+            if r._p == r._q or r._second:
+                pairs.update((c, r._cell) for c, _ in block if c * embeddings.PIVOTS + r._cell in r._near)
+            if not r._second:
+                block.append((r._cell, r._second))
+    near = [(a, b) for a in range(3) for b in range(a, 3)] + [(3, 3)]
+    assert pairs == {(a, b): sizes[a] * (sizes[a] - 1) // 2 if a == b else sizes[a] * sizes[b]
+                     for a, b in near if a != b or sizes[a] > 1}
+    assert n <= (np.ceil(total ** 0.5) + 1) * total
+
+
 # --- suffixes and substrings ------------------------------------------------
 
 def test_suffix_order_and_repeats_match_sorting():
