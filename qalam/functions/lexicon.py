@@ -21,6 +21,7 @@ HARAKAT = r"\x{064B}-\x{065F}"
 CLEAN_DIACRITICS = r"\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}"
 # Diacritics and tatweel removed before dialect detection.
 DETECT_DIACRITICS = r"\x{064B}-\x{0652}\x{0670}\x{0640}"
+DETECT_DIACRITIC_CHARS = "".join(map(chr, range(0x064B, 0x0653))) + "\u0670\u0640"  # the same, one by one
 # Python str.isspace() characters, i.e. what Python's \s and str.split() use.
 WS = (r"\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}"
       r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")

@@ -92,10 +92,10 @@ def normalize_dialect(c) -> Column:
     characters between spaces can leave double spaces behind.
     """
     t = py_strip(c)
-    t = F.regexp_replace(t, f"[{L.DETECT_DIACRITICS}]", "")
-    t = F.translate(t, L.ALEF_VARIANTS + L.TEH_MARBUTA + L.YEH_VARIANTS,
-                    L.ALEF * len(L.ALEF_VARIANTS) + L.HEH + L.YEH * len(L.YEH_VARIANTS))
-    t = F.regexp_replace(t, WS_RUN, " ")
+    # one pass folds letters, makes all white space spaces and drops diacritics (they have no counterpart)
+    t = F.translate(t, L.ALEF_VARIANTS + L.TEH_MARBUTA + L.YEH_VARIANTS + WS_CHARS + L.DETECT_DIACRITIC_CHARS,
+                    L.ALEF * len(L.ALEF_VARIANTS) + L.HEH + L.YEH * len(L.YEH_VARIANTS) + " " * len(WS_CHARS))
+    t = F.regexp_replace(t, "  +", " ")
     # spaces are the only white space left; most characters pass the first, short class, the look-behind sees the rest
     main, rest = L.AR5[:len(r"\x{0600}-\x{06FF}")], L.AR5[len(r"\x{0600}-\x{06FF}"):]
     t = F.regexp_replace(t, f"[^{main} ](?<![{rest}])", "")

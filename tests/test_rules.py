@@ -1,5 +1,8 @@
 """Rules worked by hand, and operators on inputs that earlier versions cut."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +24,21 @@ def one(spark, **cols):
     return spark.range(1).select(*[c.alias(k) for k, c in cols.items()]).first()
 
 
+def test_detector_normaliser_against_plain_python(spark):
+    rng = random.Random(5)
+    letters = "اأإآةىيبهش" + "\u064b\u0652\u0653\u0670\u0640" + " \t\n\u00a0\u3000\x1c" + "aZ9\u0750\u08a0\ufb50\ufe70\u05d0😀؟،"
+    rows = ["".join(rng.choices(letters, k=rng.randrange(14))) for _ in range(4000)] + [None]
+
+    def plain(t):
+        t = re.sub("[\u064b-\u0652\u0670\u0640]", "", t.strip())
+        t = t.translate(str.maketrans("إأآىة", "ااايه"))
+        t = re.sub(r"\s+", " ", t)
+        return re.sub("[^\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff\ufb50-\ufdff\ufe70-\ufeff ]", "", t).strip()
+
+    df = spark.createDataFrame([(t,) for t in rows], "t string").select("t", T.normalize_dialect("t").alias("n"))
+    assert [(r.t, r.n) for r in df.collect() if r.n != (None if r.t is None else plain(r.t))] == []
+
+
 def test_greedy_decides_every_node_of_a_long_chain(spark):
     nodes = spark.range(30).select("id")
     edges = spark.createDataFrame([(i, i + 1) for i in range(29)], "i long, j long")
