@@ -8,6 +8,8 @@ equals ``str.strip()``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,15 @@ def col(c) -> Column:
 
 # ----------------------------------------------------------------- basics
 
+def once(value, fn) -> Column:
+    """``fn(value)``, with ``value`` computed once however often ``fn`` names it.
+
+    Spark shares equal expressions neither inside lambdas nor between the
+    branches of a condition; the variable of a lambda is computed once.
+    """
+    return F.element_at(F.transform(F.array(col(value)), fn), 1)
+
+
 # The same whitespace set as literal characters, for the (regex-free) trim.
 WS_CHARS = "".join(chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
                                     0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
@@ -38,7 +49,7 @@ def py_strip(c) -> Column:
 
 def py_words(c) -> Column:
     """Python ``str.split()``: whitespace runs as separators, no empty pieces."""
-    return F.filter(F.split(col(c), WS_RUN), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(col(c), WS_CHARS, " " * len(WS_CHARS)), " "), "")
 
 
 def word_count(c) -> Column:
@@ -204,8 +215,8 @@ def special_char_ratio(c) -> Column:
 
 def word_repetition_ratio(c) -> Column:
     """sum(count-1) over lower-cased words / word count; <= 1 word -> 0."""
-    w = py_words(F.lower(col(c)))
-    return F.when(F.size(w) <= 1, F.lit(0.0)).otherwise((F.size(w) - F.size(F.array_distinct(w))) / F.size(w))
+    return once(py_words(F.lower(col(c))), lambda w: F.when(F.size(w) <= 1, F.lit(0.0)).otherwise(
+        (F.size(w) - F.size(F.array_distinct(w))) / F.size(w)))
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -225,10 +236,13 @@ def ngrams(words: Column, n: int) -> Column:
 
 def trigram_repetition(c) -> Column:
     """1 - distinct/total trigrams; texts under 10 words give 0."""
-    w = py_words(c)
-    tri = ngrams(w, 3)
-    return F.when(F.size(w) < 10, F.lit(0.0)).otherwise(
-        1.0 - F.size(F.array_distinct(tri)) / F.size(tri))
+    return once(py_words(c), trigram_repetition_of)
+
+
+def trigram_repetition_of(words: Column) -> Column:
+    """C13 of a text's words, which are named several times (see ``once``)."""
+    return F.when(F.size(words) < 10, F.lit(0.0)).otherwise(once(ngrams(words, 3), lambda tri:
+        1.0 - F.size(F.array_distinct(tri)) / F.size(tri)))
 
 
 def normalized_hash(c) -> Column:
@@ -238,8 +252,8 @@ def normalized_hash(c) -> Column:
 
 def shingles(c, n: int = 3) -> Column:
     """Distinct n-word shingles of the lower-cased text; short text -> whole text."""
-    w = py_words(F.lower(col(c)))
-    return F.when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(ngrams(w, n)))
+    return once(py_words(F.lower(col(c))), lambda w: F.when(F.size(w) < n, F.array(F.array_join(w, " ")))
+                .otherwise(F.array_distinct(ngrams(w, n))))
 
 
 def jaccard(a: Column, b: Column, empty_both: float = 1.0) -> Column:
@@ -259,15 +273,13 @@ def sim(a, b) -> Column:
 
 
 def distinct_ratio(c) -> Column:
-    w = py_words(c)
-    return F.coalesce(F.try_divide(F.size(F.array_distinct(w)), F.size(w)), F.lit(0.0))
+    return once(py_words(c), lambda w: F.coalesce(F.try_divide(F.size(F.array_distinct(w)), F.size(w)), F.lit(0.0)))
 
 
 def quality(c) -> Column:
     """Shared ``quality``: 0.3*min(len/100,1) + 0.7*distinct/max(words,1)."""
-    w = py_words(c)
-    return 0.3 * F.least(F.length(col(c)) / 100.0, F.lit(1.0)) + \
-        0.7 * F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1))
+    return 0.3 * F.least(F.length(col(c)) / 100.0, F.lit(1.0)) + once(
+        py_words(c), lambda w: 0.7 * F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1)))
 
 
 # ----------------------------------------------------------------- C17-C19, C21
@@ -486,6 +498,13 @@ def u(seed, key) -> Column:
         .cast("bigint") / 4294967296.0
 
 
+def u_below(seed, key, p: float) -> Column:
+    """``u(seed, key) < p``, compared on the hexadecimal digits: no number is made of them."""
+    bound = math.ceil(p * 4294967296.0)
+    digits = "" if bound <= 0 else "g" if bound > 0xFFFFFFFF else f"{bound:08x}"
+    return F.md5(F.concat(F.lit(f"{seed}|"), col(key).cast("string"))) < digits
+
+
 # ----------------------------------------------------------------- C6, C10, C30
 
 def encoding_issues(c) -> Column:
