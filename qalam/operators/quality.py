@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .dialect import evaluate_once
 
 
 def length_filter(df: DataFrame, text_col: str, min_len: int = 10, max_len: int = 2048, by: str = "chars") -> DataFrame:
@@ -53,9 +54,12 @@ def text_quality_filter(df: DataFrame, fields=("prompt", "chosen", "rejected", "
 def quality_check(c, min_arabic: float = 0.7, max_repetition: float = 0.3) -> Column:
     """Score 1 - .3 (low Arabic) - .4 (trigram repetition) - .2 (< 5
     words) or - .1 (> 1000 words), floored at 0; issue codes; passed > .5."""
-    ar = T.arabic_ratio_block_alpha(c)
-    rep = T.trigram_repetition(c)
-    n = T.word_count(c)
+    parts = F.struct(T.arabic_ratio_block_alpha(c).alias("ar"), T.once(T.py_words(c), lambda w: F.struct(
+        F.size(w).alias("n"), T.trigram_repetition_of(w).alias("rep"))).alias("w"))
+    return T.once(parts, lambda p: _quality_struct(p["ar"], p["w"]["rep"], p["w"]["n"], min_arabic, max_repetition))
+
+
+def _quality_struct(ar: Column, rep: Column, n: Column, min_arabic: float, max_repetition: float) -> Column:
     score = (F.lit(1.0) - F.when(ar < min_arabic, 0.3).otherwise(0.0) - F.when(rep > max_repetition, 0.4).otherwise(0.0)
              - F.when(n < 5, 0.2).when(n > 1000, 0.1).otherwise(0.0))
     issues = F.array_compact(F.array(F.when(ar < min_arabic, F.lit("low_arabic")),
@@ -67,8 +71,8 @@ def quality_check(c, min_arabic: float = 0.7, max_repetition: float = 0.3) -> Co
 
 def filter_by_quality(df: DataFrame, text_col: str = "text", min_score: float = 0.6) -> DataFrame:
     """Add quality_score / quality_issues and keep score >= min."""
-    q = quality_check(F.col(text_col))
-    return df.withColumn("__q", q).select("*", F.col("__q.quality_score").alias("quality_score"),
+    # computed once: a filter on a plain column would compute it again, the text itself included
+    return evaluate_once(df, {"__q": quality_check(F.col(text_col))}).select("*", F.col("__q.quality_score").alias("quality_score"),
                                           F.col("__q.issues").alias("quality_issues")).drop("__q") \
         .filter(F.col("quality_score") >= min_score)
 

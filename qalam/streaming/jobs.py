@@ -74,8 +74,7 @@ def ingest(spark: SparkSession, sf_dir: str, min_quality: float = 0.6) -> DataFr
     s = arabise(stream_table(spark, sf_dir, "documents", DOC_SCHEMA))
     s = s.withColumn("text", T.clean_text("text"))
     s = D.detect_dialect(s)
-    s = s.withColumn("__q", Q.quality_check(F.col("text"))).withColumn("quality_score", F.col("__q.quality_score")) \
-        .drop("__q").filter(F.col("quality_score") >= min_quality)
+    s = D.evaluate_once(s, {"quality_score": Q.quality_check(F.col("text"))["quality_score"]}).filter(F.col("quality_score") >= min_quality)
     run_available(s, f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out")
 
