@@ -161,6 +161,7 @@ def negative_hardness(chosen: str | Column, negs: str | Column) -> Column:
     negative's. Without negatives the gap is 0; a gap of exactly -0.1 gives
     null."""
     chosen, negs = (F.col(c) if isinstance(c, str) else c for c in (chosen, negs))
-    gaps = F.aggregate(F.transform(negs, T.quality), F.lit(0.0).cast("double"), lambda a, x: a + (T.quality(chosen) - x))
+    gaps = T.once(T.quality(chosen), lambda q: F.aggregate(
+        F.transform(negs, T.quality), F.lit(0.0).cast("double"), lambda a, x: a + (q - x)))
     mean = F.when(F.size(negs) > 0, gaps / F.size(negs)).otherwise(0.0)
-    return F.least(F.try_divide(F.lit(1.0), mean + 0.1) / 10.0, F.lit(1.0))
+    return T.once(mean + 0.1, lambda m: F.least(F.try_divide(F.lit(1.0), m) / 10.0, F.lit(1.0)))
