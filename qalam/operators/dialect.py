@@ -1,12 +1,14 @@
 """Dialect operators.
 
-Detection is a pure projection: one literal expression per lexicon feature,
-summed natively. No Python per row, no join, no shuffle. The normalised text
-is projected once and reused by every feature test.
+Detection is a pure projection: the normalised text is read once for all
+lexicon features, and the weights of those found are summed natively. No
+Python per row, no join, no shuffle.
 """
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,35 +16,71 @@ from ..functions import lexicon as L
 from ..functions import text as T
 
 
-def _py_regex(p: str) -> str:
-    """Python's ``\\s`` is the Unicode whitespace set; say so explicitly."""
-    return p.replace(r"\s", f"[{L.WS}]")
+def _literals(pattern: str) -> list[str] | None:
+    """The strings that a normalised text, whose only white space are spaces, holds one behind the other if and only
+    if it matches ``pattern``; none if the pattern is no such row of strings."""
+    parts = pattern.replace(r"\s+", " ").split(".*")
+    return parts if all(p and not set(p) & set(r"\.*+?[](){}|^$") for p in parts) else None
+
+
+_CODES = string.ascii_letters + string.digits
+
+
+def contained_terms(text: Column, terms) -> Column:
+    """Those of ``terms`` that the text holds, once each; null for null.
+
+    A search compares bytes, and half the bytes of Arabic text are one of two
+    lead bytes. So the terms' letters are first written as one byte each, and
+    what had that byte before as a byte of no term: one pass, after which each
+    term is found several times as fast.
+    """
+    terms = sorted(set(terms))
+    letters = "".join(sorted(set("".join(terms)) - {" "}))
+    if len(letters) > len(_CODES):
+        raise ValueError(f"terms of more than {len(_CODES)} different characters")
+    codes = str.maketrans(letters, _CODES[:len(letters)])
+    others = "".join(c for c in _CODES if c not in letters)
+    coded = F.translate(text, letters + others, _CODES[:len(letters)] + "\x01" * len(others))
+    return T.once(coded, lambda c: F.when(c.isNotNull(), F.array_compact(F.array(
+        *[F.when(F.contains(c, F.lit(t.translate(codes))), F.lit(t)) for t in terms]))))
+
+
+def _features(dialect: str):
+    """(weight, strings) of each feature of a dialect: the text must hold the strings one behind the other."""
+    for kind, weight in L.FEATURE_WEIGHTS.items():
+        for term in L.DIALECT_FEATURES[dialect][kind]:
+            yield weight, _literals(term) if kind == "patterns" else [term]
 
 
-def dialect_scores(norm: Column) -> dict[str, Column]:
-    """Per dialect: sum of matched feature weights / number of features."""
-    cache: dict[tuple[str, str], Column] = {}
+def _in_order(norm: Column, first: str, then: str) -> Column:
+    at = F.locate(first, norm)
+    return (at > 0) & (F.call_function("locate", F.lit(then), norm, at + len(first)) > 0)
 
-    def hit(kind: str, term: str) -> Column:
-        key = (kind, term)
-        if key not in cache:
-            cache[key] = norm.rlike(_py_regex(term)) if kind == "patterns" else F.contains(norm, F.lit(term))
-        return cache[key]
 
-    out = {}
+def with_dialect_scores(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with ``__s_<dialect>``: sum of matched feature weights / number of features.
+
+    The text is normalised once and read once for all features that are one string; the weights of those it
+    holds are then added up, so neither work nor code grows with a text times the features.
+    """
+    norm, held = F.col("__norm"), F.col("__held")
+    singles = sorted({parts[0] for d in L.DIALECT_ORDER for _, parts in _features(d) if len(parts) == 1})
+    scores = []
     for d in L.DIALECT_ORDER:
-        feats = L.DIALECT_FEATURES[d]
-        terms = []
-        n = 0
-        for kind, weight in L.FEATURE_WEIGHTS.items():
-            for term in feats[kind]:
-                terms.append(F.when(hit(kind, term), F.lit(weight)).otherwise(F.lit(0.0)))
-                n += 1
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        out[d] = total / float(n)
-    return out
+        features = list(_features(d))
+        weights = dict.fromkeys(singles, 0.0)
+        score = F.lit(0.0)
+        for weight, parts in features:
+            if len(parts) == 1:
+                weights[parts[0]] += weight
+            else:
+                score = score + F.when(_in_order(norm, *parts), F.lit(weight)).otherwise(F.lit(0.0))
+        of = F.create_map(*[x for term, weight in weights.items() if weight for x in (F.lit(term), F.lit(weight))])
+        score = score + F.coalesce(F.aggregate(held, F.lit(0.0), lambda acc, term: acc + F.coalesce(
+            F.try_element_at(of, term), F.lit(0.0))), F.lit(0.0))
+        scores.append((score / float(len(features))).alias(f"__s_{d}"))
+    return df.withColumn("__norm", T.normalize_dialect(F.lower(F.col(text_col)))) \
+        .withColumn("__held", contained_terms(norm, singles)).select(*df.columns, *scores)
 
 
 def detect_dialect(df: DataFrame, text_col: str = "text", threshold: float = L.DETECT_THRESHOLD,
@@ -53,11 +91,8 @@ def detect_dialect(df: DataFrame, text_col: str = "text", threshold: float = L.D
     ``DIALECT_ORDER``; a best score under ``threshold`` gives 'unknown'
     with that score.
     """
-    norm_col = "__norm"
-    staged = df.withColumn(norm_col, T.normalize_dialect(F.lower(F.col(text_col))))
-    sc = dialect_scores(F.col(norm_col))
+    staged = with_dialect_scores(df, text_col)
     score_cols = {d: f"__s_{d}" for d in L.DIALECT_ORDER}
-    staged = staged.select("*", *[sc[d].alias(score_cols[d]) for d in L.DIALECT_ORDER])
     best = F.greatest(*[F.col(score_cols[d]) for d in L.DIALECT_ORDER])
     winner = None
     for d in reversed(L.DIALECT_ORDER):
@@ -66,7 +101,7 @@ def detect_dialect(df: DataFrame, text_col: str = "text", threshold: float = L.D
     dialect = F.when(~arabic, F.lit("unknown")).when(best < threshold, F.lit("unknown")).otherwise(winner)
     confidence = F.when(~arabic, F.lit(0.0)).otherwise(best)
     return evaluate_once(staged, {dialect_col: dialect, confidence_col: confidence}) \
-        .drop(norm_col, *score_cols.values())
+        .drop(*score_cols.values())
 
 
 def evaluate_once(df: DataFrame, named: dict[str, Column]) -> DataFrame:
@@ -85,10 +120,7 @@ def evaluate_once(df: DataFrame, named: dict[str, Column]) -> DataFrame:
 
 def dialect_probabilities(df: DataFrame, text_col: str = "text") -> DataFrame:
     """D3: normalised score per dialect (scores / their sum; all zero -> zeros)."""
-    norm = T.normalize_dialect(F.lower(F.col(text_col)))
-    staged = df.withColumn("__norm", norm)
-    sc = dialect_scores(F.col("__norm"))
-    staged = staged.select("*", *[sc[d].alias(f"__s_{d}") for d in L.DIALECT_ORDER])
+    staged = with_dialect_scores(df, text_col)
     total = sum(F.col(f"__s_{d}") for d in L.DIALECT_ORDER)
     arabic = T.has_arabic(F.col(text_col))
     return staged.select(*df.columns, *[
@@ -96,26 +128,28 @@ def dialect_probabilities(df: DataFrame, text_col: str = "text") -> DataFrame:
         for d in L.DIALECT_ORDER])
 
 
-def evaluator_dialect(text: Column) -> Column:
-    """The evaluator's marker vote. msa = 2 x formal hits; ties -> msa,
-    egyptian, gulf, levantine, maghrebi."""
-    low = F.lower(text)
+#: Terms of the evaluator's vote.
+EVAL_TERMS = L.EVAL_FORMAL_INDICATORS + [t for d in L.EVAL_DIALECT_ORDER for t in L.EVAL_DIALECT_MARKERS[d]]
 
-    def hits(terms):
-        s = F.lit(0)
-        for t in terms:
-            s = s + F.contains(low, F.lit(t)).cast("int")
-        return s
 
-    scores = {"msa": hits(L.EVAL_FORMAL_INDICATORS) * 2}
-    for d in L.EVAL_DIALECT_ORDER:
-        scores[d] = hits(L.EVAL_DIALECT_MARKERS[d])
+def held_count(held: Column, terms) -> Column:
+    """How many of the distinct ``terms`` are among the terms found (:func:`contained_terms`); null for null."""
+    return F.when(held.isNotNull(), F.size(F.array_intersect(held, F.array(*[F.lit(t) for t in terms]))))
+
+
+def evaluator_vote(held: Column) -> Column:
+    """D2 from the terms found in a lower-cased text."""
     order = ["msa"] + L.EVAL_DIALECT_ORDER
-    best = F.greatest(*[scores[d] for d in order])
-    out = None
-    for d in reversed(order):
-        out = F.when(scores[d] == best, F.lit(d)).otherwise(out if out is not None else F.lit("msa"))
-    return out
+    scores = F.array(held_count(held, L.EVAL_FORMAL_INDICATORS) * 2,
+                     *[held_count(held, L.EVAL_DIALECT_MARKERS[d]) for d in L.EVAL_DIALECT_ORDER])
+    first = T.once(scores, lambda s: F.array_position(s, F.array_max(s)).cast("int"))
+    return F.when(held.isNull(), F.lit("msa")).otherwise(F.element_at(F.array(*[F.lit(d) for d in order]), first))
+
+
+def evaluator_dialect(text: Column) -> Column:
+    """The evaluator's marker vote. msa = 2 x formal hits; ties -> msa,
+    egyptian, gulf, levantine, maghrebi."""
+    return T.once(contained_terms(F.lower(text), EVAL_TERMS), evaluator_vote)
 
 
 def analyze_dialects(tagged: DataFrame, text_col: str = "text") -> DataFrame:
@@ -166,7 +200,8 @@ WORD = r"\p{L}\p{N}_"   # Python's Unicode \w, for \b word boundaries
 
 
 def _boundary(word: str) -> str:
-    return f"(?<![{WORD}]){word}(?![{WORD}])"
+    # the word first: what stands before it is looked at where it was found, not at every character
+    return f"{word}(?<![{WORD}]{word})(?![{WORD}])"
 
 
 def _key(key: Column, tag: str) -> Column:
@@ -188,7 +223,7 @@ def augment_text(text: Column, dialect: str, key: Column, seed: int = 42,
         return text
     t = text
     for i, (src, dst) in enumerate(rules["transformations"]):
-        fire = T.u(seed, _key(key, f"|{dialect}|r{i}")) < ratio
+        fire = T.u_below(seed, _key(key, f"|{dialect}|r{i}"), ratio)
         # a rule that does not fire puts each match back: the expression names t once, so it grows by one step a rule
         t = F.regexp_replace(t, F.lit(_boundary(src)), F.when(fire, F.lit(dst)).otherwise(F.lit("$0")))
     syn = rules["synonyms"]
@@ -199,8 +234,8 @@ def augment_text(text: Column, dialect: str, key: Column, seed: int = 42,
             k = F.concat(key.cast("string"), F.lit(f"|{dialect}|w"), i.cast("string"))
             pick = F.element_at(F.array(*[F.lit(c) for c in choices]),
                                 (F.floor(T.u(seed, F.concat(k, F.lit("c"))) * len(choices)) + 1).cast("int"))
-            expr = F.when((w == word) & (T.u(seed, k) < ratio), pick).otherwise(expr)
-        return expr
+            expr = F.when((w == word) & T.u_below(seed, k, ratio), pick).otherwise(expr)
+        return F.when(w.isin(*syn), expr).otherwise(w)
     return F.array_join(F.transform(T.py_words(t), swap), " ")
 
 
@@ -383,21 +418,20 @@ def general_augment(df: DataFrame, text_col: str, key_col: str, seed: int = 42,
         for word, choices in reversed(list(L.GENERAL_SYNONYMS.items())):
             pick = F.element_at(F.array(*[F.lit(c) for c in choices]),
                                 (F.floor(T.u(seed, F.concat(k, F.lit("c"))) * len(choices)) + 1).cast("int"))
-            expr = F.when((w == word) & (T.u(seed, k) < synonym_prob), pick).otherwise(expr)
-        return expr
+            expr = F.when((w == word) & T.u_below(seed, k, synonym_prob), pick).otherwise(expr)
+        return F.when(w.isin(*L.GENERAL_SYNONYMS), expr).otherwise(w)
     synonym = F.array_join(F.transform(T.py_words(text), swap), " ")
     tpl = F.element_at(F.array(*[F.lit(t) for t in L.PARAPHRASE_TEMPLATES]),
                        (F.floor(T.u(seed, F.concat(key, F.lit("|pt"))) * len(L.PARAPHRASE_TEMPLATES)) + 1).cast("int"))
     paraphrase = F.when(T.u(seed, F.concat(key, F.lit("|p"))) < paraphrase_prob,
                         F.replace(tpl, F.lit("{x}"), text)).otherwise(text)
 
-    def noisy(ch, i):
-        k = F.concat(key, F.lit("|n"), i.cast("string"))
-        hit = T.u(seed, k) < noise_prob
-        dup = T.u(seed, F.concat(k, F.lit("d"))) < 0.5
-        return F.when(hit & dup, F.concat(ch, ch)).when(hit, F.lit("")).otherwise(ch)
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    noised = F.array_join(F.transform(chars, noisy), "")
+    def noisy(ch, i, front):
+        at = F.concat(front, i.cast("string"))
+        dup = F.when(T.u_below(seed, F.concat(at, F.lit("d")), 0.5), F.concat(ch, ch)).otherwise(F.lit(""))
+        return F.when(T.u_below(seed, at, noise_prob), dup).otherwise(ch)
+    chars = F.array_remove(F.split(text, ""), "")
+    noised = T.once(F.concat(key, F.lit("|n")), lambda front: F.array_join(F.transform(chars, lambda ch, i: noisy(ch, i, front)), ""))
     variants = [F.struct(F.lit("original").alias("variant"), text.alias("__t"))]
     variants.append(F.struct(F.lit("synonym").alias("variant"), synonym.alias("__t")))
     variants.append(F.struct(F.lit("paraphrase").alias("variant"), paraphrase.alias("__t")))
