@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
-from .dialect import evaluator_dialect
+from .dialect import EVAL_TERMS, contained_terms, evaluator_vote, held_count
 
 
 def unpivot_report(df: DataFrame, id_cols: list[str] | None = None) -> DataFrame:
@@ -180,13 +180,6 @@ def generation_quality(df: DataFrame, pred: str = "prediction", ref: str = "refe
 
 # ----------------------------------------------------------------- I12 Arabic metrics
 
-def _contains_count(text: Column, terms) -> Column:
-    total = F.lit(0)
-    for t in terms:
-        total = total + F.contains(text, F.lit(t)).cast("int")
-    return total
-
-
 # Counts over a text whose white space is single spaces: each match starts
 # where a word or sentence starts and runs to its end, so the number of
 # matches is that of the words. Plain classes and no lambdas: a class of all
@@ -208,14 +201,16 @@ _COUNTS = {
 def arabic_counts(df: DataFrame, text_col: str = "text", blocked_terms: list[str] | None = None) -> DataFrame:
     """The counts of each text from which I12's scores are made."""
     spaced = df.select(F.col(text_col).alias("t"), F.lower(F.col(text_col)).alias("low"),
-                       F.regexp_replace(F.col(text_col), T.WS_RUN, " ").alias("spaced"))
+                       F.regexp_replace(
+        F.translate(F.col(text_col), T.WS_CHARS, " " * len(T.WS_CHARS)), "  +", " ").alias("spaced"))
     t, low, n = F.col("t"), F.col("low"), F.col("spaced")
     # words of five letters and more that start with an Arabic one, equal ones side by side
     keys = F.regexp_extract_all(n, F.lit(f"(?:^| )([{L.AR2}][^ ]{{4,}}+)"), F.lit(1))
     spaced = spaced.withColumn("keys", F.concat(F.lit(" "), F.array_join(F.sort_array(keys), " "), F.lit(" ")))
-    hits = F.lit(0)
-    for d in L.EVAL_DIALECT_ORDER:
-        hits = hits + _contains_count(low, L.EVAL_DIALECT_MARKERS[d])
+    # one pass over the text for all terms; they are Arabic, so the lower-cased text holds the same ones
+    spaced = spaced.withColumn("held", contained_terms(low, EVAL_TERMS + L.COHERENCE_CONNECTORS + L.RELIGIOUS_TERMS))
+    held = F.col("held")
+    hits = sum(held_count(held, L.EVAL_DIALECT_MARKERS[d]) for d in L.EVAL_DIALECT_ORDER)
     any_of = lambda text, terms: F.exists(F.array(*[F.lit(x) for x in terms]), lambda x: F.contains(text, x))
     return spaced.select(
         *[F.regexp_count(n, F.lit(p)).alias(k) for k, p in _COUNTS.items()],
@@ -223,10 +218,10 @@ def arabic_counts(df: DataFrame, text_col: str = "text", blocked_terms: list[str
         T.letter_count(t).alias("letters"), T.arabic_letter_count(t).alias("ar_letters"), T.diacritic_count(t).alias("diacritics"),
         F.size(F.array_remove(F.array_distinct(F.split(n, " ")), "")).alias("distinct"),
         F.regexp_count("keys", F.lit(r" ([^ ]++)(?: \1(?= ))++")).alias("repeated"),
-        t.rlike(f"[{L.AR2}]").alias("ar_any"), hits.alias("dialect_hits"), evaluator_dialect(t).alias("dialect"),
-        _contains_count(t, L.EVAL_FORMAL_INDICATORS).alias("formal_hits"),
-        _contains_count(t, L.COHERENCE_CONNECTORS).alias("connectors"),
-        any_of(t, L.RELIGIOUS_TERMS).cast("double").alias("religious"),
+        t.rlike(f"[{L.AR2}]").alias("ar_any"), hits.alias("dialect_hits"), evaluator_vote(held).alias("dialect"),
+        held_count(held, L.EVAL_FORMAL_INDICATORS).alias("formal_hits"),
+        held_count(held, L.COHERENCE_CONNECTORS).alias("connectors"),
+        (held_count(held, L.RELIGIOUS_TERMS) > 0).cast("double").alias("religious"),
         (F.lit(1.0) if not blocked_terms else (~any_of(low, blocked_terms)).cast("double")).alias("appropriate"))
 
 
@@ -300,13 +295,15 @@ def arabic_metrics(df: DataFrame, text_col: str = "text", target_dialect: str =
 def diacritization_accuracy(df: DataFrame, pred: str, ref: str) -> DataFrame:
     """Positional character match over the shorter whitespace-free text
     (micro over all rows)."""
-    p = F.split(F.regexp_replace(pred, T.WS_RUN, ""), "")
-    r = F.split(F.regexp_replace(ref, T.WS_RUN, ""), "")
-    p = F.filter(p, lambda c: c != "")
-    r = F.filter(r, lambda c: c != "")
-    m = F.least(F.size(p), F.size(r))
-    same = F.size(F.filter(F.slice(F.zip_with(p, r, lambda a, b: a == b), 1, F.greatest(m, F.lit(0))), lambda x: x))
-    s = df.select(m.alias("m"), same.alias("s"))
+    def chars(c):
+        return F.array_remove(F.split(F.translate(c, T.WS_CHARS, ""), ""), "")
+
+    def counts(c):
+        agree = F.zip_with(c["p"], c["r"], lambda a, b: a == b)  # null beyond the shorter one
+        return F.struct(F.least(F.size(c["p"]), F.size(c["r"])).alias("m"),
+                        F.size(F.array_remove(F.array_compact(agree), False)).alias("s"))
+    both = T.once(F.struct(chars(pred).alias("p"), chars(ref).alias("r")), counts)
+    s = df.select(both.alias("both")).select("both.m", "both.s")
     return s.agg(F.coalesce(F.try_divide(F.sum("s"), F.sum("m")), F.lit(0.0)).alias("diacritization_accuracy"),
                  F.sum("m").alias("chars_compared"))
 
