@@ -218,7 +218,8 @@ def file_hashes(spark: SparkSession, path: str, cell_bytes: int = CELL_BYTES) ->
                             h.update(block)
                 rows.append((name, length, *(h.hexdigest() for h in sums)))
             yield pd.DataFrame(rows, columns=["path", "length", "md5", "sha1", "sha256"])
-    names = spark.createDataFrame(large, "path string, length long").repartition(len(large), "path")
+    # a slice a file: hashes of the names would put several files into one task
+    names = spark.createDataFrame(spark.sparkContext.parallelize(large, len(large)), "path string, length long")
     return small.unionByName(names.mapInPandas(digest, "path string, length long, md5 string, sha1 string, sha256 string"))
 
 
