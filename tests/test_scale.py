@@ -12,6 +12,7 @@ from qalam.operators import dialect as D
 from qalam.operators import joins as J
 from qalam.operators import metrics as M
 from qalam.operators import quality as Q
+from qalam.sources import io as IO
 
 
 def plan(df) -> str:
@@ -105,3 +106,12 @@ def test_evaluator_vote_of_missing_and_blank_texts(spark):
     assert [r.d for r in df.orderBy("id").select(D.evaluator_dialect(F.col("text")).alias("d")).collect()] == \
         ["msa", "msa", "levantine", "msa"]
     assert [r.dialect for r in M.arabic_counts(df.orderBy("id")).collect()] == ["msa", "msa", "levantine", "msa"]
+
+
+def test_large_files_are_hashed_one_a_task(spark, tmp_path):
+    for i in range(8):
+        (tmp_path / f"f{i}.bin").write_bytes(bytes([i]) * (i + 2))
+    df = IO.file_hashes(spark, f"{tmp_path}/*.bin", cell_bytes=1)
+    assert {r.md5 for r in df.collect()} == {hashlib.md5(bytes([i]) * (i + 2)).hexdigest() for i in range(8)}
+    large = df.withColumn("task", F.spark_partition_id())
+    assert large.select("task").distinct().count() == 8
