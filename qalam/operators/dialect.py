@@ -1,8 +1,9 @@
 """Dialect operators.
 
-Detection is a pure projection: the normalised text is read once for all
-lexicon features, and the weights of those found are summed natively. No
-Python per row, no join, no shuffle.
+Detection is a pure projection: the different lexicon terms are looked for
+once each, in a copy of the normalised text with one byte a letter, and the
+weights of those found are summed natively. No Python per row, no join, no
+shuffle.
 """
 
 from __future__ import annotations
@@ -60,8 +61,8 @@ def _in_order(norm: Column, first: str, then: str) -> Column:
 def with_dialect_scores(df: DataFrame, text_col: str) -> DataFrame:
     """``df`` with ``__s_<dialect>``: sum of matched feature weights / number of features.
 
-    The text is normalised once and read once for all features that are one string; the weights of those it
-    holds are then added up, so neither work nor code grows with a text times the features.
+    The text is normalised once and searched once for each different string (:func:`contained_terms`); the
+    weights of those it holds are then added up.
     """
     norm, held = F.col("__norm"), F.col("__held")
     singles = sorted({parts[0] for d in L.DIALECT_ORDER for _, parts in _features(d) if len(parts) == 1})

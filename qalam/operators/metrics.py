@@ -207,7 +207,7 @@ def arabic_counts(df: DataFrame, text_col: str = "text", blocked_terms: list[str
     # words of five letters and more that start with an Arabic one, equal ones side by side
     keys = F.regexp_extract_all(n, F.lit(f"(?:^| )([{L.AR2}][^ ]{{4,}}+)"), F.lit(1))
     spaced = spaced.withColumn("keys", F.concat(F.lit(" "), F.array_join(F.sort_array(keys), " "), F.lit(" ")))
-    # one pass over the text for all terms; they are Arabic, so the lower-cased text holds the same ones
+    # all terms in one projection; they are Arabic, so the lower-cased text holds the same ones
     spaced = spaced.withColumn("held", contained_terms(low, EVAL_TERMS + L.COHERENCE_CONNECTORS + L.RELIGIOUS_TERMS))
     held = F.col("held")
     hits = sum(held_count(held, L.EVAL_DIALECT_MARKERS[d]) for d in L.EVAL_DIALECT_ORDER)
