@@ -67,6 +67,36 @@ def test_near_dup_edges_are_exact(spark, threshold):
     assert {(r.i, r.j) for r in DD.near_dup_edges(df, "text", "id", threshold).collect()} == want
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.8, 0.95])
+def test_similar_pairs_of_small_sets_are_exact(spark, threshold):
+    """Small sets have few lower hashes, often none; a common line makes many shingles frequent. Ids repeat or are null."""
+    rng = random.Random(5)
+    texts = ["all rows hold this one line " + " ".join(f"v{rng.randrange(9)}" for _ in range(rng.randrange(1, 25))) for _ in range(60)]
+    texts += [t.rsplit(" ", 1)[0] for t in texts] + [t + " end" for t in texts] + ["a b", "a  b", "b a", "", None]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7]), (7, texts[30]), (None, texts[3])]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(7)
+    sets = [(r.id, frozenset(r.s)) for r in df.select("id", T.shingles("text", 3).alias("s")).collect() if r.id is not None and r.s is not None]
+    rep = {}
+    for i, s in sets:
+        rep[s] = min(i, rep.get(s, i))
+    firsts = [(i, s) for i, s in sets if rep[s] == i]
+    want = [(i, j) for i, s in firsts for j, t in firsts if i < j and len(s & t) >= threshold * len(s | t) - 1e-12]
+    want += [(rep[s], i) for i, s in sets if rep[s] < i]
+    got = [(r.i, r.j) for r in DD.near_dup_edges(df, "text", "id", threshold).collect()]
+    assert sorted(got) == sorted(want) and len(want) > len(set(want)) > 50
+
+
+def test_prefixes_hold_shared_shingles_and_deal_shingles_once(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(400))) for i in range(50)], "id long, text string")
+    sets = DD.different_sets(*DD.shingle_sets(df, "text", "id"))
+    assert sets.count() == 50 and DD.prefixes(sets, 0.8).count() == 0
+    sets = DD.different_sets(*DD.shingle_sets(df.unionAll(df.selectExpr("id + 50", "text || ' end'")), "text", "id"))
+    got = DD.prefixes(sets, 0.8)
+    per_row = got.groupBy("row", "sz").agg(F.count(F.lit(1)).alias("n"), F.max("rest").alias("most")).collect()
+    assert len(per_row) == 100 and all(r.n <= r.sz - -(-r.sz * 4 // 5) + 1 and r.most <= r.sz for r in per_row)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+
+
 def test_every_labelled_row_is_paired(spark):
     lab = {r.doc_id: r.quality for r in TB.table(spark, SF_SMALL, "labels").collect()}
     p = TB.pairs(spark, SF_SMALL).select("id", "chosen_id", "rejected_id").collect()
