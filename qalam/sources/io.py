@@ -13,6 +13,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .digests import file_digests
+
 FORMATS = {".json": "json", ".jsonl": "json", ".csv": "csv", ".tsv": "csv", ".parquet": "parquet", ".txt": "text"}
 
 
@@ -183,44 +185,25 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.repartitionByRange("place").sortWithinPartitions("place").select("line").write.mode("overwrite").text(path)
 
 
-#: Files beyond this size are hashed by streaming them instead of as one cell (Spark's cells end at 2 GB).
+#: Files beyond this size are dealt one a task.
 CELL_BYTES = 1 << 30
 
 
 def file_hashes(spark: SparkSession, path: str, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """Length and md5 / sha1 / sha256 of each file's bytes.
 
-    Files up to ``cell_bytes`` go through the binaryFile source. Of larger
-    ones only the names are read; each is streamed once, in blocks, through
-    Hadoop's file system by one task: a digest is sequential by its nature.
+    The binaryFile source lists the files; their bytes never become a cell
+    but go block by block into the digests. Files up to ``cell_bytes`` share
+    tasks as that source deals them, each larger one has a task of its own:
+    a digest is sequential by its nature.
     """
-    files = spark.read.format("binaryFile").load(path)
-    small = files.filter(F.col("length") <= cell_bytes).select(
-        "path", "length", F.md5("content").alias("md5"), F.sha1("content").alias("sha1"), F.sha2("content", 256).alias("sha256"))
-    large = [(r.path, r.length) for r in files.filter(F.col("length") > cell_bytes).select("path", "length").collect()]
-    if not large:
-        return small
-
-    def digest(blocks):
-        import hashlib
-
-        import pandas as pd
-        from pyarrow import fs
-        for pdf in blocks:
-            rows = []
-            for name, length in zip(pdf.path, pdf.length):
-                store, at = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and
-                                                   not name.startswith("file:///") else name)
-                sums = [hashlib.md5(), hashlib.sha1(), hashlib.sha256()]
-                with store.open_input_stream(at) as f:
-                    while block := f.read(8 << 20):
-                        for h in sums:
-                            h.update(block)
-                rows.append((name, length, *(h.hexdigest() for h in sums)))
-            yield pd.DataFrame(rows, columns=["path", "length", "md5", "sha1", "sha256"])
-    # a slice a file: hashes of the names would put several files into one task
-    names = spark.createDataFrame(spark.sparkContext.parallelize(large, len(large)), "path string, length long")
-    return small.unionByName(names.mapInPandas(digest, "path string, length long, md5 string, sha1 string, sha256 string"))
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    large = [(r.path, r.length) for r in files.filter(F.col("length") > cell_bytes).collect()]
+    names = files.filter(F.col("length") <= cell_bytes)
+    if large:
+        # a slice a file: hashes of the names would put several files into one task
+        names = names.unionByName(spark.createDataFrame(spark.sparkContext.parallelize(large, len(large)), files.schema))
+    return names.withColumn("__d", file_digests(spark, "path")).select("path", "length", "__d.*")
 
 
 def cached_processed(df_fn, spark: SparkSession, cache_root: str, source: str, config: dict) -> DataFrame:

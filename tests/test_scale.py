@@ -115,3 +115,39 @@ def test_large_files_are_hashed_one_a_task(spark, tmp_path):
     assert {r.md5 for r in df.collect()} == {hashlib.md5(bytes([i]) * (i + 2)).hexdigest() for i in range(8)}
     large = df.withColumn("task", F.spark_partition_id())
     assert large.select("task").distinct().count() == 8
+
+
+def digests_of(data):
+    return tuple(hashlib.new(n, data).hexdigest() for n in ("md5", "sha1", "sha256"))
+
+
+def test_files_are_hashed_without_becoming_a_cell(spark, tmp_path):
+    data = {"one.bin": b"x", "a b%20c.bin": b"x" * 5000, "z.gz": bytes(i * 7 % 256 for i in range(3 << 20))}
+    for name, b in data.items():
+        (tmp_path / name).write_bytes(b)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)  # Spark refuses to read more than this into a cell
+    try:
+        for df in (IO.file_hashes(spark, str(tmp_path)), IO.file_hashes(spark, str(tmp_path), cell_bytes=4000)):
+            assert {r.path.rsplit("/", 1)[1]: (r.length, r.md5, r.sha1, r.sha256) for r in df.collect()} == \
+                {name: (len(b), *digests_of(b)) for name, b in data.items()}
+            assert df.columns == ["path", "length", "md5", "sha1", "sha256"]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_files_are_hashed_in_a_store_that_only_hadoop_reads(spark, tmp_path):
+    (tmp_path / "f.bin").write_bytes(b"abc" * 100)
+    spark.conf.set("fs.viewfs.mounttable.digests.link./in", f"file://{tmp_path}")
+    try:
+        for most in (10, 1 << 30):
+            r = IO.file_hashes(spark, "viewfs://digests/in/*.bin", cell_bytes=most).first()
+            assert (r.path, r.length, r.md5, r.sha1, r.sha256) == ("viewfs://digests/in/f.bin", 300, *digests_of(b"abc" * 100))
+    finally:
+        spark.conf.unset("fs.viewfs.mounttable.digests.link./in")
+
+
+def test_a_file_is_read_once_for_all_its_digests(spark, tmp_path):
+    (tmp_path / "f.bin").write_bytes(b"abc")
+    df = IO.file_hashes(spark, str(tmp_path)).select("md5", "sha256").filter("md5 != sha256")
+    assert plan(df).count("file_digests(") == 1
+    assert df.count() == 1
