@@ -20,12 +20,15 @@ CLASS = "qalam.FileDigests"
 SOURCE = """
 package qalam;
 
+import java.io.FileNotFoundException;
+import java.io.IOException;
 import java.io.InputStream;
 import java.security.MessageDigest;
 import java.util.HexFormat;
 import org.apache.hadoop.conf.Configuration;
 import org.apache.hadoop.fs.Path;
 import org.apache.spark.sql.Column;
+import org.apache.spark.sql.Row;
 import org.apache.spark.sql.RowFactory;
 import org.apache.spark.sql.api.java.UDF1;
 import org.apache.spark.sql.functions;
@@ -39,12 +42,25 @@ public class FileDigests implements UDF1 {
         this.conf = new SerializableConfiguration(conf);
     }
 
+    /** Null for a file that the session's settings tell Spark's readers to skip. */
     public Object call(Object path) throws Exception {
+        try {
+            return this.digests((String) path);
+        } catch (FileNotFoundException e) {
+            if (this.conf.value().getBoolean("spark.sql.files.ignoreMissingFiles", false)) return null;
+            throw e;
+        } catch (IOException e) {
+            if (this.conf.value().getBoolean("spark.sql.files.ignoreCorruptFiles", false)) return null;
+            throw e;
+        }
+    }
+
+    private Row digests(String path) throws Exception {
         MessageDigest md5 = MessageDigest.getInstance("MD5");
         MessageDigest sha1 = MessageDigest.getInstance("SHA-1");
         MessageDigest sha256 = MessageDigest.getInstance("SHA-256");
         byte[] block = new byte[1 << 20];
-        Path file = new Path((String) path);
+        Path file = new Path(path);
         InputStream in = file.getFileSystem(this.conf.value()).open(file);
         try {
             for (int n = in.read(block); n >= 0; n = in.read(block)) {
@@ -88,7 +104,7 @@ def _class(spark: SparkSession):
 
 
 def file_digests(spark: SparkSession, path: str) -> Column:
-    """``struct<md5, sha1, sha256>`` of the file named by column ``path``, which is read once, in blocks."""
+    """``struct<md5, sha1, sha256>`` of the file named by column ``path``, which is read once, in blocks; null for one to skip."""
     values = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.java.lang.Object, 1)
     values[0] = spark._jsparkSession.sessionState().newHadoopConf()
     return Column(_class(spark).getConstructors()[0].newInstance(values).of(F.col(path)._jc))

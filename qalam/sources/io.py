@@ -203,7 +203,10 @@ def file_hashes(spark: SparkSession, path: str, cell_bytes: int = CELL_BYTES) ->
     if large:
         # a slice a file: hashes of the names would put several files into one task
         names = names.unionByName(spark.createDataFrame(spark.sparkContext.parallelize(large, len(large)), files.schema))
-    return names.withColumn("__d", file_digests(spark, "path")).select("path", "length", "__d.*")
+    found = names.withColumn("__d", file_digests(spark, "path"))
+    if any(spark.conf.get(f"spark.sql.files.ignore{kind}Files") == "true" for kind in ("Missing", "Corrupt")):
+        found = found.filter("__d IS NOT NULL")  # only then, as a filter would make a mere count read the files
+    return found.select("path", "length", "__d.*")
 
 
 def cached_processed(df_fn, spark: SparkSession, cache_root: str, source: str, config: dict) -> DataFrame:

@@ -151,3 +151,17 @@ def test_a_file_is_read_once_for_all_its_digests(spark, tmp_path):
     df = IO.file_hashes(spark, str(tmp_path)).select("md5", "sha256").filter("md5 != sha256")
     assert plan(df).count("file_digests(") == 1
     assert df.count() == 1
+
+
+def test_files_that_the_session_skips_are_not_hashed(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.bin").write_bytes(b"abc")
+    (tmp_path / ".a.bin.crc").write_bytes(b"crc\0" + bytes([0, 0, 2, 0]) + b"none")  # a.bin fails its checksum
+    with pytest.raises(Exception, match="(?i)checksum"):
+        IO.file_hashes(spark, str(tmp_path)).collect()
+    spark.conf.set("spark.sql.files.ignoreCorruptFiles", True)
+    try:
+        for most in (1, 1 << 30):
+            assert [(r.path[-5:], r.md5) for r in IO.file_hashes(spark, str(tmp_path), cell_bytes=most).collect()] == [("b.bin", digests_of(b"abc")[0])]
+    finally:
+        spark.conf.unset("spark.sql.files.ignoreCorruptFiles")
